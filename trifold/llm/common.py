@@ -162,3 +162,18 @@ def window_minima(values: np.ndarray, w: int) -> np.ndarray:
         span *= 2
     a, b = best[:n], best[w - span : w - span + n]
     return np.where(values[b] < values[a], b, a)
+
+
+#: A key with over 1/HOT of all rows is hot; there are fewer than HOT of those.
+HOT = 1000
+
+
+def to_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int) -> DataFrame:
+    """Rows joined to their group, ``groups`` having one row per key with its number of rows in ``size``.
+
+    Hot groups are fewer than HOT, so they are broadcast and their rows stay
+    where they are; all other keys take a sort-merge join, in which no key has
+    over 1/HOT of the rows."""
+    hot = groups.where(F.col(size) * HOT > n_rows)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.where(F.col(size) * HOT <= n_rows).hint("merge"), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)

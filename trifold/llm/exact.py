@@ -24,9 +24,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, table, to_groups
 
-HOT = 1000
 WHITE = r"[\x20\x09-\x0D]+"
 
 
@@ -88,9 +87,7 @@ def classes(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     rows = durable(digests(docs))
     index.append(grouped(rows))
     groups = index.read().select("digest", "keep_id", "group_size")
-    hot = groups.where(F.col("group_size") * HOT > rows.count())  # fewer than HOT rows
-    cold = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(groups.hint("merge"), "digest")
-    out = rows.join(F.broadcast(hot), "digest").unionByName(cold)
+    out = to_groups(rows, groups, "digest", "group_size", rows.count())
     out = durable(out.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "digest"))
     if own:
         index.drop()

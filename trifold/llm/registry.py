@@ -8,6 +8,8 @@ from importlib import import_module
 QUERIES = {
     "op3_exact_dedup": "exact",
     "op5_decontaminate": "decontaminate",
+    "op7_packing": "packing",
+    "op8_simhash": "simhash",
 }
 
 
