@@ -9,6 +9,7 @@ character, so cutting bytes is the same as cutting code points.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, so that lost executors
-    cost no recomputation of what came before.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    The cluster names the folder in ``spark.checkpoint.dir``.  Only where it is
-    unset and Spark runs in one local process is a temporary folder used.
-    """
-    spark = df.sparkSession
+    Only where that is unset and Spark runs in one local process is a temporary
+    folder used."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
@@ -41,9 +39,23 @@ def durable(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             named = tempfile.mkdtemp(prefix="spark-checkpoint-")
         sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, so that lost executors cost no
+    recomputation of what came before."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def held_out(doc_id="doc_id"):
     """Whether crc32(doc_id as text) mod 5 is 0."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0

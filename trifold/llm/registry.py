@@ -10,6 +10,7 @@ QUERIES = {
     "op5_decontaminate": "decontaminate",
     "op7_packing": "packing",
     "op8_simhash": "simhash",
+    "op10_quality": "quality",
 }
 
 
