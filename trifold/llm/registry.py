@@ -6,10 +6,12 @@ from importlib import import_module
 
 #: query -> module that has it.
 QUERIES = {
+    "op2_language": "language",
     "op3_exact_dedup": "exact",
     "op5_decontaminate": "decontaminate",
     "op7_packing": "packing",
     "op8_simhash": "simhash",
+    "op9_url_filter": "urls",
     "op10_quality": "quality",
 }
 
