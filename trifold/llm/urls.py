@@ -51,6 +51,10 @@ def keys_of(host: Column, path: Column, lengths: list[int]) -> Column:
     return F.transform(ranked, lambda x: x["k"])
 
 
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1), (place % 8).cast("int"))
+
+
 class Level:
     """One Bloom filter: its bits as bytes, and how many hashes set them."""
 
@@ -69,7 +73,7 @@ class Level:
         if size > MOST_BYTES * 8:
             raise OverflowError(f"a level of {size} bits")
         place = keys.select(F.explode(F.array(*cls.places(F.col("key"), size, hashes, salt))).alias("p"))
-        byte = place.groupBy((F.col("p") / 8).cast("long").alias("b")).agg(F.bit_or(F.shiftleft(F.lit(1), (F.col("p") % 8).cast("int"))).alias("v"))
+        byte = place.groupBy((F.col("p") / 8).cast("long").alias("b")).agg(F.bit_or(_bit(F.col("p"))).alias("v"))
         out = bytearray(size // 8)
         for b, v in byte.collect():  # of a bounded number of bytes
             out[b] = v
@@ -82,7 +86,7 @@ class Level:
         found = []
         for p in self.places(key, self.size, self.hashes, self.salt):
             byte = F.conv(F.hex(F.substring(bits, (p / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-            found.append(F.shiftright(byte, 0).bitwiseAND(F.shiftleft(F.lit(1), (p % 8).cast("int"))) != 0)
+            found.append(byte.bitwiseAND(_bit(p)) != 0)
         out = found[0]
         for x in found[1:]:
             out = out & x
