@@ -8,7 +8,9 @@ from importlib import import_module
 QUERIES = {
     "op2_language": "language",
     "op3_exact_dedup": "exact",
+    "op4_token_counts": "counts",
     "op5_decontaminate": "decontaminate",
+    "op6_pii": "pii",
     "op7_packing": "packing",
     "op8_simhash": "simhash",
     "op9_url_filter": "urls",
