@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query -> module that has it.
 QUERIES = {
+    "op1_substring_dedup": "substrings",
     "op2_language": "language",
     "op3_exact_dedup": "exact",
     "op4_token_counts": "counts",
