@@ -72,18 +72,22 @@ def best_after_reply(drafts: DataFrame, weights: DataFrame, pairs: DataFrame) ->
 
     pairs: i, j, w with the counter weight of i against j (antisymmetric).  For
     team 0 with two picks and team 1 with two, the pick whose value after the
-    best reply is highest, and that value."""
-    n = pairs.count()
-    if n > MOST * 50:
-        raise ValueError(f"{n} counter weights are too many to broadcast")
-    table = pairs.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", "w"))).alias("row"))
-    table = table.agg(F.map_from_entries(F.collect_list(F.struct("i", "row"))).alias("_c"))
-    df = drafts.crossJoin(weight_map(weights)).crossJoin(F.broadcast(table))
+    best reply is highest, and that value.  Four picks are taken, so of each
+    candidate's replies the first five are enough; those are a small table."""
+    strength = weights.select(F.col("brawler_id").cast("int").alias("j"), F.col("w").alias("wj"))
+    reply = strength.crossJoin(F.broadcast(strength.select(F.col("j").alias("i")))).where("i <> j").join(pairs, ["i", "j"], "left")
+    gain = F.col("wj") - F.coalesce("w", F.lit(0.0))
+    reply = reply.select("i", "j", gain.alias("gain"))
+    first = reply.withColumn("k", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("gain"), "j"))).where("k <= 5")
+    by = first.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("k", "j", "gain"))).alias("replies"))
+    by = by.join(weights.select(F.col("brawler_id").cast("int").alias("i"), "w"), "i")
+    n = weights.count()
+    if n > MOST:
+        raise ValueError(f"{n} characters; at most {MOST} are broadcast")
+    one = F.broadcast(by.agg(F.array_sort(F.collect_list(F.struct("i", "w", "replies"))).alias("_c")))
+    df = drafts.crossJoin(one)
     taken = F.concat(F.slice("a", 1, 2), F.slice("b", 1, 2))
-    df = df.withColumn("_free", F.array_sort(F.filter(F.map_keys("_w"), lambda x: ~F.array_contains(taken, x))))
-    against = lambda x, y: F.coalesce(F.try_element_at(F.try_element_at("_c", x), y), F.lit(0.0))
-    w = lambda x: F.element_at("_w", x)
-    loss = lambda x: F.array_max(F.transform(F.filter("_free", lambda y: y != x), lambda y: w(y) - against(x, y)))
-    value = F.transform("_free", lambda x: F.struct((-(w(x) - loss(x))).alias("neg"), x.alias("id")))
-    best = F.array_min(value)
-    return df.select("match_id", best["id"].alias("pick"), (-best["neg"]).alias("value"))
+    free = F.filter("_c", lambda x: ~F.array_contains(taken, x["i"]))
+    loss = lambda x: F.element_at(F.filter(x["replies"], lambda r: ~F.array_contains(taken, r["j"])), 1)["gain"]
+    best = F.array_min(F.transform(free, lambda x: F.struct((-F.round(x["w"] - loss(x), 9)).alias("neg"), x["i"].alias("id"))))
+    return df.withColumn("_b", best).select("match_id", F.col("_b.id").alias("pick"), (-F.col("_b.neg")).alias("value"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-MODULES = ["health", "lookups", "scalars", "statistics", "domain"]
+MODULES = ["health", "lookups", "scalars", "statistics", "domain", "decisions", "models", "texts", "streams"]
 
 
 def query(sql: str | None = None):

@@ -8,7 +8,6 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Seconds: shortest, longest and first interval.  Counts: what fills a source's window, and what comes near.
 SHORTEST, LONGEST, FIRST, FULL, NEAR, SPARSE, PATIENCE = 900, 1_209_600, 3600, 22, 15, 2, 6
@@ -50,8 +49,8 @@ def fold(polls: DataFrame) -> DataFrame:
     return rows.select("tag", F.size("ps").alias("polls"), end["i"].alias("interval"), end["e"].alias("empties"), end["losses"].alias("losses"), (end["e"] <= PATIENCE).alias("active"))
 
 
-OUTPUT = T.StructType.fromDDL("tag bigint, polls int, interval bigint, empties int, losses int, active boolean")
-STATE = T.StructType.fromDDL("polls int, interval bigint, empties int, losses int")
+OUTPUT = "tag bigint, polls int, interval bigint, empties int, losses int, active boolean"
+STATE = "polls int, interval bigint, empties int, losses int"
 
 
 def _update(key, batches, state):
@@ -61,7 +60,7 @@ def _update(key, batches, state):
         interval, empties, _, loss, _ = step(int(interval), int(empties), int(n), polls == 0)
         polls, losses = polls + 1, losses + int(loss)
     state.update((int(polls), int(interval), int(empties), int(losses)))
-    yield pd.DataFrame([(key[0], polls, interval, empties, losses, empties <= PATIENCE)], columns=OUTPUT.names)
+    yield pd.DataFrame([(key[0], polls, interval, empties, losses, empties <= PATIENCE)], columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
 
 def stream(polls: DataFrame) -> DataFrame:
