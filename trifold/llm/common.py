@@ -57,8 +57,14 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def held_out(doc_id="doc_id"):
-    """Whether crc32(doc_id as text) mod 5 is 0."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+    """Whether crc32(doc_id as text) mod 5 is 0; false without a doc_id."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def semi(docs: DataFrame, keep: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Documents whose doc_id is (left_anti: isn't) in ``keep``, null being a value like any other."""
+    keep = keep.select(F.col("doc_id").alias("_keep_id"))
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep_id"]), how)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, gram_hashes, hash_words, lookup, table, utf8, window_minima, word_spans
+from .common import chunks, gram_hashes, hash_words, lookup, semi, table, utf8, window_minima, word_spans
 
 WINDOW, GRAM = 10, 4
 BLOCK_BYTES = 32 << 20
@@ -185,8 +185,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a hit, with all their columns."""
-    clean = find_hits(docs, benchmark).where(F.size("spans") > 0).select("doc_id")
-    return docs.join(clean, "doc_id", "left_anti")
+    hit = find_hits(docs, benchmark).where(F.size("spans") > 0).select("doc_id")
+    return semi(docs, hit, "left_anti")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

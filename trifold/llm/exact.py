@@ -12,7 +12,8 @@ most, take a broadcast of that bounded size instead, so no key lands in one
 task.
 
 Defined cases: a null text counts as empty, and empty texts are equal to each
-other; of texts of equal length the smallest doc_id stays; repeated rows are
+other; of texts of equal length the smallest doc_id stays, a
+null one last; repeated rows are
 members like any other, and rows of one doc_id stay or go together; an empty
 table gives no rows; other columns are left alone.
 """
@@ -24,7 +25,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table, to_groups
+from .common import durable, semi, table, to_groups
 
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -37,7 +38,7 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def best(length="length", doc_id="doc_id"):
     """The row that stays: the longest, then the smallest doc_id."""
-    return F.min(F.struct((-F.col(length)).alias("neg"), F.col(doc_id).alias("id")))
+    return F.min(F.struct((-F.col(length)).alias("neg"), F.col(doc_id).isNull().alias("unnamed"), F.col(doc_id).alias("id")))
 
 
 def grouped(rows: DataFrame) -> DataFrame:
@@ -71,7 +72,7 @@ class DigestIndex:
         new = durable(new)
         self.append(new)
         keep = new.select(F.col("keep_id").alias("doc_id"))
-        return docs.join(keep, "doc_id", "left_semi")
+        return semi(docs, keep)
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
@@ -88,7 +89,7 @@ def classes(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     index.append(grouped(rows))
     groups = index.read().select("digest", "keep_id", "group_size")
     out = to_groups(rows, groups, "digest", "group_size", rows.count())
-    out = durable(out.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "digest"))
+    out = durable(out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest"))
     if own:
         index.drop()
     return out
@@ -97,7 +98,7 @@ def classes(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
     keep = grouped(digests(docs)).select(F.col("keep_id").alias("doc_id"))
-    return docs.join(keep, "doc_id", "left_semi")
+    return semi(docs, keep)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,14 +70,12 @@ class FMIndex:
             common[1:] += same
         common[:1] = -1
         self.common = common
-        place = np.arange(n)
-        self.low = [np.maximum.accumulate(np.where(common < d, place, 0)) for d in range(depth + 1)]
-
-        def ends(d):
+        place = np.arange(n, dtype=np.int32)
+        self.low, self.high = np.empty((2, depth + 1, n), np.int32)  # the range of suffixes that share d symbols with each
+        for d in range(depth + 1):
+            self.low[d] = np.maximum.accumulate(np.where(common < d, place, 0))
             after = np.append(common[1:] < d, True)
-            return np.minimum.accumulate(np.where(after, place + 1, n)[::-1])[::-1]
-
-        self.high = [ends(d) for d in range(depth + 1)]
+            self.high[d] = np.minimum.accumulate(np.where(after, place + 1, n)[::-1])[::-1]
         self.n = n
 
     def step(self, c, low, high):
@@ -95,7 +93,7 @@ class FMIndex:
         order = np.argsort(-size, kind="stable")
         end, size = first[1:][order], size[order]
         low, high, d = np.zeros(len(size), np.int64), np.full(len(size), self.n), np.zeros(len(size), np.int64)
-        lows, highs = np.stack(self.low), np.stack(self.high)
+        lows, highs = self.low, self.high
         for t in range(1, int(size[0]) + 1 if len(size) else 0):
             k = int(np.searchsorted(-size, -t, side="right"))
             at = end[:k] - t

@@ -17,7 +17,8 @@ to the driver but counts.
 
 Defined cases: null and empty texts have no words and fingerprint zero, linked
 like any other; fewer words than a shingle are one shingle; repeated rows share
-a fingerprint and thus a class; an empty table gives no rows.
+a fingerprint and thus a class; a null doc_id names a class only if no other
+is in it; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, durable, partitions, table, to_groups, utf8
+from .common import chunks, durable, partitions, semi, table, to_groups, utf8
 
 BITS, DISTANCE, SEGMENTS, SHINGLE, SEED = 64, 2, 2, 3, 42
 WIDE = BITS // SEGMENTS
@@ -190,7 +191,7 @@ def classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The document with the smallest doc_id of each class, with all its columns."""
-    return docs.join(classes(docs, shingle).where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
+    return semi(docs, classes(docs, shingle).where("doc_id <=> component_id").select("doc_id").distinct())
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,7 +63,7 @@ def _named(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _send(parts):
     def run(batches):
-        for batch in chunks(batches, "text", 1 << 23):
+        for batch in chunks(batches, "text", 1 << 22):
             _, _, _, first, words = _words(batch.column("text"))
             _, names, grams = _named(words, first)
             at = np.unique(names)
@@ -82,23 +82,29 @@ def _send(parts):
             part = ((keys >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
             order = np.lexsort((buckets, part))
             keys, buckets, part, n = keys[order], buckets[order], part[order], n[order]
-            edge = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (buckets[1:] != buckets[:-1])))
+            run_at = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (buckets[1:] != buckets[:-1])))
+            run_n = np.diff(np.append(run_at, len(keys)))
+            edge = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
             to = np.append(edge[1:], len(keys))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part[edge]), pa.array(buckets[edge]), pa.array([keys[a:b].tobytes() for a, b in zip(edge, to, strict=True)], pa.binary()), pa.array([n[a:b].tobytes() for a, b in zip(edge, to, strict=True)], pa.binary())],
-                names=["part", "bucket", "keys", "n"],
-            )
+            low, high = np.searchsorted(run_at, edge), np.searchsorted(run_at, to)
+            cut = lambda x, a, b: pa.array([x[i:j].tobytes() for i, j in zip(a, b, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(part[edge]), cut(buckets[run_at], low, high), cut(run_n, low, high), cut(keys, edge, to), cut(n, edge, to)], names=["part", "buckets", "sizes", "keys", "n"])
 
     return run
 
 
+SENT = "part long, buckets binary, sizes binary, keys binary, n binary"
+
+
 def _shared(batches):
-    rows = [(b, k, n) for batch in batches for b, k, n in zip(batch.column("bucket").to_pylist(), batch.column("keys").to_pylist(), batch.column("n").to_pylist(), strict=True)]
-    if not rows:
+    parts = [[] for _ in range(4)]
+    for batch in batches:
+        for column, kind, out in zip(("buckets", "sizes", "keys", "n"), (np.int64, np.int64, np.uint64, np.uint8), parts, strict=True):
+            out += [np.frombuffer(x, kind) for x in batch.column(column).to_pylist()]
+    if not parts[0]:
         return
-    keys = np.concatenate([np.frombuffer(k, np.uint64) for _, k, _ in rows])
-    n = np.concatenate([np.frombuffer(x, np.uint8) for _, _, x in rows]).astype(np.int64)
-    bucket = np.repeat(np.array([b for b, _, _ in rows]), [len(x) for _, _, x in rows])
+    buckets, sizes, keys, n = (np.concatenate(x) for x in parts)
+    bucket, n = np.repeat(buckets, sizes), n.astype(np.int64)
     order = np.argsort(keys, kind="stable")
     keys, n, bucket = keys[order], n[order], bucket[order]
     start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
@@ -287,7 +293,7 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(parts, -(-int(size) // BUCKET_BYTES))
     docs = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
-    sent = docs.mapInArrow(_send(buckets), "part long, bucket long, keys binary, n binary").repartition(buckets, "part")
+    sent = docs.mapInArrow(_send(buckets), SENT).repartition(buckets, "part")
     answer = sent.mapInArrow(_shared, "bucket long, keys binary, hot binary").repartition(buckets, "bucket")
     dealt = docs.repartition(buckets, "bucket")
     pieces = dealt.groupBy("bucket").cogroup(answer.groupBy("bucket")).applyInArrow(_pieces, PIECES)
