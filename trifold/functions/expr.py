@@ -142,19 +142,28 @@ def tier(rank, tiers: list[tuple[int, str]] = TIERS) -> Column:
 # Random numbers that depend on seed and position alone
 
 
+def _let(x: Column, f) -> Column:
+    """f(x) with x evaluated once; written out, the nested uses would grow exponentially."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def _multiply(a: Column, b: Column) -> Column:
     """Product modulo 2**32 of two numbers below 2**32, without overflow of 64 bits."""
-    low, high = b.bitwiseAND(F.lit(0xFFFF)), F.shiftrightunsigned(b, 16)
-    top = (a * high).bitwiseAND(F.lit(0xFFFF)) * 65536
-    return (a * low + top).bitwiseAND(F.lit(0xFFFFFFFF))
+
+    def parts(a: Column, b: Column) -> Column:
+        low, high = b.bitwiseAND(F.lit(0xFFFF)), F.shiftrightunsigned(b, 16)
+        top = (a * high).bitwiseAND(F.lit(0xFFFF)) * 65536
+        return (a * low + top).bitwiseAND(F.lit(0xFFFFFFFF))
+
+    return _let(a, lambda x: _let(b, lambda y: parts(x, y)))
 
 
 def uniform(seed: int, k) -> Column:
     """Draw k (from 0) of the mulberry32 generator: its state is a counter, so every draw stands alone."""
     mask = F.lit(0xFFFFFFFF)
     state = _multiply((_c(k).cast("long") + 1).bitwiseAND(mask), F.lit(0x6D2B79F5).cast("long"))
-    t = (state + F.lit(seed).cast("long")).bitwiseAND(mask)
-    t = _multiply(t.bitwiseXOR(F.shiftrightunsigned(t, 15)), t.bitwiseOR(F.lit(1).cast("long")))
-    s = _multiply(t.bitwiseXOR(F.shiftrightunsigned(t, 7)), t.bitwiseOR(F.lit(61).cast("long")))
-    t = t.bitwiseXOR((t + s).bitwiseAND(mask))
-    return t.bitwiseXOR(F.shiftrightunsigned(t, 14)) / F.lit(4294967296.0)
+    first = lambda t: _multiply(t.bitwiseXOR(F.shiftrightunsigned(t, 15)), t.bitwiseOR(F.lit(1).cast("long")))
+    more = lambda t: _multiply(t.bitwiseXOR(F.shiftrightunsigned(t, 7)), t.bitwiseOR(F.lit(61).cast("long")))
+    t = _let((state + F.lit(seed).cast("long")).bitwiseAND(mask), first)
+    t = _let(t, lambda t: t.bitwiseXOR((t + more(t)).bitwiseAND(mask)))
+    return _let(t, lambda t: t.bitwiseXOR(F.shiftrightunsigned(t, 14))) / F.lit(4294967296.0)

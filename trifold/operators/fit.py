@@ -30,10 +30,10 @@ class Model:
         self.coefficients, self.families = coefficients, families
 
     def predict(self, drafts: DataFrame) -> DataFrame:
-        """``drafts`` with z and p; features that were not fitted count nothing."""
+        """``drafts`` with z and p, in place of columns of these names; features that were not fitted count nothing."""
         rows = design.rows(drafts, self.families)
         z = rows.join(self.coefficients, "feature").groupBy("match_id").agg(F.sum(F.col("value") * F.col("beta")).alias("z"))
-        out = drafts.join(z, "match_id", "left").withColumn("z", F.coalesce("z", F.lit(0.0)))
+        out = drafts.drop("z", "p").join(z, "match_id", "left").withColumn("z", F.coalesce("z", F.lit(0.0)))
         return out.withColumn("p", sigmoid("z"))
 
 

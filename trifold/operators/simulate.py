@@ -23,16 +23,13 @@ def drafts(spark: SparkSession, n_matches: int, n: int = 107, spread: float = 0.
     from trifold.operators.decide import score
 
     m = spark.range(n_matches).withColumnRenamed("id", "match_id")
-    # Six draws without repeats within a team: the second and third skip what is taken.
-    draw = lambda j, free: F.floor(uniform(seed, F.col("match_id") * 8 + j) * free).cast("int")
-
-    def team(j: int) -> Column:
-        x, y, z = draw(j, n), draw(j + 1, n - 1), draw(j + 2, n - 2)
-        y = F.when(y >= x, y + 1).otherwise(y)
-        low, high = F.least(x, y), F.greatest(x, y)
-        z = F.when(z >= low, z + 1).otherwise(z)
-        return F.array(x, y, F.when(z >= high, z + 1).otherwise(z))
-
-    m = m.withColumn("a", team(0)).withColumn("b", team(3))
+    # Draws first, as columns of their own; then six picks without repeats within a team.
+    m = m.withColumns({f"_u{j}": uniform(seed, F.col("match_id") * 8 + j) for j in range(7)})
+    for name, j in (("a", 0), ("b", 3)):
+        m = m.withColumn("_x", F.floor(F.col(f"_u{j}") * n).cast("int")).withColumn("_y", F.floor(F.col(f"_u{j + 1}") * (n - 1)).cast("int"))
+        m = m.withColumn("_y", F.when(F.col("_y") >= F.col("_x"), F.col("_y") + 1).otherwise(F.col("_y"))).withColumn("_z", F.floor(F.col(f"_u{j + 2}") * (n - 2)).cast("int"))
+        for taken in (F.least("_x", "_y"), F.greatest("_x", "_y")):  # skip what is taken, the lower first
+            m = m.withColumn("_z", F.when(F.col("_z") >= taken, F.col("_z") + 1).otherwise(F.col("_z")))
+        m = m.withColumn(name, F.array("_x", "_y", "_z")).drop("_x", "_y", "_z")
     s = score(m, truth(spark, n, spread))
-    return s.withColumn("y", (uniform(seed, F.col("match_id") * 8 + 6) < sigmoid("z")).cast("int")).withColumn("mode", F.lit("m")).withColumn("map_id", F.lit(0))
+    return s.withColumn("y", (F.col("_u6") < sigmoid("z")).cast("int")).withColumn("mode", F.lit("m")).withColumn("map_id", F.lit(0)).withColumnRenamed("z", "true_z").drop("p", *[f"_u{j}" for j in range(7)])
