@@ -4,6 +4,8 @@ weights: brawler_id, w, a dimension of the characters; it is checked and broadca
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,17 +56,21 @@ def captured(list_: DataFrame, truth: DataFrame, k: int, key: str = "map_id") ->
 def last_pick(drafts: DataFrame, weights: DataFrame) -> DataFrame:
     """What the last pick of team 0 could have been: best, median and worst weight among the free ones, and the rank of the actual one.
 
-    The candidates of a match are an array in its row, so nothing is multiplied out or shuffled."""
-    df = drafts.crossJoin(weight_map(weights))
+    The characters come to each row in order of weight, so what is left of them
+    after the taken ones needs no sort, join or shuffle."""
+    n = weights.count()
+    if n > MOST:
+        raise ValueError(f"{n} characters; at most {MOST} are broadcast")
+    order = F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("neg"), F.col("brawler_id").cast("int").alias("id"))))
+    df = drafts.crossJoin(F.broadcast(weights.agg(order.alias("_all"))))
     taken = F.concat(F.slice("a", 1, 2), F.col("b"))
-    actual = F.element_at("a", 3)
-    free = F.filter(F.map_keys("_w"), lambda x: ~F.array_contains(taken, x))
-    ranked = F.array_sort(F.transform(free, lambda x: F.struct((-F.element_at("_w", x)).alias("neg"), x.alias("id"))))
-    df = df.withColumn("_r", ranked)
+    actual = F.element_at("a", 3).cast("int")
+    df = df.withColumn("_taken", taken.cast("array<int>")).withColumn("_r", F.filter("_all", lambda x: ~F.array_contains("_taken", x["id"])))
     at = lambda i: -F.element_at("_r", i)["neg"]
     n = F.size("_r")
-    place = F.array_position(F.transform("_r", lambda x: x["id"]), actual)
-    return df.select("match_id", n.alias("n_free"), at(F.lit(1)).alias("best"), at((F.floor((n - 1) * 0.5) + 1).cast("int")).alias("median"), at(n).alias("worst"), F.element_at("_w", actual).alias("actual"), place.alias("actual_rank")).drop("_w")
+    place = F.array_position(F.col("_r.id"), actual)
+    own = F.when(place > 0, at(F.greatest(place, F.lit(1)).cast("int")))
+    return df.select("match_id", n.alias("n_free"), at(F.lit(1)).alias("best"), at((F.floor((n - 1) * 0.5) + 1).cast("int")).alias("median"), at(n).alias("worst"), own.alias("actual"), place.alias("actual_rank"))
 
 
 def best_after_reply(drafts: DataFrame, weights: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -79,15 +85,34 @@ def best_after_reply(drafts: DataFrame, weights: DataFrame, pairs: DataFrame) ->
     gain = F.col("wj") - F.coalesce("w", F.lit(0.0))
     reply = reply.select("i", "j", gain.alias("gain"))
     first = reply.withColumn("k", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("gain"), "j"))).where("k <= 5")
-    by = first.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("k", "j", "gain"))).alias("replies"))
-    by = by.join(weights.select(F.col("brawler_id").cast("int").alias("i"), "w"), "i")
     n = weights.count()
     if n > MOST:
         raise ValueError(f"{n} characters; at most {MOST} are broadcast")
-    one = F.broadcast(by.agg(F.array_sort(F.collect_list(F.struct("i", "w", "replies"))).alias("_c")))
-    df = drafts.crossJoin(one)
-    taken = F.concat(F.slice("a", 1, 2), F.slice("b", 1, 2))
-    free = F.filter("_c", lambda x: ~F.array_contains(taken, x["i"]))
-    loss = lambda x: F.element_at(F.filter(x["replies"], lambda r: ~F.array_contains(taken, r["j"])), 1)["gain"]
-    best = F.array_min(F.transform(free, lambda x: F.struct((-F.round(x["w"] - loss(x), 9)).alias("neg"), x["i"].alias("id"))))
-    return df.withColumn("_b", best).select("match_id", F.col("_b.id").alias("pick"), (-F.col("_b.neg")).alias("value"))
+    rows = first.orderBy("i", "k").collect()  # five for each character
+    own = {r["brawler_id"]: r["w"] for r in weights.select(F.col("brawler_id").cast("int").alias("brawler_id"), "w").collect()}
+    ids = np.array(sorted(own))
+    replies, gains = np.full((len(ids), 5), -1), np.full((len(ids), 5), -np.inf)
+    for r in rows:
+        at = int(np.searchsorted(ids, r["i"]))
+        replies[at, r["k"] - 1], gains[at, r["k"] - 1] = r["j"], r["gain"]
+    held = drafts.sparkSession.sparkContext.broadcast((ids, np.array([own[i] for i in ids]), replies, gains))
+    taken = F.concat(F.slice("a", 1, 2), F.slice("b", 1, 2)).cast("array<int>").alias("taken")
+    return drafts.select(F.col("match_id").cast("long").alias("match_id"), taken).mapInArrow(_replies(held), "match_id long, pick int, value double")
+
+
+def _replies(held):
+    """All candidates of a batch of matches at once; as nested lambdas over arrays this takes some fifty times as long."""
+
+    def run(batches):
+        ids, w, replies, gains = held.value
+        for batch in batches:
+            taken = batch.column("taken")
+            for at in range(0, batch.num_rows, 2048):
+                part = np.array(taken.slice(at, 2048).to_pylist(), dtype=np.int64).reshape(-1, 4)
+                gone = (replies[None, :, :, None] == part[:, None, None, :]).any(axis=3)
+                loss = np.where(gone, -np.inf, gains[None]).max(axis=2)
+                value = np.round(np.where((ids[None, :, None] == part[:, None, :]).any(axis=2), -np.inf, w[None] - loss), 9)
+                best = value.argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("match_id").slice(at, 2048), pa.array(ids[best].astype(np.int32)), pa.array(value[np.arange(len(best)), best])], names=["match_id", "pick", "value"])
+
+    return run

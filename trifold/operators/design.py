@@ -69,4 +69,6 @@ def rows(drafts: DataFrame, families: list[str]) -> DataFrame:
     entries = reduce(lambda x, y: F.concat(x, y), [FAMILIES[f]() for f in families])
     df = drafts.withColumn("_e", entries).withColumn("_k", F.array_distinct(F.transform("_e", lambda e: e["feature"])))
     each = F.transform("_k", lambda k: F.struct(k.alias("feature"), F.aggregate(F.filter("_e", lambda e: e["feature"] == k), F.lit(0.0), lambda acc, e: acc + e["value"]).alias("value")))
+    # Most matches name no feature twice, and take their entries as they are.
+    each = F.when(F.size("_k") == F.size("_e"), F.col("_e")).otherwise(each)
     return df.select("match_id", F.explode(each).alias("e")).select("match_id", "e.feature", "e.value").where("value <> 0")

@@ -39,12 +39,14 @@ def _sums(replicates, seed):
             value, cluster = batch.column("value").to_numpy(zero_copy_only=False), batch.column("cluster").to_numpy(zero_copy_only=False)
             names, code = np.unique(np.array(group, dtype=object).astype(str), return_inverse=True)
             for a in range(0, len(value), 4096):
-                w = _weights(cluster[a : a + 4096], replicates, seed)
-                both = np.concatenate([w, w * value[a : a + 4096, None]], axis=1)
-                sums = np.zeros((len(names), 2 * replicates))
-                np.add.at(sums, code[a : a + 4096], both)
-                for k in np.unique(code[a : a + 4096]):
-                    total[names[k]] = total.get(names[k], 0) + sums[k]
+                own, back = np.unique(cluster[a : a + 4096], return_inverse=True)
+                w = _weights(own, replicates, seed)[back]
+                order = np.argsort(code[a : a + 4096], kind="stable")
+                here = code[a : a + 4096][order]
+                start = np.flatnonzero(np.append(True, here[1:] != here[:-1]))
+                both = np.concatenate([w, w * value[a : a + 4096, None]], axis=1)[order]
+                for k, x in zip(here[start], np.add.reduceat(both, start, axis=0), strict=True):
+                    total[names[k]] = total.get(names[k], 0) + x
         keys = sorted(total)
         if keys:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([total[k][:replicates].tolist() for k in keys], pa.list_(pa.float64())), pa.array([total[k][replicates:].tolist() for k in keys], pa.list_(pa.float64()))], names=["grp", "n", "total"])

@@ -63,9 +63,7 @@ def ban_capture(spark, sf):
 SELECT match_id, max(n) AS n_free, max(w) AS best, max(CASE WHEN k = floor((n - 1) * 0.5) + 1 THEN w END) AS median, min(w) AS worst, max(CASE WHEN x = actual THEN w END) AS actual, coalesce(max(CASE WHEN x = actual THEN k END), 0) AS actual_rank FROM r GROUP BY match_id"""
 )
 def pick_value(spark, sf):
-    d = decide.last_pick(bind.drafts(spark, sf).where(~F.array_contains("b", F.element_at("a", 3))), weights(spark))
-    same = decide.last_pick(bind.drafts(spark, sf).where(F.array_contains("b", F.element_at("a", 3))), weights(spark)).withColumn("actual", F.lit(None).cast("double"))
-    return d.unionByName(same)
+    return decide.last_pick(bind.drafts(spark, sf), weights(spark))
 
 
 @query(
