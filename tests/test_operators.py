@@ -214,3 +214,12 @@ def test_feature_allow_list(spark):
     assert feature_safe(df, ["match_id"]).columns == ["match_id"]
     with pytest.raises(ValueError, match="duration"):
         feature_safe(df, ["match_id", "duration"])
+
+
+def test_paired_difference(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, float(x), float(x - 0.05 + e)) for k, (x, e) in enumerate(zip(rng.random(2000), rng.normal(0, 0.2, 2000), strict=True))]
+    got = resample.paired_difference(spark.createDataFrame(rows, "k long, a double, b double"), "a", "b", "k").first()
+    assert got["low"] < 0.05 < got["high"] and got["matters"] and got["high"] - got["low"] < 0.03
+    none = resample.paired_difference(spark.createDataFrame([(k, 1.0, 1.0) for k in range(50)], "k long, a double, b double"), "a", "b", "k").first()
+    assert none["delta"] == 0 and not none["matters"]

@@ -81,3 +81,17 @@ def temperature(scored: DataFrame, steps: int = 12) -> float:
     return 1 / inverse
 
 
+
+
+def sweep(coefficients: DataFrame, child: str, parent: str) -> DataFrame:
+    """Moves the mean of a child's cells into its parent, which changes no prediction when every cell is present.
+
+    Features are child:cell:id and parent:id; n_cells is the number of cells seen for an id."""
+    parts = F.split("feature", ":")
+    cells = coefficients.where(parts[0] == child).withColumn("id", parts[2])
+    mean = cells.groupBy("id").agg(F.avg("beta").alias("shift"))
+    own = coefficients.where(parts[0] == parent).withColumn("id", parts[1]).join(mean, "id", "full")
+    up = own.select(F.concat_ws(":", F.lit(parent), "id").alias("feature"), (F.coalesce("beta", F.lit(0.0)) + F.coalesce("shift", F.lit(0.0))).alias("beta"))
+    down = cells.join(mean, "id").select("feature", (F.col("beta") - F.col("shift")).alias("beta"))
+    rest = coefficients.where(~parts[0].isin(child, parent)).select("feature", "beta")
+    return up.unionByName(down).unionByName(rest)

@@ -64,3 +64,34 @@ def group_means(rows: DataFrame, group: str, value: str, cluster: str, replicate
     point = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
     out = point.join(spread.select("grp", "error", at(F.lit(0.025)).alias("low"), at(F.lit(0.975)).alias("high")), "grp", "left")
     return out.withColumn("p", 2 * (1 - norm_cdf(F.abs(F.col("mean") / F.col("error"))))).withColumnRenamed("grp", group)
+
+
+def paired_difference(df: DataFrame, first: str, second: str, key: str, replicates: int = 400, alpha: float = 0.05, seed: int = 99, floor: float = 1e-4) -> DataFrame:
+    """Mean of first - second over paired rows with a bias-corrected and accelerated interval.
+
+    The bias comes from the replicates below the mean, the acceleration from the
+    differences' skewness, which is the jackknife's closed form for a mean.
+    ``matters`` asks for an interval off zero and a mean beyond ``floor``."""
+    from trifold.operators.power import bisect
+
+    d = df.select((F.col(first) - F.col(second)).cast("double").alias("value"), F.xxhash64(key).alias("cluster"), F.lit("all").alias("grp"))
+    n, mean, skew = d.agg(F.count(F.lit(1)), F.avg("value"), F.skewness("value")).first()
+    parts = d.mapInArrow(_sums(replicates, seed), "grp string, n array<double>, total array<double>")
+    each = parts.select(F.posexplode(F.arrays_zip("n", "total")).alias("b", "x")).groupBy("b").agg(F.try_divide(F.sum("x.total"), F.sum("x.n")).alias("m"))
+    means = np.sort([r["m"] for r in each.where("m IS NOT NULL").collect()])  # one number per replicate
+    spark = df.sparkSession
+    schema = "n long, delta double, low double, high double, matters boolean"
+    if not len(means):
+        return spark.createDataFrame([], schema)
+    cdf = lambda z: 0.5 * math.erfc(-z / math.sqrt(2))
+    quantile = lambda p: bisect(lambda z: cdf(z) - p, -10, 10, 80)
+    bias = quantile(min(max(float((means < mean).mean()), 1e-4), 1 - 1e-4))
+    speed = (skew if skew is not None and math.isfinite(skew) else 0.0) / (6 * math.sqrt(max(n, 1)))
+
+    def end(p: float) -> float:
+        z = bias + quantile(p)
+        q = cdf(bias + z / (1 - speed * z))
+        return float(means[min(len(means) - 1, max(0, int(q * len(means))))])
+
+    low, high = end(alpha / 2), end(1 - alpha / 2)
+    return spark.createDataFrame([(int(n), float(mean), low, high, bool((low > 0 or high < 0) and abs(mean) >= floor))], schema)

@@ -215,3 +215,54 @@ def side_swap(spark, sf):
     d = bind.decided(spark, sf)
     s = corpus.swap_sides(d)
     return d.agg(n_rows().alias("n"), F.avg("y").alias("before")).crossJoin(s.agg(F.avg("y").alias("after")))
+
+
+@query(f"WITH {S}, x AS (SELECT mode, unnest(team) AS id, won - 0.5 AS e FROM s), c AS (SELECT mode, id, avg(e) AS beta FROM x GROUP BY ALL), mv AS (SELECT id, avg(beta) AS shift FROM c GROUP BY id) SELECT 'solo:' || id AS feature, round(shift, 6) + 0.0 AS beta FROM mv UNION ALL SELECT 'solo_mode:' || mode || ':' || id, round(beta - shift, 6) + 0.0 FROM c JOIN mv USING (id)")
+def hierarchy_sweep(spark, sf):
+    """Cell means of modes swept into the characters' own effects."""
+    from trifold.operators import fit
+
+    x = _sides(spark, sf).select("mode", F.explode("team").alias("id"), (F.col("won") - 0.5).alias("e"))
+    c = x.groupBy("mode", "id").agg(F.avg("e").alias("beta"))
+    c = c.select(F.concat_ws(":", F.lit("solo_mode"), "mode", F.col("id").cast("string")).alias("feature"), "beta")
+    return fit.sweep(c, "solo_mode", "solo").select("feature", (F.round("beta", 6) + 0.0).alias("beta"))
+
+
+@query(f"WITH p AS (SELECT {CLASS}[p_partkey % 7 + 1] AS class, p_retailprice AS v FROM part), g AS (SELECT class, avg(v) AS mean FROM p GROUP BY class) SELECT x.class AS a, y.class AS b, round(x.mean / y.mean, 6) AS ratio, x.mean > 1.01 * y.mean AS above FROM g x, g y WHERE x.class <> y.class")
+def class_ratio(spark, sf):
+    p = bind.table(spark, sf, "part").select(bind.class_of(F.col("p_partkey")).alias("class"), F.col("p_retailprice").alias("v"))
+    g = p.groupBy("class").agg(F.avg("v").alias("mean"))  # seven classes
+    other = F.broadcast(g.select(F.col("class").alias("b"), F.col("mean").alias("m2")))
+    pairs_ = g.join(other, F.col("class") != F.col("b"))
+    return pairs_.select(F.col("class").alias("a"), "b", F.round(F.col("mean") / F.col("m2"), 6).alias("ratio"), (F.col("mean") > 1.01 * F.col("m2")).alias("above"))
+
+
+@query(f"WITH {S}, g AS (SELECT map_id, unnest(other) AS ban FROM s), c AS (SELECT map_id, ban, count(*) AS n FROM g GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY n DESC, ban) AS k, sum(n) OVER (PARTITION BY map_id) AS total FROM c) SELECT map_id, round(sum(n) FILTER (WHERE k <= 3) / max(total), 6) AS top3, CAST(max(total) AS BIGINT) AS n FROM r WHERE total >= 40 GROUP BY map_id")
+def ban_rates(spark, sf):
+    c = _sides(spark, sf).select("map_id", F.explode("other").alias("ban")).groupBy("map_id", "ban").agg(n_rows().alias("n"))
+    r = c.withColumn("k", F.row_number().over(Window.partitionBy("map_id").orderBy(F.desc("n"), "ban")))  # characters by maps
+    g = r.groupBy("map_id").agg(F.sum(F.when(F.col("k") <= 3, F.col("n"))).alias("top"), F.sum("n").alias("n"))
+    return g.where("n >= 40").select("map_id", F.round(F.col("top") / F.col("n"), 6).alias("top3"), "n")
+
+
+@query(
+    """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT a.vec_id, a.v AS u, b.v AS w FROM e a JOIN e b ON b.vec_id = a.vec_id + 1)
+SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: u[i] * w[i])), 4) AS sym, round(list_sum(list_transform(range(1, 33), lambda i: u[i] * w[i + 32] - u[i + 32] * w[i])), 4) AS anti FROM p"""
+)
+def bilinear_scores(spark, sf):
+    """Factorised pair effects: a symmetric form for allies and an antisymmetric one for opponents."""
+    e = bind.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("u"))
+    p = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("u").alias("w")), "vec_id")
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda acc, z: acc + z)
+    left, right = (lambda c: F.slice(c, 1, 32)), (lambda c: F.slice(c, 33, 32))
+    anti = dot(left("u"), right("w")) - dot(right("u"), left("w"))
+    return p.select("vec_id", F.round(dot("u", "w"), 4).alias("sym"), F.round(anti, 4).alias("anti"))
+
+
+@query("SELECT doc_id AS claim_id, coalesce(lang, 'und') AS type, coalesce(quality, 1) AS confidence, CASE WHEN quality IS NULL THEN 'seed' ELSE 'checked' END AS durability FROM documents LEFT JOIN labels USING (doc_id)")
+def claim_defaults(spark, sf):
+    from trifold.operators import textkb
+
+    d = bind.table(spark, sf, "documents").select(F.col("doc_id").alias("claim_id"), F.col("lang").alias("type"))
+    q = bind.table(spark, sf, "labels").select(F.col("doc_id").alias("claim_id"), F.col("quality").alias("confidence"), F.lit("checked").alias("durability"))
+    return textkb.with_defaults(d.join(q, "claim_id", "left"), {"type": "und", "confidence": 1, "durability": "seed"})

@@ -131,3 +131,26 @@ def transfer_auc(spark, sf):
     m = train.agg(F.min("mode")).first()[0]
     s = durable(fit.fit(train.where(F.col("mode") == m), ["solo"]).predict(test.where(F.col("mode") != m)))
     return _union([_quality(s.where(F.col("mode") == r["mode"]), mode=r["mode"]) for r in s.select("mode").distinct().orderBy("mode").collect()])
+
+
+@query()
+def signal_sweep(spark, sf):
+    """Each family's gain in log loss over the base, with an interval over resampled matches."""
+    train, test = _split(spark, sf)
+    loss = metrics.log_loss("p", "y")
+    base = durable(fit.fit(train, ["solo"]).predict(test).select("match_id", loss.alias("base")))
+    out = []
+    for family in ("solo_mode", "theory", "counter"):
+        mine = fit.fit(train, ["solo", family]).predict(test).select("match_id", loss.alias("loss"))
+        delta = resample.paired_difference(base.join(mine, "match_id"), "base", "loss", "match_id")
+        out.append(delta.select(F.lit(family).alias("signal"), "n", *[F.round(c, 6).alias(c) for c in ("delta", "low", "high")], "matters"))
+    return _union(out)
+
+
+@query()
+def carry_forward(spark, sf):
+    """Strengths of the later half fitted as a change from those of the earlier half."""
+    train, test = _split(spark, sf, 0.5)
+    old = fit.fit(train, ["solo"]).coefficients.withColumnRenamed("beta", "old")
+    new = fit.fit(test, ["solo"], {"solo": 25.0}).coefficients.withColumnRenamed("beta", "new")
+    return old.join(new, "feature", "full").select("feature", F.round("old", 4).alias("old"), F.round("new", 4).alias("new"))
