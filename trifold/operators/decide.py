@@ -56,21 +56,35 @@ def captured(list_: DataFrame, truth: DataFrame, k: int, key: str = "map_id") ->
 def last_pick(drafts: DataFrame, weights: DataFrame) -> DataFrame:
     """What the last pick of team 0 could have been: best, median and worst weight among the free ones, and the rank of the actual one.
 
-    The characters come to each row in order of weight, so what is left of them
-    after the taken ones needs no sort, join or shuffle."""
+    The actual pick has neither weight nor rank (0) if it was taken before."""
     n = weights.count()
     if n > MOST:
         raise ValueError(f"{n} characters; at most {MOST} are broadcast")
-    order = F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("neg"), F.col("brawler_id").cast("int").alias("id"))))
-    df = drafts.crossJoin(F.broadcast(weights.agg(order.alias("_all"))))
-    taken = F.concat(F.slice("a", 1, 2), F.col("b"))
-    actual = F.element_at("a", 3).cast("int")
-    df = df.withColumn("_taken", taken.cast("array<int>")).withColumn("_r", F.filter("_all", lambda x: ~F.array_contains("_taken", x["id"])))
-    at = lambda i: -F.element_at("_r", i)["neg"]
-    n = F.size("_r")
-    place = F.array_position(F.col("_r.id"), actual)
-    own = F.when(place > 0, at(F.greatest(place, F.lit(1)).cast("int")))
-    return df.select("match_id", n.alias("n_free"), at(F.lit(1)).alias("best"), at((F.floor((n - 1) * 0.5) + 1).cast("int")).alias("median"), at(n).alias("worst"), own.alias("actual"), place.alias("actual_rank"))
+    rows = weights.select(F.col("brawler_id").cast("int").alias("k"), F.col("w").cast("double").alias("w")).orderBy(F.desc("w"), "k").collect()
+    held = drafts.sparkSession.sparkContext.broadcast((np.array([r["k"] for r in rows]), np.array([r["w"] for r in rows])))
+    taken = F.concat(F.slice("a", 1, 2), F.col("b"), F.slice("a", 3, 1)).cast("array<int>").alias("taken")
+    return drafts.select(F.col("match_id").cast("long").alias("match_id"), taken).mapInArrow(_candidates(held), "match_id long, n_free int, best double, median double, worst double, actual double, actual_rank long")
+
+
+def _candidates(held):
+    """The free characters of a batch of matches at once, in order of weight; the last one taken is the actual pick."""
+
+    def run(batches):
+        ids, w = held.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = np.array(batch.column("taken").slice(at, 4096).to_pylist(), dtype=np.int64).reshape(-1, 6)
+                free = ~(ids[None, :, None] == part[:, None, :5]).any(axis=2)
+                place, n = np.cumsum(free, axis=1), free.sum(axis=1)
+                row = np.arange(len(part))
+                pick = lambda k: w[((place == k[:, None]) & free).argmax(axis=1)]  # noqa: B023, E731
+                is_own = (ids[None, :] == part[:, 5:]) & free
+                own, known = is_own.argmax(axis=1), is_own.any(axis=1)
+                columns = [n.astype(np.int32), pick(np.minimum(1, n)), pick((n - 1) // 2 + 1), pick(n)]
+                actual = pa.array(w[own], mask=~known)
+                yield pa.RecordBatch.from_arrays([batch.column("match_id").slice(at, 4096), *map(pa.array, columns), actual, pa.array(np.where(known, place[row, own], 0))], names=["match_id", "n_free", "best", "median", "worst", "actual", "actual_rank"])
+
+    return run
 
 
 def best_after_reply(drafts: DataFrame, weights: DataFrame, pairs: DataFrame) -> DataFrame:
