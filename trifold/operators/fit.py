@@ -50,6 +50,8 @@ def fit(drafts: DataFrame, families: list[str], penalty: dict[str, float] | None
     """Fits y of decided drafts on the families; ``weight`` names a column of case weights."""
     penalty = PENALTY | (penalty or {})
     spark = drafts.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    drafts = drafts.repartition(parts, "match_id")
     rows = durable(design.rows(drafts, families).withColumn("group", F.split("feature", ":")[0]))
     seen = rows.groupBy("feature", "group").agg(F.count(F.lit(1)).alias("n")).orderBy("feature")
     names = [(r["feature"], r["group"]) for r in seen.limit(MOST_FEATURES + 1).collect()]  # the parameters, not the rows
@@ -61,7 +63,8 @@ def fit(drafts: DataFrame, families: list[str], penalty: dict[str, float] | None
     scales = {g: 1 / math.sqrt(v) for g, v in penalty.items()}
     vectors = rows.join(ids, "feature").groupBy("match_id").agg(F.collect_list(F.struct("id", "group", "value")).alias("e"))
     columns = ["match_id", F.col("y").cast("double").alias("label"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w")]
-    data = durable(vectors.join(drafts.select(*columns), "match_id").select("label", "w", _vector(len(names), scales)("e").alias("features")))
+    # A fixed number of parts: joined ones would be merged by size, and each iteration would have few tasks.
+    data = durable(vectors.join(drafts.select(*columns), "match_id").repartition(parts, "match_id").select("label", "w", _vector(len(names), scales)("e").alias("features")))
     total = data.agg(F.sum("w")).first()[0]
     lr = LogisticRegression(fitIntercept=False, standardization=False, elasticNetParam=0.0, regParam=1 / total, maxIter=iterations, tol=1e-9, weightCol="w")
     beta = lr.fit(data).coefficients.toArray()
