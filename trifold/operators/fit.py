@@ -64,7 +64,7 @@ def fit(drafts: DataFrame, families: list[str], penalty: dict[str, float] | None
     vectors = rows.join(ids, "feature").groupBy("match_id").agg(F.collect_list(F.struct("id", "group", "value")).alias("e"))
     columns = ["match_id", F.col("y").cast("double").alias("label"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w")]
     # A fixed number of parts: joined ones would be merged by size, and each iteration would have few tasks.
-    data = durable(vectors.join(drafts.select(*columns), "match_id").repartition(parts, "match_id").select("label", "w", _vector(len(names), scales)("e").alias("features")))
+    data = durable(vectors.join(drafts.select(*columns), "match_id").repartition(parts).select("label", "w", _vector(len(names), scales)("e").alias("features")))
     total = data.agg(F.sum("w")).first()[0]
     lr = LogisticRegression(fitIntercept=False, standardization=False, elasticNetParam=0.0, regParam=1 / total, maxIter=iterations, tol=1e-9, weightCol="w")
     beta = lr.fit(data).coefficients.toArray()
