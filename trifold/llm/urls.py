@@ -31,6 +31,8 @@ from .common import durable, table
 #: Action, host and path of each rule.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 MOST_BYTES = 16 << 20
+#: Lists up to so many keys are broadcast while the levels are built.
+FEW = 100_000
 
 
 def with_host(pages: DataFrame) -> DataFrame:
@@ -98,9 +100,10 @@ class Cascade:
 
     def __init__(self, listed: DataFrame, universe: DataFrame):
         listed = durable(listed.select("key").distinct())
-        other = durable(universe.select("key").distinct().join(F.broadcast(listed), "key", "left_anti"))
+        n = listed.count()
+        other = durable(universe.select("key").distinct().join(F.broadcast(listed) if n <= FEW else listed, "key", "left_anti"))
         self.levels: list[Level] = []
-        n, m = listed.count(), other.count()
+        m = other.count()
         rate = min(0.5, max(2**-20, n * math.sqrt(0.5) / m)) if m else 0.5
         inside, outside = listed, other
         while n:
