@@ -8,7 +8,6 @@ character, so cutting bytes is the same as cutting code points.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -18,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trifold.session import durable, shared_folder
+
 #: The white space of every contract here: blank and \t \n \v \f \r.
 SPACES = b" \t\n\x0b\x0c\r"
 
@@ -26,29 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``.
-
-    Only where that is unset and Spark runs in one local process is a temporary
-    folder used."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            if not sc.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            named = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        sc.setCheckpointDir(named)
-    return sc.getCheckpointDir()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder, so that lost executors cost no
-    recomputation of what came before."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
