@@ -52,7 +52,7 @@ def test_spearman(spark):
 TAGS = ["#AAA", "#BBB", "#CCC", "#DDD", "#EEE", "#FFF"]
 
 
-def item(tags=TAGS, result="victory", mode="brawlBall", kind="soloRanked", change=None, teams=None, players=None):
+def item(tags=TAGS, result="victory", mode="ballGame", kind="soloRanked", change=None, teams=None, players=None):
     teams = teams if teams is not None else [[{"tag": t, "brawler": {"id": k, "power": 9}} for k, t in enumerate(tags[: len(tags) // 2])], [{"tag": t, "brawler": {"id": 9 + k, "power": 9}} for k, t in enumerate(tags[len(tags) // 2 :])]]
     battle = {"mode": mode, "type": kind, "result": result, "trophyChange": change, "teams": teams}
     if players:
