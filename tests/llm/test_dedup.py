@@ -44,6 +44,17 @@ def test_index_admits_only_new(spark, frame):
     index.drop()
 
 
+def test_copies_of_an_index_go(spark, frame):
+    index = exact.DigestIndex.fresh(spark, 9_000_000)
+    assert index.buckets == exact.BUCKETS and exact.DigestIndex.fresh(spark, exact.ROWS_A_BUCKET * 100 + 1).buckets == 101
+    before = {t.name for t in spark.catalog.listTables()}
+    kept = exact.drop_copies(frame([(1, "a b"), (2, "ab"), (None, "c"), (4, "c")]))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4] and {t.name for t in spark.catalog.listTables()} == before
+    index.admit(frame([(1, "a b")])).count()
+    assert [r["doc_id"] for r in exact.drop_copies(frame([(7, "ab"), (8, "d")]), index).collect()] == [8]
+    index.drop()
+
+
 def test_hot_groups_stay_whole(spark, frame, monkeypatch):
     monkeypatch.setattr("trifold.llm.common.HOT", 3)
     rows = [(k, "same" if k % 2 else f"t{k}") for k in range(40)]

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import durable, semi, table, to_groups
 
 WHITE = r"[\x20\x09-\x0D]+"
+#: An index gets a bucket for so many rows, and BUCKETS at least.
+ROWS_A_BUCKET, BUCKETS = 4_000_000, 64
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -48,9 +50,14 @@ def grouped(rows: DataFrame) -> DataFrame:
 class DigestIndex:
     """A table named ``name``, bucketed and sorted by digest."""
 
-    def __init__(self, spark: SparkSession, name: str, buckets: int = 64):
+    def __init__(self, spark: SparkSession, name: str, buckets: int = BUCKETS):
         self.spark, self.name, self.buckets = spark, name, buckets
 
+    @classmethod
+    def fresh(cls, spark: SparkSession, n_rows: int) -> DigestIndex:
+        """An index under a new name, with buckets for ``n_rows`` documents."""
+        return cls(spark, f"digests_{uuid.uuid4().hex[:12]}", max(BUCKETS, -(-n_rows // ROWS_A_BUCKET)))
+
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)
 
@@ -84,21 +91,29 @@ def classes(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     A new index is written for the documents, and read back for their groups."""
     spark = docs.sparkSession
     own = index is None
-    index = index or DigestIndex(spark, f"digests_{uuid.uuid4().hex[:12]}")
     rows = durable(digests(docs))
+    n = rows.count()
+    index = index or DigestIndex.fresh(spark, n)
     index.append(grouped(rows))
     groups = index.read().select("digest", "keep_id", "group_size")
-    out = to_groups(rows, groups, "digest", "group_size", rows.count())
+    out = to_groups(rows, groups, "digest", "group_size", n)
     out = durable(out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest"))
     if own:
         index.drop()
     return out
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    keep = grouped(digests(docs)).select(F.col("keep_id").alias("doc_id"))
-    return semi(docs, keep)
+def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+    """The documents that stay, with all their columns.
+
+    They are admitted to ``index``, whose earlier texts count as copies too; to
+    one of their own, dropped afterwards, if none is given."""
+    if index:
+        return index.admit(docs)
+    index = DigestIndex.fresh(docs.sparkSession, docs.count())
+    out = index.admit(docs)  # rests on checkpoints, no longer on the index
+    index.drop()
+    return out
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
