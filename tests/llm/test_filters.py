@@ -156,3 +156,10 @@ def test_quality_slices_agree():
     parts = net.pooled(raw, most=quality.STEP * 3)[0]
     assert np.allclose(whole.max(axis=0), parts.max(axis=0))
     assert np.allclose(whole.max(axis=0), net.responses(raw).max(axis=0))
+
+
+def test_fits_read_one_text_of_a_repeated_document(frame):
+    rows = [(1, "the cat mails a@b.de at 10.0.0.1")] * 50 + [(2, "other"), (None, "x")]
+    once = language.fit(frame(rows[:1] + rows[50:]))
+    assert (language.fit(frame(rows)).table == once.table).all()
+    assert (pii.fit(frame(rows)).weights == pii.fit(frame(rows[:1] + rows[50:])).weights).all()

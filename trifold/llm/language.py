@@ -146,8 +146,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     # Only a part of the hash range, in which each language has its sample and more, is ranked.
     part = known.withColumn("n", F.create_map(*[F.lit(x) for kv in langs.items() for x in kv])[F.col("lang")])
     part = part.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * F.col("n") < F.lit(4 * sample * (1 << 20)))
-    picked = part.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("doc_id", "lang")
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").collect()  # sample documents of each language
+    picked = part.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("doc_id", "lang").distinct()
+    # One text for each picked document, however often its doc_id is repeated.
+    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
     names = sorted(langs)
     counts = np.full((BUCKETS, len(names)), SMOOTHING, np.float64)
     scripts = np.zeros((len(SCRIPTS), len(names)))

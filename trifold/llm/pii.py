@@ -190,7 +190,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Field | None:
     # Candidates need a sign or a long number; the sample is drawn among those documents.
     some = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"@|[0-9]{2}[0-9 ().-]{5}")).select("doc_id")
     picked = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked.distinct()), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).collect()
     all_c = [Candidates(t, base_spans(t)) for t in (r["text"] for r in sorted(rows, key=lambda r: r["doc_id"]))]
     all_c = [c for c in all_c if c.spans]
     if not all_c:

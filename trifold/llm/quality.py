@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Net | float
         return count.get(1, 0) / total if total else 0.5
     picked = [known.where(F.col("quality") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     picked = F.broadcast(picked[0].unionByName(picked[1]))  # 2 x sample ids at most
-    rows = docs.select("doc_id", "text").join(picked, "doc_id").dropDuplicates(["doc_id"]).collect()
+    rows = docs.select("doc_id", "text").join(picked, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
     rows = sorted(rows, key=lambda r: r["doc_id"])
     got = [max(1, sum(r["quality"] == y for r in rows)) for y in (0, 1)]
     weights = tuple(len(rows) * count[y] / total / got[y] for y in (0, 1))  # the labels' shares among all
