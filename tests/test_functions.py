@@ -84,3 +84,11 @@ def test_power():
     n = power.matches_needed(106, 0.1, 0.05)
     assert power.power(106, n * 0.1 / 4, 0.05) >= 0.8 > power.power(106, (n - 2) * 0.1 / 4, 0.05)
     assert power.sigma_from_auc(0.66) == pytest.approx(0.6, abs=0.08)
+
+
+def test_p_of_interval(spark):
+    from trifold.functions.expr import p_of_interval
+
+    rows = spark.createDataFrame([(1.96, 0.0, 3.92), (0.0, -1.0, 1.0), (0.3, 0.3, 0.3)], "v double, low double, high double")
+    got = [r[0] for r in rows.select(p_of_interval("v", "low", "high")).collect()]
+    assert abs(got[0] - 0.05) < 1e-4 and abs(got[1] - 1) < 1e-6 and abs(got[2] - 1) < 1e-6

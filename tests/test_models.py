@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from trifold.operators import design, fit, simulate
+from trifold.operators import decide, design, fit, lanes, power, simulate
 from trifold.session import durable
 
 
@@ -39,3 +39,31 @@ def test_permuted_labels_teach_nothing(spark):
     d = simulate.drafts(spark, 1500, n=20).withColumn("y", F.pmod(F.xxhash64("match_id"), F.lit(2)).cast("int"))
     scored = fit.fit(durable(d), ["solo"]).predict(d)
     assert scored.agg(F.avg(F.abs("z"))).first()[0] < 0.3
+
+
+def test_lanes_and_second_stage(spark):
+    d = spark.createDataFrame([(1, [0, 1, 2], [3, 4, 0], 1), (2, [5, 1, 2], [3, 4, 6], 0)], "match_id long, a array<int>, b array<int>, y int")
+    c = {(i, j): (i * 7 + j * 3) % 5 - 2.0 for i in range(8) for j in range(i + 1, 8)}
+    pairs = spark.createDataFrame([(i, j, w) for (i, j), w in c.items()], "i int, j int, beta double")
+    pairs = pairs.select(F.concat(F.lit("ctr:"), lanes.pair_index(F.col("i"), F.col("j"), 8).cast("string")).alias("feature"), "beta")
+    w = lambda i, j: 0.0 if i == j else c[i, j] if i < j else -c[j, i]
+    for r in lanes.with_lanes(d, pairs, 8).collect():
+        assert r["lane_a"] == [sum(w(i, j) for j in r["b"]) for i in r["a"]]
+        assert r["lane_b"] == [sum(w(j, i) for i in r["a"]) for j in r["b"]]
+    rng = np.random.default_rng(3)
+    x, z = rng.normal(size=4000), rng.normal(size=4000)
+    y = (rng.random(4000) < 1 / (1 + np.exp(-z - 0.7 * x))).astype(int)
+    scored = spark.createDataFrame(list(zip(x.tolist(), z.tolist(), y.tolist(), strict=True)), "x double, z double, y int")
+    (found,) = lanes.offset_fit(scored, [F.col("x")])
+    p = 1 / (1 + np.exp(-z - found * x))
+    assert abs(((p - y) * x).sum() + found) < 1e-4 and abs(found - 0.7) < 0.15
+
+
+def test_ban_stability_and_power(spark):
+    rows = [(k, 1, [0, 1, 2], [3, 4, 5]) for k in range(200)] + [(900, 2, [0, 1, 2], [3, 4, 6])]
+    d = spark.createDataFrame(rows, "match_id long, map_id int, a array<int>, b array<int>")
+    w = spark.createDataFrame([(k, float(k)) for k in range(7)], "brawler_id int, w double")
+    got = {r["map_id"]: (r["mean_share"], r["least_share"]) for r in decide.ban_stability(d, w, k=3).collect()}
+    assert got[1] == (1.0, 1.0) and got.get(2, (1.0, 1.0)) == (1.0, 1.0)
+    n = power.matches_needed(106, 0.10184, 0.05 / 6)
+    assert abs(power.power(106, n * 0.10184 / 4, 0.05 / 6) - 0.8) < 1e-3

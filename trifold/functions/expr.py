@@ -167,3 +167,11 @@ def uniform(seed: int, k) -> Column:
     t = _let((state + F.lit(seed).cast("long")).bitwiseAND(mask), first)
     t = _let(t, lambda t: t.bitwiseXOR((t + more(t)).bitwiseAND(mask)))
     return _let(t, lambda t: t.bitwiseXOR(F.shiftrightunsigned(t, 14))) / F.lit(4294967296.0)
+
+
+def p_of_interval(value, low, high) -> Column:
+    """Two-sided normal p-value of a value against 0, its standard error read off a 95 % interval; 1 for an interval without width."""
+    value, low, high = (F.col(x) if isinstance(x, str) else x for x in (value, low, high))
+    error = (high - low) / 3.92
+    z = F.when(error > 0, F.abs(value) / error).otherwise(0.0)
+    return 1 - erf(z / F.sqrt(F.lit(2.0)))

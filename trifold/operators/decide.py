@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trifold.functions.expr import sigmoid
+from trifold.operators.resample import POISSON
 
 MOST = 5000
 
@@ -93,7 +94,8 @@ def best_after_reply(drafts: DataFrame, weights: DataFrame, pairs: DataFrame) ->
     pairs: i, j, w with the counter weight of i against j (antisymmetric).  For
     team 0 with two picks and team 1 with two, the pick whose value after the
     best reply is highest, and that value.  Four picks are taken, so of each
-    candidate's replies the first five are enough; those are a small table."""
+    candidate's replies the first five are enough; those are a small table.  greedy is the pick of the highest weight, greedy_value
+    what the best reply leaves of it."""
     strength = weights.select(F.col("brawler_id").cast("int").alias("j"), F.col("w").alias("wj"))
     reply = strength.crossJoin(F.broadcast(strength.select(F.col("j").alias("i")))).where("i <> j").join(pairs, ["i", "j"], "left")
     gain = F.col("wj") - F.coalesce("w", F.lit(0.0))
@@ -111,7 +113,7 @@ def best_after_reply(drafts: DataFrame, weights: DataFrame, pairs: DataFrame) ->
         replies[at, r["k"] - 1], gains[at, r["k"] - 1] = r["j"], r["gain"]
     held = drafts.sparkSession.sparkContext.broadcast((ids, np.array([own[i] for i in ids]), replies, gains))
     taken = F.concat(F.slice("a", 1, 2), F.slice("b", 1, 2)).cast("array<int>").alias("taken")
-    return drafts.select(F.col("match_id").cast("long").alias("match_id"), taken).mapInArrow(_replies(held), "match_id long, pick int, value double")
+    return drafts.select(F.col("match_id").cast("long").alias("match_id"), taken).mapInArrow(_replies(held), "match_id long, pick int, value double, greedy int, greedy_value double")
 
 
 def _replies(held):
@@ -127,6 +129,30 @@ def _replies(held):
                 loss = np.where(gone, -np.inf, gains[None]).max(axis=2)
                 value = np.round(np.where((ids[None, :, None] == part[:, None, :]).any(axis=2), -np.inf, w[None] - loss), 9)
                 best = value.argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column("match_id").slice(at, 2048), pa.array(ids[best].astype(np.int32)), pa.array(value[np.arange(len(best)), best])], names=["match_id", "pick", "value"])
+                row = np.arange(len(best))
+                greedy = np.where(np.isneginf(value), -np.inf, w[None]).argmax(axis=1)
+                columns = [ids[best].astype(np.int32), value[row, best], ids[greedy].astype(np.int32), value[row, greedy]]
+                yield pa.RecordBatch.from_arrays([batch.column("match_id").slice(at, 2048), *map(pa.array, columns)], names=["match_id", "pick", "value", "greedy", "greedy_value"])
 
     return run
+
+
+def ban_stability(drafts: DataFrame, weights: DataFrame, k: int = 5, replicates: int = 20, key: str = "map_id", seed: int = 5) -> DataFrame:
+    """Per map, which share of the first k bans comes back when matches are resampled: mean and least over the replicates.
+
+    A match weighs a Poisson number in each replicate, drawn by hashing it; one
+    aggregate sums all replicates side by side, so no row is multiplied."""
+    draw = lambda b: F.pmod(F.xxhash64("match_id", F.lit(seed * 1000 + b)), F.lit(1 << 40)) / (1 << 40)
+    times = lambda b: sum(((draw(b) >= float(c)).cast("int") for c in POISSON[:8]), F.lit(0))
+    picks = drafts.select(key, "match_id", F.explode(F.concat("a", "b")).alias("brawler_id"))
+    sums = picks.groupBy(key, "brawler_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(times(b)).alias(f"n{b}") for b in range(replicates)])
+    each = sums.select(key, "brawler_id", F.posexplode(F.array("n", *[f"n{b}" for b in range(replicates)])).alias("b", "n")).where("n > 0")
+    # Within a list of one map the slots are the same for all, so they don't change the order.
+    value = F.col("n") * F.greatest(F.element_at("_w", F.col("brawler_id").cast("int")), F.lit(0.0))
+    order = Window.partitionBy(key, "b").orderBy(F.desc("value"), "brawler_id")
+    top = each.crossJoin(weight_map(weights)).select(key, "b", "brawler_id", value.alias("value")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
+    lists = top.groupBy(key, "b").agg(F.collect_list("brawler_id").alias("ids"))  # k of them
+    full = lists.where("b = 0").select(key, F.col("ids").alias("full"))
+    share = F.size(F.array_intersect("ids", "full")) / F.size("full")
+    both = lists.where("b > 0").join(full, key).select(key, share.alias("share"))
+    return both.groupBy(key).agg(F.avg("share").alias("mean_share"), F.min("share").alias("least_share"))

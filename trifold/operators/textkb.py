@@ -73,3 +73,10 @@ def collisions(alias_rows: DataFrame) -> DataFrame:
 def with_defaults(claims: DataFrame, defaults: dict[str, object]) -> DataFrame:
     """Null fields of a claim take the defaults."""
     return claims.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
+
+
+def documents(claims: DataFrame) -> DataFrame:
+    """Per type a JSON document with its claims by source; claims are counted before anything is nested."""
+    by = claims.groupBy("type", "source").agg(F.count(F.lit(1)).alias("n"))
+    nested = by.groupBy("type").agg(F.sum("n").alias("claims"), F.array_sort(F.collect_list(F.struct("source", "n"))).alias("sources"))
+    return nested.select("type", F.to_json(F.struct("type", "claims", "sources")).alias("document"))

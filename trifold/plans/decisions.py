@@ -95,3 +95,20 @@ def solo_residual(spark, sf):
     side = lambda team, e: F.transform(team, lambda x: F.struct(x.alias("brawler_id"), e.alias("e")))
     rows = s.select(F.explode(F.concat(side("a", F.col("y") - F.col("p")), side("b", F.col("p") - F.col("y")))).alias("r")).select("r.*")
     return rows.groupBy("brawler_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("e"), 6).alias("mean"), F.round(F.sqrt(F.avg(F.col("e") * F.col("e"))), 6).alias("rms"))
+
+
+@query(
+    f"""WITH {D}, x AS (SELECT i, j, {W.format(x='j')} - ({C.format(i='i', j='j')}) AS gain FROM range(107) p(i), range(107) q(j) WHERE i <> j), k AS (SELECT match_id, list_concat(a[1:2], b[1:2]) AS taken FROM d WHERE y IS NOT NULL),
+c AS (SELECT match_id, i, max(gain) AS loss FROM k, x WHERE NOT list_contains(taken, i) AND NOT list_contains(taken, j) GROUP BY match_id, i), v AS (SELECT match_id, i, {W.format(x='i')} AS w, round({W.format(x='i')} - loss, 9) AS value FROM c),
+g AS (SELECT match_id, max(value) AS best, min_by(value, (-w, i)) AS greedy FROM v GROUP BY match_id) SELECT count(*) AS n, round(avg(best - greedy), 6) AS uplift, count(*) FILTER (WHERE greedy < best) AS punished FROM g"""
+)
+def masked_drafts(spark, sf):
+    """Drafts without their last picks: what looking one reply ahead gains over the greedy pick, and how often that one is punished."""
+    out = decide.best_after_reply(bind.decided(spark, sf), weights(spark), counters(spark))
+    return out.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("value") - F.col("greedy_value")), 6).alias("uplift"), F.count_if(F.col("greedy_value") < F.col("value")).alias("punished"))
+
+
+@query()
+def ban_stability(spark, sf):
+    out = decide.ban_stability(bind.drafts(spark, sf), weights(spark))
+    return out.select("map_id", F.round("mean_share", 4).alias("mean_share"), F.round("least_share", 4).alias("least_share"))

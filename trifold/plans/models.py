@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trifold.functions.expr import decay
-from trifold.operators import comps, decide, fit, metrics, pairs, power, ranking, resample
+from trifold.operators import comps, decide, fit, lanes, metrics, pairs, power, ranking, resample
 from trifold.plans.registry import query
 from trifold.session import durable
 from trifold.sources import bind
@@ -154,3 +154,31 @@ def carry_forward(spark, sf):
     old = fit.fit(train, ["solo"]).coefficients.withColumnRenamed("beta", "old")
     new = fit.fit(test, ["solo"], {"solo": 25.0}).coefficients.withColumnRenamed("beta", "new")
     return old.join(new, "feature", "full").select("feature", F.round("old", 4).alias("old"), F.round("new", 4).alias("new"))
+
+
+@query()
+def lane_second_stage(spark, sf):
+    """Features of the lane scores beside a frozen model with counters: their weights and gain in log loss."""
+    train, test = _split(spark, sf)
+    m = fit.fit(train, ["solo", "counter"])
+    scored = [durable(lanes.with_lanes(m.predict(d), m.coefficients)) for d in (train, test)]
+    loss, out = metrics.log_loss("p", "y"), []
+    base = scored[1].select("match_id", loss.alias("base"))
+    for name, make in lanes.FEATURES.items():
+        w = lanes.offset_fit(scored[0], make())
+        mine = lanes.second_stage(scored[1], make(), w).select("match_id", loss.alias("loss"))
+        delta = resample.paired_difference(base.join(mine, "match_id"), "base", "loss", "match_id")
+        out.append(delta.select(F.lit(name).alias("feature"), F.array(*[F.lit(round(x, 4)) for x in w]).alias("weights"), "n", *[F.round(c, 6).alias(c) for c in ("delta", "low", "high")], "matters"))
+    return _union(out)
+
+
+#: Variance of the logits and degrees of freedom that each family is planned with.  Fixed values.
+PLANNED = [("solo", 0.10184, 106), ("synergy", 0.02997, 5671), ("counter", 0.03596, 5671), ("both", 0.06593, 11342), ("theory", 0.00449, 24)]
+
+
+@query()
+def achieved_power(spark, sf):
+    """The power of each family's joint test at the number of matches to train on."""
+    n = int(bind.decided(spark, sf).count() * 0.8)
+    rows = [(f, df, n, round(power.power(df, n * v / 4, 0.05 / 6), 4)) for f, v, df in PLANNED]
+    return spark.createDataFrame(rows, "family string, df int, n_train long, power double")

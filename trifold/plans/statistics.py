@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trifold.functions.expr import n_rows, decay, norm_cdf
+from trifold.functions.expr import n_rows, decay, norm_cdf, p_of_interval
 from trifold.operators import metrics, ranking
 from trifold.plans.registry import query
 from trifold.plans.views import D, L, M, PATCH, SC
@@ -177,3 +177,16 @@ def drift_divergence(spark, sf):
     mid = (F.col("s") + F.col("s0")) / 2
     term = 0.5 * F.col("s") * F.log(F.col("s") / mid) + 0.5 * F.col("s0") * F.log(F.col("s0") / mid)
     return q.groupBy("patch_id").agg(F.round(F.sum(term), 6).alias("divergence"))
+
+
+@query(
+    f"""WITH {D}, g AS (SELECT map_id, count(*) AS n, avg(y - 0.5) AS delta, 1.96 * stddev_samp(y) / sqrt(count(*)) AS h FROM d WHERE y IS NOT NULL GROUP BY map_id),
+z AS (SELECT *, CASE WHEN h > 0 THEN abs(delta) / (2 * h / 3.92) ELSE 0 END AS z FROM g), t AS (SELECT *, 1 / (1 + 0.3275911 * z / sqrt(2)) AS t FROM z)
+SELECT map_id, n, round(delta - h, 5) AS low, round(delta + h, 5) AS high, round(((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-z * z / 2), 5) AS p FROM t"""
+)
+def interval_pvalue(spark, sf):
+    """A p-value from an interval's ends alone, here of each map's advantage of team 0."""
+    half = 1.96 * F.stddev_samp("y") / F.sqrt(F.count(F.lit(1)))
+    g = bind.decided(spark, sf).groupBy("map_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("y") - 0.5).alias("delta"), half.alias("h"))
+    low, high = F.col("delta") - F.col("h"), F.col("delta") + F.col("h")
+    return g.select("map_id", "n", F.round(low, 5).alias("low"), F.round(high, 5).alias("high"), F.round(p_of_interval("delta", low, high), 5).alias("p"))

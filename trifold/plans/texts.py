@@ -100,3 +100,12 @@ def quality_gate(spark, sf):
     e = bind.table(spark, sf, "events").agg(F.count_distinct("user_id").alias("u"), F.count_distinct("event_type").alias("t"))
     row = lambda name, c: F.struct(F.lit(name).alias("field"), (F.col(c) > 5).alias("usable"), F.col(c).alias("n"))
     return e.select(F.explode(F.array(row("distinct user_id", "u"), row("distinct event_type", "t"))).alias("r")).select("r.*")
+
+
+@query(
+    """WITH c AS (SELECT coalesce(lang, 'und') AS type, coalesce(source, '') AS source, count(*) AS n FROM documents GROUP BY ALL)
+SELECT type, '{"type":"' || type || '","claims":' || CAST(sum(n) AS BIGINT) || ',"sources":[' || string_agg('{"source":"' || source || '","n":' || n || '}', ',' ORDER BY source) || ']}' AS document FROM c GROUP BY type"""
+)
+def claims_document(spark, sf):
+    """The nested document of each type of claim, as JSON."""
+    return textkb.documents(bind.table(spark, sf, "documents").select(F.coalesce("lang", F.lit("und")).alias("type"), F.coalesce("source", F.lit("")).alias("source")))
