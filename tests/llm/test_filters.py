@@ -114,6 +114,20 @@ def test_pii_adds_loose_repeats(frame):
     assert pii.find(frame([]), None).count() == 0 and pii.fit(frame([(1, "none"), (2, None)])) is None
 
 
+@pytest.mark.parametrize("n", [3, 10, 50, 500])
+def test_pii_adds_every_loose_repeat(frame, n):
+    full = [(k, f"call +1 (502) 555-0{k:03d} now") for k in range(40)]
+    field = pii.fit(frame(full))
+    forms = ["15025550777", "1 502 555 0777", "1.502.555.0777"]
+    loose = [f"then {forms[k % 3]} again" for k in range(n)]
+    for parts in ([*loose[: n // 2], "+1 (502) 555-0777 is mine", *loose[n // 2 :]], ["+1 (502) 555-0777 is mine", *loose]):
+        text = ", ".join([*parts, "order 99887766554", "and 99887766554"])
+        got = [text[a:b] for _, a, b in sorted(field.added(text, pii.base_spans(text)), key=lambda s: s[1])]
+        assert got == [forms[k % 3] for k in range(n)]
+    text = ", ".join(loose)  # without a full form there is no evidence
+    assert field.added(text, pii.base_spans(text)) == []
+
+
 def test_language(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = language.fit(docs.where("doc_id % 2 = 0"))

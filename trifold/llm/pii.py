@@ -6,11 +6,13 @@ each candidate has a potential from its shape, neighbours share a chain
 potential, and candidates with the same key (the lower-case address, or the
 digits of a number) share a skip potential, however far apart.  Loopy message
 passing makes labels consistent over the document, so a number that is written
-once in full and once in a looser form is found both times.  Base spans are
+once in full and then in looser forms is found every time.  Base spans are
 evidence and stay; the field only adds spans.
 
-Candidates with one key are linked in order of occurrence, one link each, so
-links stay linear.  Potentials are learned from the base spans of at most
+A repeated key has a variable of its own, its hub, which every occurrence has a
+skip link to, so links stay linear and none is far from another.  A base span
+shows what its key is, so the hub holds the labels of its base spans and no
+number of loose occurrences outvotes them.  Potentials are learned from the base spans of at most
 SAMPLE documents, those with the smallest hashes of their doc_id among those
 that have a candidate.
 
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import re
 import string
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,9 @@ from pyspark.sql import functions as F
 from .common import chunks, table
 
 KINDS = ["email", "ip", "card", "phone"]
-SAMPLE, ROUNDS, SURE = 1000, 30, 0.8
+SAMPLE, SURE = 1000, 0.8
+#: Messages are passed until none changes; damping grows after each ROUNDS rounds, so that they settle in any case.
+ROUNDS = 100
 
 _LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -137,6 +142,19 @@ class Candidates:
             last[k] = i
         return np.array(out, np.int64).reshape(-1, 2)
 
+    def hubs(self) -> tuple[np.ndarray, int]:
+        """Pairs of a candidate with a repeated key and the number of the key's hub, and how many hubs there are."""
+        at, first, out = {}, {}, []
+        for i, k in enumerate(self.keys):
+            if k not in first:
+                first[k] = i
+                continue
+            if k not in at:
+                at[k] = len(at)
+                out.append((first[k], at[k]))
+            out.append((i, at[k]))
+        return np.array(out, np.int64).reshape(-1, 2), len(at)
+
 
 class Field:
     """weights: of labels by features; chain and skip: potentials of two labels."""
@@ -146,12 +164,17 @@ class Field:
 
     def beliefs(self, c: Candidates) -> np.ndarray:
         """Each candidate's distribution over labels, by loopy message passing with damping."""
-        n, kinds = len(c.spans), len(self.weights)
+        n, kinds, base = len(c.spans), len(self.weights), np.array(c.base)
         node = c.features @ self.weights.T
-        held = np.array(c.base) > 0
+        held = base > 0
         node[held] = -30
-        node[held, np.array(c.base)[held]] = 0
-        skip = c.links()
+        node[held, base[held]] = 0
+        skip, n_hubs = c.hubs()
+        shown = np.zeros((n_hubs, kinds), bool)
+        of = skip[held[skip[:, 0]]]
+        shown[of[:, 1], base[of[:, 0]]] = True
+        node = np.concatenate([node, np.where(shown.any(axis=1, keepdims=True) & ~shown, -np.inf, 0.0)])
+        skip = skip + [0, n]  # hubs come after the candidates
         near = np.stack([np.arange(n - 1), np.arange(1, n)], axis=1)
         pairs = np.concatenate([near, skip])
         if len(pairs):
@@ -161,16 +184,17 @@ class Field:
             both = np.concatenate([potential, potential.transpose(0, 2, 1)])
             turn = np.concatenate([np.arange(len(pairs)) + len(pairs), np.arange(len(pairs))])
             message = np.zeros((len(source), kinds))
-            for _ in range(ROUNDS):
+            for k in count():
                 total = node.copy()
                 np.add.at(total, target, message)
                 out = np.logaddexp.reduce((total[source] - message[turn])[:, :, None] + both, axis=1)
                 out -= np.logaddexp.reduce(out, axis=1, keepdims=True)
-                step = np.abs(out - message).max()
-                message = (message + out) / 2
-                if step < 1e-4:
+                step = (out - message) / 2 ** (1 + k // ROUNDS)
+                message = message + step
+                if np.abs(step).max() < 5e-5:
                     break
             np.add.at(node, target, message)
+        node = node[:n]
         return np.exp(node - np.logaddexp.reduce(node, axis=1, keepdims=True))
 
     def added(self, text: str, base: dict[str, list[Span]]) -> list[tuple[int, int, int]]:
