@@ -35,6 +35,19 @@ def test_decontaminate_in_blocks(spark, frame, corpus, items):
     assert one == many
 
 
+def test_decontaminate_in_blocks_keeps_rows(spark, frame, corpus, items, monkeypatch):
+    """Repeated and null doc_ids give a row each, and copies in the benchmark don't fill a block."""
+    bench = spark.createDataFrame([*items, *[(50, "w1 w2 w3 " * 10)] * 30], "item_id long, text string")
+    docs = [*corpus, corpus[0], corpus[0], (None, corpus[0][1]), (None, corpus[9][1]), (None, None), (1, "one two three"), (None, "none of it")]
+    rows = lambda **by: sorted(tuple(map(str, r)) for r in decontaminate.find_hits(frame(docs), bench, **by).withColumn("n", decontaminate.n_covered("spans")).select("doc_id", "n_words", "n", F.array_sort("items")).collect())
+    one = rows()
+    most = []
+    make = decontaminate.Items.__init__
+    monkeypatch.setattr(decontaminate.Items, "__init__", lambda self, names, texts: most.append(len(names)) or make(self, names, texts))
+    assert len(one) == len(docs) and rows(block_bytes=200) == one
+    assert len(most) > 1 and max(most) <= len(items)
+
+
 def test_decontaminate_empty(spark, frame, corpus):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(frame(corpus), none).where("contaminated").count() == 0

@@ -9,10 +9,13 @@ item shorter than a window is one window of its own, looked up by its hash.
 
 The benchmark reaches the executors in blocks of at most BLOCK_BYTES of text,
 each against all documents, so nothing that grows without bound is broadcast.
+Equal rows of the benchmark go once.  With several blocks the documents are
+stored with a number for each row, by which the blocks' results are merged.
 
 Defined cases: a null text has no words; an item or document without words has
 no window; a null item_id counts as the empty name; rows that repeat an item_id
-are one item; equal items under two names count twice; an empty benchmark hits
+are one item; documents that repeat a doc_id, null or not, are rows of their
+own and give one each; equal items under two names count twice; an empty benchmark hits
 nothing; an empty corpus gives no rows.  Documents keep their other columns out
 of the way, whatever those are called.
 """
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, gram_hashes, hash_words, lookup, semi, table, utf8, window_minima, word_spans
+from .common import chunks, durable, gram_hashes, hash_words, lookup, semi, stored, table, utf8, window_minima, word_spans
 
 WINDOW, GRAM = 10, 4
 BLOCK_BYTES = 32 << 20
@@ -33,8 +36,8 @@ IS_WORD = ~lookup(bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-HITS = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
-_HITS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
+HITS = "doc_id long, row long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+_HITS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -147,18 +150,20 @@ def _hits(block):
                 of = np.searchsorted(first, start, "right") - 1
                 for d, i in np.unique(np.stack([of, item]), axis=1).T.tolist():
                     names[d].add(items.names[i])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(first), pa.int64()), pa.array(spans, _HITS.field("spans").type), pa.array([sorted(x) for x in names], _HITS.field("items").type)], schema=_HITS)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("row"), pa.array(np.diff(first), pa.int64()), pa.array(spans, _HITS.field("spans").type), pa.array([sorted(x) for x in names], _HITS.field("items").type)], schema=_HITS)
 
     return run
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document and block of the benchmark: doc_id, n_words, spans (of words, end exclusive) and items."""
+    """Per row of ``docs``: doc_id, n_words, spans (of words, end exclusive; of several blocks, they may overlap) and items."""
     spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.coalesce("text", F.lit("")).alias("text"))
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("name")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(size) * 2 // block_bytes) if size > block_bytes else 1)
-    docs, out = docs.select("doc_id", "text"), None
+    docs, out = docs.select("doc_id", "text", F.lit(0).cast("long").alias("row")), None
+    if blocks > 1:
+        docs, items = stored(docs.withColumn("row", F.monotonically_increasing_id())), durable(items)
     for b in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == b)
         rows = own.collect()  # of a block, whose size is bounded
@@ -166,8 +171,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BY
         part = docs.mapInArrow(_hits(block), HITS)
         out = part if out is None else out.unionAll(part)
     if blocks == 1:
-        return out
-    return out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        return out.drop("row")
+    return out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")).drop("row")
 
 
 def n_covered(spans):
