@@ -55,6 +55,27 @@ def test_copies_of_an_index_go(spark, frame):
     index.drop()
 
 
+def test_two_batches_of_classes(spark, frame):
+    index = exact.DigestIndex.fresh(spark, 1)
+    first = exact.classes(frame([(1, "a b"), (2, "ab"), (3, "c")]), index)
+    assert by_id(first, "keep_id", "group_size", "kept") == {1: (1, 2, True), 2: (1, 2, False), 3: (3, 1, True)}
+    second = exact.classes(frame([(1, "a b"), (4, "ab"), (5, "d"), (6, "d ")]), index)
+    rows = sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in second.collect())
+    assert rows == [(1, 1, 2, False), (4, 1, 2, False), (5, 6, 2, False), (6, 6, 2, True)]
+    assert index.read().count() == index.read().select("digest").distinct().count() == 3
+    assert [r["doc_id"] for r in exact.drop_copies(frame([(7, "d"), (8, "e")]), index).collect()] == [8]
+    index.drop()
+
+
+def test_one_admission_anti_joins(spark, frame, monkeypatch):
+    calls = []
+    admit = exact.DigestIndex.admit_groups
+    monkeypatch.setattr(exact.DigestIndex, "admit_groups", lambda self, groups: calls.append(1) or admit(self, groups))
+    exact.classes(frame([(1, "a")])).count()
+    exact.drop_copies(frame([(1, "a")])).count()
+    assert len(calls) == 2
+
+
 def test_hot_groups_stay_whole(spark, frame, monkeypatch):
     monkeypatch.setattr("trifold.llm.common.HOT", 3)
     rows = [(k, "same" if k % 2 else f"t{k}") for k in range(40)]

@@ -3,7 +3,9 @@
 The index is a table of one row per distinct normalised text, bucketed and
 sorted by digest: digest, keep_id, keep_length, group_size.  New documents are
 deduplicated against it by a sort-merge anti-join on the digest and their new
-digests are appended.  DataFrame and SQL functions only.
+digests are appended, so a digest is in it once, whatever the number of batches.
+keep_id is the best document of the batch that brought the digest, group_size
+the number of its rows in that batch.  DataFrame and SQL functions only.
 
 Groups are counted with a partial aggregate before any shuffle, so a group of
 any size sends one row per task.  Rows return to their group by an equality
@@ -69,17 +71,19 @@ class DigestIndex:
         rows = groups.select("digest", "keep_id", "keep_length", "group_size").repartition(self.buckets, "digest")
         rows.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
 
+    def admit_groups(self, groups: DataFrame) -> DataFrame:
+        """Appends the groups whose digests are new, and returns those."""
+        if not self.exists():
+            self.append(groups.where(F.lit(False)))
+        new = durable(groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti"))
+        self.append(new)
+        return new
+
     def admit(self, docs: DataFrame) -> DataFrame:
         """Appends the digests that are new and returns the documents that stay:
         the best of each group whose digest the index did not hold before."""
-        rows = durable(digests(docs))
-        new = grouped(rows)
-        if self.exists():
-            new = new.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
-        new = durable(new)
-        self.append(new)
-        keep = new.select(F.col("keep_id").alias("doc_id"))
-        return semi(docs, keep)
+        new = self.admit_groups(grouped(durable(digests(docs))))
+        return semi(docs, new.select(F.col("keep_id").alias("doc_id")))
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
@@ -88,16 +92,21 @@ class DigestIndex:
 def classes(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, digest.
 
-    A new index is written for the documents, and read back for their groups."""
+    The documents are admitted to ``index``, or to one of their own, dropped
+    afterwards.  keep_id is read back from it, so for a digest of an earlier
+    batch it is that batch's document and no row of this one is kept;
+    group_size counts the rows of these documents."""
     spark = docs.sparkSession
     own = index is None
     rows = durable(digests(docs))
     n = rows.count()
     index = index or DigestIndex.fresh(spark, n)
-    index.append(grouped(rows))
-    groups = index.read().select("digest", "keep_id", "group_size")
+    batch = durable(grouped(rows).select("digest", "keep_id", "keep_length", "group_size"))
+    new = index.admit_groups(batch).select("digest", F.lit(True).alias("new"))
+    groups = batch.select("digest", "group_size").join(index.read().select("digest", "keep_id").hint("merge"), "digest").join(new.hint("merge"), "digest", "left")
     out = to_groups(rows, groups, "digest", "group_size", n)
-    out = durable(out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest"))
+    kept = F.col("new").isNotNull() & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    out = durable(out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "digest"))
     if own:
         index.drop()
     return out
