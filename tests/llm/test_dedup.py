@@ -160,6 +160,20 @@ def test_substrings_nulls_repeats_and_empty(frame):
     assert substrings.remove_repeated(frame([])).count() == 0
 
 
+def test_substrings_texts_under_one_id(frame, monkeypatch):
+    """Intervals are those of a text, not of all texts under its doc_id."""
+    shared, q = (" ".join(f"{c}{k}" for k in range(20)) for c in "sq")
+    tail = " ".join(f"t{k}" for k in range(30))
+    for d in (None, 7):
+        rows = [(1, shared), (d, f"{tail} {shared}"), (d, q), (d, f"{shared} {tail}"), (d, "short"), (d, shared), (d, shared), (d, None), (8, q)]
+        for parts in (1, 4):  # with one part all texts share a bucket
+            df = frame(rows)
+            monkeypatch.setattr(substrings, "partitions", lambda spark, n=parts: n)
+            got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substrings.remove_repeated(df).collect()), key=repr)
+            want = [(1, 20, 0, shared), (d, 50, 20, tail), (d, 20, 20 if d is None else 0, "" if d is None else q), (d, 50, 20, tail), (d, 1, 0, "short"), (d, 20, 20, ""), (d, 20, 20, ""), (d, 0, 0, ""), (8, 20, 0 if d is None else 20, q if d is None else "")]
+            assert got == sorted(want, key=repr)
+
+
 def test_fm_index_matching_statistics():
     rng = np.random.default_rng(8)
     text = np.concatenate([np.append(rng.integers(1, 5, 40), 0) for _ in range(6)])

@@ -16,7 +16,11 @@ window which also starts in a document with a smaller doc_id are removed.
    smallest document of each suffix range, and streams the pieces through it:
    backward search over the wavelet matrix gives matching statistics, and
    windows with a full match in a smaller document are reported as intervals.
-4. The intervals return to their documents, which drop the words under them.
+4. The intervals return to their texts, which drop the words under them.
+
+Documents are compared by doc_id; places name a text.  Equal rows share a
+bucket, and where a bucket has different texts under one doc_id those are
+numbered in order.  A place is that number and the word's position in one long.
 
 A shard takes runs up to about SYMBOLS words at a time, a bucket about
 BUCKET_BYTES of text, so memory is bounded whatever the corpus.  Texts are
@@ -24,8 +28,8 @@ shuffled once; the exchange serves steps 2 and 4.
 
 Defined cases: a null text has no words, nor has an empty one; a document of
 fewer words than a window loses none; a null doc_id counts as larger than all
-others; rows that repeat a doc_id are the same document, so they don't remove
-each other; an empty table gives no rows; other columns are not read.
+others; rows that repeat a doc_id, null or not, don't remove anything from each
+other, whatever their texts are, and each loses its own windows only; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -41,6 +45,8 @@ from .fmindex import FMIndex
 WINDOW, GRAM = 13, 3
 HOT, SYMBOLS, BUCKET_BYTES = 2000, 300_000, 16 << 20
 LAST_ID = (1 << 63) - 1
+#: A place's lower bits are the word's position.
+PLACE = 32
 
 
 def _words(texts: pa.Array):
@@ -124,8 +130,8 @@ def _shared(batches):
 
 # Step 2: the pieces of a bucket
 
-PIECES = "key long, bucket long, text string, own long, ids array<long>, places array<int>"
-_PIECES = pa.schema([("key", pa.int64()), ("bucket", pa.int64()), ("text", pa.string()), ("own", pa.int64()), ("ids", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))])
+PIECES = "key long, bucket long, text string, own long, ids array<long>, places array<long>"
+_PIECES = pa.schema([("key", pa.int64()), ("bucket", pa.int64()), ("text", pa.string()), ("own", pa.int64()), ("ids", pa.list_(pa.int64())), ("places", pa.list_(pa.int64()))])
 
 
 def _slices(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -136,6 +142,22 @@ def _slices(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(start), pa.py_buffer(offs.astype(np.int32)), pa.py_buffer(data))
 
 
+def _numbered(docs: pa.Table) -> pa.Table:
+    """A bucket's documents with ``number``: which of the distinct texts under its doc_id a row has, in order."""
+    ids = docs.column("doc_id").to_numpy()
+    _, which, n = np.unique(ids, return_inverse=True, return_counts=True)
+    number = np.zeros(len(ids), np.int64)
+    again = np.flatnonzero(n[which] > 1)
+    if len(again):
+        rows = list(zip(ids[again].tolist(), docs.column("text").take(pa.array(again)).to_pylist(), strict=True))
+        at: dict[int, int] = {}
+        of = {}
+        for doc_id, text in sorted(set(rows)):
+            of[doc_id, text] = at[doc_id] = at.get(doc_id, -1) + 1
+        number[again] = [of[row] for row in rows]
+    return docs.append_column("number", pa.array(number))
+
+
 def _pieces(docs: pa.Table, answer: pa.Table) -> pa.Table:
     none = _PIECES.empty_table()
     if not docs.num_rows or not answer.num_rows:
@@ -144,7 +166,7 @@ def _pieces(docs: pa.Table, answer: pa.Table) -> pa.Table:
     hot = np.concatenate([np.frombuffer(x, bool) for x in answer.column("hot").to_pylist()])
     hot, shared = np.unique(shared[hot]), np.unique(shared)
     out = [none]
-    for batch in chunks(docs.select(["doc_id", "text", "bucket"]).to_batches(), "text", BUCKET_BYTES):
+    for batch in chunks(_numbered(docs).select(["doc_id", "text", "bucket", "number"]).to_batches(), "text", BUCKET_BYTES):
         raw, starts, ends, first, words = _words(batch.column("text"))
         window, names, grams = _named(words, first)
         keep = np.isin(grams[names], shared) if len(names) else np.zeros(0, bool)
@@ -162,6 +184,7 @@ def _pieces(docs: pa.Table, answer: pa.Table) -> pa.Table:
         content = mix(full[a_word] + mix(full[window[b]] + (b - a).astype(np.uint64)))
         doc = np.searchsorted(first, a_word, "right") - 1
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[doc]
+        place = (batch.column("number").to_numpy()[doc] << PLACE) + a_word - first[doc]
         order = np.lexsort((ids, content))
         start = np.flatnonzero(np.append(True, np.diff(content[order]) != 0))
         rep = order[start]
@@ -169,7 +192,7 @@ def _pieces(docs: pa.Table, answer: pa.Table) -> pa.Table:
         bucket = np.full(len(rep), batch.column("bucket")[0].as_py())
         out.append(
             pa.Table.from_arrays(
-                [pa.array(key[rep].view(np.int64)), pa.array(bucket), _slices(raw, starts[a_word[rep]], ends[b_word[rep]]), pa.array(ids[rep]), pa.ListArray.from_arrays(offs, pa.array(ids[order])), pa.ListArray.from_arrays(offs, pa.array((a_word - first[doc])[order].astype(np.int32)))],
+                [pa.array(key[rep].view(np.int64)), pa.array(bucket), _slices(raw, starts[a_word[rep]], ends[b_word[rep]]), pa.array(ids[rep]), pa.ListArray.from_arrays(offs, pa.array(ids[order])), pa.ListArray.from_arrays(offs, pa.array(place[order]))],
                 schema=_PIECES,
             )
         )
@@ -178,7 +201,7 @@ def _pieces(docs: pa.Table, answer: pa.Table) -> pa.Table:
 
 # Step 3: the shards
 
-FOUND = "bucket long, ids array<long>, starts array<int>, ends array<int>"
+FOUND = "bucket long, ids array<long>, starts array<long>, ends array<int>"
 
 
 def repeated(texts: pa.Array, own: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,7 +250,7 @@ def _shard(rows: pa.Table) -> pa.RecordBatch:
     to, ids, start, end = bucket[piece][order], ids[order], start[order], end[order]
     edge = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, np.int64)
     offs = pa.array(np.append(edge, len(to)).astype(np.int32))
-    lists = [pa.ListArray.from_arrays(offs, pa.array(x)) for x in (ids, start.astype(np.int32), end.astype(np.int32))]
+    lists = [pa.ListArray.from_arrays(offs, pa.array(x)) for x in (ids, start, (end & ((1 << PLACE) - 1)).astype(np.int32))]
     return pa.RecordBatch.from_arrays([pa.array(to[edge]), *lists], names=["bucket", "ids", "starts", "ends"])
 
 
@@ -260,13 +283,14 @@ _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed"
 
 def _keep(docs: pa.Table, found: pa.Table) -> pa.Table:
     ids, starts, ends = (found.column(c).combine_chunks().flatten().to_numpy() if found.num_rows else np.zeros(0, np.int64) for c in ("ids", "starts", "ends"))
-    order = np.argsort(ids, kind="stable")
+    order = np.lexsort((starts, ids))
     ids, starts, ends = ids[order], starts[order], ends[order]
     out = [_KEPT.empty_table()]
-    for batch in chunks(docs.select(["doc_id", "text"]).to_batches(), "text"):
+    for batch in chunks(_numbered(docs).select(["doc_id", "text", "number"]).to_batches(), "text"):
         raw, offs = utf8(batch.column("text"))
         raw, offs = raw.tobytes(), offs.tolist()
         doc = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        number = batch.column("number").to_pylist()
         low, high = np.searchsorted(ids, doc, "left"), np.searchsorted(ids, doc, "right")
         n, gone, kept = [], [], []
         for k in range(len(doc)):
@@ -274,9 +298,11 @@ def _keep(docs: pa.Table, found: pa.Table) -> pa.Table:
             n.append(len(words))
             gone.append(0)
             if high[k] > low[k]:
+                # Of the doc_id's intervals, those of this text.
+                a, b = low[k] + np.searchsorted(starts[low[k] : high[k]], [number[k] << PLACE, (number[k] + 1) << PLACE])
                 cover = np.zeros(len(words) + 1, np.int64)
-                np.add.at(cover, starts[low[k] : high[k]], 1)
-                np.add.at(cover, ends[low[k] : high[k]], -1)
+                np.add.at(cover, starts[a:b] & ((1 << PLACE) - 1), 1)
+                np.add.at(cover, ends[a:b], -1)
                 left = np.flatnonzero(np.cumsum(cover[:-1]) == 0)
                 gone[-1] = len(words) - len(left)
                 words = [words[i] for i in left.tolist()]
@@ -292,7 +318,7 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     parts = partitions(spark)
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(parts, -(-int(size) // BUCKET_BYTES))
-    docs = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    docs = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)))
     sent = docs.mapInArrow(_send(buckets), SENT).repartition(buckets, "part")
     answer = sent.mapInArrow(_shared, "bucket long, keys binary, hot binary").repartition(buckets, "bucket")
     dealt = docs.repartition(buckets, "bucket")
