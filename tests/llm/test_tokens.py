@@ -42,6 +42,35 @@ def test_documents_have_the_same_ids(spark, sf, reference):
     assert tokens.encode("<|endoftext|> a", PATH).tolist() == reference("<|endoftext|> a")
 
 
+ADDED = st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", "a", "b c", " ", "  ", "\n", ".", "é"]), max_size=12).map("".join)
+
+
+@settings(max_examples=200, deadline=None)
+@given(ADDED, st.integers(0, 60), st.integers(0, 12), ADDED)
+def test_added_tokens_have_their_ids(text, start, size, new):
+    plain = Tokenizer.from_file(PATH)  # at its defaults
+    want = lambda t: plain.encode(t, add_special_tokens=False).ids
+    assert tokens.ids(text, PATH).tolist() == tokens.ids(text, PATH, step=3).tolist() == want(text)
+    monkey, counts.LEAF = counts.LEAF, 4
+    try:
+        tree = counts.Tree(text, PATH)
+        assert tree.total() == len(want(text))
+        start = min(start, len(text))
+        end = min(start + size, len(text))
+        tree.edit(start, end, new)
+        assert tree.total() == len(want(text[:start] + new + text[end:]))
+    finally:
+        counts.LEAF = monkey
+
+
+def test_packing_of_added_tokens(frame):
+    plain = Tokenizer.from_file(PATH)
+    docs = [(1, "a <|endoftext|> b"), (2, "<|endoftext|><|endoftext|>"), (3, "<|endoftext"), (4, "one. " * 900 + "<|endoftext|>")]
+    check_pieces(packing.pack(frame(docs)).collect(), docs, lambda t: plain.encode(t, add_special_tokens=False).ids)
+    got = {r["doc_id"]: r["n_tokens"] for r in counts.recount(counts.trees(frame(docs)), counts.cleaning).collect()}
+    assert got == {d: len(plain.encode(t, add_special_tokens=False).ids) for d, t in docs}
+
+
 @settings(max_examples=150, deadline=None)
 @given(ALPHABET, st.lists(st.tuples(st.integers(0, 90), st.integers(0, 12), ALPHABET), max_size=6))
 def test_edits_one_after_another(text, edits):

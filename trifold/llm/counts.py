@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import chunks, table
-from .tokens import cuts, default_path, encoding
+from .tokens import count, cuts, default_path
 
 LEAF, CONTEXT = 512, 2
 Edit = tuple[int, int, str]
@@ -35,7 +35,7 @@ class Tree:
     """Leaves of a text with their sums of characters and tokens."""
 
     def __init__(self, text: str, path: str, tokens: list[int] | None = None, chars: list[int] | None = None):
-        self.count = lambda piece: len(encoding(path).encode_ordinary(piece))
+        self.count = lambda piece: count(piece, path)
         if chars is None:
             at = cuts(text, LEAF)
             chars = [b - a for a, b in zip(at, at[1:])]  # noqa: B905

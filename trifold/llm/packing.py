@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import chunks, table
-from .tokens import default_path, encode
+from .tokens import default_path, ids
 
 CAPACITY, LEAST, END = 2048, 64, 1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -95,7 +95,7 @@ def _pack(path):
         end = np.array([END], np.uint32)
         for batch in chunks(batches, "text"):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                packer.add(doc_id, np.concatenate([encode(text.as_py(), path), end]))
+                packer.add(doc_id, np.concatenate([ids(text.as_py(), path), end]))
             yield packer.take()
         packer.finish()
         yield packer.take()

@@ -1,4 +1,10 @@
-"""A public byte-level BPE vocabulary, and texts cut where its tokens can't reach across."""
+"""A public byte-level BPE vocabulary, and texts cut where its tokens can't reach across.
+
+``ids`` are those of the tokenizers library at its defaults without the
+tokens that it puts around a text: a text is split at the file's added tokens,
+which have ids of their own wherever they stand.  ``encode`` takes their
+characters like any others.
+"""
 
 from __future__ import annotations
 
@@ -59,3 +65,29 @@ def encode(text: str, path: str, step: int = 1 << 18) -> np.ndarray:
         return np.array(enc.encode_ordinary(text), np.uint32)
     at = cuts(text, step)
     return np.concatenate([np.array(enc.encode_ordinary(text[a:b]), np.uint32) for a, b in zip(at, at[1:])])  # noqa: B905
+
+
+@lru_cache(maxsize=4)
+def added(path: str) -> tuple[re.Pattern | None, dict[str, int]]:
+    """The file's added tokens: what finds the leftmost, longest one, and their ids."""
+    with open(path, encoding="utf-8") as f:
+        own = {x["content"]: x["id"] for x in json.load(f).get("added_tokens", [])}
+    return re.compile("|".join(map(re.escape, sorted(own, key=len, reverse=True)))) if own else None, own
+
+
+def ids(text: str, path: str, step: int = 1 << 18) -> np.ndarray:
+    """Token ids, those of added tokens among them; no text is cut inside one."""
+    find, own = added(path)
+    out, at = [], 0
+    for m in find.finditer(text) if find else ():
+        out += [encode(text[at : m.start()], path, step), np.array([own[m.group()]], np.uint32)]
+        at = m.end()
+    return np.concatenate([*out, encode(text[at:], path, step)]) if out else encode(text, path, step)
+
+
+def count(text: str, path: str) -> int:
+    """How many ids a text has."""
+    find, _ = added(path)
+    if find and find.search(text):
+        return len(ids(text, path))
+    return len(encoding(path).encode_ordinary(text))
