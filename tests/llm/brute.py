@@ -91,3 +91,26 @@ def classes(prints, most=2):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     return {d: find(d) for d in ids}
+
+
+def shingle_set(text, k=5):
+    w = words(lower(text or ""))
+    return {" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+
+def near(docs, similarity=0.8):
+    """Places in ``docs`` of the rows that stay: of each component under the Jaccard similarity the smallest doc_id."""
+    sets = [shingle_set(t) for _, t in docs]
+    label = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if min(len(a), len(b)) >= similarity * max(len(a), len(b)) and len(a & b) >= similarity * len(a | b):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                if old != new:
+                    label = [new if x == old else x for x in label]
+    order = sorted(range(len(docs)), key=lambda i: (docs[i][0] is None, docs[i][0] or 0, i))
+    best = {}
+    for i in order:
+        best.setdefault(label[i], i)
+    return sorted(best.values())

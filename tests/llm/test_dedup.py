@@ -6,9 +6,12 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from trifold.llm import exact, simhash, substrings
+from trifold.llm import exact, nearcopies, simhash, substrings
+from trifold.llm.common import numbered, stored
 from trifold.llm.fmindex import FMIndex
 
 
@@ -29,28 +32,67 @@ def test_exact_nulls_repeats_and_empty(frame):
     assert {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got} == {(1, None, 5 - 1, False), (None, None, 4, True), (5, None, 4, False), (2, 2, 3, True), (3, 2, 3, False), (None, 2, 3, False)} and len(got) == 7
     assert exact.classes(frame([])).count() == 0
     kept = exact.drop_copies(frame(rows))
-    assert kept.columns == frame(rows).columns and kept.where("doc_id = 5 OR doc_id = 3").count() == 0
+    assert kept.columns == frame(rows).columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == [(2, None), (None, "a  b")]
+
+
+def test_exact_decides_by_row(spark, frame):
+    """Of repeated rows one stays, and rows of one doc_id go each by its own text, read from files or not."""
+    rows = [(0, "y"), (1, "x"), (1, "y"), (1, "x"), (None, "p"), (None, "q"), (None, "p"), (5, None), (5, "")]
+    want = [(0, "y"), (1, "x"), (5, None), (None, "p"), (None, "q")]
+    for docs, as_read in ((frame(rows), False), (stored(frame(rows)), True), (stored(frame(rows)).where("doc_id IS NULL OR doc_id >= 0"), True)):
+        got = exact.drop_copies(docs, as_read=as_read).select("doc_id", "text").collect()
+        assert sorted(((r["doc_id"], r["text"] or None) for r in got), key=repr) == sorted(want, key=repr)
+    flags = sorted(((r["doc_id"], r["keep_id"], r["kept"]) for r in exact.classes(frame(rows)).collect()), key=repr)
+    assert flags == sorted([(0, 0, True), (1, 1, True), (1, 0, False), (1, 1, False), (None, None, True), (None, None, True), (None, None, False), (5, 5, True), (5, 5, False)], key=repr)
+
+
+def test_many_dropped_rows_take_a_join(frame, monkeypatch):
+    monkeypatch.setattr("trifold.llm.common.FEW_ROWS", 1)
+    rows = [(k, f"t{k % 7}") for k in range(40)]
+    assert sorted(r["doc_id"] for r in exact.drop_copies(frame(rows)).collect()) == list(range(7))
+
+
+def test_rows_are_numbered(spark, frame):
+    clash = stored(frame([(k, "t") for k in range(9)]).withColumn("_metadata", F.lit("mine")))
+    for docs in (numbered(frame([(1, "a")] * 9)), numbered(clash, as_read=True)):
+        assert docs.select(docs.columns[-1]).distinct().count() == 9
 
 
 def test_index_admits_only_new(spark, frame):
     index = exact.DigestIndex(spark, "digests_test", buckets=3)
-    index.drop()
-    first = index.admit(frame([(1, "a b"), (2, "ab"), (3, "c")]))
+    first = exact.drop_copies(frame([(1, "a b"), (2, "ab"), (3, "c")]), index)
     assert sorted(r["doc_id"] for r in first.collect()) == [1, 3]
-    second = index.admit(frame([(4, "a\nb"), (5, "d"), (6, "d "), (7, None)]))
+    second = exact.drop_copies(frame([(4, "a\nb"), (5, "d"), (6, "d "), (7, None)]), index)
     assert sorted(r["doc_id"] for r in second.collect()) == [6, 7]
-    assert index.admit(frame([(8, "D"), (9, "c")])).count() == 1
+    assert exact.drop_copies(frame([(8, "D"), (9, "c")]), index).count() == 1
     assert index.read().count() == 5
     index.drop()
 
 
+def test_index_outlives_its_table(spark, frame, tmp_path):
+    """Files at a path are taken up again by a session whose catalog doesn't know the table."""
+    path = str(tmp_path / "index")
+    index = exact.DigestIndex(spark, "digests_at_path", buckets=3, path=path)
+    exact.drop_copies(frame([(1, "a b"), (2, "c")]), index).count()
+    index.drop()
+    assert not index.exists()
+    again = exact.DigestIndex(spark, "digests_at_path", buckets=3, path=path)
+    assert [r["doc_id"] for r in exact.drop_copies(frame([(7, "ab"), (8, "d")]), again).collect()] == [8]
+    assert again.read().count() == 3
+    again.drop()
+    lost = exact.DigestIndex(spark, "digests_lost", buckets=3, path=str(tmp_path / "gone"))
+    assert lost.read().count() == 0 and exact.drop_copies(frame([(7, "ab")]), lost).count() == 1
+    lost.drop()
+
+
 def test_copies_of_an_index_go(spark, frame):
     index = exact.DigestIndex.fresh(spark, 9_000_000)
     assert index.buckets == exact.BUCKETS and exact.DigestIndex.fresh(spark, exact.ROWS_A_BUCKET * 100 + 1).buckets == 101
     before = {t.name for t in spark.catalog.listTables()}
     kept = exact.drop_copies(frame([(1, "a b"), (2, "ab"), (None, "c"), (4, "c")]))
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4] and {t.name for t in spark.catalog.listTables()} == before
-    index.admit(frame([(1, "a b")])).count()
+    exact.drop_copies(frame([(1, "a b")]), index).count()
     assert [r["doc_id"] for r in exact.drop_copies(frame([(7, "ab"), (8, "d")]), index).collect()] == [8]
     index.drop()
 
@@ -69,8 +111,8 @@ def test_two_batches_of_classes(spark, frame):
 
 def test_one_admission_anti_joins(spark, frame, monkeypatch):
     calls = []
-    admit = exact.DigestIndex.admit_groups
-    monkeypatch.setattr(exact.DigestIndex, "admit_groups", lambda self, groups: calls.append(1) or admit(self, groups))
+    admit = exact.DigestIndex.admit
+    monkeypatch.setattr(exact.DigestIndex, "admit", lambda self, groups: calls.append(1) or admit(self, groups))
     exact.classes(frame([(1, "a")])).count()
     exact.drop_copies(frame([(1, "a")])).count()
     assert len(calls) == 2
@@ -89,8 +131,6 @@ def test_simhash_classes(frame, corpus):
     rows = simhash.classes(frame(corpus)).collect()
     assert {r["doc_id"]: r["print"] & (1 << 64) - 1 for r in rows} == prints
     assert {r["doc_id"]: r["component_id"] for r in rows} == want
-    kept = simhash.drop_near_copies(frame(corpus))
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
 
 
 def test_links_find_every_pair(spark):
@@ -134,10 +174,73 @@ def test_simhash_empty_and_repeated(frame):
     assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (1, 1), (3, 1), (7, 7)]
 
 
-def test_star_contraction_of_paths(spark):
-    edges = [(k, k + 1) for k in range(1, 60)] + [(200, 201), (202, 201)]
+@pytest.mark.parametrize("few", [10**6, 3, 0])
+def test_star_contraction(spark, monkeypatch, few):
+    """In one task or by turns, with a node that most links have, or not."""
+    monkeypatch.setattr(simhash, "FEW_LINKS", few)
+    edges = [(k, k + 1) for k in range(1, 20)] + [(200, 201), (202, 201)] + [(300, k) for k in range(301, 330)] + [(329, 299), (5, 5)]
     out = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert out == {**{k: 1 for k in range(2, 61)}, 201: 200, 202: 200}
+    assert out == {**{k: 1 for k in range(2, 21)}, 201: 200, 202: 200, **{k: 299 for k in range(300, 330)}}
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def _near_corpus(seed):
+    rng = random.Random(seed)
+    docs = []
+    for k in range(12):
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.randint(60, 400))]
+        docs.append(" ".join(base))
+        for _ in range(rng.randint(0, 6)):
+            w = list(base)
+            for _ in range(rng.randint(1, 6)):
+                w[rng.randrange(len(w))] = "edited"
+            docs.append(" ".join(w))
+    rng.shuffle(docs)
+    return list(enumerate(docs))
+
+
+def test_near_copies(frame):
+    rows = [*_near_corpus(3), (700, None), (701, ""), (702, "one two"), (703, "One  TWO"), (704, "two one"), (None, "one two"), (None, "lone text")]
+    want = [rows[i][0] for i in brute.near(rows)]
+    kept = nearcopies.drop_near_copies(frame(rows))
+    assert kept.columns == frame(rows).columns and len(want) < len(rows) - 10
+    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_near_copies_by_row(frame):
+    text = " ".join(f"v{k}" for k in range(50))
+    rows = [(4, text), (4, text), (4, "other"), (None, "x"), (None, "x"), (9, text.upper()), (1, text + " more")]
+    got = [(r["doc_id"], r["text"]) for r in nearcopies.drop_near_copies(frame(rows)).collect()]
+    assert sorted(got, key=repr) == sorted([(1, text + " more"), (4, "other"), (None, "x")], key=repr)
+    assert nearcopies.drop_near_copies(frame([])).count() == 0
+
+
+def test_long_text_has_a_print():
+    text = " ".join(f"v{k}" for k in range(100_000))
+    sets = nearcopies.shingle_sets(pa.array([text, "a b", ""]))
+    assert [len(s) for s in sets] == [99_996, 1, 0]
+    bits, loose = nearcopies.fingerprint(sets[0])
+    count = sum(np.unpackbits(nearcopies.mix(sets[0][a : a + 1000, None] ^ nearcopies._SALT).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for a in range(0, len(sets[0]), 1000))
+    assert bits == np.packbits(2 * count > len(sets[0]), bitorder="little").tobytes()
+    assert np.unpackbits(np.frombuffer(loose, np.uint8)).sum() == nearcopies.SEGMENTS * nearcopies.LOOSE
+
+
+def test_forest_joins_what_is_near():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, (5, nearcopies.LONGS), dtype=np.uint64)
+    prints = np.repeat(base, 30, axis=0) ^ (np.uint64(1) << rng.integers(0, 64, (150, nearcopies.LONGS), dtype=np.uint64)) * (rng.random((150, nearcopies.LONGS)) < 0.5)
+    near = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2) <= 9
+    links = nearcopies.forest(prints, (4, 9))
+    assert all(near[u, v] for u, v in links)
+
+    def parts(pairs):
+        label = list(range(len(prints)))
+        for u, v in pairs:
+            old, new = max(label[u], label[v]), min(label[u], label[v])
+            label = [new if x == old else x for x in label]
+        return label
+
+    assert parts(links) == parts(np.argwhere(near).tolist())
 
 
 def test_substrings(frame, corpus):

@@ -48,6 +48,19 @@ def test_decontaminate_in_blocks_keeps_rows(spark, frame, corpus, items, monkeyp
     assert len(most) > 1 and max(most) <= len(items)
 
 
+def test_contaminated_rows_go(spark, frame, corpus, items):
+    """By row, in one block and in several, with columns of clashing names."""
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = [*corpus, corpus[0], (None, corpus[0][1]), (None, None), (None, "none of it"), (1, "one two three"), (1, "clean")]
+    hit = {k: v[4] for k, v in brute.op5([(k, t) for k, (_, t) in enumerate(docs)], [("" if n is None else n, x) for n, x in items]).items()}
+    want = sorted(((d, t) for k, (d, t) in enumerate(docs) if not hit[k]), key=repr)
+    df = frame(docs).withColumn("void", F.lit(1)).withColumn("row", F.lit("x"))
+    for size in (decontaminate.BLOCK_BYTES, 200):
+        kept = decontaminate.drop_contaminated(df, bench, block_bytes=size)
+        assert kept.columns == df.columns
+        assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == want
+
+
 def test_decontaminate_empty(spark, frame, corpus):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(frame(corpus), none).where("contaminated").count() == 0

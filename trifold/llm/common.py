@@ -39,10 +39,27 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def semi(docs: DataFrame, keep: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Documents whose doc_id is (left_anti: isn't) in ``keep``, null being a value like any other."""
-    keep = keep.select(F.col("doc_id").alias("_keep_id"))
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep_id"]), how)
+#: The column that ``numbered`` adds, and up to how many of its values (16 bytes each) are broadcast.
+ROW, FEW_ROWS = "_row_number_of_trifold", 1_000_000
+
+
+def numbered(docs: DataFrame, as_read: bool = False) -> DataFrame:
+    """``docs`` with ROW, which tells every row from all others, equal ones too, however often the plan runs.
+
+    ``as_read`` says that ``docs`` is Parquet as read, maybe filtered: a row is
+    then known by the hash of its file's path and its place there.  Any other
+    DataFrame is stored first."""
+    if as_read:
+        at = docs.metadataColumn("_metadata")
+        return docs.withColumn(ROW, F.struct(F.xxhash64(at["file_path"]).alias("file"), at["row_index"].alias("at")))
+    return stored(docs.withColumn(ROW, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))))
+
+
+def by_rows(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """Numbered documents that are (left_semi) or aren't (left_anti) among ``rows``, distinct
+    values of ROW.  Few are broadcast, which leaves the texts where they are."""
+    rows = durable(rows.select(ROW))
+    return docs.join(F.broadcast(rows) if rows.count() <= FEW_ROWS else rows.hint("merge"), ROW, how)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -84,6 +101,9 @@ def lookup(true_at: bytes, size: int = 256) -> np.ndarray:
 
 
 IS_WORD = ~lookup(SPACES)
+#: A-Z to lower case, by bytes.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 32
 
 
 def word_spans(raw: np.ndarray, offs: np.ndarray, is_word: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

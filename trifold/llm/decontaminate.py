@@ -22,19 +22,20 @@ of the way, whatever those are called.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, durable, gram_hashes, hash_words, lookup, semi, stored, table, utf8, window_minima, word_spans
+from .common import LOWER, chunks, durable, gram_hashes, hash_words, lookup, stored, table, utf8, window_minima, word_spans
 
 WINDOW, GRAM = 10, 4
 BLOCK_BYTES = 32 << 20
 #: Digits, lower-case letters and everything beyond ASCII.
 IS_WORD = ~lookup(bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[0x41:0x5B] += 32
 
 HITS = "doc_id long, row long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 _HITS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
@@ -155,22 +156,31 @@ def _hits(block):
     return run
 
 
+def _blocks(benchmark: DataFrame, block_bytes: int) -> tuple[int, Callable[[int], Broadcast]]:
+    """How many blocks the benchmark's distinct rows take, and what broadcasts one of them."""
+    spark = benchmark.sparkSession
+    items = durable(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.coalesce("text", F.lit("")).alias("text")).distinct())
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("name")), F.lit(0))).first()[0]
+    n = -(-int(size) * 2 // block_bytes) if size > block_bytes else 1
+
+    def block(b: int) -> Broadcast:
+        own = items if n == 1 else items.where(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == b)
+        rows = own.collect()  # of a block, whose size is bounded
+        return spark.sparkContext.broadcast(Items([r.name for r in rows], [r.text for r in rows]))
+
+    return n, block
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, spans (of words, end exclusive; of several blocks, they may overlap) and items."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("name")), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(size) * 2 // block_bytes) if size > block_bytes else 1)
+    n, block = _blocks(benchmark, block_bytes)
     docs, out = docs.select("doc_id", "text", F.lit(0).cast("long").alias("row")), None
-    if blocks > 1:
-        docs, items = stored(docs.withColumn("row", F.monotonically_increasing_id())), durable(items)
-    for b in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == b)
-        rows = own.collect()  # of a block, whose size is bounded
-        block = spark.sparkContext.broadcast(Items([r.name for r in rows], [r.text for r in rows]))
-        part = docs.mapInArrow(_hits(block), HITS)
+    if n > 1:
+        docs = stored(docs.withColumn("row", F.monotonically_increasing_id()))
+    for b in range(n):
+        part = docs.mapInArrow(_hits(block(b)), HITS)
         out = part if out is None else out.unionAll(part)
-    if blocks == 1:
+    if n == 1:
         return out.drop("row")
     return out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")).drop("row")
 
@@ -188,10 +198,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a hit, with all their columns."""
-    hit = find_hits(docs, benchmark).where(F.size("spans") > 0).select("doc_id")
-    return semi(docs, hit, "left_anti")
+def _clean(block):
+    def run(batches):
+        items = block.value
+        for batch in chunks(batches, "text"):
+            words, first = words_of(batch.column("text"))
+            start, _, _ = items.hits(words, first)
+            clean = np.ones(batch.num_rows, bool)
+            clean[np.searchsorted(first, start, "right") - 1] = False
+            yield batch.filter(pa.array(clean))
+
+    return run
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows without a hit, with all their columns, a null text as it was.
+
+    Each batch of documents is decided where it is read, so no text is shuffled;
+    what one block of the benchmark leaves is stored before the next one comes."""
+    n, block = _blocks(benchmark, block_bytes)
+    names = docs.columns
+    out = docs.toDF(*[x if x == "text" else f"c{k}" for k, x in enumerate(names)]).withColumn("void", F.col("text").isNull())
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
+    for b in range(n):
+        out = (stored(out) if b else out).mapInArrow(_clean(block(b)), schema)
+    return out.withColumn("text", F.when(~F.col("void"), F.col("text"))).drop("void").toDF(*names)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ The index is a table of one row per distinct normalised text, bucketed and
 sorted by digest: digest, keep_id, keep_length, group_size.  New documents are
 deduplicated against it by a sort-merge anti-join on the digest and their new
 digests are appended, so a digest is in it once, whatever the number of batches.
+With a path in a shared folder it outlives the session and its catalog.
 keep_id is the best document of the batch that brought the digest, group_size
 the number of its rows in that batch.  DataFrame and SQL functions only.
 
@@ -15,9 +16,9 @@ task.
 
 Defined cases: a null text counts as empty, and empty texts are equal to each
 other; of texts of equal length the smallest doc_id stays, a
-null one last; repeated rows are
-members like any other, and rows of one doc_id stay or go together; an empty
-table gives no rows; other columns are left alone.
+null one last, and of rows that agree in both any one; decisions are made by row,
+so of repeated rows one stays, and rows of one doc_id stay or go each by its own
+text; an empty table gives no rows; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, semi, table, to_groups
+from .common import ROW, by_rows, durable, numbered, table, to_groups
 
 WHITE = r"[\x20\x09-\x0D]+"
 #: An index gets a bucket for so many rows, and BUCKETS at least.
@@ -35,25 +36,31 @@ ROWS_A_BUCKET, BUCKETS = 4_000_000, 64
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (binary) and length in code points of each document."""
+    """ROW, doc_id, digest (binary) and length in code points of each numbered document."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.unhex(F.sha2(F.regexp_replace(text, WHITE, ""), 256)).alias("digest"), F.char_length(text).alias("length"))
-
-
-def best(length="length", doc_id="doc_id"):
-    """The row that stays: the longest, then the smallest doc_id."""
-    return F.min(F.struct((-F.col(length)).alias("neg"), F.col(doc_id).isNull().alias("unnamed"), F.col(doc_id).alias("id")))
+    return docs.select(ROW, "doc_id", F.unhex(F.sha2(F.regexp_replace(text, WHITE, ""), 256)).alias("digest"), F.char_length(text).alias("length"))
 
 
 def grouped(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("digest").agg(best().alias("b"), F.count(F.lit(1)).alias("group_size")).select("digest", F.col("b.id").alias("keep_id"), (-F.col("b.neg")).alias("keep_length"), "group_size")
+    """Per digest the row that stays, the longest, then the smallest doc_id, and the number of rows."""
+    best = F.min(F.struct((-F.col("length")).alias("neg"), F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), ROW))
+    out = rows.groupBy("digest").agg(best.alias("b"), F.count(F.lit(1)).alias("group_size"))
+    return out.select("digest", F.col("b.id").alias("keep_id"), (-F.col("b.neg")).alias("keep_length"), "group_size", F.col(f"b.{ROW}").alias("keep_row"))
 
 
 class DigestIndex:
-    """A table named ``name``, bucketed and sorted by digest."""
+    """A table named ``name``, bucketed and sorted by digest.
+
+    With ``path`` its files lie there, and an index that an earlier session left
+    there is taken up again; it must be given the same number of buckets."""
 
-    def __init__(self, spark: SparkSession, name: str, buckets: int = BUCKETS):
+    COLUMNS = "digest BINARY, keep_id BIGINT, keep_length INT, group_size BIGINT"
+
+    def __init__(self, spark: SparkSession, name: str, buckets: int = BUCKETS, path: str | None = None):
         self.spark, self.name, self.buckets = spark, name, buckets
+        if not self.exists():
+            at = f"LOCATION '{path}'" if path else ""
+            spark.sql(f"CREATE TABLE {name} ({self.COLUMNS}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS {at}")
 
     @classmethod
     def fresh(cls, spark: SparkSession, n_rows: int) -> DigestIndex:
@@ -68,24 +75,17 @@ class DigestIndex:
 
     def append(self, groups: DataFrame) -> None:
         # One task per bucket writes one sorted file per bucket.
-        rows = groups.select("digest", "keep_id", "keep_length", "group_size").repartition(self.buckets, "digest")
+        rows = groups.select("digest", F.col("keep_id").cast("long"), "keep_length", "group_size").repartition(self.buckets, "digest")
         rows.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
 
-    def admit_groups(self, groups: DataFrame) -> DataFrame:
+    def admit(self, groups: DataFrame) -> DataFrame:
         """Appends the groups whose digests are new, and returns those."""
-        if not self.exists():
-            self.append(groups.where(F.lit(False)))
         new = durable(groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti"))
         self.append(new)
         return new
 
-    def admit(self, docs: DataFrame) -> DataFrame:
-        """Appends the digests that are new and returns the documents that stay:
-        the best of each group whose digest the index did not hold before."""
-        new = self.admit_groups(grouped(durable(digests(docs))))
-        return semi(docs, new.select(F.col("keep_id").alias("doc_id")))
-
     def drop(self) -> None:
+        """Forgets the table; files at a path of their own stay."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
@@ -96,32 +96,39 @@ def classes(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     afterwards.  keep_id is read back from it, so for a digest of an earlier
     batch it is that batch's document and no row of this one is kept;
     group_size counts the rows of these documents."""
-    spark = docs.sparkSession
     own = index is None
-    rows = durable(digests(docs))
+    # The checkpoint fixes these numbers.
+    number = F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))
+    rows = durable(digests(docs.select("doc_id", "text", number.alias(ROW))))
     n = rows.count()
-    index = index or DigestIndex.fresh(spark, n)
-    batch = durable(grouped(rows).select("digest", "keep_id", "keep_length", "group_size"))
-    new = index.admit_groups(batch).select("digest", F.lit(True).alias("new"))
+    index = index or DigestIndex.fresh(docs.sparkSession, n)
+    batch = durable(grouped(rows))
+    new = index.admit(batch).select("digest", "keep_row")
     groups = batch.select("digest", "group_size").join(index.read().select("digest", "keep_id").hint("merge"), "digest").join(new.hint("merge"), "digest", "left")
     out = to_groups(rows, groups, "digest", "group_size", n)
-    kept = F.col("new").isNotNull() & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    kept = F.coalesce(F.col(ROW) == F.col("keep_row"), F.lit(False))
     out = durable(out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "digest"))
     if own:
         index.drop()
     return out
 
 
-def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The documents that stay, with all their columns.
+def drop_copies(docs: DataFrame, index: DigestIndex | None = None, as_read: bool = False) -> DataFrame:
+    """The documents that stay, with all their columns: the best row of each
+    group whose digest the index did not hold before.
 
     They are admitted to ``index``, whose earlier texts count as copies too; to
-    one of their own, dropped afterwards, if none is given."""
-    if index:
-        return index.admit(docs)
-    index = DigestIndex.fresh(docs.sparkSession, docs.count())
-    out = index.admit(docs)  # rests on checkpoints, no longer on the index
-    index.drop()
+    one of their own, dropped afterwards, if none is given.  ``as_read`` is that
+    of ``numbered``."""
+    own = index is None
+    docs = numbered(docs, as_read)
+    rows = durable(digests(docs))
+    index = index or DigestIndex.fresh(docs.sparkSession, rows.count())
+    new = index.admit(grouped(rows))
+    gone = rows.select(ROW).join(new.select(F.col("keep_row").alias(ROW)).hint("merge"), ROW, "left_anti")
+    out = by_rows(docs, gone, "left_anti").drop(ROW)  # rests on checkpoints, no longer on the index
+    if own:
+        index.drop()
     return out
 
 

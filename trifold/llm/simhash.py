@@ -13,7 +13,8 @@ run is compared in blocks, after a further cut of the other bits into
 DISTANCE + 1 pieces, one of which linked fingerprints share.
 
 Links form classes by repeated star contraction in Spark; nothing of them comes
-to the driver but counts.
+to the driver but counts.  Near copies by similarity, with wider fingerprints,
+are in ``nearcopies``.
 
 Defined cases: null and empty texts have no words and fingerprint zero, linked
 like any other; fewer words than a shingle are one shingle; repeated rows share
@@ -31,12 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, durable, partitions, semi, table, to_groups, utf8
+from .common import chunks, durable, partitions, table, to_groups, utf8
 
 BITS, DISTANCE, SEGMENTS, SHINGLE, SEED = 64, 2, 2, 3, 42
 WIDE = BITS // SEGMENTS
 #: Runs up to this many fingerprints are compared at once.
 BLOCK = 1024
+#: Links up to this number (16 bytes each) are put together by one task.
+FEW_LINKS = 1_000_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -81,7 +84,7 @@ def variants(prints: DataFrame) -> DataFrame:
             # The wildcard bit is out, so the rest fits below the segment's and bit's number.
             squeezed = rest.bitwiseAND(F.lit((1 << bit) - 1)).bitwiseOR(F.shiftrightunsigned(rest, bit + 1) * F.lit(1 << bit))
             keys.append(squeezed + F.lit((s * WIDE + bit) << (WIDE - 1)))
-    return prints.select("print", F.explode(F.array(*keys)).alias("key"))
+    return prints.repartition(partitions(prints.sparkSession)).select("print", F.explode(F.array(*keys)).alias("key"))
 
 
 def local_links(prints: np.ndarray, cut: bool = True) -> np.ndarray:
@@ -156,25 +159,52 @@ def links(prints: DataFrame) -> DataFrame:
     return rows.select("key", "print").mapInArrow(_runs, "a long, b long").distinct()
 
 
+def _star(batches):
+    """All links of one task to (a, smallest node of its component)."""
+    parts = [np.stack([b.column(c).to_numpy() for c in ("a", "b")], axis=1) for b in batches if b.num_rows]
+    if not parts:
+        return
+    nodes, pairs = np.unique(np.concatenate(parts), return_inverse=True)
+    a, b = pairs.reshape(-1, 2).T
+    label = np.arange(len(nodes))
+    while True:  # the smallest label spreads along the links and along labels' labels
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for side in (a, b):
+            np.minimum.at(new, side, low)
+            np.minimum.at(new, label[side], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], names=["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Of links (a, b): node and root, the component's smallest node, for every linked node but the roots.
 
     Stars are drawn together by turns: each node's larger neighbours go to its
-    smallest one, then each node's smaller neighbours do."""
+    smallest one, then each node's smaller neighbours do.  A node of very many
+    links is handled like any hot key.  Once there are FEW_LINKS or fewer, one
+    task finishes them."""
     edges = durable(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"))
     state = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    least = lambda e: e.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
     was = state(edges)
-    while was[0]:
+    while was[0] > FEW_LINKS:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = least(both).select("a", F.least("a", "m").alias("m"), "n")
+        large = durable(to_groups(both, low, "a", "n", 2 * was[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        low = least(large)
+        small = to_groups(large, low, "a", "n", large.count()).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = durable(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
         now = state(edges)
         if now == was:
             break
         was = now
+    else:
+        edges = durable(edges.coalesce(1).mapInArrow(_star, "a long, b long"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -189,11 +219,6 @@ def classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return to_groups(rows, durable(of), "print", "n", rows.count()).select("doc_id", "print", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The document with the smallest doc_id of each class, with all its columns."""
-    return semi(docs, classes(docs, shingle).where("doc_id <=> component_id").select("doc_id").distinct())
-
-
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = classes(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
