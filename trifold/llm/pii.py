@@ -3,18 +3,22 @@
 Patterns give the base spans.  The field labels every candidate of a document,
 that is every stretch that looks like an address or a long number, in order:
 each candidate has a potential from its shape, neighbours share a chain
-potential, and candidates with the same key (the lower-case address, or the
-digits of a number) share a skip potential, however far apart.  Loopy message
+potential, and candidates with the same key share a skip potential, however far
+apart.  A key is the address in lower case, or the digits of a number; a number
+whose digits end another one of the document has that one's key.  Loopy message
 passing makes labels consistent over the document, so a number that is written
-once in full and then in looser forms is found every time.  Base spans are
-evidence and stay; the field only adds spans.
+once in full and then in looser or shorter forms is found every time, and so is
+a card that stands beside another number.  Base spans are evidence and stay; the
+field only adds spans.
 
 A repeated key has a variable of its own, its hub, which every occurrence has a
 skip link to, so links stay linear and none is far from another.  A base span
 shows what its key is, so the hub holds the labels of its base spans and no
-number of loose occurrences outvotes them.  Potentials are learned from the base spans of at most
-SAMPLE documents, those with the smallest hashes of their doc_id among those
-that have a candidate.
+number of loose occurrences outvotes them.  All potentials are learned together
+from the base spans of at most SAMPLE documents of LONGEST bytes at most, those
+with the smallest hashes of their doc_id among those that have a candidate.  The
+base shows no loose forms, so each base span with marks is shown without them
+too, as itself and as another number.
 
 Defined cases: a null text counts as empty and has no spans; without a sample
 the field adds nothing; repeated rows get equal results; an empty table gives
@@ -25,6 +29,7 @@ from __future__ import annotations
 
 import re
 import string
+from collections import Counter
 from itertools import count
 
 import numpy as np
@@ -36,6 +41,12 @@ from .common import chunks, table
 
 KINDS = ["email", "ip", "card", "phone"]
 SAMPLE, SURE = 1000, 0.8
+#: Longer texts aren't in the sample that is learned from.
+LONGEST = 1 << 18
+#: Gradient steps of the fit, their rate and its penalties; neighbours are few, so the chain has its own.
+STEPS, RATE, DECAY, CHAIN_DECAY = 3000, 1.0, 1e-5, 1e-2
+#: Digits of a candidate at least, of any kind at most, and of a part that stands for itself.
+LEAST_DIGITS, MOST_DIGITS, LONG_PART = 7, 19, 12
 #: Messages are passed until none changes; damping grows after each ROUNDS rounds, so that they settle in any case.
 ROUNDS = 100
 
@@ -46,6 +57,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NUMBER = re.compile(r"[+(]?[0-9](?:[ ().-]{0,3}[0-9]){6,}+")
+_PART = re.compile(r"[^ ]+")
 _SIGN = re.compile(r"[0-9@]")
 Span = tuple[int, int]
 #: Which features are marks that the kinds' patterns ask for, rather than what is written.
@@ -103,45 +115,63 @@ class Candidates:
     def __init__(self, text: str, base: dict[str, list[Span]]):
         spans = {s: k + 1 for k, kind in enumerate(KINDS) for s in base[kind]}
         taken = sorted(spans)
-        loose = [m.span() for m in _NUMBER.finditer(text)]
-        at = text.find("@")
-        while at >= 0:
-            a, b = at, at + 1
-            while a and not text[a - 1].isspace() and at - a < 64:
-                a -= 1
-            while b < len(text) and not text[b].isspace() and b - at < 256:
-                b += 1
-            while b > at + 1 and text[b - 1] in ".,;:!?)>\"'":
-                b -= 1
-            loose.append((a, b))
-            at = text.find("@", b)
         # A loose candidate that touches a base span is the same thing.
         starts = np.array([s[0] for s in taken], np.int64)
         reach = np.maximum.accumulate(np.array([s[1] for s in taken], np.int64)) if taken else starts
-        for a, b in loose:
+        for a, b in [*self._numbers(text), *self._addresses(text)]:
             i = int(np.searchsorted(starts, b)) - 1
             if i < 0 or reach[i] <= a:
                 spans.setdefault((a, b), 0)
         self.spans = sorted(spans)
         self.base = [spans[s] for s in self.spans]
         words = [text[a:b] for a, b in self.spans]
-        self.keys = [w.lower() if "@" in w else _digits(w) for w in words]
+        self.keys = self._keys(words)
         self.features = np.array([self._shape(w) for w in words], np.float64) if words else np.zeros((0, 12))
 
+    @staticmethod
+    def _numbers(text: str) -> list[Span]:
+        """Long numbers; where blanks part one that is long by itself from others, the long parts."""
+        out = []
+        for m in _NUMBER.finditer(text):
+            parts = [(p.start() + m.start(), p.end() + m.start(), len(_digits(p.group()))) for p in _PART.finditer(m.group())]
+            if len(parts) > 1 and max(n for _, _, n in parts) >= LONG_PART:
+                out += [(a, b) for a, b, n in parts if n >= LEAST_DIGITS]
+            else:
+                out.append(m.span())
+        return out
+
+    @staticmethod
+    def _addresses(text: str) -> list[Span]:
+        """Whole stretches without white space around a sign, less the punctuation at their ends."""
+        out, at = [], text.find("@")
+        while at >= 0:
+            a, b = at, at + 1
+            while a and not text[a - 1].isspace():
+                a -= 1
+            while b < len(text) and not text[b].isspace():
+                b += 1
+            next_at = b
+            while b > at + 1 and text[b - 1] in ".,;:!?)>\"'":
+                b -= 1
+            out.append((a, b))
+            at = text.find("@", next_at)
+        return out
+
+    @staticmethod
+    def _keys(words: list[str]) -> list[str]:
+        """Addresses in lower case; of numbers the digits, or those of the longest number that ends with them."""
+        keys = [w.lower() if "@" in w else _digits(w) for w in words]
+        whole: dict[str, str] = {}
+        for k in sorted({k for k in keys if "@" not in k and len(k) <= MOST_DIGITS}, key=lambda k: (-len(k), k)):
+            for n in range(LEAST_DIGITS, len(k)):
+                whole.setdefault(k[-n:], k)
+        return [whole.get(k, k) for k in keys]
+
     @staticmethod
     def _shape(w: str) -> list[float]:
         d, n = _digits(w), len(_digits(w))
         return [1, "@" in w, "@" in w and "." in w[w.find("@") :], w.count(".") == 3, w[0] == "+", "(" in w, "-" in w, n <= 7, 8 <= n <= 11, 12 <= n <= 15, 16 <= n <= 19, "@" not in w and luhn(d)]
 
-    def links(self) -> np.ndarray:
-        """Pairs of candidates with the same key, each with the one before."""
-        last, out = {}, []
-        for i, k in enumerate(self.keys):
-            if k in last:
-                out.append((last[k], i))
-            last[k] = i
-        return np.array(out, np.int64).reshape(-1, 2)
-
     def hubs(self) -> tuple[np.ndarray, int]:
         """Pairs of a candidate with a repeated key and the number of the key's hub, and how many hubs there are."""
         at, first, out = {}, {}, []
@@ -209,40 +239,59 @@ class Field:
         return [(int(label[i]) - 1, *c.spans[i]) for i in range(len(c.spans)) if not c.base[i] and label[i] and belief[i, label[i]] >= SURE]
 
 
+def _examples(c: Candidates) -> tuple[list, list, list]:
+    """Shapes, (left, right, hub) labels (-1: none) and the label of what a text teaches.
+
+    A base span with marks that its kind asks for teaches two things more, both
+    apart from others: the same without its marks, which has its label and its
+    hub, and another one of that shape, which has neither."""
+    shapes, near, label = [], [], []
+    hub: dict[str, int] = {}
+    for k, y in zip(c.keys, c.base, strict=True):
+        hub[k] = max(y, hub.get(k, 0))
+    times = Counter(c.keys)
+    for i, (k, y) in enumerate(zip(c.keys, c.base, strict=True)):
+        if hub[k] and not y:
+            continue  # maybe a loose form: nobody says what it is
+        shapes.append(c.features[i])
+        near.append((c.base[i - 1] if i else -1, c.base[i + 1] if i + 1 < len(c.base) else -1, hub[k] if times[k] > 1 else -1))
+        label.append(y)
+        bare = c.features[i] * ~MARKS
+        if y and (bare != c.features[i]).any():
+            shapes += [bare, bare]
+            near += [(-1, -1, y), (-1, -1, -1)]
+            label += [y, 0]
+    return shapes, near, label
+
+
+def learn(texts: list[str]) -> Field | None:
+    """Potentials that maximise the pseudo-likelihood of the texts' labels, each given those beside it."""
+    taught = [_examples(Candidates(t, base_spans(t))) for t in texts]
+    shapes, near, label = ([x for part in taught for x in part[k]] for k in range(3))
+    if not label:
+        return None
+    kinds = len(KINDS) + 1
+    x, near, y = np.array(shapes), np.array(near), np.array(label)
+    # Rows of one-hot labels; a label of -1 has none.
+    left, right, hub = (np.eye(kinds + 1)[near[:, k], :kinds] for k in range(3))
+    one = np.eye(kinds)[y]
+    weights, chain, skip = np.zeros((kinds, x.shape[1])), np.zeros((kinds, kinds)), 0.0
+    for _ in range(STEPS):
+        z = x @ weights.T + left @ chain + right @ chain.T + skip * hub
+        g = (np.exp(z - np.logaddexp.reduce(z, axis=1, keepdims=True)) - one) / len(x)
+        weights -= RATE * (g.T @ x + DECAY * weights)
+        chain -= RATE * (left.T @ g + g.T @ right + CHAIN_DECAY * chain)
+        skip -= RATE * ((g * hub).sum() + DECAY * skip)
+    return Field(weights, chain, skip * np.eye(kinds))
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Field | None:
-    """Potentials from the base spans of a bounded sample."""
+    """What a bounded sample teaches."""
     # Candidates need a sign or a long number; the sample is drawn among those documents.
     some = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"@|[0-9]{2}[0-9 ().-]{5}")).select("doc_id")
     picked = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked.distinct()), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).collect()
-    all_c = [Candidates(t, base_spans(t)) for t in (r["text"] for r in sorted(rows, key=lambda r: r["doc_id"]))]
-    all_c = [c for c in all_c if c.spans]
-    if not all_c:
-        return None
-    kinds = len(KINDS) + 1
-    x, y = np.concatenate([c.features for c in all_c]), np.concatenate([np.array(c.base) for c in all_c])
-    # Copies without their marks teach what the bare shape says; as many again
-    # without a label keep that below a third, so a shape alone never decides.
-    bare = x[y > 0] * ~MARKS
-    share = np.concatenate([np.ones(len(x)), np.full(len(bare), 0.1), np.full(len(bare), 0.2)])[:, None]
-    x, y = np.concatenate([x, bare, bare]), np.concatenate([y, y[y > 0], np.zeros(len(bare), int)])
-    weights = np.zeros((kinds, x.shape[1]))
-    one = np.eye(kinds)[y]
-    for _ in range(1000):  # penalised steps on the whole sample
-        z = x @ weights.T
-        p = np.exp(z - np.logaddexp.reduce(z, axis=1, keepdims=True))
-        weights -= 1.0 * ((share * (p - one)).T @ x / share.sum() + 1e-4 * weights)
-    chain = np.ones((kinds, kinds))
-    agree = differ = 1.0
-    for c in all_c:
-        for a, b in zip(c.base, c.base[1:]):  # noqa: B905
-            chain[a, b] += 1
-        for a, b in c.links():
-            agree, differ = agree + (c.base[a] == c.base[b]), differ + (c.base[a] != c.base[b])
-    expected = chain.sum(axis=1, keepdims=True) * chain.sum(axis=0, keepdims=True) / chain.sum()
-    # Equal keys mean equal labels more often than the base shows, which misses the loose forms.
-    skip = np.eye(kinds) * np.clip(np.log(agree / differ), 6, 8)
-    return Field(weights, np.clip(np.log(chain / expected), -0.5, 0.5), skip)
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked.distinct()), "doc_id").where(F.octet_length("text") <= LONGEST).groupBy("doc_id").agg(F.min("text").alias("text")).collect()
+    return learn([r["text"] for r in sorted(rows, key=lambda r: r["doc_id"])])
 
 
 FOUND = "doc_id long, base array<struct<kind:string,start:long,end:long>>, added array<struct<kind:string,start:long,end:long>>"
