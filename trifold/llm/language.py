@@ -7,7 +7,8 @@ labels the words, so a text falls into spans of one language each.  The
 predicted language has most letters; the score is its share of them.
 
 The model is fitted on at most SAMPLE documents of each language, those with
-the smallest hashes of their doc_id; whole texts, nothing else of a document.
+the smallest hashes of their doc_id; whole texts, nothing else of a document,
+but none of more than LONGEST bytes.
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0;
 so is every text if no language could be learned; null languages are never
@@ -28,6 +29,8 @@ from pyspark.sql import Window
 from .common import chunks, held_out, table, utf8, word_spans
 
 SAMPLE, PENALTY, SMOOTHING, BUCKETS = 400, 6.0, 0.2, 1 << 16
+#: Longer texts aren't in the sample that is learned from; words that Viterbi takes at once of a text.
+LONGEST, BLOCK = 1 << 18, 512
 #: Score of a word in a language that its script rules out.
 RULED_OUT = -40.0
 LETTER = regex.compile(r"\p{L}")
@@ -100,39 +103,72 @@ def trigrams_of(a, b, c):
     return ((a * np.uint32(0x9E5) + b * np.uint32(0x1F35B) + c * np.uint32(0x3D)) * np.uint32(0x9E3779B1)) >> np.uint32(16)
 
 
-def viterbi(score: np.ndarray, first: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
-    """The best label of every word; all texts take their steps together, the longest first."""
-    size = np.diff(first)
-    order = np.argsort(-size, kind="stable")
-    begin, size = first[:-1][order], size[order]
-    steps = int(size[0]) if len(size) else 0
-    active = np.searchsorted(-size, -np.arange(1, steps + 1), side="right")  # texts that have a step t
-    n, langs = score.shape
-    moved, source, label = np.zeros((n, langs), bool), np.zeros(n, np.int16), np.zeros(n, np.int16)
-    if not steps:
+def _entries(score, begin, opens, penalty, block):
+    """Forward values ahead of each block: 0 ahead of a text's first one, else by the max-plus
+    products of the blocks before it, all of which are full."""
+    n, langs = len(begin), score.shape[1]
+    entry = np.zeros((n, langs))
+    inner = np.flatnonzero(~opens) - 1  # blocks that have another one after them
+    if not len(inner):
+        return entry
+    through = np.full((len(inner), langs, langs), -np.inf)
+    through[:, np.arange(langs), np.arange(langs)] = 0
+    for t in range(block):
+        best = through.max(axis=2, keepdims=True)
+        through = np.maximum(through, best - penalty) + score[begin[inner] + t][:, None, :]
+    place = np.arange(n) - np.maximum.accumulate(np.where(opens, np.arange(n), 0))  # which block of its text
+    order = np.argsort(place[inner], kind="stable")
+    for i in np.split(order, np.flatnonzero(np.diff(place[inner][order])) + 1):
+        value = (entry[inner[i]][:, :, None] + through[i]).max(axis=1)
+        entry[inner[i] + 1] = value - value.max(axis=1, keepdims=True)
+    return entry
+
+
+def viterbi(score: np.ndarray, first: np.ndarray, penalty: float = PENALTY, block: int = BLOCK) -> np.ndarray:
+    """The best label of every word.
+
+    Texts are cut into blocks of ``block`` words, and all blocks take their steps
+    together: a long text takes no more steps than a short one.  Values enter a
+    block through max-plus products, labels leave it through the map from its
+    last label to the one before its first."""
+    label = np.zeros(len(score), np.int16)
+    if not len(score):
         return label
-    value = score[begin[: active[0]]].astype(np.float64)
-    final = np.zeros(len(size), np.int16)
-    for t in range(1, steps):
-        k = active[t]
-        final[k : len(value)] = value[k:].argmax(axis=1)
-        value = value[:k]
-        at = begin[:k] + t
-        best = value.argmax(axis=1)
-        switch = value[np.arange(k), best] - penalty
-        move = value < switch[:, None]
+    size = np.diff(first)
+    blocks = -(-size // block)
+    text = np.repeat(np.arange(len(size)), blocks)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    begin = first[:-1][text] + place * block
+    length = np.minimum(size[text] - place * block, block)
+    opens = place == 0
+    value = _entries(score, begin, opens, penalty, block)
+    order = np.argsort(-length, kind="stable")  # the longest first
+    active = np.searchsorted(-length[order], -np.arange(1, length.max() + 1), side="right")  # blocks that have a step t
+    moved, source = np.zeros(score.shape, bool), np.zeros(len(score), np.int16)
+    for t, k in enumerate(active):
+        who = order[:k]
+        at, now = begin[who] + t, value[who]
+        best = now.argmax(axis=1)
+        switch = now[np.arange(k), best] - penalty
+        move = now < switch[:, None]
         moved[at], source[at] = move, best
-        value = np.where(move, switch[:, None], value) + score[at]
-        value -= value.max(axis=1, keepdims=True)
-    final[: len(value)] = value.argmax(axis=1)
-    now = final.copy()
-    for t in range(steps - 1, -1, -1):
-        k = active[t]
-        at = begin[:k] + t
-        label[at] = now[:k]
-        if t:
-            back = moved[at, now[:k]]
-            now[:k] = np.where(back, source[at], now[:k])
+        now = np.where(move, switch[:, None], now) + score[at]
+        value[who] = now - now.max(axis=1, keepdims=True)
+    end = value.argmax(axis=1)
+    inner = np.flatnonzero(~opens)
+    if len(inner):  # the label before each such block, for every label that it may end with
+        before = np.tile(np.arange(score.shape[1]), (len(inner), 1))
+        for t in range(int(length[inner].max()) - 1, -1, -1):
+            i = np.flatnonzero(length[inner] > t)
+            at = begin[inner[i]] + t
+            before[i] = np.where(np.take_along_axis(moved[at], before[i], axis=1), source[at][:, None], before[i])
+        for i in range(len(inner) - 1, -1, -1):
+            end[inner[i] - 1] = before[i, end[inner[i]]]
+    for t in range(len(active) - 1, -1, -1):
+        who = order[: active[t]]
+        at, now = begin[who] + t, end[who]
+        label[at] = now
+        end[who] = np.where(moved[at, now], source[at], now)
     return label
 
 
@@ -148,7 +184,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     part = part.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * F.col("n") < F.lit(4 * sample * (1 << 20)))
     picked = part.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("doc_id", "lang").distinct()
     # One text for each picked document, however often its doc_id is repeated.
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
+    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"]).where(F.octet_length("text") <= LONGEST).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
     names = sorted(langs)
     counts = np.full((BUCKETS, len(names)), SMOOTHING, np.float64)
     scripts = np.zeros((len(SCRIPTS), len(names)))
