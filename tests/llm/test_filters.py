@@ -154,6 +154,99 @@ def test_pii_adds_every_loose_repeat(frame, n):
     assert field.added(text, pii.base_spans(text)) == []
 
 
+def test_pii_candidates():
+    """Parts of a number that other numbers hide, endings of longer numbers, whole stretches around a sign."""
+    field = pii.learn([x for k in range(40) for x in (f"call +1 (502) 555-0{k:03d} now", "card 4111111111111111", f"order {9807915762804490 + 10 * k}", f"a{k}@b.org")])
+    added = lambda t: [(pii.KINDS[k], t[a:b]) for k, a, b in sorted(field.added(t, pii.base_spans(t)), key=lambda s: s[1])]
+    assert added("see 7536784127813050 4845168114407329 there") == [("card", "7536784127813050"), ("card", "4845168114407329")]
+    assert added("see 2353820953013749 4550997810720808 there") == [("card", "4550997810720808")]
+    assert added("see 2353820953013749 4845168114407320 there") == []
+    assert added("+1 (502) 555-0777, locally 502 555 0777 or 555-0777, not 555-0778") == [("phone", "502 555 0777"), ("phone", "555-0777")]
+    long = "x" * 500 + "@" + "y" * 700
+    assert pii.Candidates(long, pii.base_spans(long)).spans == [(0, 1201)]
+    assert pii.Candidates("é@ü.de, (a@b@c)!", {k: [] for k in pii.KINDS}).keys == ["é@ü.de", "(a@b@c"]
+
+
+def test_pii_long_text():
+    field = pii.learn([f"call +1 (502) 555-0{k:03d} now" for k in range(40)])
+    text = "+1 (502) 555-0777 " + "word 15025550777 and 99887766554, x@y " * 3000
+    got = field.added(text, pii.base_spans(text))
+    assert len(got) == 3000 and {text[a:b] for _, a, b in got} == {"15025550777"}
+
+
+def plain_beliefs(field, c):
+    """Marginals over all labellings of candidates and hubs."""
+    import itertools
+
+    import numpy as np
+
+    n, kinds = len(c.spans), len(field.weights)
+    pairs, n_hubs = c.hubs()
+    node = c.features @ field.weights.T
+    out = np.zeros((n, kinds))
+    for labels in itertools.product(range(kinds), repeat=n + n_hubs):
+        if any(b and labels[i] != b for i, b in enumerate(c.base)) or any(c.base[i] and labels[n + h] != c.base[i] for i, h in pairs):
+            continue
+        e = sum(node[i, labels[i]] * (not c.base[i]) for i in range(n)) + sum(field.chain[labels[i], labels[i + 1]] for i in range(n - 1)) + sum(field.skip[labels[i], labels[n + h]] for i, h in pairs)
+        out[range(n), labels[:n]] += np.exp(e)
+    return out / out.sum(axis=1, keepdims=True)
+
+
+def test_message_passing():
+    """Exact without loops; with loops the same labels wherever they are clear."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    forms = ["+1 (502) 555-0777", "15025550777", "555 0777", "998877665", "a@b", "x@y.org", "1.502.555.0777"]
+    clear = 0
+    for _ in range(60):
+        field = pii.Field(rng.normal(0, 0.7, (5, 12)), rng.normal(0, 0.5, (5, 5)), np.eye(5) * rng.uniform(1, 4))
+        text = ", ".join(rng.choice(forms, rng.integers(1, 6)))
+        c = pii.Candidates(text, pii.base_spans(text))
+        got, want = field.beliefs(c), plain_beliefs(field, c)
+        if not len(c.hubs()[0]):
+            assert np.allclose(got, want, atol=1e-3)
+        sure = want.max(axis=1) > 0.9
+        clear += sure.sum()
+        assert (got.argmax(axis=1) == want.argmax(axis=1))[sure].all()
+    assert clear > 40
+
+
+def plain_viterbi(score, penalty):
+    """Best labels of one text by lists; a tie stays where it is, and the first of equal ends counts."""
+    value, back = list(score[0]), []
+    for row in score[1:]:
+        best = max(range(len(row)), key=lambda k: (value[k], -k))
+        back.append([best if value[k] < value[best] - penalty else k for k in range(len(row))])
+        value = [max(value[k], value[best] - penalty) + row[k] for k in range(len(row))]
+    now = max(range(len(value)), key=lambda k: (value[k], -k))
+    out = [now]
+    for step in reversed(back):
+        now = step[now]
+        out.append(now)
+    return out[::-1]
+
+
+def test_viterbi_in_blocks():
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        sizes = rng.integers(0, 40, 12)
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        score = rng.integers(-6, 7, (first[-1], 4)).astype(np.float32)  # many ties, exact sums
+        score[rng.random(len(score)) < 0.3] = 0
+        want = [x for a, b in zip(first, first[1:], strict=False) if b > a for x in plain_viterbi(score[a:b].tolist(), 6.0)]
+        for block in (1, 3, 7, 512):
+            assert language.viterbi(score, first, 6.0, block).tolist() == want
+    assert len(language.viterbi(np.zeros((0, 4), np.float32), np.zeros(3, np.int64))) == 0
+    began = time.perf_counter()
+    language.viterbi(rng.random((300_000, 4)).astype(np.float32), np.array([0, 300_000]))
+    assert time.perf_counter() - began < 8
+
+
 def test_language(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = language.fit(docs.where("doc_id % 2 = 0"))
@@ -198,6 +291,29 @@ def test_quality_slices_agree():
     assert np.allclose(whole.max(axis=0), net.responses(raw).max(axis=0))
 
 
+def test_quality_against_loops():
+    """Responses, pooling over overlapping chunks and the score by plain loops."""
+    import math
+
+    import numpy as np
+
+    net = quality.Net(np.random.default_rng(5))
+    net.bias[:] = np.linspace(-1, 1, quality.FILTERS)
+    for size in (0, 1, 4, 5, 6, 200, 256, 257, 261, 480, 484, 485, 1000):
+        raw = np.random.default_rng(size).integers(0, 256, size, dtype=np.uint8)
+        padded = raw.tolist() + [0] * max(0, quality.WIDTH - size)
+        places = len(padded) - quality.WIDTH + 1
+        response = [[sum(float(net.table[j][padded[i + j]][f]) for j in range(quality.WIDTH)) for f in range(quality.FILTERS)] for i in range(places)]
+        last = 0
+        while last + quality.CHUNK < places:  # chunks begin STEP apart until one reaches the end
+            last += quality.STEP
+        tops = [[max(r[f] for r in response[s : s + quality.CHUNK]) for f in range(quality.FILTERS)] for s in range(0, last + 1, quality.STEP)]
+        act = [[math.tanh(t + float(b)) for t, b in zip(row, net.bias, strict=True)] for row in tops]
+        x = [sum(c) / len(act) for c in zip(*act, strict=True)] + [max(c) for c in zip(*act, strict=True)]
+        z = sum(a * float(w) for a, w in zip(x, net.out, strict=True)) + float(net.out_bias)
+        assert net.score(raw) == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-4), size
+
+
 def test_fits_read_one_text_of_a_repeated_document(frame):
     rows = [(1, "the cat mails a@b.de at 10.0.0.1")] * 50 + [(2, "other"), (None, "x")]
     once = language.fit(frame(rows[:1] + rows[50:]))

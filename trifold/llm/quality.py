@@ -7,7 +7,7 @@ and a logistic layer makes one probability of them.
 
 The network is trained on at most SAMPLE labelled documents of each label,
 those with the smallest hashes of their doc_id, so that the sample is bounded
-and the same on every run.  Some are shown in short pieces besides.  Scores read nothing but the text.  Where a label is
+and the same on every run; none has more than LONGEST bytes.  Some are shown in short pieces besides.  Scores read nothing but the text.  Where a label is
 missing altogether, the score is the share of label 1 (0.5 without labels).
 
 Defined cases: a null text counts as empty, and an empty text is one chunk of
@@ -30,6 +30,8 @@ SAMPLE, EPOCHS, RATE, SEED = 800, 14, 0.01, 7
 #: Share of the sample that is also shown as a piece of so many bytes, so that short texts are known too.
 CROPS, CROP = 0.3, (20, 120)
 THRESHOLD = 0.3
+#: Longer texts aren't in the sample that is learned from.
+LONGEST = 1 << 18
 
 
 class Net:
@@ -131,8 +133,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Net | float
         return count.get(1, 0) / total if total else 0.5
     picked = [known.where(F.col("quality") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     picked = F.broadcast(picked[0].unionByName(picked[1]))  # 2 x sample ids at most
-    rows = docs.select("doc_id", "text").join(picked, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
+    rows = docs.select("doc_id", "text").join(picked, "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST).groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
     rows = sorted(rows, key=lambda r: r["doc_id"])
+    if len({r["quality"] for r in rows}) < 2:  # texts of one label at most
+        return count[1] / total
     got = [max(1, sum(r["quality"] == y for r in rows)) for y in (0, 1)]
     weights = tuple(len(rows) * count[y] / total / got[y] for y in (0, 1))  # the labels' shares among all
     return train([(r["text"] or "").encode() for r in rows], [r["quality"] for r in rows], weights)
