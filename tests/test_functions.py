@@ -68,6 +68,8 @@ def test_sigmoid_is_stable(one):
 def test_texts(one):
     t = F.lit("{{Map|map= Hard  Rock <!--x-->\n|T1C1=a|score1=}}")
     assert one(text.template_field(t, "map"), text.template_field(t, "t1c1"), text.template_field(t, "score1"), text.template_field(t, "none")) == ("Hard Rock", "a", None, None)
+    nested = F.lit("{{Map|map={{Link|A|t1c1=no}}|t1c1=[[x|y]]|maptype=\n ball\n|score1=2}}")
+    assert one(text.template_field(nested, "map"), text.template_field(nested, "t1c1"), text.template_field(nested, "maptype"), text.template_field(nested, "score1")) == ("{{Link|A|t1c1=no}}", "[[x|y]]", "ball", "2")
     assert one(text.stamp(F.lit(75)), text.clean_caption(F.lit("<i>so</i>  {x} it"))) == ("[01:15]", "so it")
     assert "el primos" not in one(text.alias_variants(F.lit("El-Primo")))[0]
     assert {"el-primo", "elprimo", "el primo", "elprimos", "elprimo's"} == set(one(text.alias_variants(F.lit("El-Primo")))[0])

@@ -177,7 +177,9 @@ def test_decisions(spark):
     got = decide.last_pick(d, w).first()
     assert (got["n_free"], got["best"], got["worst"], got["actual"], got["actual_rank"]) == (7, 11.0, 5.0, 5.0, 7)
     none = spark.createDataFrame([], "i int, j int, w double")
-    assert tuple(decide.best_after_reply(d, w, none).first()) == (1, 11, 1.0)
+    got = decide.best_after_reply(d, w, none).first()
+    assert (got["match_id"], got["pick"], got["value"]) == (1, 11, 1.0)
+    assert (got["greedy"], got["greedy_value"]) == (11, 1.0)
     counters = spark.createDataFrame([(6, 11, 9.0), (11, 6, -9.0)], "i int, j int, w double")
     assert decide.best_after_reply(d, w, counters).first()["value"] >= -4
 
@@ -186,7 +188,7 @@ def test_bootstrap_covers_truth(spark):
     rng = np.random.default_rng(5)
     rows = [(m, "g", float(0.3 + e)) for m, e in enumerate(rng.normal(0, 1, 3000))] + [(m, "null", float(e)) for m, e in enumerate(rng.normal(0, 1, 3000))]
     got = {r["grp"]: r for r in resample.group_means(spark.createDataFrame(rows, "m long, grp string, v double"), "grp", "v", "m").collect()}
-    assert got["g"]["low"] < 0.3 < got["g"]["high"] and got["g"]["p"] < 1e-6
+    assert got["g"]["low"] < 0.3 < got["g"]["high"] and got["g"]["p"] == 1 / 200 and got["g"]["p_normal"] < 1e-6
     assert got["g"]["error"] == pytest.approx(1 / 3000**0.5, rel=0.25)
     assert got["null"]["p"] > 1e-3
 
@@ -207,6 +209,17 @@ def test_markup(spark):
     page = "{{MatchList|x}}{{Match|date=2026-01-02\n|opponent1={{TeamOpponent|X}}\n}}{{MapVeto|no}}{{Map|map=A <!-- c -->|maptype=ball|t1c1=r|t1b1=q|score1=2|score2=0|winner=1}}{{Match|date=2026-01-03}}{{Map|map=B}}"
     rows = textkb.template_records(spark.createDataFrame([("p", page)], "page string, text string")).orderBy("pos").collect()
     assert [(r["date"], r["map"], r["maptype"], r["score1"]) for r in rows] == [("2026-01-02", "A", "ball", "2"), ("2026-01-03", "B", None, None)]
+    nested = "{{Match|opponent1={{TeamOpponent|X}}|date=2026-02-01|m={{Map|map={{Link|A|map=no}}|maptype=ball|t1c1=[[r|s]]|score1=2}} }}{{Map|map=open"
+    (row,) = textkb.template_records(spark.createDataFrame([("p", nested), ("q", None), ("r", "}} {{Map|map=A}} {{")], "page string, text string")).collect()
+    assert (row["date"], row["map"], row["maptype"], row["t1c1"], row["score1"]) == ("2026-02-01", "{{Link|A|map=no}}", "ball", "[[r|s]]", "2")
+
+
+def test_rank_sums_beyond_a_long(spark):
+    both = spark.range(3_000_000).select("id", F.col("id").alias("x"), (-F.col("id")).alias("y"))
+    assert ranking.spearman(both, "x", "y", "id").first()["rho"] == pytest.approx(-1)
+    many = spark.createDataFrame([(0.2, 0), (0.7, 1)], "p double, y int").withColumn("y", F.col("y").cast("decimal(20,0)") * F.lit(4 * 10**9).cast("decimal(20,0)"))
+    counts = many.withColumn("y", F.col("y").cast("long"))
+    assert metrics.auc(counts.where("y = 0").unionByName(counts.where("y > 0"))).first()["n_pos"] == 4 * 10**9
 
 
 def test_feature_allow_list(spark):

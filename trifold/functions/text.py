@@ -18,11 +18,38 @@ def alias_variants(name) -> Column:
     return F.array_distinct(F.filter(forms, lambda x: x != ""))
 
 
+def without_comments(text) -> Column:
+    return F.regexp_replace(_c(text), r"(?s)<!--.*?-->", "")
+
+
+def template_pieces(text) -> Column:
+    """The parts of a template's text between its own bars: of a template or link inside, bars don't part.
+
+    Cut at every brace pair, bracket pair and bar, and put together again by depth."""
+    tokens = F.regexp_extract_all(_c(text), F.lit(r"\{\{|\}\}|\[\[|\]\]|\||[^{}\[\]|]+|[{}\[\]]"), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("now"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc, t):
+        opens, closes = t.isin("{{", "[["), t.isin("}}", "]]")
+        depth = F.greatest(acc["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0), F.lit(0))
+        part = (t == "|") & (acc["depth"] <= 1)
+        # The template's own braces are no part of a value.
+        own = (opens & (acc["depth"] == 0)) | (closes & (acc["depth"] <= 1))
+        now = F.when(part, F.lit("")).when(own, acc["now"]).otherwise(F.concat(acc["now"], t))
+        return F.struct(depth.alias("depth"), now.alias("now"), F.when(part, F.concat(acc["out"], F.array(acc["now"]))).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(tokens, start, step, lambda acc: F.concat(acc["out"], F.array(acc["now"])))
+
+
 def template_field(text, field: str) -> Column:
-    """The value of ``|field=...`` in template markup, comments and extra blanks removed; null if absent."""
-    plain = F.regexp_replace(_c(text), r"(?s)<!--.*?-->", "")
-    found = F.regexp_extract(plain, rf"(?i)\|\s*{field}\s*=\s*([^\n|}}]*)", 1)
-    value = F.trim(F.regexp_replace(found, r"\s+", " "))
+    """The value of ``|field=...`` of a template, comments and extra blanks removed; null if absent.
+
+    A value ends at the template's own next bar or at the end of its line; fields
+    of templates inside it are not its own."""
+    own = F.filter(template_pieces(without_comments(text)), lambda p: (F.instr(p, "=") > 0) & (F.lower(F.trim(F.substring_index(p, "=", 1))) == field.lower()))
+    first = F.get(own, F.lit(0))
+    line = F.substring_index(F.regexp_replace(F.substring(first, F.instr(first, "=") + F.lit(1), F.char_length(first)), r"^\s+", ""), "\n", 1)
+    value = F.trim(F.regexp_replace(line, r"\s+", " "))
     return F.when(value != "", value)
 
 

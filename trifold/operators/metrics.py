@@ -24,9 +24,10 @@ def auc(df: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
     Counts per distinct p, then the negatives below each: the rows themselves are never sorted."""
     by = df.groupBy(p).agg(F.sum(F.col(y)).cast("long").alias("pos"), F.sum(1 - F.col(y)).cast("long").alias("neg"))
     placed = running_before(by, [F.col(p)], ["neg"])
-    hits = F.sum(F.col("pos") * (2 * F.col("before_neg") + F.col("neg")))
+    # As a sum of doubles: pairs outgrow a long at some 10^9 rows of each class.
+    hits = F.sum(F.col("pos").cast("double") * (2.0 * F.col("before_neg") + F.col("neg")))
     pos, neg = F.sum("pos"), F.sum("neg")
-    return placed.agg(F.try_divide(hits, 2.0 * pos * neg).alias("auc"), pos.alias("n_pos"), neg.alias("n_neg"))
+    return placed.agg(F.try_divide(hits, 2.0 * pos.cast("double") * neg).alias("auc"), pos.alias("n_pos"), neg.alias("n_neg"))
 
 
 def calibration(df: DataFrame, key: str, bins: int = 10, p: str = "p", y: str = "y") -> DataFrame:

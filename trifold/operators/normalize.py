@@ -14,7 +14,8 @@ KNOWN_TYPES = [*RANKED, "ranked", "friendly", "challenge", "tournament"]
 
 def parse(raw: DataFrame) -> DataFrame:
     """raw: item (JSON), queried_tag.  Adds the parsed item, its tags by team and the first reason to reject it, if any."""
-    df = raw.withColumn("it", F.from_json("item", BATTLE))
+    # A generator of one row, which filters on what is read from it aren't pushed through: each item is parsed once.
+    df = raw.select("*", F.explode(F.array(F.from_json("item", BATTLE))).alias("it"))
     teams = F.col("it.battle.teams")
     tags = F.transform(teams, lambda t: F.transform(t, lambda p: norm_tag(p["tag"])))
     df = df.withColumn("tags", tags).withColumn("me", norm_tag("queried_tag")).withColumn("all_tags", F.flatten("tags"))

@@ -95,7 +95,8 @@ def spearman(df: DataFrame, x: str, y: str, key: str) -> DataFrame:
     both = row_number(row_number(df, [F.col(x), F.col(key)], "rx"), [F.col(y), F.col(key)], "ry")
     d = F.sum(F.pow(F.col("rx") - F.col("ry"), 2))
     n = F.count(F.lit(1))
-    return both.agg((1 - 6 * d / (n * (n * n - 1))).alias("rho"), n.alias("n"))
+    x = n.cast("double")  # its cube is beyond a long from some two million rows on
+    return both.agg((1 - F.try_divide(6 * d, x * (x * x - 1))).alias("rho"), n.alias("n"))
 
 
 def false_discovery(df: DataFrame, p: str, key: str, q: float = 0.05) -> DataFrame:

@@ -55,15 +55,22 @@ def _sums(replicates, seed):
 
 
 def group_means(rows: DataFrame, group: str, value: str, cluster: str, replicates: int = 200, seed: int = 20260805) -> DataFrame:
-    """Per group: n, mean, standard error, percentile interval and normal p-value of its mean against 0."""
+    """Per group: n, mean, standard error, percentile interval and p-value of its mean.
+
+    The interval's ends are at floor(.025 B) and ceil(.975 B) - 1 of the B sorted
+    replicates; p is twice the share of replicates on the smaller side of 0, 1 / B
+    at least, and p_normal that of the mean over its standard error."""
     rows = rows.select(F.col(group).cast("string").alias("grp"), F.col(value).cast("double").alias("value"), F.xxhash64(cluster).alias("cluster"))
     each = rows.mapInArrow(_sums(replicates, seed), "grp string, n array<double>, total array<double>")
-    means = each.select("grp", F.posexplode(F.arrays_zip("n", "total")).alias("b", "x")).groupBy("grp", "b").agg(F.try_divide(F.sum("x.total"), F.sum("x.n")).alias("m"))
+    means = each.select("grp", F.posexplode(F.arrays_zip("n", "total")).alias("b", "x")).groupBy("grp", "b").agg(F.try_divide(F.sum("x.total"), F.sum("x.n")).alias("m")).where("m IS NOT NULL")
     spread = means.groupBy("grp").agg(F.stddev_samp("m").alias("error"), F.array_sort(F.collect_list("m")).alias("_s"))
-    at = lambda q: F.element_at("_s", (F.floor(q * (F.size("_s") - 1)) + 1).cast("int"))
+    size = F.size("_s")
+    at = lambda place: F.element_at("_s", place.cast("int") + 1)
+    below = F.size(F.filter("_s", lambda m: m <= 0))
+    p = F.try_divide(F.greatest(2 * F.least(below, size - below), F.lit(1)), size)
     point = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
-    out = point.join(spread.select("grp", "error", at(F.lit(0.025)).alias("low"), at(F.lit(0.975)).alias("high")), "grp", "left")
-    return out.withColumn("p", 2 * (1 - norm_cdf(F.abs(F.col("mean") / F.col("error"))))).withColumnRenamed("grp", group)
+    out = point.join(spread.select("grp", "error", at(F.floor(0.025 * size)).alias("low"), at(F.ceil(0.975 * size) - 1).alias("high"), p.alias("p")), "grp", "left")
+    return out.withColumn("p_normal", 2 * (1 - norm_cdf(F.abs(F.try_divide("mean", "error"))))).withColumnRenamed("grp", group)
 
 
 def paired_difference(df: DataFrame, first: str, second: str, key: str, replicates: int = 400, alpha: float = 0.05, seed: int = 99, floor: float = 1e-4) -> DataFrame:

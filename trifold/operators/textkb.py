@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trifold.functions.text import alias_variants, clean_caption, stamp, template_field
+from trifold.functions.text import alias_variants, clean_caption, stamp
 
 OVERLAP = 40
 
@@ -45,16 +48,75 @@ def without_overlap(cue_rows: DataFrame, key: str = "path", mark_every: int = 30
     return rows.select(key, F.aggregate("cues", start, step, lambda acc: F.array_join(acc["out"], " ")).alias("text"))
 
 
+_BRACES = re.compile(r"\{\{|\}\}")
+_MARKS = re.compile(r"\{\{|\}\}|\[\[|\]\]|\|")
+_COMMENT = re.compile(r"<!--.*?-->", re.DOTALL)
+
+
+def templates(text: str) -> list[tuple[str, int, int]]:
+    """Name, start and end of every template, in order of their starts, by a stack of open
+    braces; one that is never closed ends with the text."""
+    out, open_ = [], []
+    for m in _BRACES.finditer(text):
+        if m.group() == "{{":
+            open_.append(len(out))
+            out.append([m.start(), len(text), False])
+        elif open_:
+            k = open_.pop()
+            out[k][1:] = [m.end(), True]
+    name = lambda at: re.match(r"\w*", text[at + 2 : at + 66]).group()
+    return [(name(a), a, b) for a, b, closed in out if closed or name(a)]
+
+
+def own_fields(block: str) -> dict[str, str]:
+    """The fields between a template's own bars, by lower-case name; the first of a name counts."""
+    inside = block[2 : -2 if block.endswith("}}") else len(block)]
+    parts, depth, at = [], 0, 0
+    for m in _MARKS.finditer(inside):
+        if m.group() == "|":
+            if not depth:
+                parts.append(inside[at : m.start()])
+                at = m.end()
+        else:
+            depth = max(0, depth + (1 if m.group() in ("{{", "[[") else -1))
+    out: dict[str, str] = {}
+    for part in [*parts, inside[at:]][1:]:
+        key, sign, value = part.partition("=")
+        if sign:
+            out.setdefault(key.strip().lower(), " ".join(value.lstrip().split("\n", 1)[0].split()))
+    return out
+
+
+FIELDS = ["map", "maptype", "t1c1", "t1b1", "score1", "score2", "winner"]
+
+
+def _records(outer, inner):
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for page, text in zip(batch.column("page").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                parent: dict[str, str] | None = None
+                text = _COMMENT.sub("", text or "")
+                for pos, (name, a, b) in enumerate(templates(text)):
+                    if name == outer:
+                        parent = own_fields(text[a:b])
+                    elif name == inner and parent is not None and text[a:b].endswith("}}"):
+                        own = own_fields(text[a:b])
+                        rows.append((page, pos, parent.get("date") or None, *[own.get(f) or None for f in FIELDS]))
+            columns = list(zip(*rows, strict=True)) or [[]] * (3 + len(FIELDS))
+            types = [pa.string(), pa.int32(), *[pa.string()] * (1 + len(FIELDS))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["page", "pos", "date", *FIELDS])
+
+    return run
+
+
 def template_records(pages: DataFrame, outer: str = "Match", inner: str = "Map") -> DataFrame:
-    """pages: page, text in template markup.  One row per ``{{Map`` block with
-    its fields' text and the ``{{Match`` block that precedes it."""
-    blocks = pages.select("page", F.posexplode(F.split("text", r"(?=\{\{[A-Z])")).alias("pos", "block"))
-    is_outer = F.col("block").rlike(rf"^\{{\{{{outer}\b(?!List)")
-    w = Window.partitionBy("page").orderBy("pos")
-    rows = blocks.withColumn("parent", F.last(F.when(is_outer, F.col("block")), ignorenulls=True).over(w))
-    rows = rows.where(F.col("block").rlike(rf"^\{{\{{{inner}\b(?!Veto)") & F.col("parent").isNotNull())
-    field = lambda c, f: template_field(c, f).alias(f)
-    return rows.select("page", "pos", field("parent", "date"), field("block", "map"), field("block", "maptype"), field("block", "t1c1"), field("block", "t1b1"), field("block", "score1"), field("block", "score2"), field("block", "winner"))
+    """pages: page, text in template markup.  One row per ``{{Map`` template that
+    is closed, with its own fields' text and the date of the ``{{Match`` before it.
+
+    Templates nest, so their ends are found by counting braces, one page at a time."""
+    schema = "page string, pos int, date string, " + ", ".join(f"{f} string" for f in FIELDS)
+    return pages.select("page", "text").mapInArrow(_records(outer, inner), schema)
 
 
 def aliases(names: DataFrame, stop: list[str]) -> DataFrame:

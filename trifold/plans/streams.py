@@ -66,12 +66,12 @@ def stream_tumbling(spark, sf):
     return last.select(F.col("s").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("SELECT event_type, CAST(user_id AS BIGINT) AS user_id, count(*) - count(*) + 1 AS kept FROM events GROUP BY ALL")
+@query("SELECT event_type, CAST(user_id AS BIGINT) AS user_id, arg_min(event_id, (ts, event_id)) AS event_id, min(ts) AS ts FROM events GROUP BY ALL")
 def stream_dedup(spark, sf):
     """The first observation of each key, later ones dropped while the watermark remembers it."""
     e = _stream(spark, sf).withColumn("at", F.col("ts").cast("timestamp")).withColumn("k", F.concat_ws("|", "event_type", F.col("user_id").cast("string")))
     out = _run(controller.first_seen(e, "k", "at", "60 days"), "append")
-    return out.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("kept"))
+    return out.select("event_type", "user_id", "event_id", "ts")
 
 
 @query(

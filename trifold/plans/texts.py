@@ -66,10 +66,8 @@ def srt_deoverlap(spark, sf):
 
 
 def _as_srt(c):
-    words = F.split("text", " ")
-    c = c.withColumn("head", F.array_join(F.slice(words, 1, 30), " "))
     time = lambda s: F.format_string("%02d:%02d:%02d,000", (s / 3600).cast("long"), (s / 60).cast("long") % 60, s % 60)
-    block = F.concat(F.col("n").cast("string"), F.lit("\n"), time(F.col("start")), F.lit(" --> "), time(F.col("start") + 20), F.lit("\n"), "head")
+    block = F.concat(F.col("n").cast("string"), F.lit("\n"), time(F.col("start")), F.lit(" --> "), time(F.col("start") + 20), F.lit("\n"), "text")
     blocks = c.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("n", block.alias("b")))).alias("bs"))
     return blocks.select("path", F.array_join(F.transform("bs", lambda x: x["b"]), "\n\n").alias("text"))
 

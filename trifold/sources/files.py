@@ -49,9 +49,11 @@ def to_json(df: DataFrame, path: str, now: datetime.datetime) -> None:
     df.withColumn("generated", F.lit(now.isoformat())).write.mode("overwrite").json(path)
 
 
-def markdown(df: DataFrame, most: int = 200) -> str:
-    """A table of a report's first ``most`` rows, which are few by design."""
-    rows = df.limit(most).collect()
+def markdown(df: DataFrame, most: int = 10_000) -> str:
+    """A report as a table for readers; beyond ``most`` rows it is no report, and a sink should take it."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: write them with to_csv or to_json")
     if not rows:
         return "_no data yet_"
     text = lambda x: "" if x is None else str(x).replace("|", r"\|").replace("\n", " ")
