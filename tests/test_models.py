@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from trifold.operators import decide, design, fit, lanes, power, simulate
+from trifold.operators import decide, design, fit, lanes, metrics, power, simulate
 from trifold.session import durable
 
 
@@ -35,6 +36,66 @@ def test_exact_solution_and_recovery(spark):
     assert 0.5 < fit.temperature(one) < 2
 
 
+def _newton(x, y, penalty, z=0.0):
+    b = np.zeros(x.shape[1])
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-z - x @ b))
+        b -= np.linalg.solve((x.T * (p * (1 - p))) @ x + penalty * np.eye(len(b)), x.T @ (p - y) + penalty * b)
+    return b
+
+
+def _matrix(d, names):
+    rows = d.orderBy("match_id").collect()
+    x = np.zeros((len(rows), len(names)))
+    for i, r in enumerate(rows):
+        for team, sign in (("a", 1), ("b", -1)):
+            for k in r[team]:
+                x[i, names.index(f"solo:{k}")] += sign
+    return x, np.array([r["y"] for r in rows]), rows
+
+
+def test_offset_and_side(spark):
+    """The change from earlier strengths under a penalty on the change, and an intercept, against exact solutions."""
+    d = durable(simulate.drafts(spark, 2000, n=12, spread=0.5)).withColumn("before", F.sin(F.col("match_id").cast("double")) + 0.2)
+    m = fit.fit(d, ["solo"], {"solo": 25.0}, offset="before")
+    x, y, rows = _matrix(d, m.names)
+    assert np.abs(_newton(x, y, 25.0, np.array([r["before"] for r in rows])) - m.beta).max() < 1e-4 and m.gradient < 1e-5
+    biased = d.withColumn("y", F.when(F.col("match_id") % 3 == 0, 1).otherwise(F.col("y")))
+    side = fit.fit(biased, ["solo", "side"])
+    x, y, _ = _matrix(biased, [f for f in side.names if f != fit.SIDE])
+    z = np.column_stack([x, np.ones(len(x))])
+    p = 1 / (1 + np.exp(-z @ side.beta))
+    grad = z.T @ (p - y) + np.append(5.0 * side.beta[:-1], 0)
+    assert side.names[-1] == fit.SIDE and np.abs(grad).max() < 0.05
+    got = side.predict(biased).orderBy("match_id").collect()
+    assert np.abs(np.array([r["p"] for r in got]) - p).max() < 1e-9
+
+
+def test_unfinished_fits_are_told(spark):
+    d = durable(simulate.drafts(spark, 800, n=12, spread=0.5))
+    with pytest.raises(RuntimeError, match="gradient"):
+        fit.fit(d, ["solo"], iterations=1)
+
+
+def test_penalty_search(spark):
+    d = durable(simulate.drafts(spark, 1500, n=12, spread=0.5).withColumn("part", F.col("match_id") % 4))
+    train, check = d.where("part > 0"), d.where("part = 0")
+    best, tried = fit.search(train, check, ["solo"], ["solo"], [0.5, 500.0])
+    losses = {v: metrics.losses(fit.fit(train, ["solo"], {"solo": v}).predict(check)).first()["log_loss"] for v in (0.5, 500.0)}
+    assert best == {"solo": min(losses, key=losses.get)} and {(v, round(x, 9)) for _, _, v, x in tried} == {(v, round(x, 9)) for v, x in losses.items()}
+
+
+def test_auc_interval(spark):
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 2, 400)
+    p = np.round(rng.random(400) * 0.7 + 0.2 * y, 2)  # with ties
+    got = metrics.auc_interval(spark.createDataFrame(list(zip(p.tolist(), y.tolist(), strict=True)), "p double, y int")).first()
+    pos, neg = p[y == 1], p[y == 0]
+    wins = (pos[:, None] > neg) + 0.5 * (pos[:, None] == neg)
+    error = np.sqrt(wins.mean(axis=1).var(ddof=1) / len(pos) + wins.mean(axis=0).var(ddof=1) / len(neg))
+    assert got["auc"] == pytest.approx(wins.mean()) and got["low"] == pytest.approx(wins.mean() - 1.96 * error) and got["high"] == pytest.approx(wins.mean() + 1.96 * error)
+
+
 def test_permuted_labels_teach_nothing(spark):
     d = simulate.drafts(spark, 1500, n=20).withColumn("y", F.pmod(F.xxhash64("match_id"), F.lit(2)).cast("int"))
     scored = fit.fit(durable(d), ["solo"]).predict(d)

@@ -118,12 +118,14 @@ def drafts(spark, n=300, seed=1):
 
 def test_design_is_antisymmetric(spark):
     d = drafts(spark)
-    swapped = d.select("match_id", F.col("b").alias("a"), F.col("a").alias("b"), "y", "mode", "map_id")
-    families = list(design.FAMILIES)
+    differences = ["power", "mastery", "popularity"]
+    d = d.withColumns({"patch": F.lit("p"), "tier": F.when(F.col("match_id") % 3 > 0, F.col("match_id") % 3)} | {c: F.col("match_id") % 7 - 3.5 for c in differences})
+    swapped = d.select("match_id", F.col("b").alias("a"), F.col("a").alias("b"), "y", "mode", "map_id", "patch", "tier", *[(-F.col(c)).alias(c) for c in differences])
+    families = [f for f in design.FAMILIES if f != "side"]
     one, two = design.rows(d, families), design.rows(swapped, families).withColumnRenamed("value", "other")
     both = one.join(two, ["match_id", "feature"], "full")
     assert both.where("value + other <> 0 OR value IS NULL OR other IS NULL").count() == 0
-    mirror = d.withColumn("b", F.col("a"))
+    mirror = d.withColumn("b", F.col("a")).withColumns(dict.fromkeys(differences, F.lit(0.0)))
     assert design.rows(mirror, families).count() == 0
 
 

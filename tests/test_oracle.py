@@ -27,9 +27,10 @@ def test_same_rows(spark, sf, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE)))
 def test_runs(spark, sf, name):
-    if name in {"ablation_ladder", "shrinkage_cv", "half_life_sweep", "confound_refit", "temperature_scaling", "transfer_auc", "signal_sweep", "carry_forward", "lane_second_stage"}:
-        pytest.skip("several fits; test_models covers the fitter")
-    assert registry.QUERIES[name](spark, sf).columns
+    """Queries without SQL give rows, and no number in them is unknown."""
+    rows = registry.QUERIES[name](spark, sf).collect()
+    assert rows
+    assert not any(isinstance(x, float) and x != x for r in rows for x in r)
 
 
 def test_no_corpus_imports():

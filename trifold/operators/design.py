@@ -53,21 +53,73 @@ def theory() -> Entry:
     return F.array(*rows)
 
 
+def stack() -> Entry:
+    """Differences of the number of distinct classes and of the most frequent one's count."""
+    return F.filter(theory(), lambda e: e["feature"].isin("theory:coverage", "theory:redundancy"))
+
+
+def roles() -> Entry:
+    """Differences of class counts."""
+    return F.filter(theory(), lambda e: e["feature"].isin([f"theory:{c}" for c in CLASSES]))
+
+
+def renamed(entries: Entry, block: str) -> Entry:
+    """Entries under another block's name, and so its penalty."""
+    return F.transform(entries, lambda e: F.struct(F.concat(F.lit(f"{block}:"), F.substring_index(e["feature"], ":", -1)).alias("feature"), e["value"].alias("value")))
+
+
+def matchup(cell: Column | None = None, block: str = "matchup") -> Entry:
+    """Each own class against each of theirs, one feature for two classes, by cell if given."""
+    name = lambda x, y: F.concat_ws(":", F.lit(block), *([cell.cast("string")] if cell is not None else []), F.concat(x, F.lit(">"), y))
+
+    def entry(x, y):
+        cx, cy = class_of(x), class_of(y)
+        return _entry(name(F.least(cx, cy), F.greatest(cx, cy)), F.when(cx < cy, 1.0).when(cx > cy, -1.0).otherwise(0.0))
+
+    return F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: entry(x, y))))
+
+
+def counter_by(cell: Column) -> Entry:
+    return F.transform(counter(), lambda e: F.struct(F.concat_ws(":", F.lit("ctr_mode"), cell.cast("string"), F.substring_index(e["feature"], ":", -1)).alias("feature"), e["value"].alias("value")))
+
+
+def single(column: str) -> Entry:
+    """A difference of the teams that is a column of the drafts, null counting as none."""
+    return F.array(_entry(F.lit(f"{column}:"), F.coalesce(F.col(column), F.lit(0.0))))
+
+
 #: Families of features by name.
 FAMILIES = {
     "solo": lambda: solo(),
     "solo_mode": lambda: solo(F.col("mode"), "solo_mode"),
     "solo_map": lambda: solo(F.col("map_id"), "solo_map"),
+    "solo_patch": lambda: solo(F.col("patch"), "solo_patch"),
+    # Only matches of a known tier count.
+    "solo_tier": lambda: F.filter(solo(F.col("tier"), "solo_tier"), lambda e: F.col("tier").isNotNull()),
     "synergy": synergy,
     "counter": counter,
+    "counter_mode": lambda: counter_by(F.col("mode")),
     "theory": theory,
+    "roles": lambda: renamed(roles(), "role"),
+    "stack": lambda: renamed(stack(), "stack"),
+    "matchup": lambda: matchup(),
+    "matchup_mode": lambda: matchup(F.col("mode"), "matchup_mode"),
+    "popularity": lambda: single("popularity"),
+    "power": lambda: single("power"),
+    "mastery": lambda: single("mastery"),
+    # No draft signal: whether the first team is favoured.
+    "side": lambda: F.array(_entry(F.lit("side:"), 1)),
 }
 
 
+def entries(families: list[str]) -> Entry:
+    """All families' entries of a match; a feature may be named more than once."""
+    return reduce(lambda x, y: F.concat(x, y), [FAMILIES[f]() for f in families])
+
+
 def rows(drafts: DataFrame, families: list[str]) -> DataFrame:
     """Long rows; entries of a match that meet in one feature are added up within the row's array, so nothing is shuffled."""
-    entries = reduce(lambda x, y: F.concat(x, y), [FAMILIES[f]() for f in families])
-    df = drafts.withColumn("_e", entries).withColumn("_k", F.array_distinct(F.transform("_e", lambda e: e["feature"])))
+    df = drafts.withColumn("_e", entries(families)).withColumn("_k", F.array_distinct(F.transform("_e", lambda e: e["feature"])))
     each = F.transform("_k", lambda k: F.struct(k.alias("feature"), F.aggregate(F.filter("_e", lambda e: e["feature"] == k), F.lit(0.0), lambda acc, e: acc + e["value"]).alias("value")))
     # Most matches name no feature twice, and take their entries as they are.
     each = F.when(F.size("_k") == F.size("_e"), F.col("_e")).otherwise(each)

@@ -1,75 +1,149 @@
-"""Penalised logistic fits: sum of losses + sum over k of penalty_k / 2 * beta_k^2, without intercept.
+"""Penalised logistic fits: sum of losses + sum over k of penalty_k / 2 * beta_k^2, without intercept
+but for the family that is one.
 
 Spark ML has one penalty on the mean loss, so a column with penalty r is divided
 by sqrt(r), the fit is made with 1 / n, and its coefficient is divided by
-sqrt(r) again.  The design stays distributed as sparse vectors; only the
-coefficients come to the driver."""
+sqrt(r) again.  An offset is one more column, whose coefficient is pinned at 1.
+The design stays distributed as sparse vectors, made within each match's row;
+only the parameters come to the driver, where the optimiser keeps them anyway."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import DenseMatrix, VectorUDT
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from trifold.functions.expr import sigmoid
 from trifold.operators import design
 from trifold.session import durable
 
 #: Penalty by the first part of a feature's name.
-PENALTY = {"solo": 5.0, "solo_mode": 15.0, "solo_map": 40.0, "syn": 60.0, "ctr": 60.0, "theory": 5.0}
-MOST_FEATURES = 1_000_000
+PENALTY = {
+    "solo": 5.0, "solo_mode": 15.0, "solo_map": 40.0, "solo_patch": 30.0, "solo_tier": 40.0, "syn": 60.0, "ctr": 60.0, "ctr_mode": 120.0,
+    "theory": 5.0, "role": 5.0, "matchup": 5.0, "matchup_mode": 15.0, "stack": 2.0, "popularity": 1.0, "power": 1.0, "mastery": 1.0,
+}
+#: The one feature that is the same for all matches: it is fitted as the intercept, without a penalty.
+SIDE = "side:"
+#: Largest entry of the mean loss's gradient that a fit may stop at.
+TOLERANCE = 1e-3
+#: Matches that are worth a task of their own.
+ROWS_A_PART = 10_000
 
 
 class Model:
-    """coefficients: DataFrame feature, beta; families: those of the design."""
+    """Feature names in order and their coefficients; ``gradient`` is the largest entry left, ``iterations`` the steps taken."""
 
-    def __init__(self, coefficients: DataFrame, families: list[str]):
-        self.coefficients, self.families = coefficients, families
+    def __init__(self, spark: SparkSession, names: list[str], beta: np.ndarray, families: list[str], gradient: float = 0.0, iterations: int = 0):
+        self.spark, self.names, self.beta, self.families, self.gradient, self.iterations = spark, names, np.asarray(beta, float), families, gradient, iterations
+
+    @property
+    def coefficients(self) -> DataFrame:
+        return self.spark.createDataFrame(list(zip(self.names, self.beta.tolist(), strict=True)), "feature string, beta double")
 
     def predict(self, drafts: DataFrame) -> DataFrame:
         """``drafts`` with z and p, in place of columns of these names; features that were not fitted count nothing."""
-        rows = design.rows(drafts, self.families)
-        z = rows.join(self.coefficients, "feature").groupBy("match_id").agg(F.sum(F.col("value") * F.col("beta")).alias("z"))
-        out = drafts.drop("z", "p").join(z, "match_id", "left").withColumn("z", F.coalesce("z", F.lit(0.0)))
-        return out.withColumn("p", sigmoid("z"))
-
-
-def _vector(n: int, scales):
-    @F.udf(VectorUDT())
-    def make(entries):
-        entries = sorted((e["id"], e["value"] * scales[e["group"]]) for e in entries)
-        return SparseVector(n, [k for k, _ in entries], [v for _, v in entries])
-
-    return make
-
-
-def fit(drafts: DataFrame, families: list[str], penalty: dict[str, float] | None = None, weight: str | None = None, iterations: int = 60) -> Model:
-    """Fits y of decided drafts on the families; ``weight`` names a column of case weights."""
+        held = drafts.sparkSession.sparkContext.broadcast((pa.array(self.names, pa.string()), self.beta))
+        drafts = drafts.drop("z", "p")
+        rows = drafts.withColumn("_e", design.entries(self.families))
+        schema = StructType([*drafts.schema.fields, StructField("z", DoubleType())])
+        return rows.mapInArrow(_scores(held), schema).withColumn("p", sigmoid("z"))
+
+
+def _entries(column: pa.Array, names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, feature number and value of each known entry of an array<struct<feature,value>> column."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten()
+    row = np.repeat(np.arange(len(column)), pc.fill_null(pc.list_value_length(column), 0).to_numpy())
+    number = pc.fill_null(pc.index_in(flat.field("feature").cast(pa.string()), value_set=names), -1).to_numpy()
+    value = flat.field("value").to_numpy(zero_copy_only=False)
+    known = (number >= 0) & (value != 0)
+    return row[known], number[known].astype(np.int64), value[known]
+
+
+def _scores(held):
+    def run(batches):
+        names, beta = held.value
+        for batch in batches:
+            k = batch.schema.get_field_index("_e")
+            row, number, value = _entries(batch.column(k), names)
+            z = np.bincount(row, value * beta[number], minlength=batch.num_rows) if len(row) else np.zeros(batch.num_rows)
+            columns = [c for i, c in enumerate(batch.columns) if i != k]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(z)], names=[*(n for n in batch.schema.names if n != "_e"), "z"])
+
+    return run
+
+
+_VECTOR = pa.struct([("type", pa.int8()), ("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
+
+
+def _vectors(held):
+    def run(batches):
+        names, scales = held.value  # of the features, and one more scale for the offset
+        size = len(scales)
+        for batch in batches:
+            n = batch.num_rows
+            row, number, value = _entries(batch.column("e"), names)
+            if size > len(names):
+                offset = batch.column("offset").to_numpy(zero_copy_only=False)
+                row, number, value = np.concatenate([row, np.arange(n)]), np.concatenate([number, np.full(n, size - 1)]), np.concatenate([value, offset])
+            order = np.lexsort((number, row))
+            row, number, value = row[order], number[order], value[order]
+            new = np.append(True, (row[1:] != row[:-1]) | (number[1:] != number[:-1])) if len(row) else np.zeros(0, bool)
+            value = np.add.reduceat(value, np.flatnonzero(new)) if len(row) else value
+            row, number = row[new], number[new]
+            at = pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32))
+            lists = pa.ListArray.from_arrays(at, pa.array(number.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(value * scales[number]))
+            vector = pa.StructArray.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)), *lists], fields=list(_VECTOR))
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("w"), vector], names=["label", "w", "features"])
+
+    return run
+
+
+def fit(drafts: DataFrame, families: list[str], penalty: dict[str, float] | None = None, weight: str | None = None, iterations: int = 300, offset: str | None = None) -> Model:
+    """Fits y of decided drafts on the families; ``weight`` names a column of case weights, ``offset`` one that is added to z as it is."""
     penalty = PENALTY | (penalty or {})
     spark = drafts.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    drafts = drafts.repartition(parts, "match_id")
-    rows = durable(design.rows(drafts, families).withColumn("group", F.split("feature", ":")[0]))
-    seen = rows.groupBy("feature", "group").agg(F.count(F.lit(1)).alias("n")).orderBy("feature")
-    names = [(r["feature"], r["group"]) for r in seen.limit(MOST_FEATURES + 1).collect()]  # the parameters, not the rows
-    if len(names) > MOST_FEATURES:
-        raise ValueError("too many features for one fit")
+    columns = [F.col("y").cast("double").alias("label"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"), (F.col(offset) if offset else F.lit(0.0)).cast("double").alias("offset")]
+    rows = drafts.select(*columns, design.entries(families).alias("e"))
+    seen = rows.select(F.explode("e").alias("e")).where("e.value <> 0").select("e.feature").distinct()
+    names = sorted(r["feature"] for r in seen.collect())  # the parameters, not the rows
+    constant = [f for f in names if f == SIDE]
+    names = [f for f in names if f != SIDE]
     if not names:
-        return Model(spark.createDataFrame([], "feature string, beta double"), families)
-    ids = F.broadcast(spark.createDataFrame([(f, k) for k, (f, _) in enumerate(names)], "feature string, id int"))
-    scales = {g: 1 / math.sqrt(v) for g, v in penalty.items()}
-    vectors = rows.join(ids, "feature").groupBy("match_id").agg(F.collect_list(F.struct("id", "group", "value")).alias("e"))
-    columns = ["match_id", F.col("y").cast("double").alias("label"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w")]
-    # A fixed number of parts: joined ones would be merged by size, and each iteration would have few tasks.
-    data = durable(vectors.join(drafts.select(*columns), "match_id").repartition(parts).select("label", "w", _vector(len(names), scales)("e").alias("features")))
+        return Model(spark, [], np.zeros(0), families)
+    scales = np.array([1 / math.sqrt(penalty[f.split(":", 1)[0]]) for f in names] + ([1.0] if offset else []))
+    held = spark.sparkContext.broadcast((pa.array(names, pa.string()), scales))
+    schema = StructType([StructField("label", DoubleType()), StructField("w", DoubleType()), StructField("features", VectorUDT())])
+    # A fixed number of parts, so that each iteration keeps all tasks busy, but no more than there is work for.
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), drafts.count() // ROWS_A_PART + 1)
+    data = durable(rows.repartition(parts).mapInArrow(_vectors(held), schema))
     total = data.agg(F.sum("w")).first()[0]
-    lr = LogisticRegression(fitIntercept=False, standardization=False, elasticNetParam=0.0, regParam=1 / total, maxIter=iterations, tol=1e-9, weightCol="w")
-    beta = lr.fit(data).coefficients.toArray()
-    found = [(f, float(b) * scales[g]) for (f, g), b in zip(names, beta, strict=True)]
-    return Model(spark.createDataFrame(found, "feature string, beta double"), families)
+    options = {"fitIntercept": bool(constant), "standardization": False, "elasticNetParam": 0.0, "regParam": 1 / total, "maxIter": iterations, "tol": 1e-9, "weightCol": "w"}
+    if offset:
+        ends = [np.append(np.full(len(names), s), 1.0) for s in (-np.inf, np.inf)]
+        low, high = (DenseMatrix(1, len(scales), x.tolist()) for x in ends)
+        options |= {"lowerBoundsOnCoefficients": low, "upperBoundsOnCoefficients": high}
+    found = LogisticRegression(**options).fit(data)
+    scaled = found.coefficients.toArray()
+    # The gradient at the end: errors times columns, by label since weights are positive.
+    p = vector_to_array("probability")[1]
+    error = F.col("w") * F.when(F.col("label") == 1, 1 - p).otherwise(p)
+    sums = found.transform(data).groupBy("label").agg(Summarizer.metrics("sum").summary(F.col("features"), error).alias("s")).collect()
+    gradient = scaled + sum((1 - 2 * r["label"]) * r["s"]["sum"].toArray() for r in sums)
+    left = float(np.abs(gradient[: len(names)]).max() / total)
+    if left > TOLERANCE:
+        raise RuntimeError(f"the fit of {families} stopped after {found.summary.totalIterations} steps with a gradient of {left:.2g}")
+    beta = np.append((scaled * scales)[: len(names)], [found.intercept] if constant else [])
+    return Model(spark, names + constant, beta, families, left, found.summary.totalIterations)
 
 
 def temperature(scored: DataFrame, steps: int = 12) -> float:
@@ -84,6 +158,28 @@ def temperature(scored: DataFrame, steps: int = 12) -> float:
     return 1 / inverse
 
 
+def search(train: DataFrame, check: DataFrame, families: list[str], blocks: list[str], grid: list[float], sweeps: int = 2) -> tuple[dict[str, float], list[tuple[int, str, float, float]]]:
+    """Penalties of the blocks by coordinate search: each in turn takes the grid's value with the
+    least log loss on ``check``, until a sweep changes none.  Also all that was tried: sweep, block, penalty, loss."""
+    from trifold.operators.metrics import losses
+
+    best, tried, known = {b: PENALTY[b] for b in blocks}, [], {}
+
+    def loss(penalty: dict[str, float]) -> float:
+        key = tuple(sorted(penalty.items()))
+        if key not in known:
+            known[key] = losses(fit(train, families, penalty).predict(check)).first()["log_loss"]
+        return known[key]
+
+    for sweep_at in range(sweeps):
+        before = dict(best)
+        for b in blocks:
+            scores = [(loss(best | {b: v}), v) for v in grid]
+            tried += [(sweep_at, b, v, x) for x, v in scores]
+            best[b] = min(scores)[1]
+        if best == before:
+            break
+    return best, tried
 
 
 def sweep(coefficients: DataFrame, child: str, parent: str) -> DataFrame:

@@ -30,6 +30,19 @@ def auc(df: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
     return placed.agg(F.try_divide(hits, 2.0 * pos.cast("double") * neg).alias("auc"), pos.alias("n_pos"), neg.alias("n_neg"))
 
 
+def auc_interval(df: DataFrame, p: str = "p", y: str = "y", z: float = 1.96) -> DataFrame:
+    """``auc`` with a normal interval from the variances of both classes' placements among the other."""
+    by = df.groupBy(p).agg(F.sum(F.col(y)).cast("long").alias("pos"), F.sum(1 - F.col(y)).cast("long").alias("neg"))
+    placed = running_before(by, [F.col(p)], ["pos", "neg"])
+    n_pos, n_neg = (float(x or 0) for x in by.agg(F.sum("pos"), F.sum("neg")).first())
+    up = F.try_divide(F.col("before_neg") + F.col("neg") / 2, F.lit(n_neg))  # of a positive: the share of negatives below
+    down = 1 - F.try_divide(F.col("before_pos") + F.col("pos") / 2, F.lit(n_pos))
+    mean = F.try_divide(F.sum(F.col("pos") * up), F.lit(n_pos))
+    spread = lambda n, x, total: F.try_divide(F.try_divide(F.sum(n * x * x) - total * mean * mean, F.lit(max(total - 1, 0.0))), F.lit(total))
+    error = F.sqrt(F.greatest(spread(F.col("pos"), up, n_pos) + spread(F.col("neg"), down, n_neg), F.lit(0.0)))
+    return placed.agg(mean.alias("auc"), (mean - z * error).alias("low"), (mean + z * error).alias("high"), F.lit(int(n_pos)).cast("long").alias("n_pos"), F.lit(int(n_neg)).cast("long").alias("n_neg"))
+
+
 def calibration(df: DataFrame, key: str, bins: int = 10, p: str = "p", y: str = "y") -> DataFrame:
     """Equal-count bins in order of p: count, mean p and share of y."""
     n = df.count()

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
-from trifold.functions.expr import decay
-from trifold.operators import comps, decide, fit, lanes, metrics, pairs, power, ranking, resample
+from trifold.functions.expr import decay, p_of_interval
+from trifold.operators import comps, decide, fit, lanes, lookup, metrics, pairs, power, ranking, resample
 from trifold.plans.registry import query
 from trifold.session import durable
 from trifold.sources import bind
@@ -31,19 +33,56 @@ def _union(frames):
     return out
 
 
+def _context(spark, sf):
+    """Train and test with what the further families read: patch, tier, power, mastery and popularity.
+
+    Popularity is learned from the train part alone."""
+    train, test = _split(spark, sf)
+    side = lambda k, c: F.avg(F.when(F.col("team_idx") == k, F.col(c)))
+    ps = bind.players(spark, sf)
+    own = ps.groupBy("match_id").agg((side(0, "power") - side(1, "power")).alias("power"), (F.log1p(side(0, "trophies")) - F.log1p(side(1, "trophies"))).alias("mastery"))
+    known = bind.pool(spark, sf).where("ranked_rank IS NOT NULL").select(F.col("tag").alias("player"), "ranked_rank")
+    ranks = ps.join(known, "player").groupBy("match_id").agg(F.sort_array(F.collect_list("ranked_rank")).alias("r"))  # one match's players
+    tier = ranks.select("match_id", F.least(F.floor(F.element_at("r", (F.floor(F.size("r") / 2) + 1).cast("int")) / 6), F.lit(3)).cast("int").alias("tier"))
+    picks = train.select(F.explode(F.concat("a", "b")).alias("k")).groupBy("k").count()
+    rate = dict.fromkeys(range(bind.N), 1) | {r["k"]: r["count"] + 1 for r in picks.collect()}  # parameters, not rows
+    total = sum(rate.values())
+    logs = F.array(*[F.lit(math.log(rate[k] / total)) for k in range(bind.N)])
+    popular = lambda t: F.aggregate(t, F.lit(0.0), lambda acc, k: acc + F.element_at(logs, k + 1))
+
+    def more(d):
+        d = lookup.interval(d, bind.patches(spark), "t", ["patch_id"]).withColumnRenamed("patch_id", "patch")
+        return durable(d.join(own, "match_id", "left").join(tier, "match_id", "left").withColumn("popularity", (popular("a") - popular("b")) / 3))
+
+    return more(train), more(test)
+
+
 @query()
 def ridge_fit(spark, sf):
     train, _ = _split(spark, sf)
     return fit.fit(train, ["solo"]).coefficients.withColumn("beta", F.round("beta", 4))
 
 
-LADDER = [("M0", ["solo"]), ("M1", ["solo", "solo_mode"]), ("M2", ["solo", "solo_mode", "counter"]), ("M4", ["solo", "solo_mode", "theory"])]
+CONTEXT = ["solo", "solo_mode", "solo_map"]
+LADDER = [
+    ("M0", ["solo"]), ("M1", CONTEXT), ("M2", [*CONTEXT, "synergy"]), ("M3", [*CONTEXT, "counter"]), ("M4", [*CONTEXT, "synergy", "counter"]), ("M5", [*CONTEXT, "synergy", "counter", "theory"]),
+    ("M8", [*CONTEXT, "synergy", "counter", "power", "mastery"]), ("P_mode", ["solo", "solo_mode"]), ("P_map", CONTEXT),
+]
 
 
 @query()
 def ablation_ladder(spark, sf):
-    train, test = _split(spark, sf)
-    return _union([_quality(durable(fit.fit(train, f).predict(test)), rung=name, families="+".join(f)) for name, f in LADDER])
+    """Each rung's quality on the later matches, how many parameters it has and how well its fit ended."""
+    train, test = _context(spark, sf)
+    out, done = [], {}
+    for name, families in LADDER:
+        key = tuple(families)
+        if key not in done:
+            m = fit.fit(train, families)
+            done[key] = m, durable(m.predict(test))
+        m, scored = done[key]
+        out.append(_quality(scored, rung=name, families="+".join(families), params=len(m.names), steps=m.iterations))
+    return _union(out)
 
 
 @query()
@@ -57,11 +96,14 @@ def temperature_scaling(spark, sf):
 
 @query()
 def shrinkage_cv(spark, sf):
-    """The penalty by its loss on the last part of the training time."""
-    train, _ = _split(spark, sf)
+    """Penalties by block from their loss on the last part of the training time, and what the chosen ones give on the test part."""
+    train, test = _split(spark, sf)
     cut = int(train.count() * 0.85)
     inner, check = train.where(F.col("rn") <= cut), train.where(F.col("rn") > cut)
-    return _union([_quality(durable(fit.fit(inner, ["solo"], {"solo": v}).predict(check)), penalty=v) for v in (1.0, 5.0, 25.0, 125.0)])
+    families = ["solo", "solo_mode"]
+    best, _ = fit.search(inner, check, families, families, [5.0, 25.0, 125.0])
+    rows = [_quality(durable(fit.fit(train, families, p).predict(test)), penalties=name, solo=p["solo"], solo_mode=p["solo_mode"]) for name, p in (("given", {f: fit.PENALTY[f] for f in families}), ("chosen", best))]
+    return _union(rows)
 
 
 @query()
@@ -86,11 +128,16 @@ def confound_refit(spark, sf):
 
 @query()
 def clustered_bootstrap(spark, sf):
-    """Residual means of composition families with intervals that resample whole matches, and their false discovery rate."""
-    rows = comps.with_roles(pairs.sides(bind.decided(spark, sf))).withColumn("residual", F.col("won") - 0.5)
+    """Means of composition families' residuals over the solo fit, with intervals that
+    resample whole matches, and their false discovery rate by the normal p-values,
+    which go below 1 / replicates."""
+    d = bind.decided(spark, sf).select("match_id", "mode", "map_id", "a", "b", "y")
+    scored = fit.fit(d, ["solo"], {"solo": 25.0}).predict(d)
+    expected = F.when(F.col("side") == 0, F.col("p")).otherwise(1 - F.col("p"))
+    rows = comps.with_roles(pairs.sides(scored)).withColumn("residual", F.col("won") - expected)
     each = rows.select("match_id", "residual", F.explode(comps.memberships()).alias("m")).withColumn("grp", F.concat_ws(":", "m.family", "m.label"))
     out = durable(resample.group_means(each, "grp", "residual", "match_id").where("n >= 30 AND p IS NOT NULL"))
-    return ranking.false_discovery(out, "p", "grp").select("grp", "n", *[F.round(c, 5).alias(c) for c in ("mean", "error", "low", "high", "p")], "fdr", "bonferroni")
+    return ranking.false_discovery(out, "p_normal", "grp").select("grp", "n", *[F.round(c, 5).alias(c) for c in ("mean", "error", "low", "high", "p", "p_normal")], "fdr", "bonferroni")
 
 
 @query()
@@ -106,54 +153,110 @@ def split_half(spark, sf):
     return decide.captured(lists[0], lists[1], 5).select("map_id", F.round("captured", 5).alias("captured"))
 
 
-@query()
-def power_table(spark, sf):
-    """Matches that joint tests would need, from the spread of the data's own pick rates."""
+def _planned(spark, sf) -> list[tuple[str, int, float]]:
+    """Test, degrees of freedom and variance a match of joint tests, from the spread of the data's own pick rates."""
     picks = bind.drafts(spark, sf).select(F.explode(F.concat("a", "b")).alias("brawler_id"))
     by = picks.groupBy("brawler_id").agg(F.count(F.lit(1)).alias("k"))
     total = by.agg(F.sum("k").alias("total"))
     q = by.crossJoin(F.broadcast(total)).select((F.col("k") / F.col("total")).alias("q"))
     s1, s2, n = q.agg(F.sum(6 * F.col("q")), F.sum(F.col("q") * F.col("q")), F.count(F.lit(1))).first()
     if not n:
-        return spark.createDataFrame([], "test string, df int, variance double, n80 bigint")
-    sigma = power.sigma_from_auc(0.56)
-    rows = []
-    for name, df, share in (("solo", n - 1, float(s1) / 6), ("synergy", n * (n - 1) // 2, 1 - float(s2)), ("counter", n * (n - 1) // 2, 1 - float(s2))):
-        variance = sigma**2 * share / (1 if name == "solo" else 3)
-        rows.append((name, int(df), round(variance, 6), power.matches_needed(df, variance, 0.05 / 6)))
+        return []
+    sigma, many = power.sigma_from_auc(0.56), n * (n - 1) // 2
+    solo, pair = sigma**2 * float(s1) / 6, sigma**2 * (1 - float(s2)) / 3
+    return [("solo", int(n - 1), solo), ("synergy", int(many), pair), ("counter", int(many), pair), ("both", int(2 * many), 2 * pair)]
+
+
+@query()
+def power_table(spark, sf):
+    """Matches that joint tests would need."""
+    rows = [(name, df, round(v, 6), power.matches_needed(df, v, 0.05 / 6)) for name, df, v in _planned(spark, sf)]
     return spark.createDataFrame(rows, "test string, df int, variance double, n80 bigint")
 
 
+@query()
+def achieved_power(spark, sf):
+    """The power of each joint test at the number of matches to train on."""
+    n = int(bind.decided(spark, sf).count() * 0.8)
+    rows = [(name, df, n, round(power.power(df, n * v / 4, 0.05 / 6), 4)) for name, df, v in _planned(spark, sf)]
+    return spark.createDataFrame(rows, "test string, df int, n_train long, power double")
+
+
 @query()
 def transfer_auc(spark, sf):
-    """A model of one mode on the others: AUC with an interval over resampled matches' pair order."""
+    """A model of one mode on the others: AUC with its interval."""
     train, test = _split(spark, sf)
     m = train.agg(F.min("mode")).first()[0]
     s = durable(fit.fit(train.where(F.col("mode") == m), ["solo"]).predict(test.where(F.col("mode") != m)))
-    return _union([_quality(s.where(F.col("mode") == r["mode"]), mode=r["mode"]) for r in s.select("mode").distinct().orderBy("mode").collect()])
+    modes = [r["mode"] for r in s.select("mode").distinct().orderBy("mode").collect()]  # a handful
+    return _union([metrics.auc_interval(s.where(F.col("mode") == x)).select(F.lit(x).alias("mode"), *[F.round(c, 5).alias(c) for c in ("auc", "low", "high")], "n_pos", "n_neg") for x in modes])
+
+
+#: Signal, whether a draft alone shows it, and its families beside the base.
+SIGNALS = [
+    ("map", True, ["solo_map"]), ("class matchup", True, ["matchup"]), ("class counts", True, ["roles"]), ("class stack", True, ["stack"]), ("popularity", True, ["popularity"]),
+    ("side", False, ["side"]), ("power", False, ["power"]), ("mastery", False, ["mastery"]),
+]
+INTERACTIONS = [
+    ("class matchup by mode", True, ["matchup_mode"]), ("patch", True, ["solo_patch"]), ("synergy", True, ["synergy"]), ("counter", True, ["counter"]), ("synergy and counter", True, ["synergy", "counter"]),
+    ("map and class matchup", True, ["solo_map", "matchup"]), ("power and mastery", False, ["power", "mastery"]),
+]
+TIERS = [("tier", True, ["solo_tier"]), ("counter by mode", True, ["counter_mode"])]
+
+
+def _sweep(spark, sf, signals):
+    """Each signal's gain in log loss over the base, with an interval over resampled matches and the false discovery rate of all."""
+    train, test = _context(spark, sf)
+    loss, base_families = metrics.log_loss("p", "y"), ["solo", "solo_mode"]
+    base = durable(fit.fit(train, base_families).predict(test).select("match_id", loss.alias("base")))
+    out = []
+    for name, deployable, families in signals:
+        m = fit.fit(train, [*base_families, *families])
+        mine = m.predict(test).select("match_id", loss.alias("loss"))
+        delta = resample.paired_difference(base.join(mine, "match_id"), "base", "loss", "match_id")
+        out.append(delta.select(F.lit(name).alias("signal"), F.lit(deployable).alias("deployable"), F.lit(len(m.names)).alias("params"), "n", "delta", "low", "high", "matters", p_of_interval("delta", "low", "high").alias("p")))
+    ranked = ranking.false_discovery(durable(_union(out)), "p", "signal")
+    return ranked.select("signal", "deployable", "params", "n", *[F.round(c, 6).alias(c) for c in ("delta", "low", "high", "p")], "matters", "fdr")
 
 
 @query()
 def signal_sweep(spark, sf):
-    """Each family's gain in log loss over the base, with an interval over resampled matches."""
-    train, test = _split(spark, sf)
-    loss = metrics.log_loss("p", "y")
-    base = durable(fit.fit(train, ["solo"]).predict(test).select("match_id", loss.alias("base")))
-    out = []
-    for family in ("solo_mode", "theory", "counter"):
-        mine = fit.fit(train, ["solo", family]).predict(test).select("match_id", loss.alias("loss"))
-        delta = resample.paired_difference(base.join(mine, "match_id"), "base", "loss", "match_id")
-        out.append(delta.select(F.lit(family).alias("signal"), "n", *[F.round(c, 6).alias(c) for c in ("delta", "low", "high")], "matters"))
+    return _sweep(spark, sf, SIGNALS)
+
+
+@query()
+def interaction_sweep(spark, sf):
+    return _sweep(spark, sf, INTERACTIONS)
+
+
+@query()
+def tier_sweep(spark, sf):
+    return _sweep(spark, sf, TIERS)
+
+
+@query()
+def tier_correlation(spark, sf):
+    """Strengths fitted for each tier by itself, and how two tiers' agree."""
+    train, _ = _context(spark, sf)
+    tiers = [r["tier"] for r in train.where("tier IS NOT NULL").groupBy("tier").count().where("count >= 200").orderBy("tier").collect()]  # four at most
+    fits = {t: durable(fit.fit(train.where(F.col("tier") == t), ["solo"]).coefficients) for t in tiers}
+    out = [spark.createDataFrame([], "tier int, other int, n long, r double")]
+    for i, t in enumerate(tiers):
+        for u in tiers[i + 1 :]:
+            both = fits[t].join(fits[u].withColumnRenamed("beta", "other_beta"), "feature")
+            out.append(both.agg(F.lit(t).alias("tier"), F.lit(u).alias("other"), F.count(F.lit(1)).alias("n"), F.round(F.corr("beta", "other_beta"), 4).alias("r")))
     return _union(out)
 
 
 @query()
 def carry_forward(spark, sf):
-    """Strengths of the later half fitted as a change from those of the earlier half."""
-    train, test = _split(spark, sf, 0.5)
-    old = fit.fit(train, ["solo"]).coefficients.withColumnRenamed("beta", "old")
-    new = fit.fit(test, ["solo"], {"solo": 25.0}).coefficients.withColumnRenamed("beta", "new")
-    return old.join(new, "feature", "full").select("feature", F.round("old", 4).alias("old"), F.round("new", 4).alias("new"))
+    """Strengths of the later half fitted as a change from those of the earlier half: the penalty is on the change."""
+    early, late = _split(spark, sf, 0.5)
+    old = fit.fit(early, ["solo"])
+    change = fit.fit(old.predict(late).withColumnRenamed("z", "before"), ["solo"], {"solo": 25.0}, offset="before")
+    both = old.coefficients.withColumnRenamed("beta", "old").join(change.coefficients.withColumnRenamed("beta", "change"), "feature", "full")
+    value = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    return both.select("feature", F.round(value("old"), 4).alias("old"), F.round(value("old") + value("change"), 4).alias("new"))
 
 
 @query()
@@ -170,15 +273,3 @@ def lane_second_stage(spark, sf):
         delta = resample.paired_difference(base.join(mine, "match_id"), "base", "loss", "match_id")
         out.append(delta.select(F.lit(name).alias("feature"), F.array(*[F.lit(round(x, 4)) for x in w]).alias("weights"), "n", *[F.round(c, 6).alias(c) for c in ("delta", "low", "high")], "matters"))
     return _union(out)
-
-
-#: Variance of the logits and degrees of freedom that each family is planned with.  Fixed values.
-PLANNED = [("solo", 0.10184, 106), ("synergy", 0.02997, 5671), ("counter", 0.03596, 5671), ("both", 0.06593, 11342), ("theory", 0.00449, 24)]
-
-
-@query()
-def achieved_power(spark, sf):
-    """The power of each family's joint test at the number of matches to train on."""
-    n = int(bind.decided(spark, sf).count() * 0.8)
-    rows = [(f, df, n, round(power.power(df, n * v / 4, 0.05 / 6), 4)) for f, v, df in PLANNED]
-    return spark.createDataFrame(rows, "family string, df int, n_train long, power double")
