@@ -33,6 +33,21 @@ def op1(docs, n=13):
     return out
 
 
+def substrings_rows(rows, n=13):
+    """(doc_id, n_words, n_removed, kept) of every row, doc_ids repeated or null (as large as the largest long)."""
+    least = {}
+    rows = [(d, (1 << 63) - 1 if d is None else d, words(t)) for d, t in rows]
+    for _, d, w in rows:
+        for i in range(len(w) - n + 1):
+            key = tuple(w[i : i + n])
+            least[key] = min(d, least.get(key, d))
+    out = []
+    for shown, d, w in rows:
+        gone = {j for i in range(len(w) - n + 1) if least[tuple(w[i : i + n])] < d for j in range(i, i + n)}
+        out.append((shown, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    return out
+
+
 def op3(docs):
     groups = {}
     for d, t in docs:

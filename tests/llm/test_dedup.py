@@ -255,6 +255,26 @@ def test_substrings_hot_runs(frame, corpus, monkeypatch):
     assert by_id(out, "n_words", "n_removed", "h") == brute.op1(corpus)
 
 
+def test_substrings_passage_in_every_bucket(frame, monkeypatch):
+    """A passage of all documents, over many buckets and small Arrow batches: each bucket gives one row for a window, none with a list."""
+    monkeypatch.setattr(substrings, "HOT", 20)
+    monkeypatch.setattr(substrings, "SYMBOLS", 50)
+    monkeypatch.setattr(substrings, "ANSWERS", 100)
+    monkeypatch.setattr(substrings, "partitions", lambda spark: 13)
+    passage = " ".join(f"p{i}" for i in range(40))
+    other = " ".join(f"q{i}" for i in range(16))
+    rows = [(d, f"u{d} {passage} v{d} " + (other if d % 3 == 0 else "") + (f" {passage}" if d % 50 == 0 else "")) for d in range(300)]
+    rows += [(7, f"z {other} {passage}"), (None, passage), (None, f"{passage} y"), ((1 << 63) - 1, f"w {passage}"), (299, None)]
+    docs = frame(rows)
+    sizes = docs.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substrings.remove_repeated(docs).collect()), key=repr)
+    finally:
+        docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", sizes)
+    assert got == sorted(brute.substrings_rows(rows, substrings.WINDOW), key=repr)
+
+
 def test_substrings_nulls_repeats_and_empty(frame):
     text = " ".join(f"q{k}" for k in range(20))
     rows = [(2, text), (2, text), (None, text), (9, None)]

@@ -10,13 +10,17 @@ window which also starts in a document with a smaller doc_id are removed.
 2. The windows that name the same shared run at the same place form a piece of
    text.  Pieces go to the shard of their run's hash; equal pieces of a bucket
    go once, for the smallest of their documents.  Runs that over HOT documents
-   name are cut into single windows, which go by their own hash instead, so no
-   frequent passage meets in one shard.
+   name are cut into single windows, which go by their own hash instead, with
+   the smallest document of the bucket and no list of the others.
 3. Each shard indexes its pieces in a compressed FM-index over words, with the
    smallest document of each suffix range, and streams the pieces through it:
    backward search over the wavelet matrix gives matching statistics, and
    windows with a full match in a smaller document are reported as intervals.
-4. The intervals return to their texts, which drop the words under them.
+   Of a single window the two smallest documents are indexed; the buckets of
+   further copies hear at once which document has it first, so a window that
+   stands in every bucket streams through its shard and is never held there.
+4. The intervals return to their texts, which drop the words under them.  Single
+   windows return as (hash, first document) and are found again in the bucket.
 
 Documents are compared by doc_id; places name a text.  Equal rows share a
 bucket, and where a bucket has different texts under one doc_id those are
@@ -28,7 +32,7 @@ shuffled once; the exchange serves steps 2 and 4.
 
 Defined cases: a null text has no words, nor has an empty one; a document of
 fewer words than a window loses none; a null doc_id counts as larger than all
-others; rows that repeat a doc_id, null or not, don't remove anything from each
+others, as large as the largest long; rows that repeat a doc_id, null or not, don't remove anything from each
 other, whatever their texts are, and each loses its own windows only; an empty table gives no rows; other columns are not read.
 """
 
@@ -130,8 +134,9 @@ def _shared(batches):
 
 # Step 2: the pieces of a bucket
 
-PIECES = "key long, bucket long, text string, own long, ids array<long>, places array<long>"
-_PIECES = pa.schema([("key", pa.int64()), ("bucket", pa.int64()), ("text", pa.string()), ("own", pa.int64()), ("ids", pa.list_(pa.int64())), ("places", pa.list_(pa.int64()))])
+#: single: 0 is a piece with all its ids and places; 1 and 2 are single windows of one and of several documents of the bucket.
+PIECES = "key long, bucket long, single tinyint, text string, own long, ids array<long>, places array<long>"
+_PIECES = pa.schema([("key", pa.int64()), ("bucket", pa.int64()), ("single", pa.int8()), ("text", pa.string()), ("own", pa.int64()), ("ids", pa.list_(pa.int64())), ("places", pa.list_(pa.int64()))])
 
 
 def _slices(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -188,11 +193,16 @@ def _pieces(docs: pa.Table, answer: pa.Table) -> pa.Table:
         order = np.lexsort((ids, content))
         start = np.flatnonzero(np.append(True, np.diff(content[order]) != 0))
         rep = order[start]
-        offs = pa.array(np.append(start, len(order)).astype(np.int32))
+        size = np.diff(np.append(start, len(order)))
+        last = order[start + size - 1]
+        kind = np.where(single[a][rep], 1 + (ids[last] != ids[rep]), 0).astype(np.int8)
+        listed = np.repeat(kind == 0, size)
+        offs = pa.array(np.append(0, np.cumsum(np.where(kind == 0, size, 0))).astype(np.int32))
+        order = order[listed]
         bucket = np.full(len(rep), batch.column("bucket")[0].as_py())
         out.append(
             pa.Table.from_arrays(
-                [pa.array(key[rep].view(np.int64)), pa.array(bucket), _slices(raw, starts[a_word[rep]], ends[b_word[rep]]), pa.array(ids[rep]), pa.ListArray.from_arrays(offs, pa.array(ids[order])), pa.ListArray.from_arrays(offs, pa.array(place[order]))],
+                [pa.array(key[rep].view(np.int64)), pa.array(bucket), pa.array(kind), _slices(raw, starts[a_word[rep]], ends[b_word[rep]]), pa.array(ids[rep]), pa.ListArray.from_arrays(offs, pa.array(ids[order])), pa.ListArray.from_arrays(offs, pa.array(place[order]))],
                 schema=_PIECES,
             )
         )
@@ -201,11 +211,13 @@ def _pieces(docs: pa.Table, answer: pa.Table) -> pa.Table:
 
 # Step 3: the shards
 
-FOUND = "bucket long, ids array<long>, starts array<long>, ends array<int>"
+FOUND = "bucket long, ids array<long>, starts array<long>, ends array<int>, windows array<long>, firsts array<long>"
+#: How many answers about single windows a task collects before it sends them.
+ANSWERS = 1 << 20
 
 
-def repeated(texts: pa.Array, own: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Intervals of words of the texts whose windows also stand in a text with a smaller ``own``: text, start, end."""
+def repeated(texts: pa.Array, own: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals of words of the texts whose windows also stand in a text with a smaller ``own``: text, start, end, that ``own``."""
     _, _, _, first, words = _words(texts)
     ids = np.unique(words, return_inverse=True)[1] + 1
     size = np.diff(first)
@@ -220,14 +232,66 @@ def repeated(texts: pa.Array, own: np.ndarray, window: int = WINDOW) -> tuple[np
     hit = (length >= window) & (least[where] < np.repeat(own, size)) if len(ids) else np.zeros(0, bool)
     at = np.flatnonzero(hit)
     if not len(at):
-        return at, at, at
+        return at, at, at, at
     new = np.append(True, (at[1:] != at[:-1] + 1) | (text[at[1:]] != text[at[:-1]]))
     a = at[new]
     b = at[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)]
-    return text[a], a - first[text[a]], b - first[text[a]] + window
-
-
-def _shard(rows: pa.Table) -> pa.RecordBatch:
+    return text[a], a - first[text[a]], b - first[text[a]] + window, least[where[a]]
+
+
+def _by_bucket(bucket: np.ndarray, order: np.ndarray, columns: dict) -> pa.RecordBatch:
+    """Answers of ``order``, whose buckets ascend, one row for each bucket; columns that are not given are empty."""
+    bucket = bucket[order]
+    edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    offs, none = pa.array(np.append(edge, len(bucket)).astype(np.int32)), pa.array(np.zeros(len(edge) + 1, np.int32))
+    kinds = {"ids": np.int64, "starts": np.int64, "ends": np.int32, "windows": np.int64, "firsts": np.int64}
+    lists = [pa.ListArray.from_arrays(offs, pa.array(columns[c][order].astype(k))) if c in columns else pa.ListArray.from_arrays(none, pa.array(np.zeros(0, k))) for c, k in kinds.items()]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[edge]), *lists], names=["bucket", *kinds])
+
+
+class _Singles:
+    """Single windows, rows in order of key and own: which of them are indexed, and the answers for all others."""
+
+    def __init__(self):
+        self.waiting, self.n = [], 0
+        self.key, self.seen = None, {}  # of the key that rows came of last: text -> first document, rows so far
+
+    def take(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The rows to index; the answers for the others wait to be sent."""
+        key, own = batch.column("key").to_numpy(), batch.column("own").to_numpy()
+        code = batch.column("text").dictionary_encode()
+        texts, code = code.dictionary, code.indices.to_numpy()
+        rank = np.cumsum(np.append(0, key[1:] != key[:-1]))
+        _, first, group, size = np.unique(rank * len(texts) + code, return_index=True, return_inverse=True, return_counts=True)
+        by = np.argsort(group, kind="stable")
+        nth = np.empty(len(key), np.int64)
+        nth[by] = np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size)
+        least = own[first]
+        # A key's rows may go on from the batch before.
+        for g in np.flatnonzero(key[first] == self.key) if self.key is not None else ():
+            known = self.seen.get(texts[code[first[g]]].as_py())
+            if known:
+                least[g] = known[0]
+                nth[group == g] += known[1]
+        if key[-1] != self.key:
+            self.key, self.seen = key[-1], {}
+        for g in np.flatnonzero(key[first] == self.key):
+            self.seen[texts[code[first[g]]].as_py()] = int(least[g]), int(nth[group == g].max()) + 1
+        told = (nth > 1) | (batch.column("single").to_numpy() == 2)  # else the index tells the second
+        self.add(batch.column("bucket").to_numpy()[told], key[told], least[group][told])
+        return batch.filter(pa.array(nth < 2))
+
+    def add(self, bucket, key, least):
+        self.waiting.append((bucket, key, least))
+        self.n += len(bucket)
+
+    def flush(self):
+        bucket, key, least = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
+        self.waiting, self.n = [], 0
+        return _by_bucket(bucket, np.lexsort((key, bucket)), {"windows": key, "firsts": least})
+
+
+def _shard(rows: pa.Table, singles: _Singles) -> pa.RecordBatch:
     own, bucket = rows.column("own").to_numpy(), rows.column("bucket").to_numpy()
     texts = rows.column("text").combine_chunks()
     ids, places = rows.column("ids").combine_chunks(), rows.column("places").combine_chunks()
@@ -238,7 +302,10 @@ def _shard(rows: pa.Table) -> pa.RecordBatch:
     # Other documents than the first of an equal piece lose all of it.
     later = np.flatnonzero(ids != own[piece])
     found = [(piece[later], ids[later], places[later], places[later] + size[piece[later]])]
-    k, a, b = repeated(texts, own)
+    k, a, b, least = repeated(texts, own)
+    alone = rows.column("single").to_numpy()[k] > 0
+    singles.add(bucket[k[alone]], rows.column("key").to_numpy()[k[alone]], least[alone])
+    k, a, b = k[~alone], a[~alone], b[~alone]
     same = np.flatnonzero(ids == own[piece])  # the first document may have the piece at several places
     n = np.bincount(piece[same], minlength=len(own))
     begin = np.concatenate([[0], np.cumsum(n)[:-1]])
@@ -247,32 +314,36 @@ def _shard(rows: pa.Table) -> pa.RecordBatch:
     found.append((piece[pick], ids[pick], places[pick] + a, places[pick] + b))
     piece, ids, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.lexsort((start, ids, bucket[piece]))
-    to, ids, start, end = bucket[piece][order], ids[order], start[order], end[order]
-    edge = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, np.int64)
-    offs = pa.array(np.append(edge, len(to)).astype(np.int32))
-    lists = [pa.ListArray.from_arrays(offs, pa.array(x)) for x in (ids, start, (end & ((1 << PLACE) - 1)).astype(np.int32))]
-    return pa.RecordBatch.from_arrays([pa.array(to[edge]), *lists], names=["bucket", "ids", "starts", "ends"])
+    return _by_bucket(bucket[piece], order, {"ids": ids, "starts": start, "ends": end & ((1 << PLACE) - 1)})
 
 
 def _shards(batches):
     """Pieces in order of their keys, some whole keys at a time."""
-    waiting, words = [], 0
+    waiting, words, singles = [], 0, _Singles()
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        waiting.append(batch)
-        words += int(np.diff(utf8(batch.column("text"))[1]).sum()) // 6
+        for single in (False, True):
+            part = batch.filter(pa.array((batch.column("single").to_numpy() > 0) == single))
+            if part.num_rows and single:
+                part = singles.take(part)
+            if part.num_rows:
+                waiting.append(part)
+                words += int(np.diff(utf8(part.column("text"))[1]).sum()) // 6
+        if singles.n >= ANSWERS:
+            yield singles.flush()
         if words < SYMBOLS:
             continue
         rows = pa.Table.from_batches(waiting)
+        rows = rows.take(pa.array(np.argsort(rows.column("key").to_numpy(), kind="stable")))
         key = rows.column("key").to_numpy()
         cut = int(np.searchsorted(key, key[-1], "left"))
         if cut:
-            yield _shard(rows.slice(0, cut))
+            yield _shard(rows.slice(0, cut), singles)
             waiting = rows.slice(cut).combine_chunks().to_batches()
             words = words * (len(key) - cut) // len(key)
     if waiting:
-        yield _shard(pa.Table.from_batches(waiting))
+        yield _shard(pa.Table.from_batches(waiting), singles)
+    if singles.n:
+        yield singles.flush()
 
 
 # Step 4: the texts that are left
@@ -281,40 +352,66 @@ KEPT = "doc_id long, n_words long, n_removed long, kept string"
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
 
+def _flat(rows: pa.Table, *columns) -> list[np.ndarray]:
+    return [rows.column(c).combine_chunks().flatten().to_numpy() if rows.num_rows else np.zeros(0, np.int64) for c in columns]
+
+
+def _covered(batch: pa.RecordBatch, windows: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each word lies under one of the single windows that its document isn't the first to have; the texts' first words."""
+    _, _, _, first, words = _words(batch.column("text"))
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    full = gram_hashes(words, WINDOW).view(np.int64)
+    inside = text[: len(full)] == text[WINDOW - 1 :][: len(full)]
+    at = np.minimum(np.searchsorted(windows, full), len(windows) - 1)
+    doc = batch.column("doc_id").to_numpy(zero_copy_only=False)
+    hit = np.flatnonzero(inside & (windows[at] == full) & (firsts[at] < doc[text[: len(full)]]))
+    cover = np.bincount(hit, minlength=len(words) + 1) - np.bincount(hit + WINDOW, minlength=len(words) + 1)
+    return np.cumsum(cover[:-1]) > 0, first
+
+
 def _keep(docs: pa.Table, found: pa.Table) -> pa.Table:
-    ids, starts, ends = (found.column(c).combine_chunks().flatten().to_numpy() if found.num_rows else np.zeros(0, np.int64) for c in ("ids", "starts", "ends"))
+    ids, starts, ends, windows, firsts = _flat(found, "ids", "starts", "ends", "windows", "firsts")
     order = np.lexsort((starts, ids))
     ids, starts, ends = ids[order], starts[order], ends[order]
+    order = np.lexsort((firsts, windows))
+    windows, firsts = windows[order], firsts[order]
     out = [_KEPT.empty_table()]
-    for batch in chunks(_numbered(docs).select(["doc_id", "text", "number"]).to_batches(), "text"):
+    for batch in chunks(_numbered(docs).select(["doc_id", "text", "number", "no_id"]).to_batches(), "text"):
         raw, offs = utf8(batch.column("text"))
         raw, offs = raw.tobytes(), offs.tolist()
         doc = batch.column("doc_id").to_numpy(zero_copy_only=False)
         number = batch.column("number").to_pylist()
         low, high = np.searchsorted(ids, doc, "left"), np.searchsorted(ids, doc, "right")
+        under, first = _covered(batch, windows, firsts) if len(windows) else (None, None)
         n, gone, kept = [], [], []
         for k in range(len(doc)):
             words = raw[offs[k] : offs[k + 1]].split()
             n.append(len(words))
-            gone.append(0)
+            left = None
+            if under is not None and under[first[k] : first[k + 1]].any():
+                left = ~under[first[k] : first[k + 1]]
             if high[k] > low[k]:
                 # Of the doc_id's intervals, those of this text.
                 a, b = low[k] + np.searchsorted(starts[low[k] : high[k]], [number[k] << PLACE, (number[k] + 1) << PLACE])
                 cover = np.zeros(len(words) + 1, np.int64)
                 np.add.at(cover, starts[a:b] & ((1 << PLACE) - 1), 1)
                 np.add.at(cover, ends[a:b], -1)
-                left = np.flatnonzero(np.cumsum(cover[:-1]) == 0)
-                gone[-1] = len(words) - len(left)
-                words = [words[i] for i in left.tolist()]
+                free = np.cumsum(cover[:-1]) == 0
+                left = free if left is None else left & free
+            if left is not None:
+                words = [words[i] for i in np.flatnonzero(left).tolist()]
+            gone.append(n[-1] - len(words))
             kept.append(b" ".join(words))
-        out.append(pa.Table.from_arrays([pa.array(doc), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], schema=_KEPT))
+        doc = pa.array(doc, mask=batch.column("no_id").to_numpy(zero_copy_only=False))
+        out.append(pa.Table.from_arrays([doc, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], schema=_KEPT))
     return pa.concat_tables(out)
 
 
 def remove_repeated(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, n_removed and kept, the words that stay, joined by one blank."""
     spark = docs.sparkSession
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    doc_id = F.col("doc_id").cast("long")
+    docs = docs.select(F.coalesce(doc_id, F.lit(LAST_ID)).alias("doc_id"), doc_id.isNull().alias("no_id"), F.coalesce("text", F.lit("")).alias("text"))
     parts = partitions(spark)
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(parts, -(-int(size) // BUCKET_BYTES))
@@ -323,10 +420,9 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     answer = sent.mapInArrow(_shared, "bucket long, keys binary, hot binary").repartition(buckets, "bucket")
     dealt = docs.repartition(buckets, "bucket")
     pieces = dealt.groupBy("bucket").cogroup(answer.groupBy("bucket")).applyInArrow(_pieces, PIECES)
-    shards = pieces.repartition(buckets, "key").sortWithinPartitions("key")
+    shards = pieces.repartition(buckets, "key").sortWithinPartitions("key", "own")
     found = shards.mapInArrow(_shards, FOUND).repartition(buckets, "bucket")
-    kept = dealt.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(_keep, KEPT)
-    return kept.withColumn("doc_id", F.nullif("doc_id", F.lit(LAST_ID)))
+    return dealt.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(_keep, KEPT)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
