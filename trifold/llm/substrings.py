@@ -80,7 +80,7 @@ def _send(parts):
             if not len(at):
                 continue
             doc = np.searchsorted(first, at, "right") - 1
-            ids, buckets = batch.column("doc_id").to_numpy(zero_copy_only=False)[doc], batch.column("bucket").to_numpy(zero_copy_only=False)[doc]
+            ids, buckets = batch.column("doc_id").to_numpy(zero_copy_only=False)[doc], batch.column("bucket").to_numpy(zero_copy_only=False)[doc].astype(np.int64)
             keys = grams[at]
             order = np.lexsort((ids, keys, buckets))
             keys, ids, buckets = keys[order], ids[order], buckets[order]
@@ -415,13 +415,15 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     parts = partitions(spark)
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(parts, -(-int(size) // BUCKET_BYTES))
-    docs = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)))
-    sent = docs.mapInArrow(_send(buckets), SENT).repartition(buckets, "part")
-    answer = sent.mapInArrow(_shared, "bucket long, keys binary, hot binary").repartition(buckets, "bucket")
-    dealt = docs.repartition(buckets, "bucket")
+    docs = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
+    # A bucket is a partition of its own; by hashes of their numbers, several would meet in one task.
+    to = lambda rows, of="bucket": rows.withColumn(of, F.col(of).cast("int")).repartitionById(buckets, F.col(of))
+    sent = to(docs.mapInArrow(_send(buckets), SENT), "part")
+    answer = to(sent.mapInArrow(_shared, "bucket long, keys binary, hot binary"))
+    dealt = to(docs)
     pieces = dealt.groupBy("bucket").cogroup(answer.groupBy("bucket")).applyInArrow(_pieces, PIECES)
     shards = pieces.repartition(buckets, "key").sortWithinPartitions("key", "own")
-    found = shards.mapInArrow(_shards, FOUND).repartition(buckets, "bucket")
+    found = to(shards.mapInArrow(_shards, FOUND))
     return dealt.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(_keep, KEPT)
 
 
