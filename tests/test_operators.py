@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trifold.operators import comps, corpus, decide, design, lookup, metrics, normalize, pairs, ranking, resample, simulate, textkb
+from trifold.plans import streams
 from trifold.schemas import feature_safe
 from trifold.streaming import controller
 
@@ -44,6 +45,21 @@ def test_order_statistics(spark):
     assert got == {0.0: 1, 0.5: 3, 0.9: 5, 1.0: 9}
 
 
+def test_order_statistics_of_keys(spark):
+    """Keys that spread over all ranges, a null one, and values repeated often."""
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", "b", "b", None]), rng.choice([None, *range(9)]) if k % 3 else rng.randrange(1000)) for k in range(900)] + [("z", 4)]
+    df = spark.createDataFrame(rows, "k string, v int")
+    got = {(r["k"], r["p"]): r["v"] for r in ranking.order_statistic(df.where("v IS NOT NULL"), "v", [0.0, 0.3, 0.9, 1.0], ["k"]).collect()}
+    middle = {r["k"]: r["m"] for r in ranking.median(df, "v", ["k"], "m").collect()}
+    for k in {k for k, _ in rows}:
+        v = sorted(x for key, x in rows if key == k and x is not None)
+        assert middle[k] == (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2
+        for p in (0.0, 0.3, 0.9, 1.0):
+            assert got[k, p] == v[int(p * (len(v) - 1))]
+    assert ranking.median(df.limit(0), "v", ["k"]).count() == 0
+
+
 def test_spearman(spark):
     df = spark.createDataFrame([(k, float(k), float(-k)) for k in range(9)], "id int, x double, y double")
     assert ranking.spearman(df, "x", "y", "id").first()["rho"] == pytest.approx(-1)
@@ -108,6 +124,30 @@ def test_controller_fold(spark):
             losses += loss
         assert (got[tag]["interval"], got[tag]["empties"], got[tag]["losses"], got[tag]["active"]) == (interval, empties, losses, active)
     assert got[9]["interval"] == 460800 and got[9]["empties"] == 7 and not got[9]["active"]
+    # Tags of many polls go through their task in order, whatever the batches are.
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        many = controller.fold(df.unionByName(df.where("tag = 1").withColumn("tag", F.lit(None).cast("long"))).repartition(7), most=6).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert {r["tag"]: r for r in many if r["tag"] is not None} == got
+    assert [tuple(r)[1:] for r in many if r["tag"] is None] == [tuple(got[1])[1:]]
+
+
+def test_stream_resumes(spark, tmp_path):
+    """A stream that is started again in its old folder goes on from its state and reads only new files."""
+    source, base = tmp_path / "in", str(tmp_path / "out")
+    polls = lambda rows: spark.createDataFrame(rows, "tag long, epoch long, event_id long, new_matches int")
+    first, later = [(1, 10, 1, 0), (1, 20, 2, 0), (2, 5, 3, 23)], [(1, 30, 4, 23), (3, 40, 5, 5)]
+    last = {}
+    for rows in (first, later):
+        polls(rows).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema("tag long, epoch long, event_id long, new_matches int").parquet(str(source))
+        out = streams.run(controller.stream(stream), "update", base).collect()
+        last = {r["tag"]: (r["polls"], r["interval"], r["empties"], r["losses"]) for r in sorted(out, key=lambda r: r["batch"])}
+    assert last == {r["tag"]: (r["polls"], r["interval"], r["empties"], r["losses"]) for r in controller.fold(polls(first + later)).collect()}
+    assert sorted((r["tag"], r["batch"]) for r in out if r["batch"] > 0) == [(1, 1), (3, 1)]
 
 
 def drafts(spark, n=300, seed=1):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trifold.session import durable
+from trifold.session import durable, small
 
 
 def _ranged(df: DataFrame, order: list[Column]) -> DataFrame:
@@ -52,26 +52,41 @@ def forward_fold(rn: Column, n: int, k: int) -> Column:
     return equal_count_bin(rn, n, k)
 
 
-def order_statistic(df: DataFrame, value: str, shares: list[float], keys: list[str] | None = None) -> DataFrame:
-    """Values at place floor(p * (n - 1)) in ascending order, without interpolation.
+def _placed(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """Each key's distinct values with the places _from (inclusive) to _to (exclusive) that they take among its _total rows.
 
-    Equal values are counted first, so the sort is over distinct values."""
-    keys = keys or []
+    Equal values are counted first.  All keys are ranged together, so that no
+    key's values meet in one task, and a key's first place is then taken off."""
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    if keys:
-        w = Window.partitionBy(*keys)
-        placed = counts.withColumn("_total", F.sum("_n").over(w)).withColumn("_to", F.sum("_n").over(w.orderBy(value)))
-        placed = placed.withColumn("_from", F.col("_to") - F.col("_n"))
+    rows = running_before(counts, [F.col(c) for c in [*keys, value]], ["_n"])
+    if not keys:
+        total = rows.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total"), F.lit(0).alias("_first"))
+        rows = rows.crossJoin(F.broadcast(total))
     else:
-        total = counts.agg(F.sum("_n")).first()[0] or 0
-        placed = running_before(counts, [F.col(value)], ["_n"]).withColumn("_total", F.lit(total))
-        placed = placed.withColumn("_from", F.col("before__n")).withColumn("_to", F.col("_from") + F.col("_n"))
+        of = rows.groupBy(*[F.col(c).alias(f"_k_{c}") for c in keys]).agg(F.sum("_n").alias("_total"), F.min("before__n").alias("_first"))
+        same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys]
+        rows = rows.join(small(of), same)
+    first = F.col("before__n") - F.col("_first")
+    return rows.select(*keys, value, "_total", first.alias("_from"), (first + F.col("_n")).alias("_to"))
+
+
+def order_statistic(df: DataFrame, value: str, shares: list[float], keys: list[str] | None = None) -> DataFrame:
+    """Values at place floor(p * (n - 1)) in ascending order, without interpolation."""
+    keys = keys or []
     asked = F.explode(F.array(*[F.lit(float(p)) for p in shares])).alias("p")
-    rows = placed.select(*keys, value, "_from", "_to", "_total", asked)
+    rows = _placed(df, value, keys).select(*keys, value, "_from", "_to", "_total", asked)
     at = F.floor(F.col("p") * (F.col("_total") - 1))
     return rows.where((at >= F.col("_from")) & (at < F.col("_to"))).select(*keys, "p", value)
 
 
+def median(df: DataFrame, value: str, keys: list[str], name: str = "median") -> DataFrame:
+    """The middle value of each key's rows, of an even number the mean of the two; nulls don't count."""
+    rows = _placed(df.where(F.col(value).isNotNull()), value, keys)
+    middle = F.explode(F.array(F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2))).alias("_at")
+    both = rows.select(*keys, value, "_from", "_to", middle).where("_at >= _from AND _at < _to")
+    return both.groupBy(*keys).agg(F.avg(value).alias(name))
+
+
 def top_share(df: DataFrame, key: str, ks: list[int]) -> DataFrame:
     """Share of all rows that the k most frequent keys have."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trifold.functions.expr import n_rows, tier
-from trifold.operators import corpus, health, lookup
+from trifold.operators import corpus, health, lookup, ranking
 from trifold.plans.registry import query
 from trifold.plans.views import L, M, P, PATCH, POOL
 from trifold.sources import bind
@@ -105,7 +105,9 @@ LAG = f"{M}, lag_ AS (SELECT mode, CAST(epoch(l_shipdate) AS BIGINT) - ts AS lag
 def freshness_lag(spark, sf):
     seen = bind.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("match_id"), F.unix_timestamp(F.col("l_shipdate").cast("timestamp")).alias("seen_at"))
     rows = seen.join(bind.matches(spark, sf).select("match_id", "ts", "mode"), "match_id").withColumn("lag", F.col("seen_at") - F.col("ts"))
-    return rows.groupBy("mode").agg(F.round(F.avg("lag") / 60, 4).alias("mean_lag_min"), F.round(F.median("lag") / 60, 4).alias("median_lag_min"), n_rows().alias("n"))
+    mean = rows.groupBy("mode").agg(F.round(F.avg("lag") / 60, 4).alias("mean_lag_min"), n_rows().alias("n"))
+    middle = ranking.median(rows, "lag", ["mode"]).select(F.col("mode").alias("of"), F.round(F.col("median") / 60, 4).alias("median_lag_min"))
+    return mean.join(middle, F.col("mode").eqNullSafe(F.col("of")), "left").select("mode", "mean_lag_min", "median_lag_min", "n")
 
 
 @query(f"WITH {M}, {P}, g AS (SELECT match_id, count(*) AS n FROM p GROUP BY match_id) SELECT coalesce(CAST(n AS VARCHAR), 'none') || ' players' AS reason, mode, count(*) AS n FROM m LEFT JOIN g USING (match_id) WHERE n IS NULL OR n <> 6 GROUP BY ALL")

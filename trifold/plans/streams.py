@@ -29,15 +29,18 @@ def controller_fold(spark, sf):
 def _stream(spark, sf) -> DataFrame:
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     # A pattern, since a stream's plain path has to be a folder and the table may be one file.
-    return spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")
+    # A trigger takes about 4 GB of files, one at least, which bounds a tag's rows in one batch.
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", 4 << 30).parquet(f"{sf}/events.parque[t]")
 
 
-def _run(df: DataFrame, mode: str) -> DataFrame:
+def run(df: DataFrame, mode: str, base: str | None = None) -> DataFrame:
     """Runs a stream over what is there and returns its batches' rows, with the batch they came in.
 
-    Batches are written under their number, so a batch that runs twice replaces itself."""
+    Batches are written under their number, so a batch that runs twice replaces
+    itself.  With the ``base`` folder of a run before, which may have been
+    stopped anywhere, the stream goes on from its state and reads only what is new."""
     spark = df.sparkSession
-    base = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    base = base or f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
     def put(batch, k):
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={k}")
@@ -52,7 +55,7 @@ def stream_controller(spark, sf):
     e = _stream(spark, sf)
     k = F.get_json_object("props", "$.k").cast("int") % 26
     polls = e.select(F.col("user_id").alias("tag"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("epoch"), "event_id", k.alias("new_matches"))
-    out = _run(controller.stream(polls), "update")
+    out = run(controller.stream(polls), "update")
     return lookup.latest(out, ["tag"], ["batch"]).drop("batch")
 
 
@@ -61,7 +64,7 @@ def stream_tumbling(spark, sf):
     """Hourly counts with a watermark, as a stream."""
     e = _stream(spark, sf).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "1 hour")
     by = e.groupBy(F.window("at", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-    out = _run(by.select(F.col("window.start").alias("s"), "event_type", "n", "total"), "update")
+    out = run(by.select(F.col("window.start").alias("s"), "event_type", "n", "total"), "update")
     last = lookup.latest(out, ["s", "event_type"], ["batch"])
     return last.select(F.col("s").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
@@ -70,7 +73,7 @@ def stream_tumbling(spark, sf):
 def stream_dedup(spark, sf):
     """The first observation of each key, later ones dropped while the watermark remembers it."""
     e = _stream(spark, sf).withColumn("at", F.col("ts").cast("timestamp")).withColumn("k", F.concat_ws("|", "event_type", F.col("user_id").cast("string")))
-    out = _run(controller.first_seen(e, "k", "at", "60 days"), "append")
+    out = run(controller.first_seen(e, "k", "at", "60 days"), "append")
     return out.select("event_type", "user_id", "event_id", "ts")
 
 

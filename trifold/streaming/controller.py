@@ -6,9 +6,12 @@ State per key: poll interval, empty polls in a row, whether it is active, whethe
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trifold.session import durable, small
+
 #: Seconds: shortest, longest and first interval.  Counts: what fills a source's window, and what comes near.
 SHORTEST, LONGEST, FIRST, FULL, NEAR, SPARSE, PATIENCE = 900, 1_209_600, 3600, 22, 15, 2, 6
 
@@ -31,10 +34,49 @@ def step(interval: int, empties: int, new: int, first: bool) -> tuple[int, int,
     return interval, empties, empties <= PATIENCE, loss, why
 
 
-def fold(polls: DataFrame) -> DataFrame:
-    """polls: tag, epoch, event_id, new_matches.  The state of each tag after all its polls, in JVM expressions.
+#: A tag of more polls than this isn't folded as one array.
+MOST = 1_000_000
+
+
+def fold(polls: DataFrame, most: int = MOST) -> DataFrame:
+    """polls: tag, epoch, event_id, new_matches.  The state of each tag after all its polls.
+
+    A tag's polls are folded in order; tags are the unit of work.  Those of up
+    to ``most`` polls are folded in JVM expressions; the others stream through
+    their task in order, sorted on disk if need be, so none is held whole."""
+    large = durable(polls.groupBy(F.col("tag").alias("of")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("of"))
+    if not large.count():
+        return _fold_arrays(polls)
+    large = small(large)
+    same = F.col("tag").eqNullSafe(F.col("of"))
+    rows = polls.join(large, same, "left_semi").select(F.col("tag").cast("long").alias("tag"), "epoch", "event_id", F.col("new_matches").cast("int").alias("new_matches"))
+    hot = rows.repartition("tag").sortWithinPartitions("tag", "epoch", "event_id").mapInArrow(_fold_sorted, OUTPUT)
+    return _fold_arrays(polls.join(large, same, "left_anti")).unionByName(hot)
+
 
-    A tag's polls are folded in order; tags are the unit of work."""
+def _fold_sorted(batches):
+    """The end state of each tag; rows in order of tag and time, of which a tag may fill many batches."""
+    names = [c.split()[0] for c in OUTPUT.split(", ")]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+    tag, state = None, None
+
+    def row():
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((tag, *state, state[2] <= PATIENCE), types, strict=True)], names=names)
+
+    for batch in batches:
+        for t, n in zip(batch.column("tag").to_pylist(), batch.column("new_matches").to_pylist(), strict=True):
+            if state is None or t != tag:
+                if state is not None:
+                    yield row()
+                tag, state = t, (0, FIRST, 0, 0)
+            polls, interval, empties, losses = state
+            interval, empties, _, loss, _ = step(interval, empties, n, polls == 0)
+            state = polls + 1, interval, empties, losses + int(loss)
+    if state is not None:
+        yield row()
+
+
+def _fold_arrays(polls: DataFrame) -> DataFrame:
     cell = F.struct("epoch", "event_id", "new_matches")
     rows = polls.groupBy("tag").agg(F.array_sort(F.collect_list(cell)).alias("ps"))
     start = F.struct(F.lit(FIRST).cast("long").alias("i"), F.lit(0).alias("e"), F.lit(0).alias("losses"), F.lit(True).alias("first"))
@@ -64,7 +106,9 @@ def _update(key, batches, state):
 
 
 def stream(polls: DataFrame) -> DataFrame:
-    """The same over a streaming frame: one row for each tag that a batch touches."""
+    """The same over a streaming frame: one row for each tag that a batch touches.
+
+    Polls are folded in order within a batch, and batches as they come."""
     return polls.groupBy("tag").applyInPandasWithState(_update, OUTPUT, STATE, "update", "NoTimeout")
 
 
