@@ -40,6 +40,10 @@ def test_captions_and_jsonl(spark, tmp_path):
     assert [(r["start"], r["text"]) for r in rows] == [(65, "hi all there")]
     (tmp_path / "c.jsonl").write_text('{"id": 1, "type": "a"}\n{"id": 2}\n')
     assert sorted(tuple(r) for r in files.jsonl(spark, str(tmp_path / "c.jsonl"), "id int, type string").collect()) == [(1, "a"), (2, None)]
+    more = str(tmp_path / "more")
+    for rows in ([(1, "a")], [(2, None)]):
+        files.append_jsonl(spark.createDataFrame(rows, "id int, type string"), more)
+    assert sorted(tuple(r) for r in files.jsonl(spark, more, "id int, type string").collect()) == [(1, "a"), (2, None)]
 
 
 def test_sinks(spark, tmp_path):

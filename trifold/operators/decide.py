@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from trifold.functions.expr import sigmoid
 from trifold.operators.resample import POISSON
+from trifold.session import small
 
 MOST = 5000
 
@@ -156,3 +157,12 @@ def ban_stability(drafts: DataFrame, weights: DataFrame, k: int = 5, replicates:
     share = F.size(F.array_intersect("ids", "full")) / F.size("full")
     both = lists.where("b > 0").join(full, key).select(key, share.alias("share"))
     return both.groupBy(key).agg(F.avg("share").alias("mean_share"), F.min("share").alias("least_share"))
+
+
+def served(weights: DataFrame, picks: DataFrame, owned: DataFrame, least: int) -> DataFrame:
+    """What a player is offered: the characters that they own (player, brawler_id) and that were
+    picked ``least`` times or more (picks: brawler_id, a row each), ranked by weight."""
+    often = picks.groupBy("brawler_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    offered = small(weights.join(often.select("brawler_id"), "brawler_id", "left_semi"), MOST)
+    rows = owned.select("player", "brawler_id").distinct().join(offered, "brawler_id")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("player").orderBy(F.desc("w"), "brawler_id")))

@@ -78,3 +78,14 @@ def overlap_at(a: DataFrame, b: DataFrame, keys: list[str], item: str, k: int) -
     """Per group, the share of the first k of ``a`` that are among the first k of ``b``; both have a rank."""
     x, y = a.where(F.col("rank") <= k).select(*keys, item), b.where(F.col("rank") <= k).select(*keys, item, F.lit(1).alias("_in"))
     return x.join(y, [*keys, item], "left").groupBy(*keys).agg((F.sum(F.coalesce("_in", F.lit(0))) / k).alias("overlap"))
+
+
+def watermarks(rows: DataFrame, key: str, time: str, seen: str) -> DataFrame:
+    """Per key its newest ``time``, and how many of its rows were ``seen`` later than that.
+
+    Rows are counted by key and time of being seen first, so a hot key takes its distinct times only."""
+    counts = rows.groupBy(key, seen).agg(F.count(F.lit(1)).alias("n"), F.max(time).alias("newest"))
+    newest = counts.groupBy(key).agg(F.max("newest").alias("watermark"))
+    both = counts.join(newest, key)
+    later = F.sum(F.when(F.col(seen) > F.col("watermark"), F.col("n")).otherwise(0))
+    return both.groupBy(key, "watermark").agg(later.alias("later"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from trifold.functions.expr import sigmoid
 from trifold.operators import decide
 from trifold.plans.registry import query
-from trifold.plans.views import D
+from trifold.plans.views import D, P
 from trifold.sources import bind
 
 #: Strength of a character and counter weight of two, as SQL.
@@ -112,3 +112,14 @@ def masked_drafts(spark, sf):
 def ban_stability(spark, sf):
     out = decide.ban_stability(bind.drafts(spark, sf), weights(spark))
     return out.select("map_id", F.round("mean_share", 4).alias("mean_share"), F.round("least_share", 4).alias("least_share"))
+
+
+@query(
+    f"""WITH {D}, {P}, pk AS (SELECT CAST(unnest(list_concat(a, b)) AS INT) AS brawler_id FROM d), v AS (SELECT brawler_id, {W.format(x='brawler_id')} AS w FROM pk GROUP BY brawler_id HAVING count(*) >= 80),
+r AS (SELECT player, brawler_id, w, row_number() OVER (PARTITION BY player ORDER BY w DESC, brawler_id) AS rank FROM (SELECT DISTINCT player, brawler_id FROM p) JOIN v USING (brawler_id)) SELECT player, brawler_id, round(w, 6) AS w, rank FROM r WHERE rank <= 3"""
+)
+def served_picks(spark, sf):
+    """The three strongest characters that each player owns, of those picked often enough."""
+    picks = bind.drafts(spark, sf).select(F.explode(F.concat("a", "b")).alias("brawler_id"))
+    out = decide.served(weights(spark), picks, bind.players(spark, sf), 80).where("rank <= 3")
+    return out.select("player", "brawler_id", F.round("w", 6).alias("w"), "rank")

@@ -117,6 +117,20 @@ def upsert_counter(spark, sf):
     return lookup.observed(bind.poll_log(spark, sf), "tag", "epoch", ["event_id", "endpoint"])
 
 
+@query("SELECT l_orderkey AS match_id, '#' || l_suppkey AS queried_tag, count(*) AS seen_count, min(l_shipdate) AS first_seen, max(l_shipdate) AS last_seen FROM lineitem GROUP BY ALL")
+def raw_observations(spark, sf):
+    """Observations as they came, one row for each match and the tag whose log showed it."""
+    rows = bind.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("match_id"), F.concat(F.lit("#"), F.col("l_suppkey")).alias("queried_tag"), F.col("l_shipdate").alias("at"))
+    return rows.groupBy("match_id", "queried_tag").agg(F.count(F.lit(1)).alias("seen_count"), F.min("at").alias("first_seen"), F.max("at").alias("last_seen"))
+
+
+@query(f"WITH {M}, w AS (SELECT '#' || l_suppkey AS queried_tag, max(t) AS watermark FROM lineitem JOIN m ON l_orderkey = match_id GROUP BY ALL) SELECT queried_tag, watermark, count(l_orderkey) AS later FROM w LEFT JOIN lineitem ON '#' || l_suppkey = queried_tag AND l_shipdate > watermark GROUP BY ALL")
+def tag_watermarks(spark, sf):
+    """Each tag's newest match, and how many of its observations came after that match."""
+    rows = bind.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("match_id"), F.concat(F.lit("#"), F.col("l_suppkey")).alias("queried_tag"), F.col("l_shipdate").alias("at"))
+    return lookup.watermarks(rows.join(bind.matches(spark, sf).select("match_id", "t"), "match_id", "left"), "queried_tag", "t", "at")
+
+
 @query("SELECT c_custkey AS tag, min(c_nationkey) AS region FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier) GROUP BY c_custkey")
 def insert_or_ignore(spark, sf):
     old = bind.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("tag"))

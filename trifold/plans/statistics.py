@@ -158,6 +158,22 @@ def map_volumes(spark, sf):
     return r.groupBy("mode").agg(at(F.lit(0.5)).alias("q50"), at(F.lit(0.9)).alias("q90"))
 
 
+@query(
+    f"""WITH {M}, {PATCH}, g AS (SELECT patch_id, mode, map_id, count(*) AS n FROM m JOIN patch ON start <= t AND (stop IS NULL OR stop > t) GROUP BY ALL),
+r AS (SELECT patch_id, mode, n, row_number() OVER (PARTITION BY patch_id, mode ORDER BY n) - 1 AS k, count(*) OVER (PARTITION BY patch_id, mode) AS c FROM g)
+SELECT patch_id, mode, max(n) FILTER (WHERE k = floor(CAST(0.5 AS DOUBLE) * (c - 1))) AS q50, max(n) FILTER (WHERE k = floor(CAST(0.9 AS DOUBLE) * (c - 1))) AS q90 FROM r GROUP BY patch_id, mode"""
+)
+def map_volumes_patch(spark, sf):
+    """Order statistics of the maps' volumes in each patch and mode."""
+    from trifold.operators import lookup
+
+    m = lookup.interval(bind.matches(spark, sf), bind.patches(spark), "t", ["patch_id"]).where("patch_id IS NOT NULL")
+    g = m.groupBy("patch_id", "mode", "map_id").agg(n_rows().alias("n"))
+    rows = ranking.order_statistic(g, "n", [0.5, 0.9], ["patch_id", "mode"])
+    at = lambda p: F.max(F.when(F.col("p") == p, F.col("n")))
+    return rows.groupBy("patch_id", "mode").agg(at(0.5).alias("q50"), at(0.9).alias("q90"))
+
+
 @query(f"WITH {M}, r AS (SELECT match_id, row_number() OVER (ORDER BY t, match_id) AS rn FROM m) SELECT match_id, rn FROM r WHERE (rn - 1) % 97 = 0")
 def stride_sample(spark, sf):
     r = ranking.row_number(bind.matches(spark, sf).select("match_id", "t"), [F.col("t"), F.col("match_id")])

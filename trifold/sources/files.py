@@ -34,6 +34,11 @@ def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def append_jsonl(df: DataFrame, path: str) -> None:
+    """Adds rows to a folder of JSON lines, which ``jsonl`` reads with those before; null fields are left out."""
+    df.write.mode("append").json(path)
+
+
 def captions(spark: SparkSession, path: str) -> DataFrame:
     """Cues of SRT files, one file at a time."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
