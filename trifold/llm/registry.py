@@ -16,6 +16,9 @@ QUERIES = {
     "op8_simhash": "simhash",
     "op9_url_filter": "urls",
     "op10_quality": "quality",
+    "op11_spelling": "spelling",
+    "op12_alignment": "alignment",
+    "op13_licenses": "licenses",
 }
 
 
