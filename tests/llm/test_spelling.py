@@ -92,7 +92,8 @@ def test_pivots_are_cheapest():
     rng = random.Random(4)
     for _ in range(300):
         cost = [rng.randint(1, 9) for _ in range(rng.randint(6, 12))]
-        places = spelling.prefix_of(cost)
+        places, wide = spelling.prefix_of(cost)
+        assert len(places) == 3 and set(places) <= set(wide) and len(wide) <= 7
         chosen = spelling.pivots(cost, places)
         assert chosen[1] - chosen[0] >= 2 and set(chosen) <= set(places)
         assert sum(cost[i] for i in chosen) == min(cost[i] + cost[j] for i, j in combinations(places, 2) if j - i >= 2)

@@ -1,9 +1,9 @@
 """Spelling variants grouped by pivotal grams.
 
 Words that differ by one edit share all their bigrams but those that the edit
-touches.  A word's prefix holds its EDITS * 2 + 1 rarest bigrams, and whatever
-is as rare as the last of them; of these, dynamic programming chooses its
-pivots, EDITS + 1 disjoint ones of the least total frequency.  One edit spoils one
+touches.  Among a word's EDITS * 2 + 1 rarest bigrams, dynamic programming chooses
+its pivots, EDITS + 1 disjoint ones of the least total frequency; its prefix holds
+these rarest ones and a few more that equal the last of them.  One edit spoils one
 pivot at most, so of two near words one's pivot stands in the other's prefix,
 and the edit is on one side of it.  That limits positions: either the
 bigram and its side up to BESIDE code points beyond it are equal, or the edit
@@ -85,10 +85,17 @@ def pivots(cost: list[int], places: list[int], k: int = EDITS + 1) -> list[int]:
     return list(best[-1][k][1]) if best[-1][k] else None
 
 
-def prefix_of(rank: list[int], size: int = GRAM * EDITS + 1) -> list[int]:
-    """Positions of the ``size`` rarest bigrams and of all that equal the last of them; rank: of each position's bigram."""
-    last = sorted(rank)[size - 1]
-    return [i for i, r in enumerate(rank) if r <= last]
+def prefix_of(rank: list[int], size: int = GRAM * EDITS + 1) -> tuple[list[int], list[int]]:
+    """Positions of the ``size`` rarest bigrams, the first of equal ones; and these with the next GRAM * EDITS
+    of the last one's, and so many that ``size`` of it are there.  rank: of each position's bigram.
+
+    An edit makes GRAM * EDITS bigrams at most, so a bigram that is among another
+    word's rarest stands among the latter here, whatever the edit put ahead of it."""
+    order = sorted(range(len(rank)), key=lambda i: (rank[i], i))
+    last = rank[order[size - 1]]
+    less = [i for i in order[:size] if rank[i] < last]
+    equal = [i for i in order[len(less) : len(less) + size + GRAM * EDITS] if rank[i] == last]
+    return order[:size], less + equal
 
 
 _INTS = pa.list_(pa.int32())
@@ -101,8 +108,9 @@ def _chosen(held):
             prefix, chosen = [], []
             for w in batch.column("word").to_pylist():
                 grams = [w[i : i + GRAM] for i in range(len(w) - GRAM + 1)]
-                prefix.append(prefix_of([rank_of[g] for g in grams]))
-                chosen.append(pivots([n_of[g] for g in grams], prefix[-1]))
+                rarest, wide = prefix_of([rank_of[g] for g in grams])
+                prefix.append(wide)
+                chosen.append(pivots([n_of[g] for g in grams], rarest))
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(chosen, _INTS), pa.array(prefix, _INTS)], names=["word", "n", "pivots", "prefix"])
 
     return run
