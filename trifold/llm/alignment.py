@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,14 +42,15 @@ from . import tokens
 from .common import chunks, durable, partitions, stored, table, to_groups
 
 #: Documents of a block, bytes of its full bitmap, and pieces that a worker remembers.
-BLOCK, MEMO = 1024, 400_000
+BLOCK, MEMO = 1024, 900_000
 FULL = BLOCK // 8
 #: Up to so many pairs (24 bytes each), their counts are broadcast.
 FEW_PAIRS = 1_000_000
 #: A pair is the id of the first tokenizer shifted so far, and that of the second.
 SHIFT = 32
-#: A blank or line feed between two characters that aren't white space.
+#: A blank or line feed between two characters that aren't white space; letters whose comma or full stop before it stands alone.
 SAFE = re.compile(r"([ \n])(?<=\S[ \n])(?=\S)")
+LETTERS, STOPS = frozenset(string.ascii_lowercase), frozenset(",.")
 
 
 def piece_path() -> str:
@@ -64,8 +66,9 @@ class Pieces:
         names = [self.of.id_to_piece(i) for i in range(n)]
         blank = "▁"
         self.bytes = [bytes([int(x[3:5], 16)]) if self.of.is_byte(i) else x.replace(blank, " ").encode() for i, x in enumerate(names)]
-        # No piece goes on with a blank after something else, none holds a line feed: none reaches across a cut.
-        self.cut = not any(blank in x.lstrip(blank) or "\n" in x for x in names) and len(self.of.encode("\n")) == 2
+        # No piece goes on with a blank after something else, none holds a line feed, and none has a stop after a letter: none reaches across a cut.
+        across = lambda x: blank in x.lstrip(blank) or "\n" in x or any(a in LETTERS and b in STOPS for a, b in zip(x, x[1:]))  # noqa: B905, E731
+        self.cut = not any(map(across, names)) and len(self.of.encode("\n")) == 2
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of pieces of text; the vocabulary's own blank stands for one that a piece begins with."""
@@ -93,12 +96,17 @@ def units(text: str, cut: bool = True) -> list[str]:
     if not cut:
         return [" " + text]
     parts = SAFE.split(text)
-    out = [" " + parts[0]]
-    for sep, part in zip(parts[1::2], parts[2::2], strict=True):
-        if sep == " ":
-            out.append(" " + part)
+    out, before = [], " "
+    for k in range(0, len(parts), 2):
+        part = parts[k]
+        if part[-1] in STOPS and part[-2:-1] in LETTERS:
+            out += [before + part[:-1], part[-1]]
         else:
-            out += ["\n", part]
+            out.append(before + part)
+        before = " "
+        if k + 1 < len(parts) and parts[k + 1] == "\n":
+            out.append("\n")
+            before = ""
     return out
 
 
@@ -116,12 +124,11 @@ class Known:
         self.pairs, self.first = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
     def numbers(self, pieces: list[str]) -> np.ndarray:
-        get = self.number.setdefault
-        was = len(self.number)
-        out = np.fromiter((get(p, len(self.number)) for p in pieces), np.int64, len(pieces))
-        if len(self.number) > was:
-            self._learn(list(self.number)[was:] if was else list(self.number))
-        return out
+        new = list(dict.fromkeys(p for p in pieces if p not in self.number))
+        if new:
+            self.number |= zip(new, range(len(self.number), len(self.number) + len(new)))
+            self._learn(new)
+        return np.array(list(map(self.number.__getitem__, pieces)), np.int64)
 
     def _learn(self, new: list[str]) -> None:
         a, b = [self.enc.encode_ordinary(p) for p in new], self.piece.encode(new)
@@ -267,7 +274,7 @@ MERGED = "pair long, block long, plane int, bits binary, n long"
 
 def _merge(batches):
     """Rows sorted by pair, block and plane; equal ones are merged by OR, n is the number of bits."""
-    held = None
+    held, names = None, ["pair", "block", "plane", "bits"]
 
     def out(t: pa.RecordBatch):
         keys = [t.column(c).to_numpy() for c in ("pair", "block", "plane")]
@@ -280,10 +287,10 @@ def _merge(batches):
         return pa.RecordBatch.from_arrays([*[pa.array(k[at]) for k in keys], bits, pa.array(n.astype(np.int64))], names=["pair", "block", "plane", "bits", "n"])
 
     for batch in batches:
-        if held is not None:
-            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
         if not batch.num_rows:
             continue
+        if held is not None:
+            batch = pa.RecordBatch.from_arrays([pa.concat_arrays([held.column(c), batch.column(c)]) for c in names], names=names)
         keys = [batch.column(c).to_numpy() for c in ("pair", "block", "plane")]
         same = np.all([k == k[-1] for k in keys], axis=0)
         last = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
@@ -291,7 +298,7 @@ def _merge(batches):
             yield out(batch.slice(0, last))
         held = batch.slice(last)
         if held.num_rows > 1:  # a block's bitmaps of one pair and plane become one at once
-            held = out(held).select(["pair", "block", "plane", "bits"])
+            held = out(held).select(names)
     if held is not None and held.num_rows:
         yield out(held)
 
