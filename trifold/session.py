@@ -27,6 +27,23 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any store that Spark reads; none if it isn't there."""
+    files, at = _file_system(spark, path)
+    return sorted(x.getPath().getName() for x in files.listStatus(at)) if files.exists(at) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes an intermediate result that nothing reads any more."""
+    files, at = _file_system(spark, path)
+    files.delete(at, True)
+
+
 def small(df: DataFrame, limit: int = 200_000) -> DataFrame:
     """``df`` with a broadcast hint if it has ``limit`` rows at most; as it is beyond."""
     df = durable(df)
