@@ -59,8 +59,8 @@ def test_rows_are_numbered(spark, frame):
         assert docs.select(docs.columns[-1]).distinct().count() == 9
 
 
-def test_index_admits_only_new(spark, frame):
-    index = exact.DigestIndex(spark, "digests_test", buckets=3)
+def test_index_admits_only_new(spark, frame, tmp_path):
+    index = exact.DigestIndex(spark, str(tmp_path / "index"), buckets=3)
     first = exact.drop_copies(frame([(1, "a b"), (2, "ab"), (3, "c")]), index)
     assert sorted(r["doc_id"] for r in first.collect()) == [1, 3]
     second = exact.drop_copies(frame([(4, "a\nb"), (5, "d"), (6, "d "), (7, None)]), index)
@@ -71,21 +71,50 @@ def test_index_admits_only_new(spark, frame):
 
 
 def test_index_outlives_its_table(spark, frame, tmp_path):
-    """Files at a path are taken up again by a session whose catalog doesn't know the table."""
+    """Files at a path are taken up again by a session whose catalog doesn't know the table, whatever number of buckets it asks for."""
     path = str(tmp_path / "index")
-    index = exact.DigestIndex(spark, "digests_at_path", buckets=3, path=path)
-    exact.drop_copies(frame([(1, "a b"), (2, "c")]), index).count()
-    index.drop()
-    assert not index.exists()
-    again = exact.DigestIndex(spark, "digests_at_path", buckets=3, path=path)
+    index = exact.DigestIndex(spark, path, buckets=3)
+    texts = [(k, f"text {k}") for k in range(200)]
+    exact.drop_copies(frame([(1, "a b"), (2, "c"), *texts]), index).count()
+    index.close()
+    for asked in (3, 8, 16):
+        again = exact.DigestIndex(spark, path, buckets=asked)
+        assert again.buckets == 3
+        assert exact.drop_copies(frame([(7, "ab"), *texts]), again).count() == 0
     assert [r["doc_id"] for r in exact.drop_copies(frame([(7, "ab"), (8, "d")]), again).collect()] == [8]
-    assert again.read().count() == 3
+    assert again.read().count() == 203
     again.drop()
-    lost = exact.DigestIndex(spark, "digests_lost", buckets=3, path=str(tmp_path / "gone"))
-    assert lost.read().count() == 0 and exact.drop_copies(frame([(7, "ab")]), lost).count() == 1
+    lost = exact.DigestIndex(spark, path, buckets=4)
+    assert lost.buckets == 4 and lost.read().count() == 0 and exact.drop_copies(frame([(7, "ab")]), lost).count() == 1
     lost.drop()
 
 
+def test_batch_that_runs_again(spark, frame, tmp_path, monkeypatch):
+    """A batch that was stopped before or after its digests were written gives the rows of one run, before and after other batches."""
+    index = exact.DigestIndex(spark, str(tmp_path / "index"), buckets=4)
+    one, two = frame([(1, "a b"), (2, "ab"), (3, "c")]), frame([(4, "c"), (5, "d"), (5, "e")])
+    ids = lambda df: sorted(r["doc_id"] for r in df.collect())
+    put = exact.DigestIndex.put
+    for stop_after in (False, True):
+
+        def stopped(self, groups, batch, late=stop_after):
+            if late:
+                put(self, groups, batch)
+            raise OSError("lost")
+
+        with monkeypatch.context() as m:
+            m.setattr(exact.DigestIndex, "put", stopped)
+            with pytest.raises(OSError, match="lost"):
+                exact.drop_copies(one, index, batch="one")
+    assert ids(exact.drop_copies(one, index, batch="one")) == [1, 3]
+    assert ids(exact.drop_copies(two, index, batch="two")) == [5, 5]
+    for _ in range(2):
+        assert ids(exact.drop_copies(one, index, batch="one")) == [1, 3]
+        assert by_id(exact.classes(two, index, batch="two").where("digest = digest"), "keep_id")[4] == (3,)
+    assert index.read().count() == index.read().select("digest").distinct().count() == 4
+    index.drop()
+
+
 def test_copies_of_an_index_go(spark, frame):
     index = exact.DigestIndex.fresh(spark, 9_000_000)
     assert index.buckets == exact.BUCKETS and exact.DigestIndex.fresh(spark, exact.ROWS_A_BUCKET * 100 + 1).buckets == 101
@@ -112,7 +141,7 @@ def test_two_batches_of_classes(spark, frame):
 def test_one_admission_anti_joins(spark, frame, monkeypatch):
     calls = []
     admit = exact.DigestIndex.admit
-    monkeypatch.setattr(exact.DigestIndex, "admit", lambda self, groups: calls.append(1) or admit(self, groups))
+    monkeypatch.setattr(exact.DigestIndex, "admit", lambda self, groups, batch: calls.append(1) or admit(self, groups, batch))
     exact.classes(frame([(1, "a")])).count()
     exact.drop_copies(frame([(1, "a")])).count()
     assert len(calls) == 2

@@ -6,6 +6,7 @@ import random
 import re
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -247,6 +248,81 @@ def test_viterbi_in_blocks():
     assert time.perf_counter() - began < 8
 
 
+WORDS = {
+    "en": "the and of to in government announced negotiations with station yesterday morning that will internationalisation",
+    "ru": "и в на что правительство объявило переговоры вчера утром станция достопримечательность человеконенавистничество",
+    "uk": "і в на що уряд оголосив переговори вчора вранці їхати станція достовірність її",
+    "el": "και το της κυβέρνηση ανακοίνωσε διαπραγματεύσεις χθες σταθμός ηλεκτροεγκεφαλογράφημα",
+    "zh": "政府 宣布 谈判 昨天 上午 车站 的 和",
+}
+
+
+def scripts_table(spark, more=()):
+    import random
+
+    rng = random.Random(1)
+    rows = [(k * 100 + i, lang, " ".join(rng.choice(WORDS[lang].split()) for _ in range(40))) for k, lang in enumerate(WORDS) for i in range(30)]
+    return spark.createDataFrame([*rows, *more], "doc_id long, lang string, text string")
+
+
+def plain_words(model, text):
+    """Words of a text as (start, end, scores by language or None where the script rules it out), byte by byte."""
+    raw = text.encode()
+    low = language.letters(np.frombuffer(raw, np.uint8)).tolist()
+    out, at = [], 0
+    while at < len(low):
+        if low[at] == 0x20:
+            at += 1
+            continue
+        end = at
+        while end < len(low) and low[end] != 0x20:
+            end += 1
+        get = lambda i: low[i] if 0 <= i < len(low) else 0x20  # noqa: B023, E731
+        score, script = [0.0] * len(model.langs), 0
+        for i in range(at, end):
+            g = (get(i - 1) * 0x9E5 + get(i) * 0x1F35B + get(i + 1) * 0x3D) * 0x9E3779B1 % (1 << 32) >> 16
+            score = [s + float(x) for s, x in zip(score, model.table[g], strict=True)]
+            first = max(lead for lead, _ in language.SCRIPTS if lead <= raw[i]) if raw[i] < 0x80 or raw[i] >= 0xC0 else 0
+            script = max(script, [lead for lead, _ in language.SCRIPTS].index(first))
+        known = [bool(x) for x in model.allowed[script]]
+        out.append((at, end, [(s if k else -np.inf) for s, k in zip(score, known, strict=True)] if any(known) else [0.0] * len(known)))
+        at = end
+    return out
+
+
+def test_words_against_bytes(spark):
+    model = language.fit(scripts_table(spark))
+    texts = ["", "The cat, 12 и станция...", "правительство объявило переговоры with the Government", "x" * 60 + " " + "ж" * 60, "谈判αβ 🙂 “q” é", "κυβέρνηση", "שלום the", "  ", "a"]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    offs = np.cumsum([0, *[len(t.encode()) for t in texts]])
+    starts, ends, first, score = model.words(raw, offs)
+    want = [(offs[k] + a, offs[k] + b, s) for k, t in enumerate(texts) for a, b, s in plain_words(model, t)]
+    assert [(int(a), int(b)) for a, b in zip(starts, ends, strict=True)] == [(a, b) for a, b, _ in want]
+    for got, (_, _, s) in zip(score, want, strict=True):
+        assert got == pytest.approx(s, rel=1e-4)
+    label = language.viterbi(score, first)
+    for k in range(len(texts)):
+        a, b = first[k], first[k + 1]
+        if b > a:
+            assert label[a:b].tolist() == plain_viterbi(score[a:b].tolist(), language.PENALTY)
+
+
+def test_scripts(spark):
+    """Texts of one script each, whole and in a row; no language that a script rules out is ever given."""
+    model = language.fit(scripts_table(spark, [(9001, "zz", "word " * (language.LONGEST // 4)), (9002, "yy", "12 !"), (9003, "xx", None), (None, "ww", "a text")]))
+    assert model.langs == sorted(WORDS)
+    texts = {lang: " ".join(reversed(w.split())) for lang, w in WORDS.items()}
+    longest = {"en": "a" * 60, "el": "α" * 60, "zh": "政" * 60}
+    rows = [(k, t) for k, t in enumerate([*texts.values(), *longest.values()])]
+    rows += [(100, ". ".join([texts["en"], texts["ru"], texts["el"], texts["zh"]])), (101, "правительство объявило переговоры"), (102, "שלום עולם")]
+    got = {r["doc_id"]: r for r in language.label(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert [got[k]["lang_pred"] for k in range(len(rows) - 3)] == [*texts, *longest]
+    assert [s["lang"] for s in got[100]["spans"]] == ["en", "ru", "el", "zh"]
+    assert got[101]["lang_pred"] in ("ru", "uk") and got[102]["lang_pred"] in model.langs
+    for k, (lang, text) in enumerate(texts.items()):
+        assert got[k]["score"] > 0.9, text
+
+
 def test_language(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = language.fit(docs.where("doc_id % 2 = 0"))

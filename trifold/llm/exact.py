@@ -1,12 +1,18 @@
 """Exact deduplication with a persistent digest index.
 
 The index is a table of one row per distinct normalised text, bucketed and
-sorted by digest: digest, keep_id, keep_length, group_size.  New documents are
-deduplicated against it by a sort-merge anti-join on the digest and their new
+sorted by digest: digest, keep_id, keep_length, group_size, batch.  New documents
+are deduplicated against it by a sort-merge anti-join on the digest and their new
 digests are appended, so a digest is in it once, whatever the number of batches.
-With a path in a shared folder it outlives the session and its catalog.
-keep_id is the best document of the batch that brought the digest, group_size
-the number of its rows in that batch.  DataFrame and SQL functions only.
+It lies under a path in a shared folder and outlives the session and its
+catalog; its number of buckets is part of the folder's name there, and whoever
+takes it up follows that.  keep_id is the best document of the batch that brought
+the digest, group_size the number of its rows in that batch.  DataFrame and SQL
+functions only.
+
+A batch has a name and is a partition of its own.  It is compared with the other
+batches and replaces itself, so a batch that was stopped anywhere, even after
+its digests were written, gives the same rows when it is run again.
 
 Groups are counted with a partial aggregate before any shuffle, so a group of
 any size sends one row per task.  Rows return to their group by an equality
@@ -23,11 +29,14 @@ text; an empty table gives no rows; other columns are left alone.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trifold.session import children, remove, shared_folder
+
 from .common import ROW, by_rows, durable, numbered, table, to_groups
 
 WHITE = r"[\x20\x09-\x0D]+"
@@ -49,62 +58,73 @@ def grouped(rows: DataFrame) -> DataFrame:
 
 
 class DigestIndex:
-    """A table named ``name``, bucketed and sorted by digest.
-
-    With ``path`` its files lie there, and an index that an earlier session left
-    there is taken up again; it must be given the same number of buckets."""
-
-    COLUMNS = "digest BINARY, keep_id BIGINT, keep_length INT, group_size BIGINT"
-
-    def __init__(self, spark: SparkSession, name: str, buckets: int = BUCKETS, path: str | None = None):
-        self.spark, self.name, self.buckets = spark, name, buckets
-        if not self.exists():
-            at = f"LOCATION '{path}'" if path else ""
-            spark.sql(f"CREATE TABLE {name} ({self.COLUMNS}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS {at}")
+    """The index under ``path``; one that an earlier session left there is taken up again, with its own number of buckets."""
+
+    COLUMNS = "digest BINARY, keep_id BIGINT, keep_length INT, group_size BIGINT, batch STRING"
+    #: What the folder's name says before the number of buckets.
+    FOLDER = "buckets-"
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path = spark, path
+        known = [int(x.removeprefix(self.FOLDER)) for x in children(spark, path) if x.startswith(self.FOLDER)]
+        self.buckets = known[0] if known else buckets
+        # The catalog's name is this object's own: the files are what lasts.
+        self.name = f"digests_{uuid.uuid4().hex[:12]}"
+        spark.sql(
+            f"CREATE TABLE {self.name} ({self.COLUMNS}) USING parquet PARTITIONED BY (batch) "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}/{self.FOLDER}{self.buckets}'"
+        )
+        if known:
+            spark.sql(f"ALTER TABLE {self.name} RECOVER PARTITIONS")
 
     @classmethod
     def fresh(cls, spark: SparkSession, n_rows: int) -> DigestIndex:
-        """An index under a new name, with buckets for ``n_rows`` documents."""
-        return cls(spark, f"digests_{uuid.uuid4().hex[:12]}", max(BUCKETS, -(-n_rows // ROWS_A_BUCKET)))
-
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
+        """An empty index in the shared folder, with buckets for ``n_rows`` documents."""
+        return cls(spark, f"{shared_folder(spark)}/digests-{uuid.uuid4().hex}", max(BUCKETS, -(-n_rows // ROWS_A_BUCKET)))
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def append(self, groups: DataFrame) -> None:
+    def put(self, groups: DataFrame, batch: str) -> None:
+        """Writes the batch's digests, in place of those that it wrote before."""
+        if not re.fullmatch("[A-Za-z0-9_-]+", batch):
+            raise ValueError(f"{batch!r} is no name of letters, digits, - and _")
         # One task per bucket writes one sorted file per bucket.
-        rows = groups.select("digest", F.col("keep_id").cast("long"), "keep_length", "group_size").repartition(self.buckets, "digest")
-        rows.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
-
-    def admit(self, groups: DataFrame) -> DataFrame:
-        """Appends the groups whose digests are new, and returns those."""
-        new = durable(groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti"))
-        self.append(new)
+        rows = groups.select("digest", F.col("keep_id").cast("long").alias("keep_id"), "keep_length", "group_size").repartition(self.buckets, "digest")
+        self.spark.sql(f"INSERT OVERWRITE TABLE {self.name} PARTITION (batch = '{batch}') SELECT * FROM {{rows}}", rows=rows)
+
+    def admit(self, groups: DataFrame, batch: str) -> DataFrame:
+        """Puts the groups whose digests no other batch has, and returns those."""
+        others = self.read().where(F.col("batch") != batch).select("digest")
+        new = durable(groups.join(others.hint("merge"), "digest", "left_anti"))
+        self.put(new, batch)
         return new
 
-    def drop(self) -> None:
-        """Forgets the table; files at a path of their own stay."""
+    def close(self) -> None:
+        """Forgets the catalog's name; the files stay."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
+    def drop(self) -> None:
+        self.close()
+        remove(self.spark, self.path)
+
 
-def classes(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+def classes(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, digest.
 
-    The documents are admitted to ``index``, or to one of their own, dropped
-    afterwards.  keep_id is read back from it, so for a digest of an earlier
-    batch it is that batch's document and no row of this one is kept;
-    group_size counts the rows of these documents."""
+    The documents are admitted to ``index`` as ``batch``, a new one unless named,
+    or to an index of their own, dropped afterwards.  keep_id is read back from
+    it, so for a digest of another batch it is that batch's document and no row of
+    this one is kept; group_size counts the rows of these documents."""
     own = index is None
     # The checkpoint fixes these numbers.
     number = F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))
     rows = durable(digests(docs.select("doc_id", "text", number.alias(ROW))))
     n = rows.count()
     index = index or DigestIndex.fresh(docs.sparkSession, n)
-    batch = durable(grouped(rows))
-    new = index.admit(batch).select("digest", "keep_row")
-    groups = batch.select("digest", "group_size").join(index.read().select("digest", "keep_id").hint("merge"), "digest").join(new.hint("merge"), "digest", "left")
+    groups = durable(grouped(rows))
+    new = index.admit(groups, batch or uuid.uuid4().hex).select("digest", "keep_row")
+    groups = groups.select("digest", "group_size").join(index.read().select("digest", "keep_id").hint("merge"), "digest").join(new.hint("merge"), "digest", "left")
     out = to_groups(rows, groups, "digest", "group_size", n)
     kept = F.coalesce(F.col(ROW) == F.col("keep_row"), F.lit(False))
     out = durable(out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "digest"))
@@ -113,18 +133,18 @@ def classes(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     return out
 
 
-def drop_copies(docs: DataFrame, index: DigestIndex | None = None, as_read: bool = False) -> DataFrame:
+def drop_copies(docs: DataFrame, index: DigestIndex | None = None, as_read: bool = False, batch: str | None = None) -> DataFrame:
     """The documents that stay, with all their columns: the best row of each
-    group whose digest the index did not hold before.
+    group whose digest no other batch of the index holds.
 
-    They are admitted to ``index``, whose earlier texts count as copies too; to
-    one of their own, dropped afterwards, if none is given.  ``as_read`` is that
+    They are admitted to ``index`` as ``batch``, a new one unless named; to an
+    index of their own, dropped afterwards, if none is given.  ``as_read`` is that
     of ``numbered``."""
     own = index is None
     docs = numbered(docs, as_read)
     rows = durable(digests(docs))
     index = index or DigestIndex.fresh(docs.sparkSession, rows.count())
-    new = index.admit(grouped(rows))
+    new = index.admit(grouped(rows), batch or uuid.uuid4().hex)
     gone = rows.select(ROW).join(new.select(F.col("keep_row").alias(ROW)).hint("merge"), ROW, "left_anti")
     out = by_rows(docs, gone, "left_anti").drop(ROW)  # rests on checkpoints, no longer on the index
     if own:

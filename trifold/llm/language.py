@@ -1,18 +1,20 @@
 """Language identification of mixed-language text.
 
 Each word's script, read off the ranges of its UTF-8 lead bytes, narrows the
-candidates to the languages that were seen in it.  Each candidate scores the
+candidates to the languages that were seen in it; any other one is out, whatever
+its score.  Each candidate scores the
 word by its byte trigrams, and Viterbi's algorithm with a switching penalty
 labels the words, so a text falls into spans of one language each.  The
 predicted language has most letters; the score is its share of them.
 
 The model is fitted on at most SAMPLE documents of each language, those with
-the smallest hashes of their doc_id; whole texts, nothing else of a document,
-but none of more than LONGEST bytes.
+the smallest hashes of their doc_id among those of LONGEST bytes at most; whole
+texts, nothing else of a document.  A language without a letter in them is not
+learned, and so never predicted.
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0;
 so is every text if no language could be learned; null languages are never
-learned; a text whose letters form no word gets the most frequent language and
+learned, and null doc_ids neither; words of a script that no language was seen in fit all alike; a text whose letters form no word gets the most frequent language and
 score 0; ties go to the language that sorts first; repeated rows get equal
 results; an empty table gives no rows.
 """
@@ -31,8 +33,6 @@ from .common import chunks, held_out, table, utf8, word_spans
 SAMPLE, PENALTY, SMOOTHING, BUCKETS = 400, 6.0, 0.2, 1 << 16
 #: Longer texts aren't in the sample that is learned from; words that Viterbi takes at once of a text.
 LONGEST, BLOCK = 1 << 18, 512
-#: Score of a word in a language that its script rules out.
-RULED_OUT = -40.0
 LETTER = regex.compile(r"\p{L}")
 
 #: First lead byte and script of the ranges in UTF-8 order.  Fixed values.
@@ -93,7 +93,7 @@ class Model:
         score = np.add.reduceat(self.table[gram] * (low != 0x20)[:, None], starts, axis=0)
         script = np.maximum.reduceat(np.where(low != 0x20, _SCRIPT[raw], 0), starts)
         known = self.allowed[script]
-        score = np.where(known, score, RULED_OUT)
+        score = np.where(known, score, -np.inf)  # no other word's score outweighs it
         score[~known.any(axis=1)] = 0
         return starts, ends, first, score.astype(np.float32)
 
@@ -174,7 +174,9 @@ def viterbi(score: np.ndarray, first: np.ndarray, penalty: float = PENALTY, bloc
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Learns from text and lang of the documents given."""
-    known = docs.where(F.col("lang").isNotNull()).select("doc_id", "lang")
+    usable = F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") <= LONGEST)
+    docs = docs.where(usable)
+    known = docs.select("doc_id", "lang")
     langs = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not langs:
         return None
@@ -184,7 +186,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     part = part.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * F.col("n") < F.lit(4 * sample * (1 << 20)))
     picked = part.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("doc_id", "lang").distinct()
     # One text for each picked document, however often its doc_id is repeated.
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"]).where(F.octet_length("text") <= LONGEST).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
+    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
     names = sorted(langs)
     counts = np.full((BUCKETS, len(names)), SMOOTHING, np.float64)
     scripts = np.zeros((len(SCRIPTS), len(names)))
@@ -194,9 +196,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
         low = letters(raw)
         counts[:, k] += np.bincount(trigrams(low)[low != 0x20], minlength=BUCKETS)
         scripts[:, k] += np.bincount(_SCRIPT[raw][(low != 0x20) & ((raw < 0x80) | (raw >= 0xC0))], minlength=len(SCRIPTS))
+    learned = np.flatnonzero(scripts.sum(axis=0))
+    if not len(learned):
+        return None
+    names, counts, scripts = [names[k] for k in learned], counts[:, learned], scripts[:, learned]
     allowed = scripts > 0.01 * np.maximum(scripts.sum(axis=0), 1)
     table = np.log(counts / counts.sum(axis=0)).astype(np.float32)
-    return Model(names, table, allowed, names.index(max(sorted(langs), key=langs.get)))
+    return Model(names, table, allowed, names.index(max(names, key=langs.get)))
 
 
 LABELS = "doc_id long, lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>"
