@@ -135,19 +135,67 @@ def test_controller_fold(spark):
     assert [tuple(r)[1:] for r in many if r["tag"] is None] == [tuple(got[1])[1:]]
 
 
+def states(df):
+    return {r["tag"]: (r["polls"], r["interval"], r["empties"], r["losses"], r["active"], round(r["activity"], 6), r["last_poll"]) for r in df.collect()}
+
+
+def test_folds_agree_on_any_key(spark):
+    """String tags, a null one, polls without a time, a number or an id: the fold of arrays and the sorted one give the same."""
+    rng = random.Random(7)
+    rows = [(rng.choice(["#A", "#B", "#C", None]), rng.choice([None, *range(0, 90_000, 700)]), rng.choice([None, 1, 2, 3]), rng.choice([None, 0, 1, 16, 30])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "tag string, epoch long, event_id long, new_matches int")
+    one, two = states(controller.fold(df)), states(controller.fold(df, most=5))
+    assert one == two and set(one) == {"#A", "#B", "#C", None}
+    for tag in one:
+        polls = sorted((p[1:] for p in rows if p[0] == tag and p[1] is not None and p[3] is not None), key=lambda p: (p[0], p[1] is not None, p[1] or 0, p[2]))
+        n, interval, empties, losses, activity, last = controller.advance(controller.START, polls)
+        assert one[tag] == (n, interval, empties, losses, empties <= 6, round(activity, 6), last)
+
+
+def test_stream_of_late_polls(spark, tmp_path):
+    """Polls in any order over many files, with a stop between: the state equals the fold in order of time."""
+    rng = random.Random(9)
+    source, base = tmp_path / "in", str(tmp_path / "out")
+    schema = "tag string, epoch long, event_id long, new_matches int"
+    rows = [(rng.choice(["#A", "#B", "#C"]), 1_000_000 + 600 * k, k, rng.choice([None, 0, 1, 5, 16, 23])) for k in range(120)]
+    late = sorted(rows, key=lambda r: r[1] + rng.randint(0, 6 * 3600))
+    far = [("#D", 9_000_000 + k, 200 + k, 5) for k in range(40)]  # two files on, so that the others' next polls are due
+    rows, late = rows + far, late + far
+    for at in range(0, 160, 20):
+        spark.createDataFrame(late[at : at + 20], schema).coalesce(1).write.mode("append").parquet(str(source))
+        if at in (40, 140):
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+            out = streams.run(controller.stream(stream, "8 hours"), "update", base)
+    assert out.select("batch").distinct().count() >= 6
+    last = lookup.latest(out.where("event = 'state'"), ["tag"], ["batch"])
+    assert states(last) == states(controller.fold(spark.createDataFrame(rows, schema)))
+    due = out.where("event = 'due'").collect()
+    assert {r["tag"] for r in due} == {r["tag"] for r in last.where("active AND tag <> '#D'").collect()} and due
+    assert all(r["due_at"] == r["last_poll"] + r["interval"] for r in due)
+
+
+def test_stream_dedup_of_shuffled_files(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(rng.randint(0, 5), 1000 + k, k) for k in range(90)]
+    rng.shuffle(rows)
+    for at in range(0, 90, 15):
+        spark.createDataFrame(rows[at : at + 15], "k int, ts long, event_id long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k int, ts long, event_id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = lookup.latest(streams.run(controller.first_seen(stream, ["k"], ["ts", "event_id"]), "update"), ["k"], ["batch"])
+    assert {r["k"]: r["event_id"] for r in out.collect()} == {k: min(r[2] for r in rows if r[0] == k) for k in {r[0] for r in rows}}
+
+
 def test_stream_resumes(spark, tmp_path):
     """A stream that is started again in its old folder goes on from its state and reads only new files."""
     source, base = tmp_path / "in", str(tmp_path / "out")
     polls = lambda rows: spark.createDataFrame(rows, "tag long, epoch long, event_id long, new_matches int")
     first, later = [(1, 10, 1, 0), (1, 20, 2, 0), (2, 5, 3, 23)], [(1, 30, 4, 23), (3, 40, 5, 5)]
-    last = {}
     for rows in (first, later):
         polls(rows).write.mode("append").parquet(str(source))
         stream = spark.readStream.schema("tag long, epoch long, event_id long, new_matches int").parquet(str(source))
-        out = streams.run(controller.stream(stream), "update", base).collect()
-        last = {r["tag"]: (r["polls"], r["interval"], r["empties"], r["losses"]) for r in sorted(out, key=lambda r: r["batch"])}
-    assert last == {r["tag"]: (r["polls"], r["interval"], r["empties"], r["losses"]) for r in controller.fold(polls(first + later)).collect()}
-    assert sorted((r["tag"], r["batch"]) for r in out if r["batch"] > 0) == [(1, 1), (3, 1)]
+        out = streams.run(controller.stream(stream), "update", base).where("event = 'state'")
+    assert states(lookup.latest(out, ["tag"], ["batch"])) == states(controller.fold(polls(first + later)))
+    assert sorted((r["tag"], r["batch"]) for r in out.where("batch > 0").collect()) == [(1, 1), (3, 1)]
 
 
 def drafts(spark, n=300, seed=1):

@@ -14,16 +14,17 @@ from trifold.session import shared_folder
 from trifold.sources import bind
 from trifold.streaming import controller
 
-FOLD = f"""WITH RECURSIVE {L}, o AS (SELECT tag, new_matches AS n, row_number() OVER (PARTITION BY tag ORDER BY epoch, event_id) AS rn, count(*) OVER (PARTITION BY tag) AS polls FROM l),
-f(tag, rn, i, e, losses) AS (SELECT DISTINCT tag, CAST(0 AS BIGINT), CAST(3600 AS BIGINT), 0, 0 FROM o UNION ALL
- SELECT f.tag, o.rn, CAST(floor(least(1209600, greatest(900, i * CASE WHEN n >= 22 THEN 0.5 WHEN n >= 15 THEN 0.8 WHEN n = 0 THEN 2 WHEN n <= 2 THEN 1.5 ELSE 1 END + 0.5))) AS BIGINT), CASE WHEN n = 0 THEN e + 1 ELSE 0 END, losses + CASE WHEN n >= 22 AND o.rn > 1 THEN 1 ELSE 0 END
+FOLD = f"""WITH RECURSIVE {L}, o AS (SELECT tag, epoch, new_matches AS n, row_number() OVER (PARTITION BY tag ORDER BY epoch, event_id) AS rn, count(*) OVER (PARTITION BY tag) AS polls FROM l WHERE new_matches IS NOT NULL),
+f(tag, rn, i, e, losses, a, t) AS (SELECT DISTINCT tag, CAST(0 AS BIGINT), CAST(3600 AS BIGINT), 0, 0, CAST(0 AS DOUBLE), CAST(NULL AS BIGINT) FROM o UNION ALL
+ SELECT f.tag, o.rn, CAST(floor(least(1209600, greatest(900, i * CASE WHEN n >= 22 THEN 0.5 WHEN n >= 15 THEN 0.8 WHEN n = 0 THEN 2 WHEN n <= 2 THEN 1.5 ELSE 1 END + 0.5))) AS BIGINT), CASE WHEN n = 0 THEN e + 1 ELSE 0 END, losses + CASE WHEN n >= 22 AND o.rn > 1 THEN 1 ELSE 0 END,
+ CAST(0.7 AS DOUBLE) * a + CAST(0.3 AS DOUBLE) * (n / CASE WHEN t IS NULL THEN CAST(1 AS DOUBLE) ELSE greatest((o.epoch - t) / CAST(3600 AS DOUBLE), CAST(0.25 AS DOUBLE)) END * 24), o.epoch
  FROM f JOIN o ON o.tag = f.tag AND o.rn = f.rn + 1)
-SELECT f.tag, CAST(polls AS INT) AS polls, i AS "interval", e AS empties, losses, e <= 6 AS active FROM f JOIN o ON o.tag = f.tag AND o.rn = f.rn WHERE f.rn = polls"""
+SELECT f.tag, CAST(polls AS INT) AS polls, i AS "interval", e AS empties, losses, e <= 6 AS active, round(a, 6) AS activity, t AS last_poll FROM f JOIN o ON o.tag = f.tag AND o.rn = f.rn WHERE f.rn = polls"""
 
 
 @query(FOLD)
 def controller_fold(spark, sf):
-    return controller.fold(bind.poll_log(spark, sf))
+    return controller.fold(bind.poll_log(spark, sf)).withColumn("activity", F.round("activity", 6))
 
 
 def _stream(spark, sf) -> DataFrame:
@@ -45,6 +46,8 @@ def run(df: DataFrame, mode: str, base: str | None = None) -> DataFrame:
     def put(batch, k):
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={k}")
 
+    # Typed state and timers need this store; it is named when a stream starts.
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(put).start()
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out")
@@ -55,8 +58,9 @@ def stream_controller(spark, sf):
     e = _stream(spark, sf)
     k = F.get_json_object("props", "$.k").cast("int") % 26
     polls = e.select(F.col("user_id").alias("tag"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("epoch"), "event_id", k.alias("new_matches"))
-    out = run(controller.stream(polls), "update")
-    return lookup.latest(out, ["tag"], ["batch"]).drop("batch")
+    # Files may lie in any order, so none of their polls counts as too late.
+    out = run(controller.stream(polls, "100 years"), "update").where("event = 'state'").drop("event", "due_at")
+    return lookup.latest(out, ["tag"], ["batch"]).drop("batch").withColumn("activity", F.round("activity", 6))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -71,10 +75,9 @@ def stream_tumbling(spark, sf):
 
 @query("SELECT event_type, CAST(user_id AS BIGINT) AS user_id, arg_min(event_id, (ts, event_id)) AS event_id, min(ts) AS ts FROM events GROUP BY ALL")
 def stream_dedup(spark, sf):
-    """The first observation of each key, later ones dropped while the watermark remembers it."""
-    e = _stream(spark, sf).withColumn("at", F.col("ts").cast("timestamp")).withColumn("k", F.concat_ws("|", "event_type", F.col("user_id").cast("string")))
-    out = run(controller.first_seen(e, "k", "at", "60 days"), "append")
-    return out.select("event_type", "user_id", "event_id", "ts")
+    """The first observation in time of each key, in whatever order they arrive."""
+    out = run(controller.first_seen(_stream(spark, sf), ["event_type", "user_id"], ["ts", "event_id"]), "update")
+    return lookup.latest(out, ["event_type", "user_id"], ["batch"]).select("event_type", "user_id", "event_id", "ts")
 
 
 @query(
