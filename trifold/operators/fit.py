@@ -1,11 +1,10 @@
 """Penalised logistic fits: sum of losses + sum over k of penalty_k / 2 * beta_k^2, without intercept
 but for the family that is one.
 
-Spark ML has one penalty on the mean loss, so a column with penalty r is divided
-by sqrt(r), the fit is made with 1 / n, and its coefficient is divided by
-sqrt(r) again.  An offset is one more column, whose coefficient is pinned at 1.
-The design stays distributed as sparse vectors, made within each match's row;
-only the parameters come to the driver, where the optimiser keeps them anyway."""
+Coefficients are fitted as beta_k * sqrt(penalty_k), which all have the penalty 1,
+by ``convex.minimise``.  The design stays distributed as sparse rows, made within
+each match's row; only the parameters come to the driver, where the optimiser
+keeps them anyway."""
 
 from __future__ import annotations
 
@@ -14,27 +13,25 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import DenseMatrix, VectorUDT
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from trifold.functions.expr import sigmoid
-from trifold.operators import design
+from trifold.operators import convex, design
 from trifold.session import durable
+from trifold.sources.bind import N
 
 #: Penalty by the first part of a feature's name.
 PENALTY = {
     "solo": 5.0, "solo_mode": 15.0, "solo_map": 40.0, "solo_patch": 30.0, "solo_tier": 40.0, "syn": 60.0, "ctr": 60.0, "ctr_mode": 120.0,
     "theory": 5.0, "role": 5.0, "matchup": 5.0, "matchup_mode": 15.0, "stack": 2.0, "popularity": 1.0, "power": 1.0, "mastery": 1.0,
 }
-#: The one feature that is the same for all matches: it is fitted as the intercept, without a penalty.
+#: The one feature that is the same for all matches: it is an intercept, without a penalty.
 SIDE = "side:"
-#: Largest entry of the mean loss's gradient that a fit may stop at.
-TOLERANCE = 1e-3
+#: Largest entry of the mean objective's gradient, by beta * sqrt(penalty), that a fit may stop at.  That objective curves by 1 / total
+#: weight at least, so a beta is off by total weight * (norm of the gradient) / sqrt(penalty) at most.
+TOLERANCE = 1e-7
 #: Matches that are worth a task of their own.
 ROWS_A_PART = 10_000
 
@@ -82,19 +79,12 @@ def _scores(held):
     return run
 
 
-_VECTOR = pa.struct([("type", pa.int8()), ("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
-
-
-def _vectors(held):
+def _sparse(held):
     def run(batches):
-        names, scales = held.value  # of the features, and one more scale for the offset
-        size = len(scales)
+        names, scales = held.value
         for batch in batches:
             n = batch.num_rows
             row, number, value = _entries(batch.column("e"), names)
-            if size > len(names):
-                offset = batch.column("offset").to_numpy(zero_copy_only=False)
-                row, number, value = np.concatenate([row, np.arange(n)]), np.concatenate([number, np.full(n, size - 1)]), np.concatenate([value, offset])
             order = np.lexsort((number, row))
             row, number, value = row[order], number[order], value[order]
             new = np.append(True, (row[1:] != row[:-1]) | (number[1:] != number[:-1])) if len(row) else np.zeros(0, bool)
@@ -102,48 +92,71 @@ def _vectors(held):
             row, number = row[new], number[new]
             at = pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32))
             lists = pa.ListArray.from_arrays(at, pa.array(number.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(value * scales[number]))
-            vector = pa.StructArray.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)), *lists], fields=list(_VECTOR))
-            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("w"), vector], names=["label", "w", "features"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("y", "w", "offset")], *lists], names=["y", "w", "offset", "number", "value"])
 
     return run
 
 
-def fit(drafts: DataFrame, families: list[str], penalty: dict[str, float] | None = None, weight: str | None = None, iterations: int = 300, offset: str | None = None) -> Model:
-    """Fits y of decided drafts on the families; ``weight`` names a column of case weights, ``offset`` one that is added to z as it is."""
+def _pairs(names: list[str], block: str) -> list[tuple[int, int, int]]:
+    """Place, lower and higher character of each pair feature of a block."""
+    start = [i * (2 * N - i - 1) // 2 for i in range(N)]
+    out = []
+    for k, name in enumerate(names):
+        if name.startswith(f"{block}:"):
+            at = int(name.split(":")[1])
+            i = int(np.searchsorted(start, at, side="right")) - 1
+            while at - start[i] >= N - i - 1:  # the last character begins no pair
+                i -= 1
+            out.append((k, i, at - start[i] + i + 1))
+    return out
+
+
+def row_sums(names: list[str]) -> np.ndarray:
+    """A row for each character and pair block (synergy, counter): its pairs' coefficients, as they count for it, add up to 0."""
+    rows: dict[tuple[str, int], np.ndarray] = {}
+    for block, sign in (("syn", 1.0), ("ctr", -1.0)):
+        for k, i, j in _pairs(names, block):
+            for who, value in ((i, 1.0), (j, sign)):
+                rows.setdefault((block, who), np.zeros(len(names)))[k] = value
+    return np.array([rows[key] for key in sorted(rows)]).reshape(-1, len(names))
+
+
+def fit(
+    drafts: DataFrame, families: list[str], penalty: dict[str, float] | None = None, weight: str | None = None, iterations: int = 1000, offset: str | None = None, constrained: bool = False, start: Model | None = None
+) -> Model:
+    """Fits y of decided drafts on the families; ``weight`` names a column of case weights, ``offset`` one that is added to z as it is.
+
+    ``constrained`` holds the row sums of pair blocks at 0; ``start`` is a model whose coefficients the fit begins with."""
     penalty = PENALTY | (penalty or {})
     spark = drafts.sparkSession
-    columns = [F.col("y").cast("double").alias("label"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"), (F.col(offset) if offset else F.lit(0.0)).cast("double").alias("offset")]
+    columns = [F.col("y").cast("double").alias("y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"), (F.col(offset) if offset else F.lit(0.0)).cast("double").alias("offset")]
     rows = drafts.select(*columns, design.entries(families).alias("e"))
     seen = rows.select(F.explode("e").alias("e")).where("e.value <> 0").select("e.feature").distinct()
     names = sorted(r["feature"] for r in seen.collect())  # the parameters, not the rows
-    constant = [f for f in names if f == SIDE]
-    names = [f for f in names if f != SIDE]
     if not names:
         return Model(spark, [], np.zeros(0), families)
-    scales = np.array([1 / math.sqrt(penalty[f.split(":", 1)[0]]) for f in names] + ([1.0] if offset else []))
+    names = [f for f in names if f != SIDE] + [f for f in names if f == SIDE]
+    own = np.array([f != SIDE for f in names], float)
+    scales = np.array([1 / math.sqrt(penalty[f.split(":", 1)[0]]) if f != SIDE else 1.0 for f in names])
     held = spark.sparkContext.broadcast((pa.array(names, pa.string()), scales))
-    schema = StructType([StructField("label", DoubleType()), StructField("w", DoubleType()), StructField("features", VectorUDT())])
-    # A fixed number of parts, so that each iteration keeps all tasks busy, but no more than there is work for.
-    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), drafts.count() // ROWS_A_PART + 1)
-    data = durable(rows.repartition(parts).mapInArrow(_vectors(held), schema))
-    total = data.agg(F.sum("w")).first()[0]
-    options = {"fitIntercept": bool(constant), "standardization": False, "elasticNetParam": 0.0, "regParam": 1 / total, "maxIter": iterations, "tol": 1e-9, "weightCol": "w"}
-    if offset:
-        ends = [np.append(np.full(len(names), s), 1.0) for s in (-np.inf, np.inf)]
-        low, high = (DenseMatrix(1, len(scales), x.tolist()) for x in ends)
-        options |= {"lowerBoundsOnCoefficients": low, "upperBoundsOnCoefficients": high}
-    found = LogisticRegression(**options).fit(data)
-    scaled = found.coefficients.toArray()
-    # The gradient at the end: errors times columns, by label since weights are positive.
-    p = vector_to_array("probability")[1]
-    error = F.col("w") * F.when(F.col("label") == 1, 1 - p).otherwise(p)
-    sums = found.transform(data).groupBy("label").agg(Summarizer.metrics("sum").summary(F.col("features"), error).alias("s")).collect()
-    gradient = scaled + sum((1 - 2 * r["label"]) * r["s"]["sum"].toArray() for r in sums)
-    left = float(np.abs(gradient[: len(names)]).max() / total)
-    if left > TOLERANCE:
-        raise RuntimeError(f"the fit of {families} stopped after {found.summary.totalIterations} steps with a gradient of {left:.2g}")
-    beta = np.append((scaled * scales)[: len(names)], [found.intercept] if constant else [])
-    return Model(spark, names + constant, beta, families, left, found.summary.totalIterations)
+    parted = convex.spread(rows, drafts.count(), ROWS_A_PART)
+    data = durable(parted.mapInArrow(_sparse(held), "y double, w double, offset double, number array<int>, value array<double>"))
+    total = convex.total_weight(data)
+    if not total:
+        return Model(spark, names, np.zeros(len(names)), families)
+    losses = convex.logistic(data, len(names))
+
+    def objective(u: np.ndarray) -> tuple[float, np.ndarray]:
+        value, gradient = losses(u)
+        return (value + (own * u) @ u / 2) / total, (gradient + own * u) / total
+
+    matrix = row_sums(names) * scales if constrained else np.zeros((0, len(names)))
+    first = dict(zip(start.names, start.beta.tolist(), strict=True)) if start else {}
+    begin = np.array([first.get(f, 0.0) for f in names]) / scales
+    found = convex.minimise(objective, begin, TOLERANCE, convex.Constraints(matrix) if len(matrix) else None, iterations)
+    if not found.converged:
+        raise RuntimeError(f"the fit of {families} stopped after {found.steps} steps with a gradient of {found.gradient:.2g}")
+    return Model(spark, names, found.x * scales, families, found.gradient, found.steps)
 
 
 def temperature(scored: DataFrame, steps: int = 12) -> float:
