@@ -58,7 +58,7 @@ def test_row_sums_name_the_right_pairs(spark):
     pairs = [(0, 1), (0, 106), (1, 2), (5, 9), (50, 106), (105, 106)]
     at = [r[0] for r in spark.createDataFrame(pairs, "i int, j int").select(pair_index(F.col("i"), F.col("j"), N)).collect()]
     names = [f"ctr:{k}" for k in at] + ["solo:3"] + [f"syn:{k}" for k in at]
-    assert [(i, j) for _, i, j in fit._pairs(names, "ctr")] == pairs
+    assert [(i, j) for _, i, j in fit.pair_places(names, "ctr")] == pairs
     m = fit.row_sums(names)
     assert m.shape == (2 * len({x for p in pairs for x in p}), len(names)) and not m[:, 6].any()
     assert sorted(map(tuple, m[:, 0][m[:, 0] != 0].reshape(1, -1))) == [(1.0, -1.0)]

@@ -97,7 +97,7 @@ def _sparse(held):
     return run
 
 
-def _pairs(names: list[str], block: str) -> list[tuple[int, int, int]]:
+def pair_places(names: list[str], block: str) -> list[tuple[int, int, int]]:
     """Place, lower and higher character of each pair feature of a block."""
     start = [i * (2 * N - i - 1) // 2 for i in range(N)]
     out = []
@@ -115,7 +115,7 @@ def row_sums(names: list[str]) -> np.ndarray:
     """A row for each character and pair block (synergy, counter): its pairs' coefficients, as they count for it, add up to 0."""
     rows: dict[tuple[str, int], np.ndarray] = {}
     for block, sign in (("syn", 1.0), ("ctr", -1.0)):
-        for k, i, j in _pairs(names, block):
+        for k, i, j in pair_places(names, block):
             for who, value in ((i, 1.0), (j, sign)):
                 rows.setdefault((block, who), np.zeros(len(names)))[k] = value
     return np.array([rows[key] for key in sorted(rows)]).reshape(-1, len(names))

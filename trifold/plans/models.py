@@ -7,8 +7,9 @@ import math
 from pyspark.sql import functions as F
 
 from trifold.functions.expr import decay, p_of_interval
-from trifold.operators import comps, decide, fit, lanes, lookup, metrics, pairs, power, ranking, resample
+from trifold.operators import comps, decide, factors, fit, lanes, lookup, metrics, pairs, power, ranking, resample
 from trifold.plans.registry import query
+from trifold.plans.views import D
 from trifold.session import durable
 from trifold.sources import bind
 
@@ -85,6 +86,37 @@ def ablation_ladder(spark, sf):
     return _union(out)
 
 
+@query(
+    f"""WITH {D}, o AS (SELECT a, b, row_number() OVER (ORDER BY t, match_id) AS rn, count(*) OVER () AS n FROM d WHERE y IS NOT NULL), q AS (SELECT unnest(a) AS i, b FROM o WHERE rn <= floor(n * 0.8)), p AS (SELECT i, unnest(b) AS j FROM q),
+e AS (SELECT i, j FROM p UNION SELECT j, i FROM p), s AS (SELECT CAST(i AS INT) AS brawler_id, count(*) AS n_opponents FROM e WHERE i <> j GROUP BY i) SELECT brawler_id, n_opponents, CAST(0 AS DOUBLE) AS row_sum FROM s"""
+)
+def counter_row_sums(spark, sf):
+    """The constrained fit: how many opponents' counters each character has, and their sum, which is 0.
+
+    The fit itself is held against dense solutions in tests/test_convex.py."""
+    train, _ = _split(spark, sf)
+    m = fit.fit(train, ["solo", "counter"], constrained=True)
+    pairs_of = fit.pair_places(m.names, "ctr")
+    rows = [(i, j, s * float(m.beta[k])) for k, i, j in pairs_of for i, j, s in ((i, j, 1.0), (j, i, -1.0))]  # parameters, not rows
+    both = spark.createDataFrame(rows, "brawler_id int, other int, c double")
+    return both.groupBy("brawler_id").agg(F.count(F.lit(1)).alias("n_opponents"), F.abs(F.round(F.sum("c"), 9)).alias("row_sum"))
+
+
+@query()
+def factor_ladder(spark, sf):
+    """Rungs of pair effects of rank 4, 8 and 16 beside full strengths: quality, and the gain in log loss over strengths alone with its interval."""
+    train, test = _split(spark, sf)
+    loss = metrics.log_loss("p", "y")
+    base = durable(fit.fit(train, ["solo"]).predict(test).select("match_id", loss.alias("base")))
+    out = []
+    for k in (4, 8, 16):
+        m = factors.fit(train, k, rounds=3)
+        scored = durable(m.predict(test))
+        delta = resample.paired_difference(base.join(scored.select("match_id", loss.alias("loss")), "match_id"), "base", "loss", "match_id")
+        out.append(_quality(scored, rung=f"k={k}", passes=m.passes).crossJoin(delta.select(*[F.round(c, 6).alias(c) for c in ("delta", "low", "high")], "matters")))
+    return _union(out)
+
+
 @query()
 def temperature_scaling(spark, sf):
     train, test = _split(spark, sf)
