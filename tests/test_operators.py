@@ -253,6 +253,20 @@ def test_interval_lookup(spark):
     assert got == {-1: None, 0: "p1", 9: "p1", 10: "p2", 25: "p3", None: None}
 
 
+def test_interval_lookup_of_many_segments(spark):
+    """100,000 segments with gaps, repeated times, one time with a third of the rows, nulls: carried along, and as arrays where few."""
+    seg = spark.range(100_000).selectExpr("CAST(id AS STRING) AS patch_id", "CAST(id * 10 AS INT) AS start", "CAST(id * 10 + 7 AS INT) AS stop")
+    df = spark.range(9000).selectExpr("CAST(CASE WHEN id % 3 = 0 THEN 500003 WHEN id = 1 THEN NULL ELSE id * 113 % 1000100 - 50 END AS INT) AS t", "id AS patch_no", "array(id) AS more")
+    rows = lookup.interval(df, seg, "t", ["patch_id"]).collect()
+    assert len(rows) == 9000 and rows[0].asDict().keys() == {"t", "patch_no", "more", "patch_id"}
+    for r in rows:
+        want = None if r["t"] is None or r["t"] < 0 or r["t"] % 10 >= 7 or r["t"] // 10 >= 100_000 else str(r["t"] // 10)
+        assert r["patch_id"] == want, r
+    few = seg.where("start < 3000")
+    same = [sorted(map(str, lookup.interval(df.where("t < 4000"), few, "t", ["patch_id"], most=m).collect())) for m in (5, 1000)]
+    assert same[0] == same[1]
+
+
 def test_upserts(spark):
     a = spark.createDataFrame([(1, 1, "x"), (1, 3, "y"), (2, 1, "z")], "k int, v int, s string")
     assert {r["k"]: r["s"] for r in lookup.latest(a, ["k"], ["v"]).collect()} == {1: "y", 2: "z"}

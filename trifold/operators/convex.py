@@ -47,8 +47,8 @@ def _added(batches):
         yield _emit(part // FAN, total)
 
 
-def sums(rows: DataFrame, size: int, of: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
-    """The sum over all batches of ``of(batch)``, a vector of ``size`` numbers."""
+def sums(rows: DataFrame, size: int, of: Callable[[pa.RecordBatch], np.ndarray], parts: int | None = None) -> np.ndarray:
+    """The sum over all batches of ``of(batch)``, a vector of ``size`` numbers; ``parts``: how many partitions the rows have."""
 
     def run(batches):
         total = np.zeros(size)
@@ -58,7 +58,7 @@ def sums(rows: DataFrame, size: int, of: Callable[[pa.RecordBatch], np.ndarray])
         yield _emit(TaskContext.get().partitionId() // FAN, total)
 
     out = rows.mapInArrow(run, SUMS)
-    n = rows.rdd.getNumPartitions()
+    n = parts if parts is not None else rows.rdd.getNumPartitions()
     while n > FAN:
         n = -(-n // FAN)
         out = out.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_added, SUMS)
@@ -170,7 +170,7 @@ def logistic_loss(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, n
 
 def logistic(rows: DataFrame, size: int) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
     """The log loss over rows (y, w, offset, number array<int>, value array<double>) and its gradient, as a function of the parameters."""
-    context = rows.sparkSession.sparkContext
+    context, parts = rows.sparkSession.sparkContext, rows.rdd.getNumPartitions()
 
     def objective(beta: np.ndarray) -> tuple[float, np.ndarray]:
         held = context.broadcast(beta)
@@ -183,7 +183,7 @@ def logistic(rows: DataFrame, size: int) -> Callable[[np.ndarray], tuple[float,
             loss, slope = logistic_loss(z, y, w)
             return np.append(np.bincount(number, slope[row] * value, minlength=size), loss)
 
-        total = sums(rows, size + 1, of)
+        total = sums(rows, size + 1, of, parts)
         held.unpersist()
         return float(total[-1]), total[:-1]
 

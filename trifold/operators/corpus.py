@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 def assemble(matches: DataFrame, players: DataFrame, known_ids: int | None = None) -> DataFrame:
     """Matches with arrays a and b of picks in slot order, controls, and the first reason to drop them, if any.
 
-    Only the players of the matches given are grouped."""
-    ours = players.join(matches.select("match_id").distinct(), "match_id", "left_semi")
+    Players are grouped by match and then joined, which takes one shuffle of each
+    table; filter the players first where few matches are asked for."""
     row = F.struct("team_idx", "slot", "brawler_id", "player_tag", F.coalesce("power", F.lit(0.0)).alias("power"), F.coalesce("trophies", F.lit(0.0)).alias("trophies"))
-    grouped = ours.groupBy("match_id").agg(F.array_sort(F.collect_list(row)).alias("ps"))
+    grouped = players.groupBy("match_id").agg(F.array_sort(F.collect_list(row)).alias("ps"))
     df = matches.join(grouped, "match_id", "left")
     team = lambda k: F.filter("ps", lambda p: p["team_idx"] == k)
     picks = lambda k: F.transform(team(k), lambda p: p["brawler_id"])

@@ -86,7 +86,7 @@ def scores(solo, ally, against, a, b) -> np.ndarray:
 
 def _losses(rows: DataFrame, n: int):
     """Log loss and its derivatives by strengths and by the entries of both tables, as a function of these."""
-    context = rows.sparkSession.sparkContext
+    context, parts = rows.sparkSession.sparkContext, rows.rdd.getNumPartitions()
 
     def losses(solo, ally, against):
         held = context.broadcast((solo, ally, against))
@@ -103,7 +103,7 @@ def _losses(rows: DataFrame, n: int):
             versus = count(a[:, :, None] * n + b[:, None, :], slope[:, None, None], n * n)
             return np.concatenate([[loss], own, pair, versus])
 
-        total = convex.sums(rows, 1 + n + 2 * n * n, of)
+        total = convex.sums(rows, 1 + n + 2 * n * n, of, parts)
         held.unpersist()
         return total[0], total[1 : 1 + n], total[1 + n : 1 + n + n * n].reshape(n, n), total[1 + n + n * n :].reshape(n, n)
 

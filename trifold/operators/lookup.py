@@ -6,17 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trifold.functions.expr import name_key
+from trifold.operators import ranking
 from trifold.session import small
 
 
-def interval(df: DataFrame, segments: DataFrame, time: str, columns: list[str], most: int = 1000) -> DataFrame:
-    """``df`` with ``columns`` of the latest segment with start <= time < stop (null: open), or null.
+#: Up to so many segments are joined as one array.
+FEW_SEGMENTS = 1000
 
-    Segments are a small dimension; their number is checked, since they are
-    joined as one sorted array per row, which shuffles nothing."""
-    n = segments.count()
-    if n > most:
-        raise ValueError(f"{n} segments; at most {most} are broadcast")
+
+def interval(df: DataFrame, segments: DataFrame, time: str, columns: list[str], most: int = FEW_SEGMENTS) -> DataFrame:
+    """``df`` with ``columns`` of the segment with start <= time < stop (null: open), or null.
+
+    Segments don't overlap; of those that begin together the one that sorts last
+    counts.  Their number is checked: up to ``most`` go out as one sorted array,
+    which shuffles nothing; more of them are carried along the order of time."""
+    if segments.count() > most:
+        return _carried(df, segments, time, columns)
     fields = ["start", "stop", *columns]
     one = segments.agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_segments"))
     fits = F.filter("_segments", lambda s: (s["start"] <= F.col(time)) & (s["stop"].isNull() | (s["stop"] > F.col(time))))
@@ -24,6 +29,19 @@ def interval(df: DataFrame, segments: DataFrame, time: str, columns: list[str],
     return out.select(*df.columns, *[F.col(f"_hit.{c}").alias(c) for c in columns])
 
 
+def _carried(df: DataFrame, segments: DataFrame, time: str, columns: list[str]) -> DataFrame:
+    """Rows and segments in one order, by ranges, each row with the last segment before it.
+
+    Rows of one time are spread over ranges by a drawn number, for segments go before them anyway."""
+    kind = dict(df.dtypes)[time]
+    starts = segments.select(F.col("start").cast(kind).alias("_t"), F.struct("start", "stop", *columns).alias("_segment"), F.lit(0.0).alias("_place"))
+    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(time).alias("_t"), (F.rand(1) + 1).alias("_place"))
+    both = rows.unionByName(starts, allowMissingColumns=True)
+    out = ranking.last_before(both, [F.col("_t"), F.col("_place"), F.col("_segment")], "_segment", "_hit").where("_row IS NOT NULL")
+    fits = F.col("_t").isNotNull() & (F.col("_hit.stop").isNull() | (F.col("_hit.stop") > F.col("_t")))
+    return out.select("_row.*", *[F.when(fits, F.col(f"_hit.{c}")).alias(c) for c in columns])
+
+
 def preceding(df: DataFrame, keys: list[str], position: str, is_anchor: Column, value: str, name: str) -> DataFrame:
     """``df`` with ``value`` of the last anchor row before each row of its group."""
     w = Window.partitionBy(*keys).orderBy(position).rowsBetween(Window.unboundedPreceding, -1)

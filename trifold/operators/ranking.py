@@ -42,6 +42,19 @@ def running_before(df: DataFrame, order: list[Column], sums: list[str]) -> DataF
     return out.select("*", *[(F.coalesce(F.sum(c).over(w), F.lit(0)) + F.col(f"_b_{c}")).alias(f"before_{c}") for c in sums]).drop("_part", *[f"_b_{c}" for c in sums])
 
 
+def last_before(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """``df`` with ``name``, the last ``value`` that isn't null up to each row in the order; each range takes on what the ones before it end with."""
+    rows = _ranged(df, order)
+    w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = rows.withColumn("_own", F.last(value, ignorenulls=True).over(w))
+    known = rows.where(F.col(value).isNotNull())
+    ends = known.groupBy("_part").agg(F.max_by(value, F.struct(*order)).alias("_end"))
+    parts = rows.select("_part").distinct().join(ends, "_part", "left")  # one row per task
+    carried = F.last("_end", ignorenulls=True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    out = own.join(F.broadcast(parts.select("_part", carried.alias("_carried"))), "_part")
+    return out.withColumn(name, F.coalesce("_own", "_carried")).drop("_part", "_own", "_carried")
+
+
 def equal_count_bin(rn: Column, n: int, k: int) -> Column:
     """Bin of row rn (from 1) among k bins whose edges are floor(f * n / k)."""
     return F.floor((rn * k - 1) / F.lit(n)).cast("int")
@@ -52,12 +65,12 @@ def forward_fold(rn: Column, n: int, k: int) -> Column:
     return equal_count_bin(rn, n, k)
 
 
-def _placed(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+def _placed(df: DataFrame, value: str, keys: list[str], count: str | None = None) -> DataFrame:
     """Each key's distinct values with the places _from (inclusive) to _to (exclusive) that they take among its _total rows.
 
-    Equal values are counted first.  All keys are ranged together, so that no
+    Equal values are counted first; ``count`` names a column that says how often a row stands.  All keys are ranged together, so that no
     key's values meet in one task, and a key's first place is then taken off."""
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.groupBy(*keys, value).agg((F.sum(count) if count else F.count(F.lit(1))).alias("_n"))
     rows = running_before(counts, [F.col(c) for c in [*keys, value]], ["_n"])
     if not keys:
         total = rows.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total"), F.lit(0).alias("_first"))
@@ -79,9 +92,9 @@ def order_statistic(df: DataFrame, value: str, shares: list[float], keys: list[s
     return rows.where((at >= F.col("_from")) & (at < F.col("_to"))).select(*keys, "p", value)
 
 
-def median(df: DataFrame, value: str, keys: list[str], name: str = "median") -> DataFrame:
+def median(df: DataFrame, value: str, keys: list[str], name: str = "median", count: str | None = None) -> DataFrame:
     """The middle value of each key's rows, of an even number the mean of the two; nulls don't count."""
-    rows = _placed(df.where(F.col(value).isNotNull()), value, keys)
+    rows = _placed(df.where(F.col(value).isNotNull()), value, keys, count)
     middle = F.explode(F.array(F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2))).alias("_at")
     both = rows.select(*keys, value, "_from", "_to", middle).where("_at >= _from AND _at < _to")
     return both.groupBy(*keys).agg(F.avg(value).alias(name))

@@ -8,6 +8,7 @@ from trifold.functions.expr import n_rows, tier
 from trifold.operators import corpus, health, lookup, ranking
 from trifold.plans.registry import query
 from trifold.plans.views import L, M, P, PATCH, POOL
+from trifold.session import durable
 from trifold.sources import bind
 
 #: The newest event's time is the report's now.
@@ -105,8 +106,10 @@ LAG = f"{M}, lag_ AS (SELECT mode, CAST(epoch(l_shipdate) AS BIGINT) - ts AS lag
 def freshness_lag(spark, sf):
     seen = bind.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("match_id"), F.unix_timestamp(F.col("l_shipdate").cast("timestamp")).alias("seen_at"))
     rows = seen.join(bind.matches(spark, sf).select("match_id", "ts", "mode"), "match_id").withColumn("lag", F.col("seen_at") - F.col("ts"))
-    mean = rows.groupBy("mode").agg(F.round(F.avg("lag") / 60, 4).alias("mean_lag_min"), n_rows().alias("n"))
-    middle = ranking.median(rows, "lag", ["mode"]).select(F.col("mode").alias("of"), F.round(F.col("median") / 60, 4).alias("median_lag_min"))
+    # Mean, number and median all come from the counts of each lag, so the join runs once.
+    counts = durable(rows.groupBy("mode", "lag").agg(n_rows().alias("k")))
+    mean = counts.groupBy("mode").agg(F.round(F.sum(F.col("lag") * F.col("k")) / F.sum(F.when(F.col("lag").isNotNull(), F.col("k"))) / 60, 4).alias("mean_lag_min"), F.sum("k").alias("n"))
+    middle = ranking.median(counts, "lag", ["mode"], count="k").select(F.col("mode").alias("of"), F.round(F.col("median") / 60, 4).alias("median_lag_min"))
     return mean.join(middle, F.col("mode").eqNullSafe(F.col("of")), "left").select("mode", "mean_lag_min", "median_lag_min", "n")
 
 

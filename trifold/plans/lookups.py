@@ -10,7 +10,7 @@ from trifold.functions.text import alias_variants
 from trifold.operators import lookup, textkb
 from trifold.plans.registry import query
 from trifold.plans.views import CLASS, D, L, M, P, PATCH, POOL
-from trifold.sources import bind
+from trifold.sources import bind, rest
 
 
 @query(f"WITH {M}, {PATCH} SELECT match_id, patch_id FROM m LEFT JOIN patch ON start <= t AND (stop IS NULL OR stop > t)")
@@ -18,6 +18,25 @@ def patch_asof(spark, sf):
     return lookup.interval(bind.matches(spark, sf), bind.patches(spark), "t", ["patch_id"]).select("match_id", "patch_id")
 
 
+@query(
+    """WITH s AS (SELECT o_orderdate AS start, count(*) AS n_orders FROM orders GROUP BY 1), l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate, n_orders FROM l ASOF LEFT JOIN s ON l_shipdate >= start"""
+)
+def shipped_asof(spark, sf):
+    """Each shipped item with the orders of the last day of orders before it: more segments than an array takes."""
+    days = bind.table(spark, sf, "orders").groupBy(F.col("o_orderdate").alias("start")).agg(n_rows().alias("n_orders"))
+    rows = bind.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
+    return lookup.interval(rows, days.withColumn("stop", F.lit(None).cast("timestamp_ntz")), "l_shipdate", ["n_orders"])
+
+
+@query("SELECT CAST(page_id AS VARCHAR) AS key, CASE WHEN page_id % 10 = 3 THEN 404 ELSE 200 END AS status, CASE WHEN page_id % 10 <> 3 THEN length(html) END AS n_chars, CASE WHEN page_id % 7 = 1 AND page_id % 10 <> 3 THEN 2 ELSE 1 END AS attempts FROM pages")
+def fetched_pages(spark, sf):
+    """Every page asked for through the paced client; the transport stands for a server that lacks some pages and fails at first for others."""
+    asked = bind.table(spark, sf, "pages").select(F.col("page_id").alias("key"), F.concat(F.lit("/pages/"), F.col("page_id").cast("string")).alias("path"))
+    got = rest.fetch(asked, bind.page_server(sf), rate=1e6)
+    return got.select("key", "status", F.char_length("body").alias("n_chars"), "attempts")
+
+
 @query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS asked_at FROM conversations")
 def nearest_preceding(spark, sf):
     c = bind.table(spark, sf, "conversations").select("conv_id", "turn", "role")

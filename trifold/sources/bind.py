@@ -119,3 +119,23 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, q = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     p = 1 / (1 + F.exp(-((F.col("n_chars") % 1000) - 500) / 250))
     return q.join(d.select("doc_id", "n_chars"), "doc_id").select(F.col("doc_id").alias("id"), F.col("quality").alias("y"), p.alias("p"), (F.col("n_chars") % 1000).alias("score"))
+
+
+def page_server(sf_dir: str):
+    """A transport that answers /pages/{page_id} from the table's file: 404 for one page in ten, and at first 503 for one in seven of the others."""
+
+    asked = set()
+
+    def get(path: str) -> tuple[int, str]:
+        import pyarrow.dataset as ds
+
+        k = int(path.rsplit("/", 1)[1])
+        if k % 10 == 3:
+            return 404, ""
+        if k % 7 == 1 and k not in asked:
+            asked.add(k)
+            return 503, ""
+        found = ds.dataset(f"{sf_dir}/pages.parquet").to_table(columns=["html"], filter=ds.field("page_id") == k)
+        return 200, found.column("html")[0].as_py()
+
+    return get
