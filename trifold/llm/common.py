@@ -27,9 +27,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """``df`` written as Parquet to ``path``, or to the shared folder, and read again."""
+    path = path or f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
