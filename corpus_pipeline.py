@@ -6,10 +6,13 @@ packing.  Every stage but the last returns the columns of ``documents``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from trifold.llm import decontaminate, exact, nearcopies, packing, quality
 from trifold.llm.common import stored, table
+from trifold.session import remove, shared_folder
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +47,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+        docs = stored(stage(spark, docs, sf_dir), path)
+        if last:  # nothing reads a stage's documents once the next one's are written
+            remove(spark, last)
+        last = path
     return docs
