@@ -94,3 +94,17 @@ def test_sums_of_many_parts(spark, monkeypatch):
     for parts in (1, 3, 4, 28, 120):
         got = convex.sums(rows.repartition(parts), 2, lambda b: np.array([b.num_rows, b.column("v").to_numpy().sum()]))
         assert got.tolist() == [100, 4950]
+
+
+def test_evidence_equals_dense_iteration(spark):
+    d = few(spark, n=600, ids=12).withColumn("b", F.transform("b", lambda x: x + 12))  # no character on both sides
+    m, penalty, settled = fit.evidence(d, ["solo"], ["solo"])
+    x, y = dense(d, ["solo"], m.names)
+    spread, none = 0.3, np.zeros((0, len(m.names)))
+    for _ in range(60):
+        beta = newton(x, y, np.full(len(m.names), 1 / spread**2), none)
+        p = 1 / (1 + np.exp(-x @ beta))
+        h = (p * (1 - p)) @ x**2
+        spread = min(2.0, max(1e-3, np.sqrt((beta**2).sum() / (h / (h + 1 / spread**2)).sum())))
+    assert settled and penalty["solo"] == pytest.approx(1 / spread**2, rel=0.05)
+    assert m.beta == pytest.approx(newton(x, y, np.full(len(m.names), penalty["solo"]), none), abs=1e-3)

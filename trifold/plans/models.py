@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from trifold.functions.expr import decay, p_of_interval
-from trifold.operators import comps, decide, factors, fit, lanes, lookup, metrics, pairs, power, ranking, resample
+from trifold.operators import comps, decide, factors, fit, lanes, lookup, metrics, pairs, power, ranking, resample, rollout
 from trifold.plans.registry import query
 from trifold.plans.views import D
 from trifold.session import durable
@@ -138,6 +139,29 @@ def shrinkage_cv(spark, sf):
     return _union(rows)
 
 
+@query()
+def empirical_bayes(spark, sf):
+    """Penalties by evidence beside the given ones, and what each gives on the test part."""
+    train, test = _split(spark, sf)
+    families = ["solo", "solo_mode"]
+    given = {f: fit.PENALTY[f] for f in families}
+    m, found, settled = fit.evidence(train, families, families, rounds=8)
+    rows = [(name, p, durable(x.predict(test))) for name, p, x in (("given", given, fit.fit(train, families)), ("evidence", found, m))]
+    return _union([_quality(scored, penalties=name, solo=round(p["solo"], 2), solo_mode=round(p["solo_mode"], 2), settled=settled or name == "given") for name, p, scored in rows])
+
+
+@query()
+def ban_counterfactual(spark, sf):
+    """What a ban changes for the team that picks first, each draft completed from its first two picks by popularity on its map."""
+    d = bind.decided(spark, sf).select("match_id", "map_id", "a", "b", "y", "mode")
+    m = factors.fit(d, 4, rounds=2)
+    picks = d.select("map_id", F.explode(F.concat("a", "b")).alias("k")).groupBy("map_id", "k").agg(F.count(F.lit(1)).alias("n"))
+    popularity = {}
+    for r in picks.collect():  # maps times characters
+        popularity.setdefault(r["map_id"], np.ones(bind.N))[r["k"]] += r["n"]
+    return rollout.ban_values(d, m.solo, *m.tables, popularity).select("map_id", "brawler_id", F.round("value", 6).alias("value"), "n_drafts")
+
+
 @query()
 def half_life_sweep(spark, sf):
     train, test = _split(spark, sf)
