@@ -318,6 +318,11 @@ def test_markup(spark):
     assert (row["date"], row["map"], row["maptype"], row["t1c1"], row["score1"]) == ("2026-02-01", "{{Link|A|map=no}}", "ball", "[[r|s]]", "2")
 
 
+def test_template_names_of_any_length():
+    name = "a" * 300
+    assert textkb.templates("{{" + name + "|x}} {{b") == [(name, 0, 306), ("b", 307, 310)]
+
+
 def test_rank_sums_beyond_a_long(spark):
     both = spark.range(3_000_000).select("id", F.col("id").alias("x"), (-F.col("id")).alias("y"))
     assert ranking.spearman(both, "x", "y", "id").first()["rho"] == pytest.approx(-1)

@@ -48,6 +48,7 @@ def without_overlap(cue_rows: DataFrame, key: str = "path", mark_every: int = 30
     return rows.select(key, F.aggregate("cues", start, step, lambda acc: F.array_join(acc["out"], " ")).alias("text"))
 
 
+_NAME = re.compile(r"\w*")
 _BRACES = re.compile(r"\{\{|\}\}")
 _MARKS = re.compile(r"\{\{|\}\}|\[\[|\]\]|\|")
 _COMMENT = re.compile(r"<!--.*?-->", re.DOTALL)
@@ -64,7 +65,7 @@ def templates(text: str) -> list[tuple[str, int, int]]:
         elif open_:
             k = open_.pop()
             out[k][1:] = [m.end(), True]
-    name = lambda at: re.match(r"\w*", text[at + 2 : at + 66]).group()
+    name = lambda at: _NAME.match(text, at + 2).group()
     return [(name(a), a, b) for a, b, closed in out if closed or name(a)]
 
 
