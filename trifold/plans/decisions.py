@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from trifold.functions.expr import sigmoid
-from trifold.operators import decide
+from trifold.operators import decide, masked
 from trifold.plans.registry import query
 from trifold.plans.views import D, P
 from trifold.sources import bind
@@ -123,3 +124,61 @@ def served_picks(spark, sf):
     picks = bind.drafts(spark, sf).select(F.explode(F.concat("a", "b")).alias("brawler_id"))
     out = decide.served(weights(spark), picks, bind.players(spark, sf), 80).where("rank <= 3")
     return out.select("player", "brawler_id", F.round("w", 6).alias("w"), "rank")
+
+
+#: The same weights in hundredths, with one for two allies.
+_IW, _IC, _IS = "((({x}) * 37 + 11) % 101 - 50)", "((({i}) * 13 + ({j}) * 7) % 11 - (({j}) * 13 + ({i}) * 7) % 11)", "((({i}) * ({j})) % 5 - 2)"
+
+
+def _pick(name: str, source: str, me: str, plied: bool) -> str:
+    """Expressions that add a pick to the list ``me`` of each state, by its gain or by what a reply leaves of it."""
+    foe = "other" if me == "own" else "own"
+    gain = lambda x, mine, theirs: f"{_IW.format(x=x)} + list_sum(list_transform({mine}, lambda o: {_IS.format(i=x, j='o')})) + list_sum(list_transform({theirs}, lambda o: {_IC.format(i=x, j='o')}))"
+    free = "WHERE NOT list_contains(list_concat(own, other), {})"
+    out = f"{name}_f AS MATERIALIZED (SELECT match_id, i, {gain('i', me, foe)} AS g FROM {source}, range(107) r(i) {free.format('i')}), "
+    if plied:
+        out += f"{name}_r AS MATERIALIZED (SELECT match_id, j, {gain('j', foe, me)} AS h FROM {source}, range(107) r(j) {free.format('j')}), {name}_v AS (SELECT f.match_id, i, any_value(g) - max(h - {_IC.format(i='i', j='j')}) AS v FROM {name}_f f JOIN {name}_r r ON f.match_id = r.match_id AND i <> j GROUP BY f.match_id, i), "
+    else:
+        out += f"{name}_v AS (SELECT match_id, i, g AS v FROM {name}_f), "
+    out += f"{name}_o AS MATERIALIZED (SELECT match_id, i, row_number() OVER (PARTITION BY match_id ORDER BY v DESC, i) AS place FROM {name}_v), "
+    mine = f"list_append({me}, i) AS {me}"
+    return out + f"{name} AS MATERIALIZED (SELECT match_id, {mine}, {foe} FROM {source} JOIN {name}_o USING (match_id) WHERE place = 1), "
+
+
+def _masked_sql() -> str:
+    out, ends = f"WITH {D}, ", []
+    for k, start, actual, turns in ((1, "b[1:2] AS own, a AS other", "b[3]", [True]), (2, "a[1:2] AS own, b[1:2] AS other", "a[3]", [True, False]), (3, "a[1:1] AS own, b[1:2] AS other", "a[2]", [True, True, False])):
+        out += f"s{k} AS (SELECT match_id, {start} FROM d WHERE y IS NOT NULL), "
+        for policy in "gp":
+            last = f"s{k}"
+            for at, ours in enumerate(turns):
+                name = f"{policy}{k}{at}"
+                out += _pick(name, last, "own" if ours else "other", ours and policy == "p" and False in turns[at:])
+                last = name
+            pair = lambda t: f"list_sum(list_transform([[1, 2], [1, 3], [2, 3]], lambda q: {_IS.format(i=f'{t}[q[1]]', j=f'{t}[q[2]]')}))"
+            team = lambda t: f"list_sum(list_transform({t}, lambda x: {_IW.format(x='x')}))"
+            cross = " + ".join(_IC.format(i=f"own[{i}]", j=f"other[{j}]") for i in (1, 2, 3) for j in (1, 2, 3))
+            first = f"{policy}{k}0_o"
+            counter = f"(SELECT o.match_id, o.i, max({_IC.format(i='j', j='o.i')}) >= 8 AS punished FROM {first} o JOIN s{k} s ON s.match_id = o.match_id AND o.place = 1, range(107) r(j) WHERE NOT list_contains(list_concat(own, other), j) GROUP BY o.match_id, o.i)"
+            out += f"{policy}{k} AS MATERIALIZED (SELECT x.match_id, 1 / (1 + exp(-({team('own')} - {team('other')} + {pair('own')} - {pair('other')} + {cross}) / 100.0)) AS p, punished, (SELECT any_value(place) FROM {first} o WHERE o.match_id = x.match_id AND o.i = {actual}) AS place FROM {last} x JOIN {counter} c ON c.match_id = x.match_id JOIN d ON d.match_id = x.match_id), "
+        share = lambda c: f"round(avg(CAST({c} AS INT)), 6)"
+        ends.append(f"SELECT {k} AS masked, count(*) AS n, round(avg(p.p - g.p), 6) + 0.0 AS uplift, {share('g.punished')} AS greedy_punished, {share('p.punished')} AS plied_punished, {share('g.place <= 5')} AS greedy_agrees, {share('p.place <= 5')} AS plied_agrees FROM g{k} g JOIN p{k} p USING (match_id)")
+    return out[:-2] + " " + " UNION ALL ".join(ends)
+
+
+def tables():
+    """Strengths, allies' and counters' weights over ids, as arrays."""
+    x = np.arange(bind.N)
+    i, j = x[:, None], x[None]
+    return ((x * 37 + 11) % 101 - 50) / 100, (i * j % 5 - 2) / 100, ((i * 13 + j * 7) % 11 - (j * 13 + i * 7) % 11) / 100
+
+
+@query(_masked_sql())
+def masked_completions(spark, sf):
+    """Drafts with their last one to three picks open, finished greedily and looking a reply ahead, against a fixed adversary."""
+    d, model = bind.decided(spark, sf), tables()
+    out = None
+    for k in (1, 2, 3):
+        s = masked.summary(masked.completed(d, *model, k, 0.08)).select(F.lit(k).alias("masked"), "n", *[(F.round(c, 6) + 0.0).alias(c) for c in ("uplift", "greedy_punished", "plied_punished", "greedy_agrees", "plied_agrees")])
+        out = s if out is None else out.unionByName(s)
+    return out
