@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -128,3 +130,40 @@ def test_ban_stability_and_power(spark):
     assert got[1] == (1.0, 1.0) and got.get(2, (1.0, 1.0)) == (1.0, 1.0)
     n = power.matches_needed(106, 0.10184, 0.05 / 6)
     assert abs(power.power(106, n * 0.10184 / 4, 0.05 / 6) - 0.8) < 1e-3
+
+
+def test_sizes_of_terms():
+    rng = np.random.default_rng(0)
+    one = power.terms()
+    z = rng.normal(0, power.sigma_from_accuracy(0.58), 400_000)
+    y = rng.random(len(z)) < 1 / (1 + np.exp(-z))
+    assert ((z > 0) == y).mean() == pytest.approx(0.58, abs=0.003)
+    z = rng.normal(0, power.sigma_from_auc(0.66), 400_000)
+    y = rng.random(len(z)) < 1 / (1 + np.exp(-z))
+    place = z.argsort().argsort()
+    assert (place[y].sum() - y.sum() * (y.sum() - 1) / 2) / (y.sum() * (~y).sum()) == pytest.approx(0.66, abs=0.003)
+    whole = power.transferred(one, total=True)
+    for f, a, b in zip(power.Terms._fields, power.FIVE, power.THREE, strict=True):
+        assert getattr(whole, f) ** 2 * b == pytest.approx(getattr(one, f) ** 2 * a, rel=1e-4)
+    assert power.transferred(one) == one
+    # The power of a two-sided test at n occurrences, by simulation of its estimate.
+    n = power.coefficient_n(0.2, 0.05, 0.8, 1.0)
+    drawn = rng.normal(0.2, 2 / math.sqrt(n), 400_000)
+    assert (np.abs(drawn) > 1.959964 * 2 / math.sqrt(n)).mean() == pytest.approx(0.8, abs=0.005)
+
+
+def test_pair_sizes(spark):
+    q = [0.4, 0.3, 0.2, 0.1, 0.0]
+    shares = spark.createDataFrame([(10 * k, x) for k, x in enumerate(q)], "brawler_id int, q double")
+    rates = {(r["i"], r["j"]): (r["synergy"], r["counter"]) for r in power.pair_rates(shares).collect()}
+    assert set(rates) == {(10 * i, 10 * j) for i in range(5) for j in range(i + 1, 5)}
+    assert rates[0, 20] == pytest.approx((12 * 0.08, 18 * 0.08))
+    t = power.Terms(0.1, 0.2, 0.3)
+    got = {(r["family"], r["place"]): r for r in power.pair_sizes(shares, {"x": t}, 1000, 0.05, (0.0, 0.5, 0.99)).collect()}
+    need = power.coefficient_n(0.4, 0.05)
+    order = sorted((x for x, _ in rates.values()), reverse=True)
+    for place, k in ((0.0, 0), (0.5, 5), (0.99, 9)):
+        r = got["synergy", place]
+        assert r["rate"] == pytest.approx(order[k]) and r["matches"] == (pytest.approx(need / order[k]) if order[k] else None)
+        assert r["n_pairs"] == 10 and r["n_enough"] == sum(x * 1000 >= need for x in order)
+    assert power.pair_sizes(shares.limit(0), {"x": t}, 1000, 0.05).count() == 0

@@ -238,6 +238,26 @@ def achieved_power(spark, sf):
     return spark.createDataFrame(rows, "test string, df int, n_train long, power double")
 
 
+_NEED = "6e0 * (2.638257273476751e0 + 0.8416212335729144e0) * (2.638257273476751e0 + 0.8416212335729144e0) / (2 * tau * 2 * tau)"
+
+
+@query(
+    f"""WITH {D}, pk AS (SELECT CAST(unnest(list_concat(a, b)) AS INT) AS i FROM d), c AS (SELECT i, count(*) AS k FROM pk GROUP BY i), q AS (SELECT CAST(r.i AS INT) AS i, coalesce(k, 0) / CAST(sum(k) OVER () AS DOUBLE) AS q FROM range(107) r(i) LEFT JOIN c ON c.i = r.i),
+pr AS (SELECT 12 * (x.q * y.q) AS synergy, 18 * (x.q * y.q) AS counter FROM q x JOIN q y ON x.i < y.i), u AS (SELECT 'synergy' AS family, synergy AS rate FROM pr UNION ALL SELECT 'counter', counter FROM pr),
+o AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY rate DESC) AS rn, count(*) OVER (PARTITION BY family) AS n FROM u), t(scenario, family, tau) AS (VALUES ('per pair', 'synergy', 0.071462::DOUBLE), ('per pair', 'counter', 0.063917), ('in all', 'synergy', 0.130471), ('in all', 'counter', 0.106528)),
+mt AS (SELECT CAST(floor(count(*) * 0.8) AS BIGINT) AS n_train FROM d WHERE y IS NOT NULL), e AS (SELECT scenario, t.family, tau, count(*) AS n_pairs, count(*) FILTER (WHERE rate * n_train >= {_NEED}) AS n_enough FROM t JOIN u ON t.family = u.family, mt GROUP BY ALL), pl(place) AS (VALUES (0.1::DOUBLE), (0.5), (0.9))
+SELECT scenario, e.family, place, round(2 * tau, 6) AS delta, round(rate, 9) AS rate, round({_NEED}, 2) AS occurrences, round(CASE WHEN rate > 0 THEN {_NEED} / rate END, 2) AS matches, round(4 / (tau * tau), 2) AS half, n_enough, n_pairs FROM e JOIN o ON o.family = e.family JOIN pl ON o.rn = least(n - 1, floor(place * n)) + 1"""
+)
+def coefficient_power(spark, sf):
+    """Matches that a single strong synergy or counter would need, for pairs met often, at the median and seldom, in both transfers of published effects."""
+    picks = bind.drafts(spark, sf).select(F.explode(F.concat("a", "b").cast("array<int>")).alias("brawler_id"))
+    by = picks.groupBy("brawler_id").agg(F.count(F.lit(1)).alias("k"))
+    shares = durable(spark.range(bind.N).select(F.col("id").cast("int").alias("brawler_id")).join(by, "brawler_id", "left").crossJoin(F.broadcast(by.agg(F.sum("k").alias("total")))).select("brawler_id", (F.coalesce("k", F.lit(0)) / F.col("total")).alias("q")))
+    one = power.terms()
+    out = power.pair_sizes(shares, {"per pair": one, "in all": power.transferred(one, total=True)}, int(bind.decided(spark, sf).count() * 0.8), 0.05 / 6, (0.1, 0.5, 0.9))
+    return out.select("scenario", "family", "place", F.round("delta", 6).alias("delta"), F.round("rate", 9).alias("rate"), *[F.round(c, 2).alias(c) for c in ("occurrences", "matches", "half")], "n_enough", "n_pairs")
+
+
 @query()
 def transfer_auc(spark, sf):
     """A model of one mode on the others: AUC with its interval."""
