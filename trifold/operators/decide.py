@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trifold.functions.expr import sigmoid
 from trifold.operators.resample import POISSON
-from trifold.session import small
+from trifold.session import durable, small
 
 MOST = 5000
 
@@ -159,6 +159,65 @@ def ban_stability(drafts: DataFrame, weights: DataFrame, k: int = 5, replicates:
     return both.groupBy(key).agg(F.avg("share").alias("mean_share"), F.min("share").alias("least_share"))
 
 
+def map_strengths(coefficients: DataFrame, drafts: DataFrame, key: str = "map_id") -> DataFrame:
+    """Per map and character, the fitted strength on that map: of the character alone, in the map's mode and on the map itself.
+
+    coefficients: feature, beta of the families solo, solo_mode and solo_map, any of
+    them may be missing.  A map's mode is the one most of its drafts have (ties: the
+    smallest).  Parts without a coefficient are 0."""
+    part = F.split("feature", ":")
+    block, who = F.get(part, F.lit(0)), F.element_at(part, -1).cast("int")
+    # A mode's name may hold colons itself.
+    cell = F.array_join(F.slice(part, 2, F.size(part) - 2), ":")
+    rows = coefficients.where(block.isin("solo", "solo_mode", "solo_map")).select(block.alias("block"), who.alias("brawler_id"), cell.alias("cell"), "beta")
+    order = Window.partitionBy(key).orderBy(F.desc("n"), "mode")
+    modes = drafts.groupBy(key, "mode").agg(F.count(F.lit(1)).alias("n")).withColumn("r", F.row_number().over(order)).where("r = 1").select(key, F.col("mode").cast("string").alias("mode"))
+    parts = [("solo", F.lit("")), ("solo_mode", F.col("mode")), ("solo_map", F.col(key).cast("string"))]
+    cells = modes.select(key, F.explode(F.array(*[F.struct(F.lit(b).alias("block"), c.alias("cell")) for b, c in parts])).alias("x"))
+    return cells.select(key, "x.*").join(rows, ["block", "cell"]).groupBy(key, "brawler_id").agg(F.sum("beta").alias("w"))
+
+
+def agreement(drafts: DataFrame, strengths: DataFrame, sizes: list[float], half: Column, draw: Column, k: tuple[int, int] = (3, 5), least: int = 0, key: str = "map_id") -> DataFrame:
+    """How ban lists of two halves of the matches agree, and what their difference costs, by the share of each half that is used.
+
+    half is 0 or 1 for each match, draw a number from 0 to 1; a match takes part at
+    the sizes above its draw, so smaller samples lie within larger ones and all of
+    them are counted in one pass.  strengths: map, brawler_id, w and, where they
+    were fitted for each sample, size and half too.  Per size, as means over
+    maps of ``least`` matches or more that both halves have: the share of the
+    first k bans that the lists have in common, the share of the second half's
+    achievable value that the first half's first bans capture, and as baselines that
+    of the most picked characters of all maps and the exact expectation of random ones."""
+    picks = drafts.select(key, half.alias("_half"), draw.alias("_draw"), F.explode(F.concat("a", "b").cast("array<int>")).alias("brawler_id"))
+    cells = [(s, h) for s in sizes for h in (0, 1)]
+    counts = durable(picks.groupBy(key, "brawler_id").agg(F.count(F.lit(1)).alias("n_all"), *[F.count_if((F.col("_half") == h) & (F.col("_draw") < s)).alias(f"n{i}") for i, (s, h) in enumerate(cells)]))
+    often = counts.groupBy("brawler_id").agg(F.sum("n_all").alias("n"))
+    n_ids = often.count()
+    if n_ids > MOST:
+        raise ValueError(f"{n_ids} characters; at most {MOST} are ranked in one task")
+    # One row a character, so its window is bounded by the check above.
+    popular = often.select("brawler_id", F.row_number().over(Window.orderBy(F.desc("n"), "brawler_id")).alias("popular"))
+    each = F.explode(F.array(*[F.struct(F.lit(float(s)).alias("size"), F.lit(h).alias("half"), F.col(f"n{i}").alias("n")) for i, (s, h) in enumerate(cells)]))
+    kept = counts.withColumn("_picks", F.sum("n_all").over(Window.partitionBy(key))).where(F.col("_picks") >= 6 * least)
+    long = kept.select(key, "brawler_id", each.alias("x")).select(key, "brawler_id", "x.*").where("n > 0")
+    on = [c for c in ("size", "half", key, "brawler_id") if c in strengths.columns]
+    list_ = Window.partitionBy(key, "size", "half")
+    value = F.col("n") / F.sum("n").over(list_) * F.greatest(F.coalesce("w", F.lit(0.0)), F.lit(0.0))
+    ranked = long.join(strengths.select(*on, "w"), on, "left").withColumn("value", value).withColumn("r", F.row_number().over(list_.orderBy(F.desc("value"), "brawler_id")))
+    of = lambda h, c: F.max(F.when(F.col("half") == h, F.col(c)))
+    sides = ranked.groupBy(key, "size", "brawler_id").agg(of(0, "r").alias("r0"), of(1, "r").alias("r1"), of(0, "n").alias("n0"), of(1, "n").alias("n1"), F.coalesce(of(1, "value"), F.lit(0.0)).alias("v"))
+    within = lambda c, m: F.col(c) <= m
+    value_of = lambda c: F.sum(F.when(within(c, k[0]), F.col("v")).otherwise(0.0))
+    best = value_of("r1")
+    captured_ = lambda got: F.when(best > 0, got / best).otherwise(1.0)
+    by_map = sides.join(F.broadcast(popular), "brawler_id").groupBy(key, "size").agg(
+        (F.sum("n0") / 6).alias("n_first"), (F.sum("n1") / 6).alias("n_second"), *[(F.count_if(within("r0", m) & within("r1", m)) / m).alias(f"overlap{i}") for i, m in enumerate(k, 1)],
+        captured_(value_of("r0")).alias("captured"), captured_(value_of("popular")).alias("popular"), captured_(F.sum("v") * min(k[0], n_ids) / max(n_ids, 1)).alias("random"),
+    )
+    both = by_map.where("n_first > 0 AND n_second > 0")
+    return both.groupBy("size").agg(F.count(F.lit(1)).alias("maps"), F.sum("n_first").cast("long").alias("n_first"), F.sum("n_second").cast("long").alias("n_second"), *[F.avg(c).alias(c) for c in ("overlap1", "overlap2", "captured", "popular", "random")])
+
+
 def served(weights: DataFrame, picks: DataFrame, owned: DataFrame, least: int) -> DataFrame:
     """What a player is offered: the characters that they own (player, brawler_id) and that were
     picked ``least`` times or more (picks: brawler_id, a row each), ranked by weight."""

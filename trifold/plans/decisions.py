@@ -182,3 +182,28 @@ def masked_completions(spark, sf):
         s = masked.summary(masked.completed(d, *model, k, 0.08)).select(F.lit(k).alias("masked"), "n", *[(F.round(c, 6) + 0.0).alias(c) for c in ("uplift", "greedy_punished", "plied_punished", "greedy_agrees", "plied_agrees")])
         out = s if out is None else out.unionByName(s)
     return out
+
+
+_WM = f"(({W.format(x='brawler_id')}) + ((map_id * 7 + brawler_id * 3) % 21 - 10) / 100.0)"
+
+
+@query(
+    f"""WITH {D}, pk AS (SELECT map_id, match_id % 2 AS half, (match_id * 2654435761) % 4294967296 / 4294967296.0 AS draw, unnest(list_concat(a, b)) AS brawler_id FROM d), pop AS (SELECT brawler_id, row_number() OVER (ORDER BY count(*) DESC, brawler_id) AS pl, count(*) OVER () AS ids FROM pk GROUP BY brawler_id),
+big AS (SELECT map_id FROM pk GROUP BY map_id HAVING count(*) >= 120), z(size) AS (VALUES (0.25::DOUBLE), (0.5), (1)), n AS (SELECT map_id, size, half, brawler_id, count(*) AS n FROM pk JOIN z ON draw < size WHERE map_id IN (FROM big) GROUP BY ALL),
+v AS (SELECT *, n / CAST(sum(n) OVER (PARTITION BY map_id, size, half) AS DOUBLE) * greatest({_WM}, 0) AS v FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY map_id, size, half ORDER BY v DESC, brawler_id) AS r FROM v),
+t AS (SELECT map_id, size, sum(v) FILTER (WHERE r <= 3) AS best, sum(v) AS every, sum(n) / 6 AS n2 FROM r WHERE half = 1 GROUP BY ALL), o AS (SELECT x.map_id, x.size, sum(x.n) / 6 AS n1, count(*) FILTER (WHERE x.r <= 3 AND y.r <= 3) / 3 AS o1, count(*) FILTER (WHERE x.r <= 5 AND y.r <= 5) / 5 AS o2, coalesce(sum(y.v) FILTER (WHERE x.r <= 3), 0) AS got FROM r x LEFT JOIN r y ON y.half = 1 AND y.map_id = x.map_id AND y.size = x.size AND y.brawler_id = x.brawler_id WHERE x.half = 0 GROUP BY ALL),
+p AS (SELECT map_id, size, coalesce(sum(v) FILTER (WHERE pl <= 3), 0) AS pop, any_value(ids) AS ids FROM r JOIN pop USING (brawler_id) WHERE half = 1 GROUP BY ALL)
+SELECT size, count(*) AS maps, CAST(sum(n1) AS BIGINT) AS n_first, CAST(sum(n2) AS BIGINT) AS n_second, round(avg(o1), 6) AS overlap3, round(avg(o2), 6) AS overlap5, round(avg(CASE WHEN best > 0 THEN got / best ELSE 1 END), 6) AS captured, round(avg(CASE WHEN best > 0 THEN pop / best ELSE 1 END), 6) AS popular, round(avg(CASE WHEN best > 0 THEN every * 3 / ids / best ELSE 1 END), 6) AS random FROM t JOIN o USING (map_id, size) JOIN p USING (map_id, size) GROUP BY size"""
+)
+def ban_agreement(spark, sf):
+    """Ban lists of two halves under fixed strengths by map, at three nested sizes, beside the lists of the most picked and of random characters."""
+    d = bind.drafts(spark, sf)
+    own = weights(spark).crossJoin(F.broadcast(d.select("map_id").distinct()))
+    strengths = own.select("map_id", "brawler_id", (F.col("w") + ((F.col("map_id") * 7 + F.col("brawler_id") * 3) % 21 - 10) / 100).alias("w"))
+    draw = F.col("match_id") * 2654435761 % 4294967296 / 4294967296
+    return rounded(decide.agreement(d, strengths, [0.25, 0.5, 1.0], F.col("match_id") % 2, draw, least=20))
+
+
+def rounded(out):
+    out = out.withColumnsRenamed({"overlap1": "overlap3", "overlap2": "overlap5"})
+    return out.select("size", "maps", "n_first", "n_second", *[F.round(c, 6).alias(c) for c in ("overlap3", "overlap5", "captured", "popular", "random")])

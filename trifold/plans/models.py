@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trifold.functions.expr import decay, p_of_interval
 from trifold.operators import comps, decide, factors, fit, lanes, lookup, metrics, pairs, power, ranking, resample, rollout
+from trifold.plans.decisions import rounded
 from trifold.plans.registry import query
 from trifold.plans.views import D
 from trifold.session import durable
@@ -209,6 +210,19 @@ def split_half(spark, sf):
     return decide.captured(lists[0], lists[1], 5).select("map_id", F.round("captured", 5).alias("captured"))
 
 
+@query()
+def ban_scaling(spark, sf):
+    """Would more matches help: agreement of ban lists with strengths by mode and map, fitted anew for each nested sample of either half."""
+    d = bind.decided(spark, sf).select("match_id", "mode", "map_id", "a", "b", "y")
+    half, draw = F.pmod(F.xxhash64(F.lit(99), "match_id"), F.lit(2)), F.pmod(F.xxhash64(F.lit(7), "match_id"), F.lit(1 << 30)) / (1 << 30)
+    sizes, fitted = [0.25, 0.5, 1.0], []
+    for s in sizes:
+        for h in (0, 1):
+            m = fit.fit(d.where((half == h) & (draw < s)), ["solo", "solo_mode", "solo_map"])
+            fitted.append(decide.map_strengths(m.coefficients, d).select(F.lit(s).alias("size"), F.lit(h).alias("half"), "map_id", "brawler_id", "w"))
+    return rounded(decide.agreement(d, durable(_union(fitted)), sizes, half, draw, least=20))
+
+
 def _planned(spark, sf) -> list[tuple[str, int, float]]:
     """Test, degrees of freedom and variance a match of joint tests, from the spread of the data's own pick rates."""
     picks = bind.drafts(spark, sf).select(F.explode(F.concat("a", "b")).alias("brawler_id"))
