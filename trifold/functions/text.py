@@ -18,6 +18,22 @@ def alias_variants(name) -> Column:
     return F.array_distinct(F.filter(forms, lambda x: x != ""))
 
 
+#: Fixed values of the sound key: letters that count as others, and the consonants left.
+LIKE, AS, CONSONANTS = "bcdgqvxz", "pktkkfss", "fjklmnprst"
+
+
+def sound_key(word) -> Column:
+    """How a word sounds: its consonants, like ones as one and double ones once; a vowel only counts at the start, as a.
+
+    Letters other than a to z are left out; a word without any has an empty key."""
+    low = F.regexp_replace(F.lower(_c(word)), "[^a-z]", "")
+    out = F.translate(F.regexp_replace(F.regexp_replace(low, "ph", "f"), "^(kn|gn)", "n"), LIKE, AS)
+    for c in CONSONANTS:
+        out = F.regexp_replace(out, f"{c}+", c)
+    # The first vowel is kept under a letter that the rest drops no more.
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(out, "^[aeiou]+", "A"), "[aeiouhwy]", ""), "A", "a")
+
+
 def without_comments(text) -> Column:
     return F.regexp_replace(_c(text), r"(?s)<!--.*?-->", "")
 

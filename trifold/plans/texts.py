@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trifold.operators import normalize, textkb
+from trifold.operators import misheard, normalize, textkb
 from trifold.plans.registry import query
 from trifold.plans.views import M, P
+from trifold.session import durable
 from trifold.sources import bind
 
 
@@ -107,3 +108,26 @@ SELECT type, '{"type":"' || type || '","claims":' || CAST(sum(n) AS BIGINT) || '
 def claims_document(spark, sf):
     """The nested document of each type of claim, as JSON."""
     return textkb.documents(bind.table(spark, sf, "documents").select(F.coalesce("lang", F.lit("und")).alias("type"), F.coalesce("source", F.lit("")).alias("source")))
+
+
+def _sound(x: str) -> str:
+    out = f"translate(regexp_replace(replace({x}, 'ph', 'f'), '^(kn|gn)', 'n'), 'bcdgqvxz', 'pktkkfss')"
+    for c in "fjklmnprst":
+        out = f"regexp_replace({out}, '{c}+', '{c}', 'g')"
+    return f"replace(regexp_replace(regexp_replace({out}, '^[aeiou]+', 'A'), '[aeiouhwy]', '', 'g'), 'A', 'a')"
+
+
+@query(
+    f"""WITH t AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS t FROM documents WHERE text IS NOT NULL), tw AS (SELECT unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || t[i + 1]))) AS word FROM t), w AS (SELECT word, count(*) AS n, {_sound('word')} AS key FROM tw GROUP BY word),
+nm AS (SELECT name, min(p_partkey) AS name_id FROM (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS name FROM part) WHERE name <> '' GROUP BY name), fm AS (SELECT DISTINCT name_id, unnest([name, name || 's', regexp_replace(name, 's$', '')]) AS form FROM nm), f AS (SELECT *, {_sound('form')} AS key FROM fm WHERE length(form) >= 3),
+m AS (SELECT word, n, name_id, form, levenshtein(word, form) AS distance FROM w JOIN f USING (key) WHERE key <> '' AND word NOT IN (SELECT form FROM f)), k AS (SELECT * FROM m WHERE distance BETWEEN 1 AND least(2, length(form) // 3)),
+r AS (SELECT *, min(distance) OVER (PARTITION BY word) AS d FROM k), b AS (SELECT word, any_value(n) AS n, min((form, name_id)) AS x, any_value(d) AS distance, count(DISTINCT name_id) AS n_names FROM r WHERE distance = d GROUP BY word)
+SELECT word, n, x[2] AS name_id, x[1] AS form, CAST(distance AS INT) AS distance, n_names, n_names > 1 OR n >= 500 AS ambiguous FROM b"""
+)
+def misheard_names(spark, sf):
+    """Words of all texts that sound like a word of the parts' names; those met 500 times or more are ordinary words."""
+    words = misheard.caption_words(bind.table(spark, sf, "documents"))
+    each = bind.table(spark, sf, "part").select("p_partkey", F.explode(F.split(F.lower("p_name"), " ")).alias("name")).where("name <> ''")
+    names = misheard.forms(each.groupBy("name").agg(F.min("p_partkey").alias("id")), "id", "name")
+    words = durable(words)
+    return misheard.heard(words, names, words.where("n >= 500"))
