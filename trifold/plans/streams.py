@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from trifold.operators import lookup
 from trifold.plans.registry import query
-from trifold.plans.views import L
+from trifold.plans.views import POOL, L
 from trifold.session import shared_folder
 from trifold.sources import bind
-from trifold.streaming import controller
+from trifold.streaming import controller, enrich
 
 FOLD = f"""WITH RECURSIVE {L}, o AS (SELECT tag, epoch, new_matches AS n, row_number() OVER (PARTITION BY tag ORDER BY epoch, event_id) AS rn, count(*) OVER (PARTITION BY tag) AS polls FROM l WHERE new_matches IS NOT NULL),
 f(tag, rn, i, e, losses, a, t) AS (SELECT DISTINCT tag, CAST(0 AS BIGINT), CAST(3600 AS BIGINT), 0, 0, CAST(0 AS DOUBLE), CAST(NULL AS BIGINT) FROM o UNION ALL
@@ -80,6 +80,20 @@ def stream_dedup(spark, sf):
     return lookup.latest(out, ["event_type", "user_id"], ["batch"]).select("event_type", "user_id", "event_id", "ts")
 
 
+@query(
+    f"""WITH {L}, {POOL}, g AS (SELECT tag, count(*) AS polls, CAST(sum(coalesce(new_matches, 0)) AS BIGINT) AS new_matches, max(epoch) AS last_poll FROM l WHERE tag IS NOT NULL GROUP BY tag), q AS (SELECT tag, max(last_poll) OVER () AS now, row_number() OVER (ORDER BY new_matches DESC, tag) AS k FROM g)
+SELECT g.tag, polls, new_matches, last_poll, ranked_rank, CASE WHEN pool.tag IS NOT NULL THEN now END AS enriched_at FROM g JOIN q ON q.tag = g.tag LEFT JOIN pool ON pool.tag = g.tag AND k <= 50"""
+)
+def stream_enrichment(spark, sf):
+    """Polls merged by tag as they arrive; after each batch the 50 most active players whom nobody has looked up are.
+
+    The SQL is of one batch, which the events of the supplied scales are."""
+    e = _stream(spark, sf)
+    polls = e.select(F.col("user_id").alias("tag"), F.floor(F.unix_timestamp(F.col("ts").cast("timestamp"))).alias("epoch"), (F.get_json_object("props", "$.k").cast("int") % 26).alias("new_matches"))
+    players = bind.pool(spark, sf).select("tag", "ranked_rank")
+    return enrich.run(polls, f"{shared_folder(spark)}/{uuid.uuid4().hex}", lambda queue: queue.join(players, "tag"), every=1)
+
+
 @query(
     """WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k"""
