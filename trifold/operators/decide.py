@@ -89,6 +89,64 @@ def _candidates(held):
     return run
 
 
+def pick_chances(drafts: DataFrame, strengths: DataFrame, cell: str, least: int = 20) -> DataFrame:
+    """What team 0's last pick is worth as a chance to win: match_id, the cell, n_free, best, median, mean and worst chance, and actual_rank.
+
+    strengths: the cell (a mode, say), brawler_id from 0, w, served; only served
+    characters that nobody else has can be picked, and a match with fewer than ``least`` of
+    them is left out.  The median is the candidate at place floor(n / 2), from 0, in
+    descending order.  Characters without a row count 0 and aren't served; the rank of
+    an actual pick that isn't served is null.  Teams that aren't three are left out."""
+    rows = strengths.select(F.col(cell).alias("cell"), F.col("brawler_id").cast("int").alias("k"), F.col("w").cast("double").alias("w"), "served").where("k >= 0")
+    cells, top = rows.agg(F.count_distinct("cell"), F.max("k")).first()
+    n = 1 + (-1 if top is None else top)
+    if n > MOST or cells * n > 200 * MOST:
+        raise ValueError(f"{cells} cells of {n} characters; at most {MOST} characters and {200 * MOST} strengths are broadcast")
+    w: dict[str, np.ndarray] = {}
+    served: dict[str, np.ndarray] = {}
+    for r in rows.collect():  # checked above
+        w.setdefault(r["cell"], np.zeros(n))[r["k"]] = r["w"]
+        served.setdefault(r["cell"], np.zeros(n, dtype=bool))[r["k"]] = r["served"]
+    held = drafts.sparkSession.sparkContext.broadcast((w, served, n))
+    inside = F.forall(F.concat("a", "b"), lambda x: x.isNotNull() & (x >= 0))
+    whole = drafts.where((F.size("a") == 3) & (F.size("b") == 3) & inside & F.col(cell).isNotNull())
+    picks = whole.select(F.col("match_id").cast("long").alias("match_id"), F.col(cell), F.concat("a", "b").cast("array<int>").alias("picks"))
+    schema = f"match_id long, {picks.schema[cell].simpleString().replace(':', ' ')}, n_free int, best double, median double, mean double, worst double, actual_rank int"
+
+    def run(batches):
+        w, served, n = held.value
+        nothing = np.zeros(n), np.zeros(n, dtype=bool)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                picks = part.column("picks").flatten().to_numpy().astype(np.int64).reshape(part.num_rows, 6)
+                names = part.column(cell).to_pylist()
+                strength = np.stack([w.get(c, nothing[0]) for c in names])
+                can = np.stack([served.get(c, nothing[1]) for c in names])
+                known = np.where(picks < n, picks, 0)
+                own = np.where(picks < n, np.take_along_axis(strength, known, axis=1), 0.0) if n else np.zeros(picks.shape)
+                for k in (0, 1, 3, 4, 5):  # the last of team 0 stays a candidate
+                    at_k = np.flatnonzero(picks[:, k] < n)
+                    at_k = at_k[picks[at_k, k] != picks[at_k, 2]]
+                    can[at_k, picks[at_k, k]] = False
+                base = own[:, 0] + own[:, 1] - own[:, 3:].sum(axis=1)
+                p = np.where(can, np.round(1 / (1 + np.exp(-(base[:, None] + strength))), 9), -1.0)
+                free = can.sum(axis=1)
+                keep = np.flatnonzero(free >= max(least, 1))
+                if not len(keep):
+                    continue
+                p, free, actual, row = p[keep], free[keep], picks[keep, 2], np.arange(len(keep))
+                order = -np.sort(-p, axis=1)
+                is_known = actual < n
+                mine = np.where(is_known, p[row, np.where(is_known, actual, 0)], -1.0)
+                ahead = ((p > mine[:, None]) | ((p == mine[:, None]) & (np.arange(n)[None] < actual[:, None]))).sum(axis=1)
+                columns = [free.astype(np.int32), order[:, 0], order[row, free // 2], np.where(p >= 0, p, 0.0).sum(axis=1) / free, order[row, free - 1]]
+                chosen = part.take(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([chosen.column("match_id"), chosen.column(cell), *map(pa.array, columns), pa.array((ahead + 1).astype(np.int32), mask=mine < 0)], names=["match_id", cell, "n_free", "best", "median", "mean", "worst", "actual_rank"])
+
+    return picks.mapInArrow(run, schema)
+
+
 def best_after_reply(drafts: DataFrame, weights: DataFrame, pairs: DataFrame) -> DataFrame:
     """One ply further: for each candidate the opponent's best reply counts.
 

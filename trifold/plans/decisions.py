@@ -6,9 +6,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from trifold.functions.expr import sigmoid
-from trifold.operators import decide, masked
+from trifold.operators import decide, masked, ranking
 from trifold.plans.registry import query
 from trifold.plans.views import D, P
+from trifold.session import durable
 from trifold.sources import bind
 
 #: Strength of a character and counter weight of two, as SQL.
@@ -207,3 +208,34 @@ def ban_agreement(spark, sf):
 def rounded(out):
     out = out.withColumnsRenamed({"overlap1": "overlap3", "overlap2": "overlap5"})
     return out.select("size", "maps", "n_first", "n_second", *[F.round(c, 6).alias(c) for c in ("overlap3", "overlap5", "captured", "popular", "random")])
+
+
+_WMODE = f"({W.format(x='{x}')} + ((ascii(mode) * 5 + ({{x}}) * 3) % 21 - 10) / 100.0)"
+CHANCES = f"""{D}, sv AS (SELECT i, count(*) >= 80 AS served FROM (SELECT unnest(list_concat(a, b)) AS i FROM d) GROUP BY i), c AS (SELECT match_id, mode, a[3] AS actual, i, round(1 / (1 + exp(-({_WMODE.format(x='a[1]')} + {_WMODE.format(x='a[2]')} - {' - '.join(_WMODE.format(x=f'b[{k}]') for k in (1, 2, 3))} + {_WMODE.format(x='i')}))), 9) AS p FROM d, sv WHERE served AND (i = a[3] OR NOT list_contains(list_concat(a, b), i))),
+r AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY p DESC, i) AS k, count(*) OVER (PARTITION BY match_id) AS n FROM c), g AS (SELECT match_id, mode, any_value(n) AS n_free, max(p) AS best, max(CASE WHEN k = n // 2 + 1 THEN p END) AS median, avg(p) AS mean, min(p) AS worst, max(CASE WHEN i = actual THEN k END) AS actual_rank FROM r WHERE n >= 20 GROUP BY match_id, mode)"""
+
+
+def _last_picks(spark, sf):
+    d = bind.drafts(spark, sf)
+    n = d.select(F.explode(F.concat("a", "b")).alias("brawler_id")).groupBy("brawler_id").agg((F.count(F.lit(1)) >= 80).alias("served"))
+    each = weights(spark).join(n, "brawler_id", "left").crossJoin(F.broadcast(d.select("mode").distinct()))
+    w = F.col("w") + ((F.ascii("mode") * 5 + F.col("brawler_id") * 3) % 21 - 10) / 100
+    return decide.pick_chances(d, each.select("mode", "brawler_id", w.alias("w"), F.coalesce("served", F.lit(False)).alias("served")), "mode")
+
+
+@query(
+    f"""WITH {CHANCES}, u AS (SELECT mode, unnest(['range', 'over mean', 'over median']) AS measure, unnest([round(best - worst, 6), round(best - mean, 6), round(best - median, 6)]) AS value FROM g), o AS (SELECT *, row_number() OVER (PARTITION BY mode, measure ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY mode, measure) AS n FROM u)
+SELECT mode, measure, p, value FROM o, (VALUES (0.1::DOUBLE), (0.5), (0.9)) q(p) WHERE i = floor(p * (n - 1))"""
+)
+def pick_spread(spark, sf):
+    """By mode, how far the best last pick lies above the worst, the mean and the median one, as chances: low, middle and high places over matches."""
+    gap = lambda name, c: F.struct(F.lit(name).alias("measure"), F.round(F.col("best") - F.col(c), 6).alias("value"))
+    each = _last_picks(spark, sf).select("mode", F.explode(F.array(gap("range", "worst"), gap("over mean", "mean"), gap("over median", "median"))).alias("x")).select("mode", "x.*")
+    return ranking.order_statistic(durable(each), "value", [0.1, 0.5, 0.9], ["mode", "measure"])
+
+
+@query(f"WITH {CHANCES} SELECT mode, count(*) AS n, count(actual_rank) AS n_ranked, {', '.join(f'round(avg(CASE WHEN actual_rank IS NOT NULL THEN CAST(actual_rank <= {k} AS INT) END), 6) AS top{k}' for k in (1, 3, 5, 10))}, round(avg((actual_rank - 1) / CAST(n_free - 1 AS DOUBLE)), 6) AS place FROM g GROUP BY mode")
+def pick_hits(spark, sf):
+    """By mode, how often the actual last pick is among the model's first ones, and its mean place from 0 to 1."""
+    rank = F.col("actual_rank")
+    return _last_picks(spark, sf).groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.count(rank).alias("n_ranked"), *[F.round(F.avg((rank <= k).cast("int")), 6).alias(f"top{k}") for k in (1, 3, 5, 10)], F.round(F.avg((rank - 1) / (F.col("n_free") - 1)), 6).alias("place"))

@@ -174,6 +174,20 @@ def half_life_sweep(spark, sf):
     return _union(out)
 
 
+@query()
+def growing_sweep(spark, sf):
+    """Fits as the data grow, each begun with the one before: its steps beside those from nothing, which end in the same model, and its loss on the last part."""
+    train, test = _split(spark, sf)
+    n, before, out = train.count(), None, []
+    for share in (0.25, 0.5, 0.75, 1.0):
+        rows = train.where(F.col("rn") <= int(n * share))
+        cold, warm = fit.fit(rows, ["solo"]), fit.fit(rows, ["solo"], start=before)
+        apart = float(np.abs(cold.beta - warm.beta).max()) if len(cold.beta) else 0.0
+        out.append(_quality(durable(warm.predict(test)), share=share, steps_cold=cold.iterations, steps=warm.iterations, same=apart < 1e-3))
+        before = warm
+    return _union(out)
+
+
 @query()
 def confound_refit(spark, sf):
     """How far solo coefficients shrink once modes have their own."""
