@@ -80,6 +80,38 @@ def stamp(seconds) -> Column:
     return F.format_string("[%02d:%02d]", (s / 60).cast("long"), s % 60)
 
 
+def fixed(x, digits: int) -> Column:
+    """A number with that many decimals; halves of its shortest decimal form go away from 0."""
+    return F.format_string(f"%.{digits}f", (F.col(x) if isinstance(x, str) else x).cast("double"))
+
+
+def percent(share, digits: int = 1) -> Column:
+    return F.concat(fixed((F.col(share) if isinstance(share, str) else share) * 100, digits), F.lit("%"))
+
+
+def points(share, digits: int = 2) -> Column:
+    """A difference of shares in percentage points, with its sign."""
+    share = F.col(share) if isinstance(share, str) else share
+    return F.concat(F.when(share >= 0, "+").otherwise(""), fixed(share * 100, digits), F.lit("pp"))
+
+
+def padded(x, width: int, right: bool = False) -> Column:
+    """Text filled up with blanks, before it if ``right``; longer text stays whole."""
+    x = F.col(x) if isinstance(x, str) else x
+    fill = F.repeat(F.lit(" "), F.greatest(F.lit(width) - F.length(x), F.lit(0)))
+    return F.concat(fill, x) if right else F.concat(x, fill)
+
+
+def csv_field(x) -> Column:
+    """A field of a CSV line: quoted if it holds a comma, a quote or a line's end, quotes doubled; null is empty."""
+    x = F.coalesce((F.col(x) if isinstance(x, str) else x).cast("string"), F.lit(""))
+    return F.when(x.rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(x)
+
+
+def csv_line(*fields) -> Column:
+    return F.concat_ws(",", *map(csv_field, fields))
+
+
 def composition_key(classes) -> Column:
     """Three-letter classes in order, joined by +."""
     return F.array_join(F.array_sort(F.transform(_c(classes), lambda x: F.substring(x, 1, 3))), "+")

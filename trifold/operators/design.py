@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from trifold.functions.expr import pair_index
 from trifold.operators.pairs import cross_team, same_team
-from trifold.sources.bind import CLASSES, N, class_of
+from trifold.sources.bind import CLASSES, N, TRAITS, class_of
 
 Entry = Column  # array of struct(feature, value)
 
@@ -63,6 +63,12 @@ def roles() -> Entry:
     return F.filter(theory(), lambda e: e["feature"].isin([f"theory:{c}" for c in CLASSES]))
 
 
+def structure(traits: list[str] = TRAITS) -> Entry:
+    """Differences of class counts times what the map is like: a column of the drafts for each trait, null counting as 0."""
+    each = lambda t: F.transform(roles(), lambda e: _entry(F.concat(F.lit(f"structure:{t}:"), F.substring_index(e["feature"], ":", -1)), e["value"] * F.coalesce(F.col(t), F.lit(0.0))))
+    return reduce(lambda x, y: F.concat(x, y), [each(t) for t in traits])
+
+
 def renamed(entries: Entry, block: str) -> Entry:
     """Entries under another block's name, and so its penalty."""
     return F.transform(entries, lambda e: F.struct(F.concat(F.lit(f"{block}:"), F.substring_index(e["feature"], ":", -1)).alias("feature"), e["value"].alias("value")))
@@ -96,6 +102,9 @@ FAMILIES = {
     "solo_patch": lambda: solo(F.col("patch"), "solo_patch"),
     # Only matches of a known tier count.
     "solo_tier": lambda: F.filter(solo(F.col("tier"), "solo_tier"), lambda e: F.col("tier").isNotNull()),
+    # Four bands of the day.
+    "solo_hour": lambda: solo(F.floor(F.col("hour") / 6).cast("int"), "solo_hour"),
+    "structure": lambda: structure(),
     "synergy": synergy,
     "counter": counter,
     "counter_mode": lambda: counter_by(F.col("mode")),

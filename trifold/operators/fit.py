@@ -24,8 +24,8 @@ from trifold.sources.bind import N
 
 #: Penalty by the first part of a feature's name.
 PENALTY = {
-    "solo": 5.0, "solo_mode": 15.0, "solo_map": 40.0, "solo_patch": 30.0, "solo_tier": 40.0, "syn": 60.0, "ctr": 60.0, "ctr_mode": 120.0,
-    "theory": 5.0, "role": 5.0, "matchup": 5.0, "matchup_mode": 15.0, "stack": 2.0, "popularity": 1.0, "power": 1.0, "mastery": 1.0,
+    "solo": 5.0, "solo_mode": 15.0, "solo_map": 40.0, "solo_patch": 30.0, "solo_tier": 40.0, "solo_hour": 40.0, "syn": 60.0, "ctr": 60.0, "ctr_mode": 120.0,
+    "theory": 5.0, "role": 5.0, "matchup": 5.0, "matchup_mode": 15.0, "stack": 2.0, "structure": 5.0, "popularity": 1.0, "power": 1.0, "mastery": 1.0,
 }
 #: The one feature that is the same for all matches: it is an intercept, without a penalty.
 SIDE = "side:"

@@ -162,6 +162,20 @@ def theory_features(spark, sf):
     return design.rows(bind.decided(spark, sf), ["theory"])
 
 
+TRAITS = [("open", "((map_id * 7 + 3) % 11 - 5) / 5.0"), ("cover", "((map_id * 4 + 1) % 9 - 4) / 4.0")]
+
+
+@query(
+    f"WITH {D}, k AS (SELECT map_id, list_transform(a, lambda x: {CLASS}[x % 7 + 1]) AS ca, list_transform(b, lambda x: {CLASS}[x % 7 + 1]) AS cb FROM d WHERE y IS NOT NULL), x AS ("
+    + " UNION ALL ".join(f"SELECT 'structure:{t}:{n[7:]}' AS feature, ({e}) * {trait} AS value FROM k" for n, e in THEORY[:7] for t, trait in TRAITS)
+    + ") SELECT feature, count(*) AS n, round(sum(value), 6) + 0.0 AS total, round(sum(abs(value)), 6) AS size FROM x WHERE value <> 0 GROUP BY feature"
+)
+def structure_features(spark, sf):
+    """Class counts against what the map is like: in how many matches each feature stands, its sum and its size."""
+    rows = design.rows(bind.decided(spark, sf).withColumns(bind.map_traits()), ["structure"])
+    return rows.groupBy("feature").agg(n_rows().alias("n"), (F.round(F.sum("value"), 6) + 0.0).alias("total"), F.round(F.sum(F.abs("value")), 6).alias("size"))
+
+
 @query(
     f"""WITH {D}, e AS (SELECT match_id, 'solo:' || x AS feature, v AS value FROM (SELECT match_id, unnest(a) AS x, 1 AS v FROM d WHERE y IS NOT NULL UNION ALL SELECT match_id, unnest(b), -1 FROM d WHERE y IS NOT NULL)
  UNION ALL SELECT match_id, 'ctr:' || (least(p1, p2) * (213 - least(p1, p2)) // 2 + greatest(p1, p2) - least(p1, p2) - 1), CASE WHEN p1 < p2 THEN 1 ELSE -1 END FROM (SELECT match_id, unnest(a) AS p1, b FROM d WHERE y IS NOT NULL) q, unnest(b) AS t(p2) WHERE p1 <> p2)

@@ -113,6 +113,18 @@ def freshness_lag(spark, sf):
     return mean.join(middle, F.col("mode").eqNullSafe(F.col("of")), "left").select("mode", "mean_lag_min", "median_lag_min", "n")
 
 
+@query(
+    f"""WITH {L}, h AS (SELECT CAST(extract(hour FROM ts) AS INT) AS hour, count(*) AS polls, count(DISTINCT tag) AS players, CAST(sum(new_matches) AS BIGINT) AS new_matches, count(*) FILTER (WHERE status = 500) AS errors FROM l GROUP BY ALL)
+SELECT hour, polls, players, new_matches, errors, round(polls / CAST(sum(polls) OVER () AS DOUBLE), 6) AS share FROM h"""
+)
+def hour_profile(spark, sf):
+    """Who is online by hour of day: polls, players, new matches, errors and the hour's share of the polls."""
+    log = bind.poll_log(spark, sf).groupBy(F.hour("ts").alias("hour"))
+    h = log.agg(n_rows().alias("polls"), F.count_distinct("tag").alias("players"), F.sum("new_matches").alias("new_matches"), health.total(F.col("status") == 500).alias("errors"))
+    total = h.agg(F.sum("polls").alias("total"))  # of 24 hours
+    return h.crossJoin(F.broadcast(total)).select("hour", "polls", "players", "new_matches", "errors", F.round(F.col("polls") / F.col("total"), 6).alias("share"))
+
+
 @query(f"WITH {M}, {P}, g AS (SELECT match_id, count(*) AS n FROM p GROUP BY match_id) SELECT coalesce(CAST(n AS VARCHAR), 'none') || ' players' AS reason, mode, count(*) AS n FROM m LEFT JOIN g USING (match_id) WHERE n IS NULL OR n <> 6 GROUP BY ALL")
 def reject_reasons(spark, sf):
     g = bind.players(spark, sf).groupBy("match_id").agg(n_rows().alias("k"))

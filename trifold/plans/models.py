@@ -37,7 +37,7 @@ def _union(frames):
 
 
 def _context(spark, sf):
-    """Train and test with what the further families read: patch, tier, power, mastery and popularity.
+    """Train and test with what the further families read: patch, tier, power, mastery, hour, the map's traits and popularity.
 
     Popularity is learned from the train part alone."""
     train, test = _split(spark, sf)
@@ -55,6 +55,7 @@ def _context(spark, sf):
 
     def more(d):
         d = lookup.interval(d, bind.patches(spark), "t", ["patch_id"]).withColumnRenamed("patch_id", "patch")
+        d = d.withColumns({"hour": bind.hour(), **bind.map_traits()})
         return durable(d.join(own, "match_id", "left").join(tier, "match_id", "left").withColumn("popularity", (popular("a") - popular("b")) / 3))
 
     return more(train), more(test)
@@ -69,7 +70,8 @@ def ridge_fit(spark, sf):
 CONTEXT = ["solo", "solo_mode", "solo_map"]
 LADDER = [
     ("M0", ["solo"]), ("M1", CONTEXT), ("M2", [*CONTEXT, "synergy"]), ("M3", [*CONTEXT, "counter"]), ("M4", [*CONTEXT, "synergy", "counter"]), ("M5", [*CONTEXT, "synergy", "counter", "theory"]),
-    ("M8", [*CONTEXT, "synergy", "counter", "power", "mastery"]), ("P_mode", ["solo", "solo_mode"]), ("P_map", CONTEXT),
+    ("M6", [*CONTEXT, "synergy", "counter", "theory", "structure"]), ("M8", [*CONTEXT, "synergy", "counter", "power", "mastery"]),
+    ("P_mode", ["solo", "solo_mode"]), ("P_map", CONTEXT), ("P_tier", [*CONTEXT, "solo_tier"]),
 ]
 
 
@@ -88,6 +90,16 @@ def ablation_ladder(spark, sf):
     return _union(out)
 
 
+@query()
+def many_parameters(spark, sf):
+    """Rung M4 on 40,000 matches, or all there are if fewer, drawn by a hash: one row of how large the fit is and how it ended."""
+    d = bind.decided(spark, sf).select("match_id", "mode", "map_id", "a", "b", "y")
+    share = 40_000 / max(d.count(), 1)
+    some = durable(d.where(F.pmod(F.xxhash64(F.lit(4), "match_id"), F.lit(1 << 30)) / (1 << 30) < share))
+    m = fit.fit(some, [*CONTEXT, "synergy", "counter"])
+    return spark.createDataFrame([(some.count(), len(m.names), m.iterations, m.gradient)], "matches long, params int, steps int, gradient double")
+
+
 @query(
     f"""WITH {D}, o AS (SELECT a, b, row_number() OVER (ORDER BY t, match_id) AS rn, count(*) OVER () AS n FROM d WHERE y IS NOT NULL), q AS (SELECT unnest(a) AS i, b FROM o WHERE rn <= floor(n * 0.8)), p AS (SELECT i, unnest(b) AS j FROM q),
 e AS (SELECT i, j FROM p UNION SELECT j, i FROM p), s AS (SELECT CAST(i AS INT) AS brawler_id, count(*) AS n_opponents FROM e WHERE i <> j GROUP BY i) SELECT brawler_id, n_opponents, CAST(0 AS DOUBLE) AS row_sum FROM s"""
@@ -197,15 +209,45 @@ def confound_refit(spark, sf):
     return both.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs("alone")), 5).alias("alone"), F.round(F.avg(F.abs("beside")), 5).alias("beside"))
 
 
+def _residuals(spark, sf):
+    """A row for each team of a match: who it is, and what fitted strengths leave of its result."""
+    d = bind.decided(spark, sf).select("match_id", "mode", "map_id", "a", "b", "y")
+    scored = fit.fit(d, ["solo"], {"solo": 25.0}).predict(d)
+    expected = F.when(F.col("side") == 0, F.col("p")).otherwise(1 - F.col("p"))
+    return comps.with_roles(pairs.sides(scored)).withColumns({"expected": expected, "residual": F.col("won") - expected})
+
+
+@query()
+def comp_fit_residual(spark, sf):
+    """Each composition family's mean residual over fitted strengths."""
+    return comps.family_residuals(_residuals(spark, sf)).withColumn("mean", F.round("mean", 5))
+
+
+@query()
+def pick_fit_residual(spark, sf):
+    """Number, sum and mean of the residuals over fitted strengths for each pair and each triple of allies."""
+    label = lambda kind, x: F.struct(F.lit(kind).alias("kind"), x.alias("picks"))
+    both = F.transform(pairs.same_team("team"), lambda p: label("pair", F.concat_ws(",", p["i"].cast("string"), p["j"].cast("string"))))
+    rows = _residuals(spark, sf).select("residual", F.explode(F.concat(both, F.array(label("triple", pairs.triple("team"))))).alias("x"))
+    by = pairs.residual_means(rows.select("residual", "x.kind", "x.picks"), ["kind", "picks"], "residual")
+    return by.where("kind = 'pair' OR n >= 2").select("kind", "picks", "n", F.round("total", 5).alias("total"), F.round("mean", 5).alias("mean"))
+
+
+@query()
+def seat_fit_residual(spark, sf):
+    """How often the first team wins by mode, what fitted strengths expect of it, and what they leave, with its interval."""
+    first = _residuals(spark, sf).where("side = 0")
+    g = first.groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.avg("won").alias("rate"), F.avg("expected").alias("expected"), F.avg("residual").alias("residual"), F.stddev_samp("residual").alias("sd"))
+    half = 1.96 * F.col("sd") / F.sqrt("n")
+    return g.select("mode", "n", *[F.round(c, 5).alias(c) for c in ("rate", "expected", "residual")], F.round(F.col("residual") - half, 5).alias("low"), F.round(F.col("residual") + half, 5).alias("high"))
+
+
 @query()
 def clustered_bootstrap(spark, sf):
     """Means of composition families' residuals over the solo fit, with intervals that
     resample whole matches, and their false discovery rate by the normal p-values,
     which go below 1 / replicates."""
-    d = bind.decided(spark, sf).select("match_id", "mode", "map_id", "a", "b", "y")
-    scored = fit.fit(d, ["solo"], {"solo": 25.0}).predict(d)
-    expected = F.when(F.col("side") == 0, F.col("p")).otherwise(1 - F.col("p"))
-    rows = comps.with_roles(pairs.sides(scored)).withColumn("residual", F.col("won") - expected)
+    rows = _residuals(spark, sf)
     each = rows.select("match_id", "residual", F.explode(comps.memberships()).alias("m")).withColumn("grp", F.concat_ws(":", "m.family", "m.label"))
     out = durable(resample.group_means(each, "grp", "residual", "match_id").where("n >= 30 AND p IS NOT NULL"))
     return ranking.false_discovery(out, "p_normal", "grp").select("grp", "n", *[F.round(c, 5).alias(c) for c in ("mean", "error", "low", "high", "p", "p_normal")], "fdr", "bonferroni")
@@ -338,6 +380,12 @@ def tier_sweep(spark, sf):
     return _sweep(spark, sf, TIERS)
 
 
+@query()
+def hour_sweep(spark, sf):
+    """Whether strengths depend on the hour: it tells who plays, not what to pick, so no draft may use it."""
+    return _sweep(spark, sf, [("hour of day", False, ["solo_hour"])])
+
+
 @query()
 def tier_correlation(spark, sf):
     """Strengths fitted for each tier by itself, and how two tiers' agree."""

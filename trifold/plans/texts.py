@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trifold.functions.expr import n_rows
+from trifold.functions.text import csv_line, fixed, padded, percent, points
 from trifold.operators import misheard, normalize, textkb
 from trifold.plans.registry import query
 from trifold.plans.views import M, P
@@ -131,3 +133,21 @@ def misheard_names(spark, sf):
     names = misheard.forms(each.groupBy("name").agg(F.min("p_partkey").alias("id")), "id", "name")
     words = durable(words)
     return misheard.heard(words, names, words.where("n >= 500"))
+
+
+_FIELD = """CASE WHEN regexp_matches({x}, '[",\\r\\n]') THEN '"' || replace({x}, '"', '""') || '"' ELSE {x} END"""
+
+
+@query(
+    f"""WITH g AS (SELECT coalesce(source, '-') AS source, count(*) AS n, avg(n_chars) AS chars, coalesce(min(text), '') AS sample FROM documents GROUP BY ALL), s AS (SELECT *, n / CAST(sum(n) OVER () AS DOUBLE) AS share, 1 / CAST(count(*) OVER () AS DOUBLE) AS fair FROM g),
+t AS (SELECT *, printf('%.1f%%', 100 * share) AS pct, CASE WHEN share >= fair THEN '+' ELSE '' END || printf('%.2fpp', 100 * (share - fair)) AS pp FROM s)
+SELECT source, source || repeat(' ', greatest(20 - len(source), 0)) || repeat(' ', greatest(8 - len(pct), 0)) || pct AS line, {_FIELD.format(x='source')} || ',' || n || ',' || printf('%.3f', chars) || ',' || pp || ',' || {_FIELD.format(x='sample')} AS csv FROM t"""
+)
+def report_lines(spark, sf):
+    """A report of the sources for readers and as CSV: share, distance from an equal share, and the text that sorts first, quoted where needed."""
+    g = bind.table(spark, sf, "documents").groupBy(F.coalesce("source", F.lit("-")).alias("source")).agg(n_rows().alias("n"), F.avg("n_chars").alias("chars"), F.coalesce(F.min("text"), F.lit("")).alias("sample"))
+    g = durable(g)  # a row a source
+    s = g.crossJoin(F.broadcast(g.agg(F.sum("n").alias("total"), n_rows().alias("sources"))))
+    share = F.col("n") / F.col("total")
+    line = F.concat(padded("source", 20), padded(percent(share), 8, right=True))
+    return s.select("source", line.alias("line"), csv_line("source", "n", fixed("chars", 3), points(share - 1 / F.col("sources")), "sample").alias("csv"))

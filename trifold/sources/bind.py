@@ -71,6 +71,21 @@ def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drafts(spark, sf_dir).where(F.col("y").isNotNull())
 
 
+def hour(match_id: str = "match_id") -> Column:
+    """The hour of day of a match; the tables' own times are dates."""
+    return (F.col(match_id) * 13 + 5) % 24
+
+
+#: What a map is like, each a number from -1 to 1.
+TRAITS = ["open", "cover"]
+
+
+def map_traits(map_id: str = "map_id") -> dict[str, Column]:
+    """A column for each trait of a match's map."""
+    m = F.col(map_id)
+    return {"open": ((m * 7 + 3) % 11 - 5) / 5, "cover": ((m * 4 + 1) % 9 - 4) / 4}
+
+
 def class_of(pick: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, CLASSES)), (pick % len(CLASSES) + 1).cast("int"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trifold.operators.textkb import cues
 
-CHARACTER = "map<string,struct<id:int,class:string,rarity:string,released:boolean,ambiguous:boolean,aliases:array<string>,dev_codename:string>>"
+CHARACTER = "id:int,class:string,rarity:string,released:boolean,ambiguous:boolean,aliases:array<string>,dev_codename:string"
 
 
 def landing(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
@@ -21,10 +21,22 @@ def landing(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     return reader.text(path).select(F.get_json_object(line, "$.item").alias("item"), F.get_json_object(line, "$.queried_tag").alias("queried_tag"))
 
 
+def records(spark: SparkSession, path: str, fields: str, at: str | None = None, name: str = "name") -> DataFrame:
+    """A JSON document as rows of ``name`` and ``fields`` (a struct's fields in DDL), whatever the file is called.
+
+    ``at`` is the path of the part that is read, the whole document if None.  That part is an object of
+    names to records, or an array of records, whose name is their place.  Missing fields are null, further ones are left out;
+    a document without the part, or that is no JSON, has no rows."""
+    whole = spark.read.text(path, wholetext=True).select((F.get_json_object("value", f"$.{at}") if at else F.trim("value")).alias("j"))
+    listed = F.posexplode(F.from_json("j", f"array<struct<{fields}>>"))
+    objects = whole.where("j LIKE '{%'").select(F.explode(F.from_json("j", f"map<string,struct<{fields}>>")).alias(name, "r"))
+    arrays = whole.where("j LIKE '[%'").select(listed.alias("at", "r")).select(F.col("at").cast("string").alias(name), "r")
+    return objects.unionByName(arrays).select(name, "r.*")
+
+
 def dimension(spark: SparkSession, path: str, field: str = "brawlers") -> DataFrame:
-    """A JSON object of names to records as rows; of equal ids the name that sorts first stays."""
-    whole = spark.read.text(path, wholetext=True).select(F.get_json_object("value", f"$.{field}").alias("j"))
-    rows = whole.select(F.explode(F.from_json("j", CHARACTER)).alias("name", "r")).select("name", "r.*")
+    """A JSON object of names to characters as rows; of equal ids the name that sorts first stays."""
+    rows = records(spark, path, CHARACTER, field)
     rest = [c for c in rows.columns if c != "id"]
     return rows.groupBy("id").agg(F.min(F.struct(*rest)).alias("x")).select("id", "x.*")
 
