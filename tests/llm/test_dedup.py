@@ -284,6 +284,18 @@ def test_substrings_hot_runs(frame, corpus, monkeypatch):
     assert by_id(out, "n_words", "n_removed", "h") == brute.op1(corpus)
 
 
+def test_substrings_few_partitions(spark, frame, corpus, monkeypatch):
+    """Several buckets in a partition, and hashes sent in small parts, give the same rows without further exchanges."""
+    monkeypatch.setattr(substrings, "partitions", lambda spark: 13)
+    monkeypatch.setattr(substrings, "MOST_PARTS", 3)
+    monkeypatch.setattr(substrings, "SENT_KEYS", 50)
+    out = substrings.remove_repeated(frame(corpus)).withColumn("h", F.sha2("kept", 256))
+    assert by_id(out, "n_words", "n_removed", "h") == brute.op1(corpus)
+    plan = substrings.remove_repeated(frame(corpus))._jdf.queryExecution().executedPlan().toString()
+    # The texts' exchange stands in the plan twice, and is run once.
+    assert (plan.count("shufflepartitionidpassthrough"), plan.count("Exchange hashpartitioning")) == (5, 1), plan
+
+
 def test_substrings_passage_in_every_bucket(frame, monkeypatch):
     """A passage of all documents, over many buckets and small Arrow batches: each bucket gives one row for a window, none with a list."""
     monkeypatch.setattr(substrings, "HOT", 20)

@@ -193,3 +193,22 @@ def to_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: i
     hot = groups.where(F.col(size) * HOT > n_rows)
     cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.where(F.col(size) * HOT <= n_rows).hint("merge"), key)
     return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
+def runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[np.ndarray]]:
+    """Rows sorted by the first column as lists of numpy columns, each holding whole keys; a key may span batches."""
+    rest, more = None, []
+    for batch in batches:
+        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        if not len(now[0]):
+            continue
+        if rest is not None and now[0][-1] == rest[0][-1]:
+            more.append(now)  # one key goes on
+            continue
+        now = [np.concatenate(x) for x in zip(*([rest] if rest is not None else []), *more, now, strict=True)]
+        last = int(np.searchsorted(now[0], now[0][-1], "left"))
+        if last:
+            yield [x[:last] for x in now]
+        rest, more = [x[last:].copy() for x in now], []
+    if rest is not None:
+        yield [np.concatenate(x) for x in zip(rest, *more, strict=True)]

@@ -27,8 +27,8 @@ bucket, and where a bucket has different texts under one doc_id those are
 numbered in order.  A place is that number and the word's position in one long.
 
 A shard takes runs up to about SYMBOLS words at a time, a bucket about
-BUCKET_BYTES of text, so memory is bounded whatever the corpus.  Texts are
-shuffled once; the exchange serves steps 2 and 4.
+BUCKET_BYTES of text, so memory is bounded whatever the corpus, and exchanges
+have MOST_PARTS partitions at most.  Texts are shuffled once; the exchange serves steps 2 and 4.
 
 Defined cases: a null text has no words, nor has an empty one; a document of
 fewer words than a window loses none; a null doc_id counts as larger than all
@@ -43,11 +43,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, gram_hashes, hash_words, mix, partitions, table, utf8, window_minima, word_spans
+from .common import chunks, gram_hashes, hash_words, mix, partitions, runs, table, utf8, window_minima, word_spans
 from .fmindex import FMIndex
 
 WINDOW, GRAM = 13, 3
 HOT, SYMBOLS, BUCKET_BYTES = 2000, 300_000, 16 << 20
+#: An exchange has at most MOST_PARTS partitions, each of which holds several buckets in order beyond that.
+MOST_PARTS = 20_000
+#: How many hashes a task of step 1 collects before it sends them.
+SENT_KEYS = 1 << 20
 LAST_ID = (1 << 63) - 1
 #: A place's lower bits are the word's position.
 PLACE = 32
@@ -71,65 +75,95 @@ def _named(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
 # Step 1: which runs are named in two documents or more
 
 
+def _named_by(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the runs that a batch's windows name, by bucket, and how many documents name each (255 at most)."""
+    _, _, _, first, words = _words(batch.column("text"))
+    _, names, grams = _named(words, first)
+    at = np.unique(names)
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+    doc = np.searchsorted(first, at, "right") - 1
+    ids, buckets = batch.column("doc_id").to_numpy(zero_copy_only=False)[doc], batch.column("bucket").to_numpy(zero_copy_only=False)[doc].astype(np.int64)
+    keys = grams[at]
+    order = np.lexsort((ids, keys, buckets))
+    keys, ids, buckets = keys[order], ids[order], buckets[order]
+    new = np.append(True, (keys[1:] != keys[:-1]) | (buckets[1:] != buckets[:-1]))
+    other = np.append(True, new[1:] | (ids[1:] != ids[:-1]))  # another document
+    group = np.flatnonzero(new)
+    return keys[group], buckets[group], np.minimum(np.add.reduceat(other.astype(np.int64), group), 255).astype(np.uint8)
+
+
+def _packed(named: list, parts: int) -> pa.RecordBatch:
+    """A row for each partition that hashes go to; those of a bucket follow each other."""
+    keys, buckets, n = (np.concatenate(x) for x in zip(*named, strict=True))
+    place = ((keys >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((buckets, place))
+    keys, buckets, place, n = keys[order], buckets[order], place[order], n[order]
+    run_at = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (buckets[1:] != buckets[:-1])))
+    run_n = np.diff(np.append(run_at, len(keys)))
+    edge = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    to = np.append(edge[1:], len(keys))
+    low, high = np.searchsorted(run_at, edge), np.searchsorted(run_at, to)
+    cut = lambda x, a, b: pa.array([x[i:j].tobytes() for i, j in zip(a, b, strict=True)], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(place[edge]), cut(buckets[run_at], low, high), cut(run_n, low, high), cut(keys, edge, to), cut(n, edge, to)], names=["place", "buckets", "sizes", "keys", "n"])
+
+
 def _send(parts):
     def run(batches):
+        named, held = [], 0
         for batch in chunks(batches, "text", 1 << 22):
-            _, _, _, first, words = _words(batch.column("text"))
-            _, names, grams = _named(words, first)
-            at = np.unique(names)
-            if not len(at):
-                continue
-            doc = np.searchsorted(first, at, "right") - 1
-            ids, buckets = batch.column("doc_id").to_numpy(zero_copy_only=False)[doc], batch.column("bucket").to_numpy(zero_copy_only=False)[doc].astype(np.int64)
-            keys = grams[at]
-            order = np.lexsort((ids, keys, buckets))
-            keys, ids, buckets = keys[order], ids[order], buckets[order]
-            new = np.append(True, (keys[1:] != keys[:-1]) | (buckets[1:] != buckets[:-1]))
-            other = np.append(True, new[1:] | (ids[1:] != ids[:-1]))  # another document
-            group = np.flatnonzero(new)
-            n = np.minimum(np.add.reduceat(other.astype(np.int64), group), 255).astype(np.uint8)
-            keys, buckets = keys[group], buckets[group]
-            part = ((keys >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((buckets, part))
-            keys, buckets, part, n = keys[order], buckets[order], part[order], n[order]
-            run_at = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (buckets[1:] != buckets[:-1])))
-            run_n = np.diff(np.append(run_at, len(keys)))
-            edge = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-            to = np.append(edge[1:], len(keys))
-            low, high = np.searchsorted(run_at, edge), np.searchsorted(run_at, to)
-            cut = lambda x, a, b: pa.array([x[i:j].tobytes() for i, j in zip(a, b, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(part[edge]), cut(buckets[run_at], low, high), cut(run_n, low, high), cut(keys, edge, to), cut(n, edge, to)], names=["part", "buckets", "sizes", "keys", "n"])
+            named.append(_named_by(batch))
+            held += len(named[-1][0])
+            if held >= SENT_KEYS:
+                yield _packed(named, parts)
+                named, held = [], 0
+        if held:
+            yield _packed(named, parts)
 
     return run
 
 
-SENT = "part long, buckets binary, sizes binary, keys binary, n binary"
+SENT = "place long, buckets binary, sizes binary, keys binary, n binary"
+KEYS = "key long, bucket long, n short"
 
 
-def _shared(batches):
-    parts = [[] for _ in range(4)]
+def _unpacked(batches):
     for batch in batches:
-        for column, kind, out in zip(("buckets", "sizes", "keys", "n"), (np.int64, np.int64, np.uint64, np.uint8), parts, strict=True):
-            out += [np.frombuffer(x, kind) for x in batch.column(column).to_pylist()]
-    if not parts[0]:
-        return
-    buckets, sizes, keys, n = (np.concatenate(x) for x in parts)
-    bucket, n = np.repeat(buckets, sizes), n.astype(np.int64)
-    order = np.argsort(keys, kind="stable")
-    keys, n, bucket = keys[order], n[order], bucket[order]
-    start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    total = np.repeat(np.add.reduceat(n, start), np.diff(np.append(start, len(keys))))
-    keys, bucket, hot = keys[total > 1], bucket[total > 1], total[total > 1] > HOT
+        buckets, sizes, keys, n = ([np.frombuffer(x, kind) for x in batch.column(c).to_pylist()] for c, kind in (("buckets", np.int64), ("sizes", np.int64), ("keys", np.int64), ("n", np.uint8)))
+        at = 0
+        for k in range(len(keys)):
+            if k + 1 == len(keys) or sum(map(len, keys[at : k + 1])) >= SENT_KEYS:
+                here = slice(at, k + 1)
+                bucket = np.repeat(np.concatenate(buckets[here]), np.concatenate(sizes[here]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys[here])), pa.array(bucket), pa.array(np.concatenate(n[here]).astype(np.int16))], names=["key", "bucket", "n"])
+                at = k + 1
+
+
+def _answers(told: list) -> pa.RecordBatch:
+    """A row for each bucket: its keys, and whether each is hot."""
+    keys, bucket, hot = (np.concatenate(x) for x in zip(*told, strict=True))
     order = np.argsort(bucket, kind="stable")
     keys, bucket, hot = keys[order], bucket[order], hot[order]
-    if not len(keys):
-        return
     start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     to = np.append(start[1:], len(keys))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(bucket[start]), pa.array([keys[a:b].tobytes() for a, b in zip(start, to, strict=True)], pa.binary()), pa.array([hot[a:b].tobytes() for a, b in zip(start, to, strict=True)], pa.binary())],
-        names=["bucket", "keys", "hot"],
-    )
+    cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(start, to, strict=True)], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(bucket[start]), cut(keys), cut(hot)], names=["bucket", "keys", "hot"])
+
+
+def _shared(batches):
+    """Rows in order of their keys to the keys that two documents or more name, by bucket."""
+    told, held = [], 0
+    for key, bucket, n in runs(batches, ["key", "bucket", "n"]):
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        total = np.repeat(np.add.reduceat(n.astype(np.int64), start), np.diff(np.append(start, len(key))))
+        more = total > 1
+        told.append((key[more], bucket[more], total[more] > HOT))
+        held += int(more.sum())
+        if held >= SENT_KEYS:
+            yield _answers(told)
+            told, held = [], 0
+    if held:
+        yield _answers(told)
 
 
 # Step 2: the pieces of a bucket
@@ -416,15 +450,18 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(parts, -(-int(size) // BUCKET_BYTES))
     docs = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
-    # A bucket is a partition of its own; by hashes of their numbers, several would meet in one task.
-    to = lambda rows, of="bucket": rows.withColumn(of, F.col(of).cast("int")).repartitionById(buckets, F.col(of))
-    sent = to(docs.mapInArrow(_send(buckets), SENT), "part")
-    answer = to(sent.mapInArrow(_shared, "bucket long, keys binary, hot binary"))
-    dealt = to(docs)
-    pieces = dealt.groupBy("bucket").cogroup(answer.groupBy("bucket")).applyInArrow(_pieces, PIECES)
-    shards = pieces.repartition(buckets, "key").sortWithinPartitions("key", "own")
+    # A bucket is a partition of its own as long as there are few; by hashes of their numbers, several would meet in one task.
+    most = min(buckets, MOST_PARTS)
+    to = lambda rows: rows.withColumn("place", F.pmod("bucket", F.lit(most)).cast("int")).repartitionById(most, F.col("place"))
+    by = lambda rows: rows.groupBy("place", "bucket")
+    sent = docs.mapInArrow(_send(most), SENT).withColumn("place", F.col("place").cast("int")).repartitionById(most, F.col("place"))
+    named = sent.mapInArrow(_unpacked, KEYS).sortWithinPartitions("key")
+    answer = to(named.mapInArrow(_shared, "bucket long, keys binary, hot binary"))
+    dealt = to(docs.withColumn("bucket", F.col("bucket").cast("long")))
+    pieces = by(dealt).cogroup(by(answer)).applyInArrow(_pieces, PIECES)
+    shards = pieces.repartition(most, "key").sortWithinPartitions("key", "own")
     found = to(shards.mapInArrow(_shards, FOUND))
-    return dealt.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(_keep, KEPT)
+    return by(dealt).cogroup(by(found)).applyInArrow(_keep, KEPT)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
