@@ -51,7 +51,7 @@ HOT, SYMBOLS, BUCKET_BYTES = 2000, 300_000, 16 << 20
 #: An exchange has at most MOST_PARTS partitions, each of which holds several buckets in order beyond that.
 MOST_PARTS = 20_000
 #: How many hashes a task of step 1 collects before it sends them.
-SENT_KEYS = 1 << 20
+SENT_KEYS = 1 << 19
 LAST_ID = (1 << 63) - 1
 #: A place's lower bits are the word's position.
 PLACE = 32
@@ -100,12 +100,12 @@ def _packed(named: list, parts: int) -> pa.RecordBatch:
     order = np.lexsort((buckets, place))
     keys, buckets, place, n = keys[order], buckets[order], place[order], n[order]
     run_at = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (buckets[1:] != buckets[:-1])))
-    run_n = np.diff(np.append(run_at, len(keys)))
     edge = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-    to = np.append(edge[1:], len(keys))
-    low, high = np.searchsorted(run_at, edge), np.searchsorted(run_at, to)
-    cut = lambda x, a, b: pa.array([x[i:j].tobytes() for i, j in zip(a, b, strict=True)], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(place[edge]), cut(buckets[run_at], low, high), cut(run_n, low, high), cut(keys, edge, to), cut(n, edge, to)], names=["place", "buckets", "sizes", "keys", "n"])
+    each = pa.array(np.append(run_at, len(keys)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(each, pa.array(keys.view(np.int64))), pa.ListArray.from_arrays(each, pa.array(n.astype(np.int16)))]
+    of = pa.StructArray.from_arrays([pa.array(buckets[run_at]), *lists], names=["bucket", "keys", "n"])
+    held = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(run_at, edge), len(run_at)).astype(np.int32)), of)
+    return pa.RecordBatch.from_arrays([pa.array(place[edge]), held], names=["place", "held"])
 
 
 def _send(parts):
@@ -123,20 +123,7 @@ def _send(parts):
     return run
 
 
-SENT = "place long, buckets binary, sizes binary, keys binary, n binary"
-KEYS = "key long, bucket long, n short"
-
-
-def _unpacked(batches):
-    for batch in batches:
-        buckets, sizes, keys, n = ([np.frombuffer(x, kind) for x in batch.column(c).to_pylist()] for c, kind in (("buckets", np.int64), ("sizes", np.int64), ("keys", np.int64), ("n", np.uint8)))
-        at = 0
-        for k in range(len(keys)):
-            if k + 1 == len(keys) or sum(map(len, keys[at : k + 1])) >= SENT_KEYS:
-                here = slice(at, k + 1)
-                bucket = np.repeat(np.concatenate(buckets[here]), np.concatenate(sizes[here]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys[here])), pa.array(bucket), pa.array(np.concatenate(n[here]).astype(np.int16))], names=["key", "bucket", "n"])
-                at = k + 1
+SENT = "place long, held array<struct<bucket:long,keys:array<long>,n:array<short>>>"
 
 
 def _answers(told: list) -> pa.RecordBatch:
@@ -455,7 +442,8 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     to = lambda rows: rows.withColumn("place", F.pmod("bucket", F.lit(most)).cast("int")).repartitionById(most, F.col("place"))
     by = lambda rows: rows.groupBy("place", "bucket")
     sent = docs.mapInArrow(_send(most), SENT).withColumn("place", F.col("place").cast("int")).repartitionById(most, F.col("place"))
-    named = sent.mapInArrow(_unpacked, KEYS).sortWithinPartitions("key")
+    each = sent.select(F.explode("held").alias("h")).select("h.bucket", F.explode(F.arrays_zip("h.keys", "h.n")).alias("x"))
+    named = each.select(F.col("x.keys").alias("key"), "bucket", F.col("x.n").alias("n")).sortWithinPartitions("key")
     answer = to(named.mapInArrow(_shared, "bucket long, keys binary, hot binary"))
     dealt = to(docs.withColumn("bucket", F.col("bucket").cast("long")))
     pieces = by(dealt).cogroup(by(answer)).applyInArrow(_pieces, PIECES)
