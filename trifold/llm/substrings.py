@@ -99,13 +99,10 @@ def _packed(named: list, parts: int) -> pa.RecordBatch:
     place = ((keys >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
     order = np.lexsort((buckets, place))
     keys, buckets, place, n = keys[order], buckets[order], place[order], n[order]
-    run_at = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (buckets[1:] != buckets[:-1])))
     edge = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-    each = pa.array(np.append(run_at, len(keys)).astype(np.int32))
-    lists = [pa.ListArray.from_arrays(each, pa.array(keys.view(np.int64))), pa.ListArray.from_arrays(each, pa.array(n.astype(np.int16)))]
-    of = pa.StructArray.from_arrays([pa.array(buckets[run_at]), *lists], names=["bucket", "keys", "n"])
-    held = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(run_at, edge), len(run_at)).astype(np.int32)), of)
-    return pa.RecordBatch.from_arrays([pa.array(place[edge]), held], names=["place", "held"])
+    offs = pa.array(np.append(edge, len(keys)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offs, x) for x in (pa.array(keys.view(np.int64)), pa.array(buckets.astype(np.int32)), pa.array(n.astype(np.int16)))]
+    return pa.RecordBatch.from_arrays([pa.array(place[edge]), *lists], names=["place", "keys", "buckets", "n"])
 
 
 def _send(parts):
@@ -123,7 +120,7 @@ def _send(parts):
     return run
 
 
-SENT = "place long, held array<struct<bucket:long,keys:array<long>,n:array<short>>>"
+SENT = "place long, keys array<long>, buckets array<int>, n array<short>"
 
 
 def _answers(told: list) -> pa.RecordBatch:
@@ -442,8 +439,8 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     to = lambda rows: rows.withColumn("place", F.pmod("bucket", F.lit(most)).cast("int")).repartitionById(most, F.col("place"))
     by = lambda rows: rows.groupBy("place", "bucket")
     sent = docs.mapInArrow(_send(most), SENT).withColumn("place", F.col("place").cast("int")).repartitionById(most, F.col("place"))
-    each = sent.select(F.explode("held").alias("h")).select("h.bucket", F.explode(F.arrays_zip("h.keys", "h.n")).alias("x"))
-    named = each.select(F.col("x.keys").alias("key"), "bucket", F.col("x.n").alias("n")).sortWithinPartitions("key")
+    each = sent.select(F.explode(F.arrays_zip("keys", "buckets", "n")).alias("x"))
+    named = each.select(F.col("x.keys").alias("key"), F.col("x.buckets").cast("long").alias("bucket"), F.col("x.n").alias("n")).sortWithinPartitions("key")
     answer = to(named.mapInArrow(_shared, "bucket long, keys binary, hot binary"))
     dealt = to(docs.withColumn("bucket", F.col("bucket").cast("long")))
     pieces = by(dealt).cogroup(by(answer)).applyInArrow(_pieces, PIECES)
