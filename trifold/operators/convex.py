@@ -83,16 +83,17 @@ class Found:
         self.x, self.value, self.gradient, self.steps, self.evaluations, self.converged = x, value, gradient, steps, evaluations, converged
 
 
-def _direction(gradient: np.ndarray, memory: deque) -> np.ndarray:
-    """The two loops of L-BFGS; all vectors lie in the null space, and so does the result."""
+def _direction(gradient: np.ndarray, memory: deque, scaled: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The two loops of L-BFGS around ``scaled``, its first guess; all vectors lie in the null space, and so does the result."""
     q, alphas = gradient.copy(), []
     for s, y in reversed(memory):
         a = (s @ q) / (s @ y)
         alphas.append(a)
         q -= a * y
+    q = scaled(q)
     if memory:
         s, y = memory[-1]
-        q *= (s @ y) / (y @ y)
+        q *= (s @ y) / (y @ scaled(y))
     for (s, y), a in zip(memory, reversed(alphas), strict=True):
         q += s * (a - (y @ q) / (s @ y))
     return -q
@@ -118,13 +119,18 @@ def _search(evaluate, x, value, slope, direction, step):
     return (*best, n) if best is not None else (None, value, None, n)
 
 
-def minimise(objective: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, tolerance: float, constraints: Constraints | None = None, most: int = 500) -> Found:
+def minimise(
+    objective: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, tolerance: float, constraints: Constraints | None = None, most: int = 500, curvature: np.ndarray | None = None
+) -> Found:
     """The least value of ``objective`` (x -> value and gradient) under the constraints, from ``start`` projected onto them.
 
+    ``curvature`` is about how much each parameter's own second derivative is: steps are
+    scaled by it, which saves many where parameters are met far more or less often.
     It stops once no entry of the projected gradient is over ``tolerance``, or when
     no step along the gradient gains anything any more; ``most`` steps are a guard,
     and ``converged`` says which it was."""
     project = constraints.project if constraints else (lambda v: v)
+    scaled = (lambda v: v.copy()) if curvature is None else (lambda v: project(project(v) / curvature))
 
     def evaluate(v):
         value, gradient = objective(v)
@@ -134,12 +140,13 @@ def minimise(objective: Callable[[np.ndarray], tuple[float, np.ndarray]], start:
     value, gradient = evaluate(x)
     evaluations, memory, steps = 1, deque(maxlen=MEMORY), 0
     while steps < most and np.abs(gradient).max(initial=0.0) > tolerance:
-        direction = _direction(gradient, memory)
+        direction = _direction(gradient, memory, scaled)
         slope = gradient @ direction
         if slope >= 0:
             memory.clear()
-            direction, slope = -gradient, -(gradient @ gradient)
-        first = 1.0 if memory else 1 / np.linalg.norm(gradient)  # without memory, a move of length 1 is tried
+            direction = -scaled(gradient)
+            slope = gradient @ direction
+        first = 1.0 if memory or curvature is not None else 1 / np.linalg.norm(gradient)  # without either, a move of length 1 is tried
         at, new, after, n = _search(evaluate, x, value, slope, direction, first)
         evaluations += n
         if at is None:
@@ -168,18 +175,25 @@ def logistic_loss(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, n
     return float(w @ loss), w * (np.exp(-np.logaddexp(0, -z)) - y)
 
 
+def _design(batch: pa.RecordBatch, beta: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Row, number and value of the batch's entries, and each row's score, y and weight."""
+    row, number = numbers(batch.column("number"))
+    value = batch.column("value").flatten().to_numpy(zero_copy_only=False)
+    y, w, offset = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w", "offset"))
+    return row, number, value, offset + np.bincount(row, value * beta[number], minlength=batch.num_rows), y, w
+
+
 def logistic(rows: DataFrame, size: int) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
-    """The log loss over rows (y, w, offset, number array<int>, value array<double>) and its gradient, as a function of the parameters."""
+    """The log loss over rows (y, w, offset, number array<int>, value array<double>) and its gradient, as a function of the parameters.
+
+    y may lie between 0 and 1: the mean of the w matches that a row stands for."""
     context, parts = rows.sparkSession.sparkContext, rows.rdd.getNumPartitions()
 
     def objective(beta: np.ndarray) -> tuple[float, np.ndarray]:
         held = context.broadcast(beta)
 
         def of(batch: pa.RecordBatch) -> np.ndarray:
-            row, number = numbers(batch.column("number"))
-            value = batch.column("value").flatten().to_numpy(zero_copy_only=False)
-            y, w, offset = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w", "offset"))
-            z = offset + np.bincount(row, value * held.value[number], minlength=batch.num_rows)
+            row, number, value, z, y, w = _design(batch, held.value)
             loss, slope = logistic_loss(z, y, w)
             return np.append(np.bincount(number, slope[row] * value, minlength=size), loss)
 
@@ -190,6 +204,20 @@ def logistic(rows: DataFrame, size: int) -> Callable[[np.ndarray], tuple[float,
     return objective
 
 
+def logistic_curvature(rows: DataFrame, beta: np.ndarray) -> np.ndarray:
+    """The diagonal of the second derivatives of ``logistic`` at ``beta``."""
+    held = rows.sparkSession.sparkContext.broadcast(beta)
+
+    def of(batch: pa.RecordBatch) -> np.ndarray:
+        row, number, value, z, _, w = _design(batch, held.value)
+        p = np.exp(-np.logaddexp(0, -z))
+        return np.bincount(number, (w * p * (1 - p))[row] * value * value, minlength=len(held.value))
+
+    total = sums(rows, len(beta), of)
+    held.unpersist()
+    return total
+
+
 def spread(rows: DataFrame, n: int, a_part: int) -> DataFrame:
     """Rows in as many parts as there is work for, so that each evaluation keeps all tasks busy."""
     return rows.repartition(min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // a_part + 1))

@@ -121,6 +121,27 @@ FAMILIES = {
 }
 
 
+#: What a family reads besides the teams, by the column's name: the column, or what the family makes no difference of.
+READS = {
+    "solo_mode": lambda: {"mode": F.col("mode")},
+    "solo_map": lambda: {"map_id": F.col("map_id")},
+    "solo_patch": lambda: {"patch": F.col("patch")},
+    "solo_tier": lambda: {"tier": F.col("tier")},
+    "solo_hour": lambda: {"hour": F.floor(F.col("hour") / 6) * 6},
+    "structure": lambda: {t: F.col(t) for t in TRAITS},
+    "counter_mode": lambda: {"mode": F.col("mode")},
+    "matchup_mode": lambda: {"mode": F.col("mode")},
+    "popularity": lambda: {"popularity": F.col("popularity")},
+    "power": lambda: {"power": F.col("power")},
+    "mastery": lambda: {"mastery": F.col("mastery")},
+}
+
+
+def reads(families: list[str]) -> dict[str, Column]:
+    """All that the families' entries depend on; the order of a team's picks is not part of it."""
+    return reduce(lambda x, y: x | y, [READS[f]() for f in families if f in READS], {c: F.array_sort(c) for c in ("a", "b")})
+
+
 def entries(families: list[str]) -> Entry:
     """All families' entries of a match; a feature may be named more than once."""
     return reduce(lambda x, y: F.concat(x, y), [FAMILIES[f]() for f in families])

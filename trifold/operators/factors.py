@@ -23,6 +23,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from trifold.functions.expr import sigmoid
 from trifold.operators import convex
+from trifold.operators.fit import alike
 from trifold.session import durable
 from trifold.sources.bind import N
 
@@ -85,7 +86,8 @@ def scores(solo, ally, against, a, b) -> np.ndarray:
 
 
 def _losses(rows: DataFrame, n: int):
-    """Log loss and its derivatives by strengths and by the entries of both tables, as a function of these."""
+    """Log loss and its derivatives by strengths and by the entries of both tables, as a function of these; a row stands for w matches with the mean y."""
+    rows = rows if "w" in rows.columns else rows.withColumn("w", F.lit(1.0))
     context, parts = rows.sparkSession.sparkContext, rows.rdd.getNumPartitions()
 
     def losses(solo, ally, against):
@@ -93,8 +95,8 @@ def _losses(rows: DataFrame, n: int):
 
         def of(batch: pa.RecordBatch) -> np.ndarray:
             a, b = teams(batch)
-            y = batch.column("y").to_numpy(zero_copy_only=False).astype(float)
-            loss, slope = convex.logistic_loss(scores(*held.value, a, b), y, np.ones(len(y)))
+            y, w = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("y", "w"))
+            loss, slope = convex.logistic_loss(scores(*held.value, a, b), y, w)
             count = lambda index, weight, size: np.bincount(index.ravel(), np.broadcast_to(weight, index.shape).ravel(), minlength=size)
             s = slope[:, None]
             own = count(a, s, n) - count(b, s, n)
@@ -114,9 +116,10 @@ def fit(drafts: DataFrame, k: int, n_ids: int = N, seed: int = 7, rounds: int =
     """Factors of rank ``k`` from y, a and b of decided drafts, whose picks are numbers below ``n_ids``."""
     if n_ids > MOST:
         raise ValueError(f"{n_ids} characters; at most {MOST} have tables")
-    n_rows = drafts.count()
-    rows = durable(convex.spread(drafts.select("y", F.col("a").cast("array<int>").alias("a"), F.col("b").cast("array<int>").alias("b")), n_rows, 5_000))
-    losses, n, passes = _losses(rows, n_ids), max(n_rows, 1), 0
+    # Matches of the same teams are one row.
+    cells = durable(alike(drafts.withColumns({c: F.col(c).cast("array<int>") for c in ("a", "b")}), []).select("y", "w", "a", "b"))
+    rows = durable(convex.spread(cells, cells.count(), 5_000))
+    losses, n, passes = _losses(rows, n_ids), max(convex.total_weight(rows), 1), 0
     rng = np.random.default_rng(seed)
     solo, u, s, c = np.zeros(n_ids), rng.normal(0, FIRST, (n_ids, k)), symmetric(rng.normal(0, 0.1, (k, k))), antisymmetric(rng.normal(0, 0.1, (k, k)))
 

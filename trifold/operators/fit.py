@@ -2,9 +2,10 @@
 but for the family that is one.
 
 Coefficients are fitted as beta_k * sqrt(penalty_k), which all have the penalty 1,
-by ``convex.minimise``.  The design stays distributed as sparse rows, made within
-each match's row; only the parameters come to the driver, where the optimiser
-keeps them anyway."""
+by ``convex.minimise``.  Matches that agree in all that the families read are one row
+with their number and mean result, so a step costs as much as there are different
+ones.  The design stays distributed as sparse rows, made within each such row; only the
+parameters come to the driver, where the optimiser keeps them anyway."""
 
 from __future__ import annotations
 
@@ -32,7 +33,7 @@ SIDE = "side:"
 #: Largest entry of the mean objective's gradient, by beta * sqrt(penalty), that a fit may stop at.  That objective curves by 1 / total
 #: weight at least, so a beta is off by total weight * (norm of the gradient) / sqrt(penalty) at most.
 TOLERANCE = 1e-7
-#: Matches that are worth a task of their own.
+#: Rows that are worth a task of their own.
 ROWS_A_PART = 10_000
 
 
@@ -121,6 +122,17 @@ def row_sums(names: list[str]) -> np.ndarray:
     return np.array([rows[key] for key in sorted(rows)]).reshape(-1, len(names))
 
 
+def alike(drafts: DataFrame, families: list[str], weight: str | None = None, offset: str | None = None) -> DataFrame:
+    """A row for all matches that the families cannot tell apart: what they read, offset, the sum w of their weights and the weighted mean y.
+
+    The log loss is linear in y, so sums over these rows are those over the matches."""
+    keys = {**design.reads(families), "offset": (F.col(offset) if offset else F.lit(0.0)).cast("double")}
+    w = (F.col(weight) if weight else F.lit(1.0)).cast("double")
+    rows = drafts.select(*[c.alias(k) for k, c in keys.items()], w.alias("_w"), F.col("y").cast("double").alias("_y"))
+    sums = rows.groupBy(*keys).agg(F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col("_y")).alias("_won"))
+    return sums.select(*keys, "w", F.coalesce(F.try_divide("_won", "w"), F.lit(0.0)).alias("y"))
+
+
 def fit(
     drafts: DataFrame, families: list[str], penalty: dict[str, float] | None = None, weight: str | None = None, iterations: int = 1000, offset: str | None = None, constrained: bool = False, start: Model | None = None
 ) -> Model:
@@ -129,8 +141,8 @@ def fit(
     ``constrained`` holds the row sums of pair blocks at 0; ``start`` is a model whose coefficients the fit begins with."""
     penalty = PENALTY | (penalty or {})
     spark = drafts.sparkSession
-    columns = [F.col("y").cast("double").alias("y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"), (F.col(offset) if offset else F.lit(0.0)).cast("double").alias("offset")]
-    rows = drafts.select(*columns, design.entries(families).alias("e"))
+    cells = durable(alike(drafts, families, weight, offset))
+    rows = cells.select("y", "w", "offset", design.entries(families).alias("e"))
     seen = rows.select(F.explode("e").alias("e")).where("e.value <> 0").select("e.feature").distinct()
     names = sorted(r["feature"] for r in seen.collect())  # the parameters, not the rows
     if not names:
@@ -139,7 +151,7 @@ def fit(
     own = np.array([f != SIDE for f in names], float)
     scales = np.array([1 / math.sqrt(penalty[f.split(":", 1)[0]]) if f != SIDE else 1.0 for f in names])
     held = spark.sparkContext.broadcast((pa.array(names, pa.string()), scales))
-    parted = convex.spread(rows, drafts.count(), ROWS_A_PART)
+    parted = convex.spread(cells, cells.count(), ROWS_A_PART).select("y", "w", "offset", design.entries(families).alias("e"))
     data = durable(parted.mapInArrow(_sparse(held), "y double, w double, offset double, number array<int>, value array<double>"))
     total = convex.total_weight(data)
     if not total:
@@ -153,7 +165,9 @@ def fit(
     matrix = row_sums(names) * scales if constrained else np.zeros((0, len(names)))
     first = dict(zip(start.names, start.beta.tolist(), strict=True)) if start else {}
     begin = np.array([first.get(f, 0.0) for f in names]) / scales
-    found = convex.minimise(objective, begin, TOLERANCE, convex.Constraints(matrix) if len(matrix) else None, iterations)
+    curvature = (convex.logistic_curvature(data, begin) + own) / total
+    curvature = np.maximum(curvature, 1e-9 * curvature.max())
+    found = convex.minimise(objective, begin, TOLERANCE, convex.Constraints(matrix) if len(matrix) else None, iterations, curvature)
     if not found.converged:
         raise RuntimeError(f"the fit of {families} stopped after {found.steps} steps with a gradient of {found.gradient:.2g}")
     return Model(spark, names, found.x * scales, families, found.gradient, found.steps)

@@ -16,11 +16,16 @@ from trifold.session import durable
 from trifold.sources import bind
 
 
-def _split(spark, sf, share: float = 0.8):
-    """Train and test by time, the boundary found by distributed ranks."""
+def _ranked(spark, sf, share: float = 0.8):
+    """Decided drafts with their place rn in time, found by distributed ranks, and the last place of the train part."""
     d = bind.decided(spark, sf).select("match_id", "mode", "map_id", "t", "a", "b", "y")
     d = durable(ranking.row_number(d, [F.col("t"), F.col("match_id")]))
-    cut = int(d.count() * share)
+    return d, int(d.count() * share)
+
+
+def _split(spark, sf, share: float = 0.8):
+    """Train and test by time."""
+    d, cut = _ranked(spark, sf, share)
     return d.where(F.col("rn") <= cut), d.where(F.col("rn") > cut)
 
 
@@ -40,25 +45,23 @@ def _context(spark, sf):
     """Train and test with what the further families read: patch, tier, power, mastery, hour, the map's traits and popularity.
 
     Popularity is learned from the train part alone."""
-    train, test = _split(spark, sf)
+    d, cut = _ranked(spark, sf)
     side = lambda k, c: F.avg(F.when(F.col("team_idx") == k, F.col(c)))
     ps = bind.players(spark, sf)
     own = ps.groupBy("match_id").agg((side(0, "power") - side(1, "power")).alias("power"), (F.log1p(side(0, "trophies")) - F.log1p(side(1, "trophies"))).alias("mastery"))
     known = bind.pool(spark, sf).where("ranked_rank IS NOT NULL").select(F.col("tag").alias("player"), "ranked_rank")
     ranks = ps.join(known, "player").groupBy("match_id").agg(F.sort_array(F.collect_list("ranked_rank")).alias("r"))  # one match's players
     tier = ranks.select("match_id", F.least(F.floor(F.element_at("r", (F.floor(F.size("r") / 2) + 1).cast("int")) / 6), F.lit(3)).cast("int").alias("tier"))
-    picks = train.select(F.explode(F.concat("a", "b")).alias("k")).groupBy("k").count()
+    picks = d.where(F.col("rn") <= cut).select(F.explode(F.concat("a", "b")).alias("k")).groupBy("k").count()
     rate = dict.fromkeys(range(bind.N), 1) | {r["k"]: r["count"] + 1 for r in picks.collect()}  # parameters, not rows
     total = sum(rate.values())
     logs = F.array(*[F.lit(math.log(rate[k] / total)) for k in range(bind.N)])
     popular = lambda t: F.aggregate(t, F.lit(0.0), lambda acc, k: acc + F.element_at(logs, k + 1))
 
-    def more(d):
-        d = lookup.interval(d, bind.patches(spark), "t", ["patch_id"]).withColumnRenamed("patch_id", "patch")
-        d = d.withColumns({"hour": bind.hour(), **bind.map_traits()})
-        return durable(d.join(own, "match_id", "left").join(tier, "match_id", "left").withColumn("popularity", (popular("a") - popular("b")) / 3))
-
-    return more(train), more(test)
+    d = lookup.interval(d, bind.patches(spark), "t", ["patch_id"]).withColumnRenamed("patch_id", "patch")
+    d = d.withColumns({"hour": bind.hour(), **bind.map_traits()})
+    d = durable(d.join(own, "match_id", "left").join(tier, "match_id", "left").withColumn("popularity", (popular("a") - popular("b")) / 3))  # once for both parts
+    return d.where(F.col("rn") <= cut), d.where(F.col("rn") > cut)
 
 
 @query()
@@ -354,12 +357,14 @@ def _sweep(spark, sf, signals):
     """Each signal's gain in log loss over the base, with an interval over resampled matches and the false discovery rate of all."""
     train, test = _context(spark, sf)
     loss, base_families = metrics.log_loss("p", "y"), ["solo", "solo_mode"]
-    base = durable(fit.fit(train, base_families).predict(test).select("match_id", loss.alias("base")))
+    first = fit.fit(train, base_families)
+    base = durable(first.predict(test).select("match_id", loss.alias("base")))
     out = []
     for name, deployable, families in signals:
-        m = fit.fit(train, [*base_families, *families])
+        m = fit.fit(train, [*base_families, *families], start=first)
         mine = m.predict(test).select("match_id", loss.alias("loss"))
-        delta = resample.paired_difference(base.join(mine, "match_id"), "base", "loss", "match_id")
+        both = durable(base.join(mine, "match_id"))  # read twice
+        delta = resample.paired_difference(both, "base", "loss", "match_id")
         out.append(delta.select(F.lit(name).alias("signal"), F.lit(deployable).alias("deployable"), F.lit(len(m.names)).alias("params"), "n", "delta", "low", "high", "matters", p_of_interval("delta", "low", "high").alias("p")))
     ranked = ranking.false_discovery(durable(_union(out)), "p", "signal")
     return ranked.select("signal", "deployable", "params", "n", *[F.round(c, 6).alias(c) for c in ("delta", "low", "high", "p")], "matters", "fdr")
