@@ -104,3 +104,38 @@ def test_fetch(spark):
     asked = spark.range(30).selectExpr("id AS key", "concat('/x/', id) AS path")
     got = {r["key"]: r["status"] for r in rest.fetch(asked, server, rate=1e6, parts=3).collect()}
     assert got == {str(k): 404 if k % 10 == 3 else 200 for k in range(30)}
+
+
+def test_others_go_on_while_one_waits():
+    """Requests that fail at first wait side by side, in one client's batch."""
+    failed = set()
+
+    def server(path):
+        if path not in failed and int(path) % 2:
+            failed.add(path)
+            return 503, ""
+        return 200, path
+
+    clock, c = client(server, rate=1e9)
+    paths = [str(k) for k in range(200)]
+    got = c.get_all(paths)
+    assert [(r[0], r[1], r[2]) for r in got] == [(200, p, 1 + int(p) % 2) for p in paths]
+    assert clock.now < 2 * rest.FIRST_WAIT  # one after the other they take 25 s on average
+
+
+def test_page_server_reads_blocks_once(spark, sf, monkeypatch):
+    """A run through the pages in order reads each block of the server's store once."""
+    import pyarrow.parquet as pq
+
+    from trifold.sources import bind
+
+    monkeypatch.setattr(bind, "PAGES_A_READ", 1024)
+    get, reads, read = bind.page_server(spark, sf), [], pq.ParquetFile.read_row_group
+    monkeypatch.setattr(pq.ParquetFile, "read_row_group", lambda self, *a, **k: reads.append(1) or read(self, *a, **k))
+    pages = {r["page_id"]: r["html"] for r in bind.table(spark, sf, "pages").collect()}
+    for k in sorted(pages):
+        status, body = get(f"/pages/{k}")
+        if status == 503:
+            status, body = get(f"/pages/{k}")
+        assert (status, body) == ((404, "") if k % 10 == 3 else (200, pages[k]))
+    assert get(f"/pages/{max(pages) + 10 + (max(pages) % 10 == 3)}")[0] in (404, 503) and 1 <= len(reads) < len(pages) / 2

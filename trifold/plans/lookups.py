@@ -33,7 +33,7 @@ def shipped_asof(spark, sf):
 def fetched_pages(spark, sf):
     """Every page asked for through the paced client; the transport stands for a server that lacks some pages and fails at first for others."""
     asked = bind.table(spark, sf, "pages").select(F.col("page_id").alias("key"), F.concat(F.lit("/pages/"), F.col("page_id").cast("string")).alias("path"))
-    got = rest.fetch(asked, bind.page_server(sf), rate=1e6)
+    got = rest.fetch(asked, bind.page_server(spark, sf), rate=1e6)
     return got.select("key", "status", F.char_length("body").alias("n_chars"), "attempts")
 
 

@@ -6,9 +6,16 @@ can repeat it.
 
 from __future__ import annotations
 
+import uuid
+from bisect import bisect_right
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trifold.session import shared_folder
+
+#: Bytes of pages that the page server reads at once.
+PAGES_A_READ = 8 << 20
 N = 107  # characters
 RANKED = ["soloRanked", "teamRanked"]
 CLASSES = ["damage", "controller", "assassin", "tank", "support", "marksman", "artillery"]
@@ -136,21 +143,48 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.join(d.select("doc_id", "n_chars"), "doc_id").select(F.col("doc_id").alias("id"), F.col("quality").alias("y"), p.alias("p"), (F.col("n_chars") % 1000).alias("score"))
 
 
-def page_server(sf_dir: str):
-    """A transport that answers /pages/{page_id} from the table's file: 404 for one page in ten, and at first 503 for one in seven of the others."""
+def page_server(spark: SparkSession, sf_dir: str):
+    """A transport that answers /pages/{page_id} from the table: 404 for one page in ten, and at first 503 for one in seven of the others.
 
-    asked = set()
+    The server's own store has the pages in order, so a request reads one block of them, and the next ones mostly the same block."""
+    store = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    pages.repartitionByRange("page_id").sortWithinPartitions("page_id").write.option("parquet.block.size", PAGES_A_READ).parquet(store)
+    asked, blocks, held = set(), [], {}
 
     def get(path: str) -> tuple[int, str]:
-        import pyarrow.dataset as ds
-
         k = int(path.rsplit("/", 1)[1])
         if k % 10 == 3:
             return 404, ""
         if k % 7 == 1 and k not in asked:
             asked.add(k)
             return 503, ""
-        found = ds.dataset(f"{sf_dir}/pages.parquet").to_table(columns=["html"], filter=ds.field("page_id") == k)
-        return 200, found.column("html")[0].as_py()
+        if not blocks:
+            blocks.extend(_blocks(store))
+        at = bisect_right(blocks, k, key=lambda b: b[0]) - 1
+        if at < 0 or blocks[at][1] < k:
+            return 404, ""
+        if held.get("at") != at:
+            _, _, file, group = blocks[at]
+            rows = file.read_row_group(group, columns=["page_id", "html"])
+            held.update(at=at, ids=rows.column("page_id").to_numpy(), html=rows.column("html"))
+        place = int(held["ids"].searchsorted(k))
+        return (200, held["html"][place].as_py()) if held["ids"][place] == k else (404, "")
 
     return get
+
+
+def _blocks(store: str) -> list:
+    """Least and largest page_id, file and number of each row group of a store in the order of page_id."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    files, root = fs.FileSystem.from_uri(store) if ":" in store else (fs.LocalFileSystem(), store)
+    out = []
+    for found in files.get_file_info(fs.FileSelector(root)):
+        if found.path.endswith(".parquet"):
+            file = pq.ParquetFile(found.path, filesystem=files)
+            for g in range(file.num_row_groups):
+                ids = file.metadata.row_group(g).column(0).statistics
+                out.append((ids.min, ids.max, file, g))
+    return sorted(out, key=lambda b: b[:2])

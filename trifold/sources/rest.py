@@ -3,13 +3,14 @@
 A transport is a function from a path to (status, body); ``http`` makes one.  The
 rate is shared out among partitions, so that all together keep to it whenever they
 run.  A request that fails is tried again after a wait drawn from 0 to an end that
-doubles (full jitter).  401 and 403 end the job: no retry mends a key.  404 is an
+doubles (full jitter); others go on meanwhile.  401 and 403 end the job: no retry mends a key.  404 is an
 answer: a row with a null body.  A request that failed for good is a row with its
 last status and the error.
 """
 
 from __future__ import annotations
 
+import heapq
 import random
 import time
 import urllib.error
@@ -69,25 +70,52 @@ class Client:
         self.transport, self.retries, self.clock, self.sleep = transport, retries, clock, sleep
         self.bucket, self.random = Bucket(rate, clock=clock, sleep=sleep), random.Random(seed)
 
+    def _ask(self, path: str, attempt: int) -> tuple[int, str | None, int, int, str | None] | None:
+        """The answer, or none if the request is to be tried again."""
+        self.bucket.take()
+        began = self.clock()
+        try:
+            status, body, error = *self.transport(path), None
+        except OSError as e:
+            status, body, error = 0, None, str(e) or type(e).__name__
+        took = int((self.clock() - began) * 1000)
+        if status in (401, 403):
+            raise Refused(f"{status} for {path}: the key or the address isn't accepted")
+        if 200 <= status < 300:
+            return status, body, attempt + 1, took, None
+        if status == 404:
+            return status, None, attempt + 1, took, None
+        return (status, None, attempt + 1, took, error or f"HTTP {status}") if attempt >= self.retries else None
+
+    def _wait(self, attempt: int) -> float:
+        return self.random.uniform(0, min(LONGEST_WAIT, FIRST_WAIT * 2**attempt))
+
     def get(self, path: str) -> tuple[int, str | None, int, int, str | None]:
         """Status, body, attempts, milliseconds of the last one, and the error if none succeeded."""
-        for attempt in range(self.retries + 1):
-            self.bucket.take()
-            began = self.clock()
-            try:
-                status, body, error = *self.transport(path), None
-            except OSError as e:
-                status, body, error = 0, None, str(e) or type(e).__name__
-            took = int((self.clock() - began) * 1000)
-            if status in (401, 403):
-                raise Refused(f"{status} for {path}: the key or the address isn't accepted")
-            if 200 <= status < 300:
-                return status, body, attempt + 1, took, None
-            if status == 404:
-                return status, None, attempt + 1, took, None
-            if attempt < self.retries:
-                self.sleep(self.random.uniform(0, min(LONGEST_WAIT, FIRST_WAIT * 2**attempt)))
-        return status, None, self.retries + 1, took, error or f"HTTP {status}"
+        attempt = 0
+        while (answer := self._ask(path, attempt)) is None:
+            self.sleep(self._wait(attempt))
+            attempt += 1
+        return answer
+
+    def get_all(self, paths: list[str]) -> list[tuple[int, str | None, int, int, str | None]]:
+        """``get`` for each path; while a request waits to be tried again, the others are sent."""
+        out, waiting = [None] * len(paths), []
+
+        def ask(k: int, attempt: int) -> None:
+            out[k] = self._ask(paths[k], attempt)
+            if out[k] is None:
+                heapq.heappush(waiting, (self.clock() + self._wait(attempt), k, attempt + 1))
+
+        for k in range(len(paths)):
+            while waiting and waiting[0][0] <= self.clock():
+                ask(*heapq.heappop(waiting)[1:])
+            ask(k, 0)
+        while waiting:
+            at, k, attempt = heapq.heappop(waiting)
+            self.sleep(max(0.0, at - self.clock()))
+            ask(k, attempt)
+        return out
 
 
 class Keys(InputPartition):
@@ -175,15 +203,15 @@ def register(spark: SparkSession, name: str, transport: Transport) -> None:
 
 
 def fetch(requests: DataFrame, transport: Transport, rate: float = RATE, parts: int = 8, retries: int = RETRIES) -> DataFrame:
-    """requests: key, path.  An answer for each, by ``parts`` tasks that share the rate; for keys that are themselves a large table."""
+    """requests: key, path.  An answer for each, by ``parts`` tasks that share the rate, each in order of its keys; for keys that are themselves a large table."""
     types = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.string()]
 
     def run(batches):
         client = Client(transport, rate / parts, retries)
         for batch in batches:
-            rows = [(k, *client.get(p)) for k, p in zip(batch.column("key").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+            rows = [(k, *answer) for k, answer in zip(batch.column("key").to_pylist(), client.get_all(batch.column("path").to_pylist()), strict=True)]
             columns = zip(*rows, strict=True) if rows else [[]] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    keyed = requests.selectExpr("CAST(key AS STRING) AS key", "path")
-    return keyed.repartition(parts).mapInArrow(run, SCHEMA)
+    dealt = requests.select("key", "path").repartition(parts).sortWithinPartitions("key")
+    return dealt.selectExpr("CAST(key AS STRING) AS key", "path").mapInArrow(run, SCHEMA)
