@@ -69,3 +69,14 @@ def test_curvature_saves_steps():
         found = convex.minimise(quadratic, np.zeros(40), 1e-6, constraints, curvature=np.diag(h).copy())
         assert found.converged and found.x == pytest.approx(want, abs=1e-3, rel=1e-3)
         assert found.evaluations < plain.evaluations
+
+
+def test_rungs_begin_with_smaller_ones(spark, sf, monkeypatch):
+    """Each rung but the first starts from the largest one whose families it holds."""
+    from trifold.plans import models
+
+    starts, fitted = {}, fit.fit
+    monkeypatch.setattr(models, "LADDER", [("M0", ["solo"]), ("M1", ["solo", "solo_mode"]), ("M5", ["solo", "solo_mode", "theory"])])
+    monkeypatch.setattr(models.fit, "fit", lambda train, families, start=None: starts.update({len(families): start and len(start.families)}) or fitted(train, families, start=start))
+    assert models.ablation_ladder(spark, sf).count() == 3
+    assert starts == {1: None, 2: 1, 3: 2}

@@ -80,13 +80,16 @@ LADDER = [
 
 @query()
 def ablation_ladder(spark, sf):
-    """Each rung's quality on the later matches, how many parameters it has and how well its fit ended."""
+    """Each rung's quality on the later matches, how many parameters it has and how many steps its fit took.
+
+    A fit begins with the largest rung before it that its families hold."""
     train, test = _context(spark, sf)
     out, done = [], {}
     for name, families in LADDER:
         key = tuple(families)
         if key not in done:
-            m = fit.fit(train, families)
+            within = [k for k in done if set(k) <= set(key)]
+            m = fit.fit(train, families, start=done[max(within, key=len)][0] if within else None)
             done[key] = m, durable(m.predict(test))
         m, scored = done[key]
         out.append(_quality(scored, rung=name, families="+".join(families), params=len(m.names), steps=m.iterations))
