@@ -120,17 +120,19 @@ def _search(evaluate, x, value, slope, direction, step):
 
 
 def minimise(
-    objective: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, tolerance: float, constraints: Constraints | None = None, most: int = 500, curvature: np.ndarray | None = None
+    objective: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, tolerance: float, constraints: Constraints | None = None, most: int = 500, curvature: np.ndarray | Callable[[np.ndarray], np.ndarray] | None = None
 ) -> Found:
     """The least value of ``objective`` (x -> value and gradient) under the constraints, from ``start`` projected onto them.
 
-    ``curvature`` is about how much each parameter's own second derivative is: steps are
-    scaled by it, which saves many where parameters are met far more or less often.
+    ``curvature`` is about how much each parameter's own second derivative is, or what solves
+    for a gradient by about the second derivatives: steps are scaled by it, which saves many
+    where parameters are met far more or less often, or always together.
     It stops once no entry of the projected gradient is over ``tolerance``, or when
     no step along the gradient gains anything any more; ``most`` steps are a guard,
     and ``converged`` says which it was."""
     project = constraints.project if constraints else (lambda v: v)
-    scaled = (lambda v: v.copy()) if curvature is None else (lambda v: project(project(v) / curvature))
+    solve = curvature if callable(curvature) else (lambda v: v / curvature)
+    scaled = (lambda v: v.copy()) if curvature is None else (lambda v: project(solve(project(v))))
 
     def evaluate(v):
         value, gradient = objective(v)
@@ -218,6 +220,39 @@ def logistic_curvature(rows: DataFrame, beta: np.ndarray) -> np.ndarray:
     return total
 
 
+#: Entries whose pairs are counted at once.
+PAIRED = 1 << 16
+
+
+def logistic_block(rows: DataFrame, beta: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The second derivatives of ``logistic`` at ``beta`` by all pairs of the ``chosen`` parameters, a matrix."""
+    m = len(chosen)
+    place = np.full(len(beta), -1)
+    place[chosen] = np.arange(m)
+    held, upper = rows.sparkSession.sparkContext.broadcast((beta, place)), np.triu_indices(m)
+
+    def of(batch: pa.RecordBatch) -> np.ndarray:
+        beta, place = held.value
+        row, number, value, z, _, w = _design(batch, beta)
+        p = np.exp(-np.logaddexp(0, -z))
+        known = place[number] >= 0
+        row, at, value = row[known], place[number[known]], value[known]
+        weighted = value * (w * p * (1 - p))[row]
+        first = np.searchsorted(row, np.arange(batch.num_rows + 1))
+        many, total = np.diff(first)[row], np.zeros(m * m)
+        for a in range(0, len(row), PAIRED):
+            n = many[a : a + PAIRED]
+            one = np.repeat(np.arange(a, a + len(n)), n)
+            other = first[row[one]] + np.arange(len(one)) - np.repeat(np.cumsum(n) - n, n)
+            total += np.bincount(at[one] * m + at[other], weighted[one] * value[other], minlength=m * m)
+        return total.reshape(m, m)[np.triu_indices(m)]
+
+    out = np.zeros((m, m))
+    out[upper] = sums(rows, len(upper[0]), of)
+    held.unpersist()
+    return out + np.triu(out, 1).T
+
+
 def spread(rows: DataFrame, n: int, a_part: int) -> DataFrame:
     """Rows in as many parts as there is work for, so that each evaluation keeps all tasks busy."""
     return rows.repartition(min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // a_part + 1))

@@ -112,12 +112,12 @@ def _losses(rows: DataFrame, n: int):
     return losses
 
 
-def fit(drafts: DataFrame, k: int, n_ids: int = N, seed: int = 7, rounds: int = ROUNDS) -> Factors:
-    """Factors of rank ``k`` from y, a and b of decided drafts, whose picks are numbers below ``n_ids``."""
+def fit(drafts: DataFrame, k: int, n_ids: int = N, seed: int = 7, rounds: int = ROUNDS, weight: str | None = None) -> Factors:
+    """Factors of rank ``k`` from y, a and b of decided drafts, whose picks are numbers below ``n_ids``; ``weight`` names a column of case weights."""
     if n_ids > MOST:
         raise ValueError(f"{n_ids} characters; at most {MOST} have tables")
     # Matches of the same teams are one row.
-    cells = durable(alike(drafts.withColumns({c: F.col(c).cast("array<int>") for c in ("a", "b")}), []).select("y", "w", "a", "b"))
+    cells = durable(alike(drafts.withColumns({c: F.col(c).cast("array<int>") for c in ("a", "b")}), [], weight).select("y", "w", "a", "b"))
     rows = durable(convex.spread(cells, cells.count(), 5_000))
     losses, n, passes = _losses(rows, n_ids), max(convex.total_weight(rows), 1), 0
     rng = np.random.default_rng(seed)

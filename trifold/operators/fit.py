@@ -10,6 +10,7 @@ parameters come to the driver, where the optimiser keeps them anyway."""
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -82,7 +83,7 @@ def _scores(held):
 
 def _sparse(held):
     def run(batches):
-        names, scales = held.value
+        names = held.value
         for batch in batches:
             n = batch.num_rows
             row, number, value = _entries(batch.column("e"), names)
@@ -92,7 +93,7 @@ def _sparse(held):
             value = np.add.reduceat(value, np.flatnonzero(new)) if len(row) else value
             row, number = row[new], number[new]
             at = pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32))
-            lists = pa.ListArray.from_arrays(at, pa.array(number.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(value * scales[number]))
+            lists = pa.ListArray.from_arrays(at, pa.array(number.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(value))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("y", "w", "offset")], *lists], names=["y", "w", "offset", "number", "value"])
 
     return run
@@ -133,46 +134,110 @@ def alike(drafts: DataFrame, families: list[str], weight: str | None = None, off
     return sums.select(*keys, "w", F.coalesce(F.try_divide("_won", "w"), F.lit(0.0)).alias("y"))
 
 
+class Prepared:
+    """The rows of a fit, made once for any penalties and starts: ``cells`` as by ``alike``, the ``names`` of the features that
+    they have, ``data`` with each row's feature numbers and values, and the ``total`` weight."""
+
+    def __init__(self, cells: DataFrame, families: list[str]):
+        spark = cells.sparkSession
+        self.cells, self.families = cells, families
+        rows = cells.select("y", "w", "offset", design.entries(families).alias("e"))
+        seen = rows.select(F.explode("e").alias("e")).where("e.value <> 0").select("e.feature").distinct()
+        names = sorted(r["feature"] for r in seen.collect())  # the parameters, not the rows
+        self.names = [f for f in names if f != SIDE] + [f for f in names if f == SIDE]
+        self.data, self.total = None, 0.0
+        if names:
+            held = spark.sparkContext.broadcast(pa.array(self.names, pa.string()))
+            parted = convex.spread(cells, cells.count(), ROWS_A_PART).select("y", "w", "offset", design.entries(families).alias("e"))
+            self.data = durable(parted.mapInArrow(_sparse(held), "y double, w double, offset double, number array<int>, value array<double>"))
+            self.total = convex.total_weight(self.data)
+
+
+def prepare(drafts: DataFrame, families: list[str], weight: str | None = None, offset: str | None = None) -> Prepared:
+    """What ``fit`` takes in place of drafts, where it is called more than once for the same rows and families."""
+    return Prepared(durable(alike(drafts, families, weight, offset)), families)
+
+
 def fit(
-    drafts: DataFrame, families: list[str], penalty: dict[str, float] | None = None, weight: str | None = None, iterations: int = 1000, offset: str | None = None, constrained: bool = False, start: Model | None = None
+    drafts: DataFrame | Prepared, families: list[str], penalty: dict[str, float] | None = None, weight: str | None = None, iterations: int = 1000, offset: str | None = None, constrained: bool = False, start: Model | None = None
 ) -> Model:
     """Fits y of decided drafts on the families; ``weight`` names a column of case weights, ``offset`` one that is added to z as it is.
 
     ``constrained`` holds the row sums of pair blocks at 0; ``start`` is a model whose coefficients the fit begins with."""
     penalty = PENALTY | (penalty or {})
-    spark = drafts.sparkSession
-    cells = durable(alike(drafts, families, weight, offset))
-    rows = cells.select("y", "w", "offset", design.entries(families).alias("e"))
-    seen = rows.select(F.explode("e").alias("e")).where("e.value <> 0").select("e.feature").distinct()
-    names = sorted(r["feature"] for r in seen.collect())  # the parameters, not the rows
-    if not names:
-        return Model(spark, [], np.zeros(0), families)
-    names = [f for f in names if f != SIDE] + [f for f in names if f == SIDE]
-    own = np.array([f != SIDE for f in names], float)
-    scales = np.array([1 / math.sqrt(penalty[f.split(":", 1)[0]]) if f != SIDE else 1.0 for f in names])
-    held = spark.sparkContext.broadcast((pa.array(names, pa.string()), scales))
-    parted = convex.spread(cells, cells.count(), ROWS_A_PART).select("y", "w", "offset", design.entries(families).alias("e"))
-    data = durable(parted.mapInArrow(_sparse(held), "y double, w double, offset double, number array<int>, value array<double>"))
-    total = convex.total_weight(data)
+    made = drafts if isinstance(drafts, Prepared) else prepare(drafts, families, weight, offset)
+    spark, names, data, total = made.cells.sparkSession, made.names, made.data, made.total
     if not total:
         return Model(spark, names, np.zeros(len(names)), families)
+    own = np.array([f != SIDE for f in names], float)
+    scales = np.array([1 / math.sqrt(penalty[f.split(":", 1)[0]]) if f != SIDE else 1.0 for f in names])
     losses = convex.logistic(data, len(names))
 
     def objective(u: np.ndarray) -> tuple[float, np.ndarray]:
-        value, gradient = losses(u)
-        return (value + (own * u) @ u / 2) / total, (gradient + own * u) / total
+        value, gradient = losses(u * scales)
+        return (value + (own * u) @ u / 2) / total, (gradient * scales + own * u) / total
 
     matrix = row_sums(names) * scales if constrained else np.zeros((0, len(names)))
     first = dict(zip(start.names, start.beta.tolist(), strict=True)) if start else {}
     begin = np.array([first.get(f, 0.0) for f in names]) / scales
-    curvature = (convex.logistic_curvature(data, begin) + own) / total
-    curvature = np.maximum(curvature, 1e-9 * curvature.max())
+    curvature = _curvature(made, begin * scales, scales, own)
     found = convex.minimise(objective, begin, TOLERANCE, convex.Constraints(matrix) if len(matrix) else None, iterations, curvature)
     if not found.converged:
         raise RuntimeError(f"the fit of {families} stopped after {found.steps} steps with a gradient of {found.gradient:.2g}")
     return Model(spark, names, found.x * scales, families, found.gradient, found.steps)
 
 
+#: Parameters whose second derivatives by pairs a fit scales its steps with, at most; that many squared are half a task's sums.
+DENSE = 700
+
+
+def _curvature(made: Prepared, beta: np.ndarray, scales: np.ndarray, own: np.ndarray):
+    """What ``convex.minimise`` scales steps by: the diagonal of the second derivatives, and between the blocks of fewest features all of
+    them, since classes, characters and characters by mode are met together and a diagonal alone takes many steps to part them."""
+    diagonal = (convex.logistic_curvature(made.data, beta) * scales * scales + own) / made.total
+    diagonal = np.maximum(diagonal, 1e-9 * diagonal.max())
+    of = [f.split(":", 1)[0] for f in made.names]
+    sizes, chosen = Counter(of), set()
+    for block in sorted(sizes, key=lambda b: (sizes[b], b)):
+        if sum(sizes[b] for b in chosen) + sizes[block] <= DENSE:
+            chosen.add(block)
+    at = np.array([k for k, b in enumerate(of) if b in chosen], int)
+    if len(at) < 2:
+        return diagonal
+    matrix = convex.logistic_block(made.data, beta, at) * np.outer(scales[at], scales[at]) / made.total
+    matrix[np.diag_indices(len(at))] = diagonal[at]
+    inverse = np.linalg.inv(matrix)
+
+    def solve(v: np.ndarray) -> np.ndarray:
+        out = v / diagonal
+        out[at] = inverse @ v[at]
+        return out
+
+    return solve
+
+
+def predict_all(models: list[Model], drafts: DataFrame) -> DataFrame:
+    """``drafts`` with z0, z1, ... of the models; the entries of all their families are made once."""
+    families = list(dict.fromkeys(f for m in models for f in m.families))
+    names = list(dict.fromkeys(f for m in models for f in m.names))
+    place = {f: k for k, f in enumerate(names)}
+    betas = np.zeros((len(models), len(names)))
+    for k, m in enumerate(models):
+        betas[k, [place[f] for f in m.names]] = m.beta
+    held = drafts.sparkSession.sparkContext.broadcast((pa.array(names, pa.string()), betas))
+    schema = StructType([*drafts.schema.fields, *[StructField(f"z{k}", DoubleType()) for k in range(len(models))]])
+
+    def run(batches):
+        names, betas = held.value
+        for batch in batches:
+            row, number, value = _entries(batch.column("_e"), names)
+            z = [np.bincount(row, value * beta[number], minlength=batch.num_rows) if len(row) else np.zeros(batch.num_rows) for beta in betas]
+            kept = [n for n in batch.schema.names if n != "_e"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], *map(pa.array, z)], names=[*kept, *[f"z{k}" for k in range(len(z))]])
+
+    return drafts.withColumn("_e", design.entries(families)).mapInArrow(run, schema)
+
+
 def temperature(scored: DataFrame, steps: int = 12) -> float:
     """The divisor of z that minimises log loss of y; Newton steps, each one aggregate."""
     inverse = 1.0
@@ -191,11 +256,12 @@ def search(train: DataFrame, check: DataFrame, families: list[str], blocks: list
     from trifold.operators.metrics import losses
 
     best, tried, known = {b: PENALTY[b] for b in blocks}, [], {}
+    made, asked = prepare(train, families), durable(alike(check, families))
 
     def loss(penalty: dict[str, float]) -> float:
         key = tuple(sorted(penalty.items()))
         if key not in known:
-            known[key] = losses(fit(train, families, penalty).predict(check)).first()["log_loss"]
+            known[key] = losses(fit(made, families, penalty).predict(asked), w="w").first()["log_loss"]
         return known[key]
 
     for sweep_at in range(sweeps):
@@ -223,9 +289,9 @@ def sweep(coefficients: DataFrame, child: str, parent: str) -> DataFrame:
     return up.unionByName(down).unionByName(rest)
 
 
-def curvature(model: Model, drafts: DataFrame) -> dict[str, float]:
-    """The diagonal of the log loss's second derivatives at the model: per feature, the sum of p (1 - p) value^2."""
-    scored = model.predict(drafts).withColumn("_v", F.col("p") * (1 - F.col("p")))
+def curvature(model: Model, cells: DataFrame) -> dict[str, float]:
+    """The diagonal of the log loss's second derivatives at the model: per feature, the sum of w p (1 - p) value^2 over ``alike``'s rows."""
+    scored = model.predict(cells).withColumn("_v", F.col("w") * F.col("p") * (1 - F.col("p")))
     each = scored.select("_v", F.explode(design.entries(model.families)).alias("e")).groupBy("e.feature").agg(F.sum(F.col("_v") * F.col("e.value") * F.col("e.value")).alias("h"))
     return {r["feature"]: r["h"] for r in each.collect()}  # the parameters, not the rows
 
@@ -241,10 +307,11 @@ def evidence(train: DataFrame, families: list[str], blocks: list[str], rounds: i
     Features of a block may not meet in one match's entry, so that the diagonal of
     the curvature is that of single entries.  Each round's fit begins where the last ended."""
     spreads, model, settled = dict.fromkeys(blocks, spread), None, False
+    made = prepare(train, families)
     for _ in range(rounds):
         penalty = {b: 1 / s**2 for b, s in spreads.items()}
-        model = fit(train, families, penalty, start=model)
-        h, change = curvature(model, train), 0.0
+        model = fit(made, families, penalty, start=model)
+        h, change = curvature(model, made.cells), 0.0
         for b in blocks:
             own = [(beta, h.get(f, 0.0)) for f, beta in zip(model.names, model.beta.tolist(), strict=True) if f.split(":", 1)[0] == b]
             known = sum(x / (x + penalty[b]) for _, x in own)
@@ -256,4 +323,4 @@ def evidence(train: DataFrame, families: list[str], blocks: list[str], rounds: i
             settled = True
             break
     penalty = {b: 1 / s**2 for b, s in spreads.items()}
-    return fit(train, families, penalty, start=model), penalty, settled
+    return fit(made, families, penalty, start=model), penalty, settled

@@ -47,16 +47,18 @@ FEATURES = {
 }
 
 
-def offset_fit(scored: DataFrame, features: list[Column], penalty: float = 1.0, steps: int = 15) -> list[float]:
-    """Weights of the features beside the frozen z, under penalty / 2 * w^2; Newton steps, each one aggregate."""
-    w = np.zeros(len(features))
+def offset_fit(scored: DataFrame, features: list[Column], penalty: float = 1.0, steps: int = 15, w: str | None = None) -> list[float]:
+    """Weights of the features beside the frozen z, under penalty / 2 * w^2; Newton steps, each one aggregate.
+
+    ``w``: how many matches a row stands for, of which y is then the mean."""
+    many, w = F.col(w) if w else F.lit(1.0), np.zeros(len(features))
     for _ in range(steps):
         z = F.col("z")
         for k, f in zip(w, features, strict=True):
             z = z + F.lit(float(k)) * f
         p = sigmoid(z)
-        first = [F.sum((p - F.col("y")) * f) for f in features]
-        second = [F.sum(p * (1 - p) * f * g) for f in features for g in features]
+        first = [F.sum(many * (p - F.col("y")) * f) for f in features]
+        second = [F.sum(many * p * (1 - p) * f * g) for f in features for g in features]
         got = np.array([x or 0.0 for x in scored.agg(*[c.alias(f"s{k}") for k, c in enumerate(first + second)]).first()])
         g, h = got[: len(w)], got[len(w) :].reshape(len(w), len(w))
         step = np.linalg.solve(h + penalty * np.eye(len(w)), g + penalty * w)
@@ -66,9 +68,14 @@ def offset_fit(scored: DataFrame, features: list[Column], penalty: float = 1.0,
     return w.tolist()
 
 
-def second_stage(scored: DataFrame, features: list[Column], w: list[float]) -> DataFrame:
-    """``scored`` with p from z and the weighted features."""
+def chance(features: list[Column], w: list[float]) -> Column:
+    """p from z and the weighted features."""
     z = F.col("z")
     for k, f in zip(w, features, strict=True):
         z = z + F.lit(k) * f
-    return scored.withColumn("p", sigmoid(z))
+    return sigmoid(z)
+
+
+def second_stage(scored: DataFrame, features: list[Column], w: list[float]) -> DataFrame:
+    """``scored`` with p from z and the weighted features."""
+    return scored.withColumn("p", chance(features, w))

@@ -10,19 +10,26 @@ from trifold.operators.ranking import equal_count_bin, row_number, running_befor
 
 
 def log_loss(p="p", y="y"):
-    q = clamp(F.col(p), 1e-9, 1 - 1e-9)
+    q = clamp(p, 1e-9, 1 - 1e-9)
     return -(F.col(y) * F.log(q) + (1 - F.col(y)) * F.log(1 - q))
 
 
-def losses(df: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
+def losses(df: DataFrame, p: str = "p", y: str = "y", w: str | None = None) -> DataFrame:
+    """``w``: how many rows a row stands for, of which y is then the mean."""
+    if w:
+        square = F.pow(F.col(p) - F.col(y), 2) + F.col(y) * (1 - F.col(y))  # that of rows whose y is 0 or 1
+        mean = lambda x: F.try_divide(F.sum(F.col(w) * x), F.sum(w))
+        return df.agg(mean(log_loss(p, y)).alias("log_loss"), mean(square).alias("brier"), F.coalesce(F.round(F.sum(w)), F.lit(0)).cast("long").alias("n"))
     return df.agg(F.avg(log_loss(p, y)).alias("log_loss"), F.avg(F.pow(F.col(p) - F.col(y), 2)).alias("brier"), F.count(F.lit(1)).alias("n"))
 
 
-def auc(df: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
+def auc(df: DataFrame, p: str = "p", y: str = "y", w: str | None = None) -> DataFrame:
     """Share of pairs in the right order, ties half; null if a class is missing.
 
-    Counts per distinct p, then the negatives below each: the rows themselves are never sorted."""
-    by = df.groupBy(p).agg(F.sum(F.col(y)).cast("long").alias("pos"), F.sum(1 - F.col(y)).cast("long").alias("neg"))
+    Counts per distinct p, then the negatives below each: the rows themselves are never sorted.
+    ``w``: how many rows a row stands for, of which y is then the mean."""
+    count = lambda x: (F.round(F.sum(F.col(w) * x)) if w else F.sum(x)).cast("long")
+    by = df.groupBy(p).agg(count(F.col(y)).alias("pos"), count(1 - F.col(y)).alias("neg"))
     placed = running_before(by, [F.col(p)], ["neg"])
     # As a sum of doubles: pairs outgrow a long at some 10^9 rows of each class.
     hits = F.sum(F.col("pos").cast("double") * (2.0 * F.col("before_neg") + F.col("neg")))

@@ -7,8 +7,8 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from trifold.functions.expr import decay, p_of_interval
-from trifold.operators import comps, decide, factors, fit, lanes, lookup, metrics, pairs, power, ranking, resample, rollout
+from trifold.functions.expr import decay, p_of_interval, sigmoid
+from trifold.operators import comps, decide, design, factors, fit, lanes, lookup, metrics, pairs, power, ranking, resample, rollout
 from trifold.plans.decisions import rounded
 from trifold.plans.registry import query
 from trifold.plans.views import D
@@ -29,8 +29,8 @@ def _split(spark, sf, share: float = 0.8):
     return d.where(F.col("rn") <= cut), d.where(F.col("rn") > cut)
 
 
-def _quality(scored, **labels):
-    out = metrics.losses(scored).crossJoin(metrics.auc(scored).select("auc"))
+def _quality(scored, w=None, **labels):
+    out = metrics.losses(scored, w=w).crossJoin(metrics.auc(scored, w=w).select("auc"))
     return out.select(*[F.lit(v).alias(k) for k, v in labels.items()], "n", F.round("log_loss", 5).alias("log_loss"), F.round("auc", 5).alias("auc"))
 
 
@@ -41,26 +41,38 @@ def _union(frames):
     return out
 
 
-def _context(spark, sf):
-    """Train and test with what the further families read: patch, tier, power, mastery, hour, the map's traits and popularity.
+def _context(spark, sf, families=None):
+    """Train and test with what the further families read: patch, tier, power, mastery, hour, the map's traits and popularity; of these
+    only what ``families`` read, if they are named.
 
     Popularity is learned from the train part alone."""
     d, cut = _ranked(spark, sf)
+    asked = set(design.reads(families)) if families is not None else {"power", "mastery", "tier", "popularity", "patch", "hour", *bind.TRAITS}
     side = lambda k, c: F.avg(F.when(F.col("team_idx") == k, F.col(c)))
-    ps = bind.players(spark, sf)
-    own = ps.groupBy("match_id").agg((side(0, "power") - side(1, "power")).alias("power"), (F.log1p(side(0, "trophies")) - F.log1p(side(1, "trophies"))).alias("mastery"))
-    known = bind.pool(spark, sf).where("ranked_rank IS NOT NULL").select(F.col("tag").alias("player"), "ranked_rank")
-    ranks = ps.join(known, "player").groupBy("match_id").agg(F.sort_array(F.collect_list("ranked_rank")).alias("r"))  # one match's players
-    tier = ranks.select("match_id", F.least(F.floor(F.element_at("r", (F.floor(F.size("r") / 2) + 1).cast("int")) / 6), F.lit(3)).cast("int").alias("tier"))
-    picks = d.where(F.col("rn") <= cut).select(F.explode(F.concat("a", "b")).alias("k")).groupBy("k").count()
-    rate = dict.fromkeys(range(bind.N), 1) | {r["k"]: r["count"] + 1 for r in picks.collect()}  # parameters, not rows
-    total = sum(rate.values())
-    logs = F.array(*[F.lit(math.log(rate[k] / total)) for k in range(bind.N)])
-    popular = lambda t: F.aggregate(t, F.lit(0.0), lambda acc, k: acc + F.element_at(logs, k + 1))
-
-    d = lookup.interval(d, bind.patches(spark), "t", ["patch_id"]).withColumnRenamed("patch_id", "patch")
-    d = d.withColumns({"hour": bind.hour(), **bind.map_traits()})
-    d = durable(d.join(own, "match_id", "left").join(tier, "match_id", "left").withColumn("popularity", (popular("a") - popular("b")) / 3))  # once for both parts
+    ps, joined = bind.players(spark, sf), []
+    means = {"power": lambda: side(0, "power") - side(1, "power"), "mastery": lambda: F.log1p(side(0, "trophies")) - F.log1p(side(1, "trophies"))}
+    own = [make().alias(c) for c, make in means.items() if c in asked]
+    if own:
+        joined.append(ps.groupBy("match_id").agg(*own))
+    if "tier" in asked:
+        known = bind.pool(spark, sf).where("ranked_rank IS NOT NULL").select(F.col("tag").alias("player"), "ranked_rank")
+        ranks = ps.join(known, "player").groupBy("match_id").agg(F.sort_array(F.collect_list("ranked_rank")).alias("r"))  # one match's players
+        joined.append(ranks.select("match_id", F.least(F.floor(F.element_at("r", (F.floor(F.size("r") / 2) + 1).cast("int")) / 6), F.lit(3)).cast("int").alias("tier")))
+    if "patch" in asked:
+        d = lookup.interval(d, bind.patches(spark), "t", ["patch_id"]).withColumnRenamed("patch_id", "patch")
+    traits = bind.map_traits()
+    d = d.withColumns({k: c for k, c in {"hour": bind.hour(), **traits}.items() if k in asked})
+    if "popularity" in asked:
+        picks = d.where(F.col("rn") <= cut).select(F.explode(F.concat("a", "b")).alias("k")).groupBy("k").count()
+        rate = dict.fromkeys(range(bind.N), 1) | {r["k"]: r["count"] + 1 for r in picks.collect()}  # parameters, not rows
+        total = sum(rate.values())
+        logs = F.array(*[F.lit(math.log(rate[k] / total)) for k in range(bind.N)])
+        popular = lambda t: F.aggregate(t, F.lit(0.0), lambda acc, k: acc + F.element_at(logs, k + 1))
+        d = d.withColumn("popularity", (popular("a") - popular("b")) / 3)
+    for more in joined:
+        d = d.join(more, "match_id", "left")
+    if joined or "popularity" in asked:
+        d = durable(d)  # once for both parts
     return d.where(F.col("rn") <= cut), d.where(F.col("rn") > cut)
 
 
@@ -126,15 +138,18 @@ def counter_row_sums(spark, sf):
 def factor_ladder(spark, sf):
     """Rungs of pair effects of rank 4, 8 and 16 beside full strengths: quality, and the gain in log loss over strengths alone with its interval."""
     train, test = _split(spark, sf)
-    loss = metrics.log_loss("p", "y")
-    base = durable(fit.fit(train, ["solo"]).predict(test).select("match_id", loss.alias("base")))
-    out = []
-    for k in (4, 8, 16):
-        m = factors.fit(train, k, rounds=3)
-        scored = durable(m.predict(test))
-        delta = resample.paired_difference(base.join(scored.select("match_id", loss.alias("loss")), "match_id"), "base", "loss", "match_id")
-        out.append(_quality(scored, rung=f"k={k}", passes=m.passes).crossJoin(delta.select(*[F.round(c, 6).alias(c) for c in ("delta", "low", "high")], "matters")))
-    return _union(out)
+    cells = durable(fit.alike(train, []))
+    scored = fit.fit(cells, ["solo"], weight="w").predict(test).select("match_id", "a", "b", "y", metrics.log_loss("p", "y").alias("base"))
+    ranks, passes = (4, 8, 16), []
+    for k in ranks:
+        m = factors.fit(cells, k, rounds=3, weight="w")
+        scored = m.predict(scored).drop("z").withColumnRenamed("p", f"p{k}")
+        passes.append(m.passes)
+    scored = durable(scored.withColumns({f"loss{k}": metrics.log_loss(f"p{k}", "y") for k in ranks}))
+    gains = resample.paired_differences(scored, "base", [f"loss{k}" for k in ranks], "match_id")
+    delta = spark.createDataFrame([(f"k={k}", *g[1:]) for k, g in zip(ranks, gains, strict=False)], "rung string, delta double, low double, high double, matters boolean")
+    out = _union([_quality(scored.withColumn("p", F.col(f"p{k}")), rung=f"k={k}", passes=n) for k, n in zip(ranks, passes, strict=True)])
+    return out.join(delta.select("rung", *[F.round(c, 6).alias(c) for c in ("delta", "low", "high")], "matters"), "rung")
 
 
 @query()
@@ -154,7 +169,8 @@ def shrinkage_cv(spark, sf):
     inner, check = train.where(F.col("rn") <= cut), train.where(F.col("rn") > cut)
     families = ["solo", "solo_mode"]
     best, _ = fit.search(inner, check, families, families, [5.0, 25.0, 125.0])
-    rows = [_quality(durable(fit.fit(train, families, p).predict(test)), penalties=name, solo=p["solo"], solo_mode=p["solo_mode"]) for name, p in (("given", {f: fit.PENALTY[f] for f in families}), ("chosen", best))]
+    made, asked = fit.prepare(train, families), durable(fit.alike(test, families))
+    rows = [_quality(durable(fit.fit(made, families, p).predict(asked)), "w", penalties=name, solo=p["solo"], solo_mode=p["solo_mode"]) for name, p in (("given", {f: fit.PENALTY[f] for f in families}), ("chosen", best))]
     return _union(rows)
 
 
@@ -165,8 +181,9 @@ def empirical_bayes(spark, sf):
     families = ["solo", "solo_mode"]
     given = {f: fit.PENALTY[f] for f in families}
     m, found, settled = fit.evidence(train, families, families, rounds=8)
-    rows = [(name, p, durable(x.predict(test))) for name, p, x in (("given", given, fit.fit(train, families)), ("evidence", found, m))]
-    return _union([_quality(scored, penalties=name, solo=round(p["solo"], 2), solo_mode=round(p["solo_mode"], 2), settled=settled or name == "given") for name, p, scored in rows])
+    asked = durable(fit.alike(test, families))
+    rows = [(name, p, durable(x.predict(asked))) for name, p, x in (("given", given, fit.fit(train, families)), ("evidence", found, m))]
+    return _union([_quality(scored, "w", penalties=name, solo=round(p["solo"], 2), solo_mode=round(p["solo_mode"], 2), settled=settled or name == "given") for name, p, scored in rows])
 
 
 @query()
@@ -184,11 +201,11 @@ def ban_counterfactual(spark, sf):
 @query()
 def half_life_sweep(spark, sf):
     train, test = _split(spark, sf)
-    last = train.agg(F.max("t")).first()[0]
+    last, asked = train.agg(F.max("t")).first()[0], durable(fit.alike(test, ["solo"]))
     out = []
     for days in (0, 365, 60):
         rows = train.withColumn("w", decay(F.datediff(F.lit(last), F.col("t")), float(days)) if days else F.lit(1.0))
-        out.append(_quality(durable(fit.fit(rows, ["solo"], weight="w").predict(test)), half_life_days=days))
+        out.append(_quality(durable(fit.fit(rows, ["solo"], weight="w").predict(asked)), "w", half_life_days=days))
     return _union(out)
 
 
@@ -196,12 +213,12 @@ def half_life_sweep(spark, sf):
 def growing_sweep(spark, sf):
     """Fits as the data grow, each begun with the one before: its steps beside those from nothing, which end in the same model, and its loss on the last part."""
     train, test = _split(spark, sf)
-    n, before, out = train.count(), None, []
+    n, before, out, asked = train.count(), None, [], durable(fit.alike(test, ["solo"]))
     for share in (0.25, 0.5, 0.75, 1.0):
-        rows = train.where(F.col("rn") <= int(n * share))
+        rows = fit.prepare(train.where(F.col("rn") <= int(n * share)), ["solo"])
         cold, warm = fit.fit(rows, ["solo"]), fit.fit(rows, ["solo"], start=before)
         apart = float(np.abs(cold.beta - warm.beta).max()) if len(cold.beta) else 0.0
-        out.append(_quality(durable(warm.predict(test)), share=share, steps_cold=cold.iterations, steps=warm.iterations, same=apart < 1e-3))
+        out.append(_quality(durable(warm.predict(asked)), "w", share=share, steps_cold=cold.iterations, steps=warm.iterations, same=apart < 1e-3))
         before = warm
     return _union(out)
 
@@ -277,10 +294,10 @@ def ban_scaling(spark, sf):
     """Would more matches help: agreement of ban lists with strengths by mode and map, fitted anew for each nested sample of either half."""
     d = bind.decided(spark, sf).select("match_id", "mode", "map_id", "a", "b", "y")
     half, draw = F.pmod(F.xxhash64(F.lit(99), "match_id"), F.lit(2)), F.pmod(F.xxhash64(F.lit(7), "match_id"), F.lit(1 << 30)) / (1 << 30)
-    sizes, fitted = [0.25, 0.5, 1.0], []
+    sizes, fitted, before = [0.25, 0.5, 1.0], [], {}
     for s in sizes:
         for h in (0, 1):
-            m = fit.fit(d.where((half == h) & (draw < s)), ["solo", "solo_mode", "solo_map"])
+            m = before[h] = fit.fit(d.where((half == h) & (draw < s)), ["solo", "solo_mode", "solo_map"], start=before.get(h))
             fitted.append(decide.map_strengths(m.coefficients, d).select(F.lit(s).alias("size"), F.lit(h).alias("half"), "map_id", "brawler_id", "w"))
     return rounded(decide.agreement(d, durable(_union(fitted)), sizes, half, draw, least=20))
 
@@ -357,19 +374,27 @@ TIERS = [("tier", True, ["solo_tier"]), ("counter by mode", True, ["counter_mode
 
 
 def _sweep(spark, sf, signals):
-    """Each signal's gain in log loss over the base, with an interval over resampled matches and the false discovery rate of all."""
-    train, test = _context(spark, sf)
-    loss, base_families = metrics.log_loss("p", "y"), ["solo", "solo_mode"]
-    first = fit.fit(train, base_families)
-    base = durable(first.predict(test).select("match_id", loss.alias("base")))
-    out = []
-    for name, deployable, families in signals:
-        m = fit.fit(train, [*base_families, *families], start=first)
-        mine = m.predict(test).select("match_id", loss.alias("loss"))
-        both = durable(base.join(mine, "match_id"))  # read twice
-        delta = resample.paired_difference(both, "base", "loss", "match_id")
-        out.append(delta.select(F.lit(name).alias("signal"), F.lit(deployable).alias("deployable"), F.lit(len(m.names)).alias("params"), "n", "delta", "low", "high", "matters", p_of_interval("delta", "low", "high").alias("p")))
-    ranked = ranking.false_discovery(durable(_union(out)), "p", "signal")
+    """Each signal's gain in log loss over the base, with an interval over resampled matches and the false discovery rate of all.
+
+    Signals that read the same share the rows of their fits; the later matches are scored by all models at once."""
+    base_families, cells = ["solo", "solo_mode"], {}
+    train, test = _context(spark, sf, [*base_families, *[f for _, _, families in signals for f in families]])
+
+    def rows(families):
+        key = frozenset(design.reads(families))
+        if key not in cells:
+            cells[key] = durable(fit.alike(train, families))
+        return fit.Prepared(cells[key], families)
+
+    models = [fit.fit(rows(base_families), base_families)]
+    for _, _, families in signals:
+        models.append(fit.fit(rows([*base_families, *families]), [*base_families, *families], start=models[0]))
+    losses = [metrics.log_loss(sigmoid(f"z{k}"), "y").alias(f"l{k}") for k in range(len(models))]
+    scored = durable(fit.predict_all(models, test).select("match_id", *losses))  # read twice
+    deltas = resample.paired_differences(scored, "l0", [f"l{k}" for k in range(1, len(models))], "match_id")
+    found = [(name, deployable, len(m.names), *x) for (name, deployable, _), m, x in zip(signals, models[1:], deltas, strict=False)]
+    out = spark.createDataFrame(found, "signal string, deployable boolean, params int, n long, delta double, low double, high double, matters boolean")
+    ranked = ranking.false_discovery(durable(out.withColumn("p", p_of_interval("delta", "low", "high"))), "p", "signal")
     return ranked.select("signal", "deployable", "params", "n", *[F.round(c, 6).alias(c) for c in ("delta", "low", "high", "p")], "matters", "fdr")
 
 
@@ -397,9 +422,10 @@ def hour_sweep(spark, sf):
 @query()
 def tier_correlation(spark, sf):
     """Strengths fitted for each tier by itself, and how two tiers' agree."""
-    train, _ = _context(spark, sf)
-    tiers = [r["tier"] for r in train.where("tier IS NOT NULL").groupBy("tier").count().where("count >= 200").orderBy("tier").collect()]  # four at most
-    fits = {t: durable(fit.fit(train.where(F.col("tier") == t), ["solo"]).coefficients) for t in tiers}
+    train, _ = _context(spark, sf, ["solo_tier"])
+    cells = durable(fit.alike(train, ["solo_tier"]))
+    tiers = [r["tier"] for r in cells.where("tier IS NOT NULL").groupBy("tier").agg(F.sum("w").alias("n")).where("n >= 200").orderBy("tier").collect()]  # four at most
+    fits = {t: durable(fit.fit(cells.where(F.col("tier") == t), ["solo"], weight="w").coefficients) for t in tiers}
     out = [spark.createDataFrame([], "tier int, other int, n long, r double")]
     for i, t in enumerate(tiers):
         for u in tiers[i + 1 :]:
@@ -423,13 +449,15 @@ def carry_forward(spark, sf):
 def lane_second_stage(spark, sf):
     """Features of the lane scores beside a frozen model with counters: their weights and gain in log loss."""
     train, test = _split(spark, sf)
-    m = fit.fit(train, ["solo", "counter"])
-    scored = [durable(lanes.with_lanes(m.predict(d), m.coefficients)) for d in (train, test)]
-    loss, out = metrics.log_loss("p", "y"), []
-    base = scored[1].select("match_id", loss.alias("base"))
-    for name, make in lanes.FEATURES.items():
-        w = lanes.offset_fit(scored[0], make())
-        mine = lanes.second_stage(scored[1], make(), w).select("match_id", loss.alias("loss"))
-        delta = resample.paired_difference(base.join(mine, "match_id"), "base", "loss", "match_id")
-        out.append(delta.select(F.lit(name).alias("feature"), F.array(*[F.lit(round(x, 4)) for x in w]).alias("weights"), "n", *[F.round(c, 6).alias(c) for c in ("delta", "low", "high")], "matters"))
-    return _union(out)
+    made = fit.prepare(train, ["solo", "counter"])
+    m = fit.fit(made, ["solo", "counter"])
+    # Weights need a row for all matches of the same teams only; intervals need each match.
+    cells = durable(lanes.with_lanes(m.predict(made.cells), m.coefficients))
+    weights = {name: lanes.offset_fit(cells, make(), w="w") for name, make in lanes.FEATURES.items()}
+    scored = lanes.with_lanes(m.predict(test), m.coefficients)
+    losses = [metrics.log_loss(lanes.chance(lanes.FEATURES[name](), w), "y").alias(f"l{k}") for k, (name, w) in enumerate(weights.items())]
+    scored = durable(scored.select("match_id", metrics.log_loss("p", "y").alias("base"), *losses))
+    deltas = resample.paired_differences(scored, "base", [f"l{k}" for k in range(len(weights))], "match_id")
+    rows = [(name, [round(x, 4) for x in w], *d) for (name, w), d in zip(weights.items(), deltas, strict=False)]
+    out = spark.createDataFrame(rows, "feature string, weights array<double>, n long, delta double, low double, high double, matters boolean")
+    return out.select("feature", "weights", "n", *[F.round(c, 6).alias(c) for c in ("delta", "low", "high")], "matters")
