@@ -49,6 +49,8 @@ def test_blocks_scale_steps(spark, monkeypatch):
         w.append(r["w"])
     p = 1 / (1 + np.exp(-x @ beta))
     want = (x.T * (np.array(w) * p * (1 - p))) @ x
+    whole = want + np.eye(len(want))
+    assert fit._inverse(whole) == pytest.approx(np.linalg.inv(whole))
     monkeypatch.setattr(convex, "PAIRED", 100)
     assert convex.logistic_block(made.data, beta, chosen) == pytest.approx(want[np.ix_(chosen, chosen)])
 

@@ -191,6 +191,18 @@ def fit(
 DENSE = 700
 
 
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """The inverse of a positive definite matrix by the sweep operator, in one thread: the numerical library's own threads,
+    which the driver's start of Spark interrupts, were seen to wait for ever in ``linalg.inv``."""
+    a = matrix.copy()
+    for k in range(len(a)):
+        pivot, row = a[k, k], a[k].copy()
+        a -= np.multiply.outer(row / pivot, row)
+        a[k] = a[:, k] = row / pivot
+        a[k, k] = -1 / pivot
+    return -a
+
+
 def _curvature(made: Prepared, beta: np.ndarray, scales: np.ndarray, own: np.ndarray):
     """What ``convex.minimise`` scales steps by: the diagonal of the second derivatives, and between the blocks of fewest features all of
     them, since classes, characters and characters by mode are met together and a diagonal alone takes many steps to part them."""
@@ -206,11 +218,11 @@ def _curvature(made: Prepared, beta: np.ndarray, scales: np.ndarray, own: np.nda
         return diagonal
     matrix = convex.logistic_block(made.data, beta, at) * np.outer(scales[at], scales[at]) / made.total
     matrix[np.diag_indices(len(at))] = diagonal[at]
-    inverse = np.linalg.inv(matrix)
+    inverse = _inverse(matrix)
 
     def solve(v: np.ndarray) -> np.ndarray:
         out = v / diagonal
-        out[at] = inverse @ v[at]
+        out[at] = (inverse * v[at]).sum(axis=1)
         return out
 
     return solve
