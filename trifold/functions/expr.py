@@ -19,13 +19,13 @@ def n_rows() -> Column:
 
 def norm_tag(tag) -> Column:
     """Trimmed, upper-case, with one leading #; null if nothing is left."""
-    body = F.regexp_replace(F.upper(F.trim(_c(tag))), "^#+", "")
-    return F.when(body != "", F.concat(F.lit("#"), body))
+    marked = F.concat(F.lit("#"), F.ltrim(F.upper(F.trim(_c(tag))), F.lit("#")))
+    return F.when(marked != "#", marked)
 
 
 def match_key(time, tags) -> Column:
     """The same for every perspective on a match: SHA-1 of its time and its sorted tags."""
-    return F.sha1(F.concat_ws("|", _c(time), F.array_join(F.array_sort(F.transform(_c(tags), norm_tag)), ",")).cast("binary"))
+    return F.sha1(F.concat_ws("|", _c(time), F.array_join(F.sort_array(F.transform(_c(tags), norm_tag)), ",")).cast("binary"))
 
 
 def winner(result, trophy_change, my_team) -> Column:

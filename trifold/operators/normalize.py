@@ -18,7 +18,9 @@ def parse(raw: DataFrame) -> DataFrame:
     df = raw.select("*", F.explode(F.array(F.from_json("item", BATTLE))).alias("it"))
     teams = F.col("it.battle.teams")
     tags = F.transform(teams, lambda t: F.transform(t, lambda p: norm_tag(p["tag"])))
-    df = df.withColumn("tags", tags).withColumn("me", norm_tag("queried_tag")).withColumn("all_tags", F.flatten("tags"))
+    # So are its tags normalised: the reason reads them many times over.
+    df = df.select("*", F.explode(F.array(F.struct(tags.alias("tags"), F.flatten(tags).alias("all_tags"), norm_tag("queried_tag").alias("me")))).alias("_own"))
+    df = df.select(*[c for c in df.columns if c != "_own"], "_own.tags", "_own.me", "_own.all_tags")
     mine = F.array_position(F.transform("tags", lambda t: F.array_contains(t, F.col("me"))), True)
     reason = (
         F.when(F.col("it.battle").isNull(), "not an object")

@@ -16,7 +16,8 @@ from trifold.sources import bind
 def _items(spark, sf):
     """Battle-log items as JSON, from orders and their lines."""
     row = F.struct("slot", "team_idx", F.struct(F.col("player_tag").alias("tag"), F.struct(F.col("brawler_id").alias("id"), F.col("power").cast("int").alias("power"), F.col("trophies").cast("int").alias("trophies")).alias("brawler")).alias("p"))
-    ps = bind.players(spark, sf).groupBy("match_id").agg(F.array_sort(F.collect_list(row)).alias("ps"))
+    # Sent by match as plain rows: lists begun before the shuffle hold a row or two each, and are sorted and sent as objects.
+    ps = bind.players(spark, sf).repartition("match_id").groupBy("match_id").agg(F.sort_array(F.collect_list(row)).alias("ps"))
     team = lambda k: F.transform(F.filter("ps", lambda x: x["team_idx"] == k), lambda x: x["p"])
     k = F.col("match_id") % 4
     result = F.when(k == 0, "victory").when(k == 1, "defeat").when(k == 2, "draw")
@@ -51,7 +52,8 @@ def normalize_rejects(spark, sf):
 @query(f"WITH {ITEMS}, q AS (SELECT j.match_id, p.team_idx, p.brawler_id FROM j JOIN p ON p.match_id = j.match_id WHERE reason IS NULL) SELECT team_idx, brawler_id, count(*) AS n, count(DISTINCT match_id) AS n_matches FROM q GROUP BY ALL")
 def normalize_participants(spark, sf):
     p = normalize.participants(normalize.matches(normalize.parse(_items(spark, sf))))
-    return p.groupBy("team_idx", "brawler_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("match_id").alias("n_matches"))
+    # The digests are counted as bytes, which are half as long.
+    return p.groupBy("team_idx", "brawler_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.unhex("match_id")).alias("n_matches"))
 
 
 @query(f"WITH {M} SELECT battle_type, count(*) AS n FROM m WHERE battle_type NOT IN ('soloRanked', 'teamRanked') GROUP BY battle_type")
