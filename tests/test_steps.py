@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trifold.functions.expr import norm_tag
 from trifold.operators import normalize
+from trifold.streaming import controller
 
 
 def test_tags_are_normalised_once_for_an_item(spark):
@@ -21,3 +22,59 @@ def test_tags_of_any_form(spark):
     got = {r["k"]: (r["t"], r["again"]) for r in rows.collect()}
     assert [got[k][0] for k in range(len(tags))] == ["#AB#C", "#X", None, None, None, None, None, "# A"]
     assert all(one == two for one, two in got.values())
+
+
+class Handle:
+    """Stands in for a state store: counts what a tag's rows ask of it."""
+
+    def __init__(self):
+        self.asked, self.values, self.timers = 0, {}, []
+
+    def getValueState(self, name, schema):
+        handle = self
+
+        class Value:
+            def get(self):
+                handle.asked += 1
+                return handle.values.get(name)
+
+            def update(self, value):
+                handle.asked += 1
+                handle.values[name] = value
+
+            def clear(self):
+                handle.asked += 1
+                handle.values.pop(name, None)
+
+        return Value()
+
+    def listTimers(self):
+        self.asked += 1
+        return list(self.timers)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def registerTimer(self, at):
+        self.asked += 1
+        self.timers.append(at)
+
+
+class Mark:
+    def getCurrentWatermarkInMs(self):
+        return 100_000
+
+
+def test_a_tag_asks_the_state_store_a_few_times_for_any_number_of_polls():
+    handle, polls = Handle(), controller.Polls()
+    polls.init(handle)
+    batches = [[("#A", 200 - k, k, k % 24, None) for k in range(50)], [("#A", 60 + k, None, 3, None) for k in range(80)]]
+    for asked, batch in zip((4, 6), batches, strict=True):
+        handle.asked = 0
+        (row,) = polls.handleInputRows(("#A",), iter(batch), Mark())
+        assert handle.asked <= asked and len(handle.timers) == 1
+    every = sorted((r[1:4] for b in batches for r in b), key=lambda p: (p[0], p[1] is not None, p[1] or 0, p[2]))
+    # Polls that the watermark had not passed stayed, and were folded in their place.
+    n, interval, empties, losses, activity, last = controller.advance(controller.START, every)
+    assert tuple(row)[:8] == ("#A", n, interval, empties, losses, empties <= controller.PATIENCE, activity, last)
+    assert handle.timers == [(last + interval) * 1000] and handle.values["settled"][0] == sum(p[0] <= 100 for p in every)

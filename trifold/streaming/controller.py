@@ -5,11 +5,11 @@ State per key: poll interval, empty polls in a row, whether it is active, whethe
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -149,44 +149,46 @@ class Polls(StatefulProcessor):
     timer gives a row (event ``due``) once the next poll's time has come."""
 
     SETTLED = "polls int, interval bigint, empties int, losses int, activity double, last_poll bigint"
-    WAITING = "epoch bigint, event_id bigint, new_matches int"
+    WAITING = "epoch array<bigint>, event_id array<bigint>, new_matches array<int>"  # one value a tag: a list state's items are sent one by one
+    NAMES = ("tag", *[f.split()[0] for f in FIELDS.split(", ")], "event", "due_at")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.settled = handle.getValueState("settled", self.SETTLED)
-        self.waiting = handle.getListState("waiting", self.WAITING)
+        self.waiting = handle.getValueState("waiting", self.WAITING)
 
-    def _out(self, key, state: tuple, event: str) -> pd.DataFrame:
-        names = ["tag", *[f.split()[0] for f in FIELDS.split(", ")], "event", "due_at"]
-        return pd.DataFrame([(key[0], *_row(state), event, int(state[5] + state[1]))], columns=names)
+    def _waiting(self) -> list[tuple]:
+        return list(zip(*(self.waiting.get() or ()), strict=True))
 
-    def _now(self, polls: list[tuple]) -> tuple:
-        return advance(tuple(self.settled.get() or START), polls)
+    def _out(self, key, state: tuple, event: str) -> Row:
+        return Row(**dict(zip(self.NAMES, (key[0], *_row(state), event, int(state[5] + state[1])), strict=True)))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs() // 1000
-        polls = [tuple(p) for p in self.waiting.get()]
-        for part in rows:
-            for e, k, n in zip(part["epoch"], part["event_id"], part["new_matches"], strict=True):
-                polls.append((int(e), None if pd.isna(k) else int(k), int(n)))
+        settled, polls = self.settled.get(), self._waiting()
+        met = settled is not None or bool(polls)
+        polls.extend(tuple(r[1:4]) for r in rows)  # by place, as ``known`` has them: names are looked up row by row
         polls.sort(key=lambda p: (p[0], p[1] is not None, p[1] or 0, p[2]))
-        settled = [p for p in polls if p[0] <= mark]
-        rest = polls[len(settled) :]
-        if settled:
-            self.settled.update(self._now(settled))
+        over = bisect_right(polls, mark, key=lambda p: p[0])
+        state = tuple(settled or START)
+        if over:
+            state = advance(state, polls[:over])
+            self.settled.update(state)
+        rest = polls[over:]
         if rest:
-            self.waiting.put(rest)
-        else:
+            self.waiting.update(tuple(map(list, zip(*rest, strict=True))))
+        elif met:
             self.waiting.clear()
-        state = self._now(rest)
-        for old in self.handle.listTimers():
-            self.handle.deleteTimer(old)
+        state = advance(state, rest)
+        if met:  # a tag that is met for the first time has no timer
+            for old in self.handle.listTimers():
+                self.handle.deleteTimer(old)
         if state[2] <= PATIENCE:
             self.handle.registerTimer((state[5] + state[1]) * 1000)
         yield self._out(key, state, "state")
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._out(key, self._now([tuple(p) for p in self.waiting.get()]), "due")
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield self._out(key, advance(tuple(self.settled.get() or START), self._waiting()), "due")
 
     def close(self) -> None:
         pass
@@ -198,7 +200,7 @@ def stream(polls: DataFrame, late: str = "1 hour") -> DataFrame:
     A poll may come ``late`` by so much; later ones are dropped.  State is kept in
     RocksDB; ``plans.streams.run`` sets that."""
     rows = known(polls).withColumn("at", F.timestamp_seconds("epoch")).withWatermark("at", late)
-    return rows.groupBy("tag").transformWithStateInPandas(Polls(), f"{_schema(polls)}, event string, due_at bigint", "update", "eventTime")
+    return rows.groupBy("tag").transformWithState(Polls(), f"{_schema(polls)}, event string, due_at bigint", "update", "eventTime")
 
 
 def first_seen(observations: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
