@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from trifold.functions.expr import norm_tag
-from trifold.operators import normalize
+from trifold.operators import decide, fit, normalize
+from trifold.plans import models
 from trifold.streaming import controller
 
 
@@ -78,3 +80,19 @@ def test_a_tag_asks_the_state_store_a_few_times_for_any_number_of_polls():
     n, interval, empties, losses, activity, last = controller.advance(controller.START, every)
     assert tuple(row)[:8] == ("#A", n, interval, empties, losses, empties <= controller.PATIENCE, activity, last)
     assert handle.timers == [(last + interval) * 1000] and handle.values["settled"][0] == sum(p[0] <= 100 for p in every)
+
+
+def test_nested_samples_read_the_matches_once(spark):
+    rows = [(k, f"m{k % 2}", k % 3, [k % 5, k % 5 + 1, 9], [3 - k % 2, 7, 8], int(k % 7 < 3)) for k in range(400)]
+    d = spark.createDataFrame(rows, "match_id long, mode string, map_id int, a array<int>, b array<int>, y int")
+    half, draw, families, sizes = F.col("match_id") % 2, F.col("match_id") * 37 % 100 / 100, ["solo", "solo_mode", "solo_map"], [0.25, 0.5, 1.0]
+    cells, samples = models._nested(d, families, half, draw, sizes)
+    plain = lambda df: sorted((r["mode"], r["map_id"], r["a"], r["b"], r["w"], round(r["y"], 12), r["offset"]) for r in df.collect())
+    for (s, h), sample in samples.items():
+        assert plain(sample) == plain(fit.alike(d.where((half == h) & (draw < s)), families))
+    w = spark.createDataFrame([(x, (x * 5 % 7 - 2) / 3) for x in range(10)], "brawler_id int, w double")
+    got = decide.agreement(cells, w, sizes, F.col("half"), F.col("draw"), least=14, weight="n")
+    near = lambda df: [tuple(pytest.approx(x, abs=1e-9) if isinstance(x, float) else x for x in r) for r in sorted(df.collect())]
+    assert [tuple(r) for r in sorted(got.collect())] == near(decide.agreement(d, w, sizes, half, draw, least=14))
+    c = spark.createDataFrame([("solo:3", 1.0), ("solo_mode:m1:7", 0.5), ("solo_map:2:9", 2.0)], "feature string, beta double")
+    assert sorted(decide.map_strengths(c, cells, weight="n").collect()) == sorted(decide.map_strengths(c, d).collect())

@@ -217,25 +217,25 @@ def ban_stability(drafts: DataFrame, weights: DataFrame, k: int = 5, replicates:
     return both.groupBy(key).agg(F.avg("share").alias("mean_share"), F.min("share").alias("least_share"))
 
 
-def map_strengths(coefficients: DataFrame, drafts: DataFrame, key: str = "map_id") -> DataFrame:
+def map_strengths(coefficients: DataFrame, drafts: DataFrame, key: str = "map_id", weight: str | None = None) -> DataFrame:
     """Per map and character, the fitted strength on that map: of the character alone, in the map's mode and on the map itself.
 
     coefficients: feature, beta of the families solo, solo_mode and solo_map, any of
     them may be missing.  A map's mode is the one most of its drafts have (ties: the
-    smallest).  Parts without a coefficient are 0."""
+    smallest).  Parts without a coefficient are 0.  ``weight``: how many drafts a row stands for."""
     part = F.split("feature", ":")
     block, who = F.get(part, F.lit(0)), F.element_at(part, -1).cast("int")
     # A mode's name may hold colons itself.
     cell = F.array_join(F.slice(part, 2, F.size(part) - 2), ":")
     rows = coefficients.where(block.isin("solo", "solo_mode", "solo_map")).select(block.alias("block"), who.alias("brawler_id"), cell.alias("cell"), "beta")
     order = Window.partitionBy(key).orderBy(F.desc("n"), "mode")
-    modes = drafts.groupBy(key, "mode").agg(F.count(F.lit(1)).alias("n")).withColumn("r", F.row_number().over(order)).where("r = 1").select(key, F.col("mode").cast("string").alias("mode"))
+    modes = drafts.groupBy(key, "mode").agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n")).withColumn("r", F.row_number().over(order)).where("r = 1").select(key, F.col("mode").cast("string").alias("mode"))
     parts = [("solo", F.lit("")), ("solo_mode", F.col("mode")), ("solo_map", F.col(key).cast("string"))]
     cells = modes.select(key, F.explode(F.array(*[F.struct(F.lit(b).alias("block"), c.alias("cell")) for b, c in parts])).alias("x"))
     return cells.select(key, "x.*").join(rows, ["block", "cell"]).groupBy(key, "brawler_id").agg(F.sum("beta").alias("w"))
 
 
-def agreement(drafts: DataFrame, strengths: DataFrame, sizes: list[float], half: Column, draw: Column, k: tuple[int, int] = (3, 5), least: int = 0, key: str = "map_id") -> DataFrame:
+def agreement(drafts: DataFrame, strengths: DataFrame, sizes: list[float], half: Column, draw: Column, k: tuple[int, int] = (3, 5), least: int = 0, key: str = "map_id", weight: str | None = None) -> DataFrame:
     """How ban lists of two halves of the matches agree, and what their difference costs, by the share of each half that is used.
 
     half is 0 or 1 for each match, draw a number from 0 to 1; a match takes part at
@@ -245,10 +245,12 @@ def agreement(drafts: DataFrame, strengths: DataFrame, sizes: list[float], half:
     maps of ``least`` matches or more that both halves have: the share of the
     first k bans that the lists have in common, the share of the second half's
     achievable value that the first half's first bans capture, and as baselines that
-    of the most picked characters of all maps and the exact expectation of random ones."""
-    picks = drafts.select(key, half.alias("_half"), draw.alias("_draw"), F.explode(F.concat("a", "b").cast("array<int>")).alias("brawler_id"))
+    of the most picked characters of all maps and the exact expectation of random ones.
+    ``weight``: how many matches of the same half and sizes a row stands for."""
+    many = F.col(weight) if weight else F.lit(1).cast("long")
+    picks = drafts.select(key, half.alias("_half"), draw.alias("_draw"), many.alias("_many"), F.explode(F.concat("a", "b").cast("array<int>")).alias("brawler_id"))
     cells = [(s, h) for s in sizes for h in (0, 1)]
-    counts = durable(picks.groupBy(key, "brawler_id").agg(F.count(F.lit(1)).alias("n_all"), *[F.count_if((F.col("_half") == h) & (F.col("_draw") < s)).alias(f"n{i}") for i, (s, h) in enumerate(cells)]))
+    counts = durable(picks.groupBy(key, "brawler_id").agg(F.sum("_many").alias("n_all"), *[F.sum(F.when((F.col("_half") == h) & (F.col("_draw") < s), F.col("_many")).otherwise(0)).alias(f"n{i}") for i, (s, h) in enumerate(cells)]))
     often = counts.groupBy("brawler_id").agg(F.sum("n_all").alias("n"))
     n_ids = often.count()
     if n_ids > MOST:

@@ -294,12 +294,31 @@ def ban_scaling(spark, sf):
     """Would more matches help: agreement of ban lists with strengths by mode and map, fitted anew for each nested sample of either half."""
     d = bind.decided(spark, sf).select("match_id", "mode", "map_id", "a", "b", "y")
     half, draw = F.pmod(F.xxhash64(F.lit(99), "match_id"), F.lit(2)), F.pmod(F.xxhash64(F.lit(7), "match_id"), F.lit(1 << 30)) / (1 << 30)
-    sizes, fitted, before = [0.25, 0.5, 1.0], [], {}
+    sizes, families = [0.25, 0.5, 1.0], ["solo", "solo_mode", "solo_map"]
+    cells, samples = _nested(d, families, half, draw, sizes)
+    fitted, before = [], {}
     for s in sizes:
         for h in (0, 1):
-            m = before[h] = fit.fit(d.where((half == h) & (draw < s)), ["solo", "solo_mode", "solo_map"], start=before.get(h))
-            fitted.append(decide.map_strengths(m.coefficients, d).select(F.lit(s).alias("size"), F.lit(h).alias("half"), "map_id", "brawler_id", "w"))
-    return rounded(decide.agreement(d, durable(_union(fitted)), sizes, half, draw, least=20))
+            m = before[h] = fit.fit(fit.Prepared(samples[s, h], families), families, start=before.get(h))
+            fitted.append(decide.map_strengths(m.coefficients, cells, weight="n").select(F.lit(s).alias("size"), F.lit(h).alias("half"), "map_id", "brawler_id", "w"))
+    return rounded(decide.agreement(cells, durable(_union(fitted)), sizes, F.col("half"), F.col("draw"), least=20, weight="n"))
+
+
+def _nested(d, families, half, draw, sizes):
+    """Matches that neither the families nor the samples tell apart, made in one pass over them: a row for each half and least
+    draw that the same samples hold, with their number n; and by size and half the sample's rows as by ``fit.alike``."""
+    keys, lows = design.reads(families), [0.0, *sizes[:-1]]
+    rows = d.select(*[c.alias(k) for k, c in keys.items()], "y", half.alias("_half"), draw.alias("_draw")).where(F.col("_draw") < sizes[-1])
+    within = {(low, h): (F.col("_half") == h) & (F.col("_draw") >= low) & (F.col("_draw") < s) for low, s in zip(lows, sizes, strict=True) for h in (0, 1)}
+    name = {k: i for i, k in enumerate(within)}
+    wide = durable(rows.groupBy(*keys).agg(*[f.alias(f"{c}{name[k]}") for k, own in within.items() for c, f in (("n", F.count_if(own)), ("won", F.count_if(own & (F.col("y") == 1))))]))
+    each = F.array(*[F.struct(F.lit(h).alias("half"), F.lit(low).alias("draw"), F.col(f"n{i}").alias("n")) for (low, h), i in name.items()])
+    samples = {}
+    for s in sizes:
+        for h in (0, 1):
+            w, won = (sum((F.col(f"{c}{name[low, h]}") for low in lows if low < s), F.lit(0)).cast("double") for c in ("n", "won"))
+            samples[s, h] = wide.where(w > 0).select(*keys, F.lit(0.0).alias("offset"), w.alias("w"), (won / w).alias("y"))
+    return wide.select(*keys, F.explode(each).alias("x")).select(*keys, "x.*").where("n > 0"), samples
 
 
 def _planned(spark, sf) -> list[tuple[str, int, float]]:
