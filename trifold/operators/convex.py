@@ -165,28 +165,73 @@ def minimise(
     return Found(x, value, left, steps, evaluations, left <= tolerance)
 
 
-def numbers(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Row and value of each entry of a list column."""
-    flat = lists.flatten().to_numpy(zero_copy_only=False)
-    return np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), flat
-
-
 def logistic_loss(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
     """Weighted log loss of scores z, and its derivative by each of them."""
     loss = np.logaddexp(0, z) - y * z
     return float(w @ loss), w * (np.exp(-np.logaddexp(0, -z)) - y)
 
 
-def _design(batch: pa.RecordBatch, beta: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Row, number and value of the batch's entries, and each row's score, y and weight."""
-    row, number = numbers(batch.column("number"))
-    value = batch.column("value").flatten().to_numpy(zero_copy_only=False)
-    y, w, offset = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w", "offset"))
-    return row, number, value, offset + np.bincount(row, value * beta[number], minlength=batch.num_rows), y, w
+#: Rows of a design that ``pack`` makes one of; entries that an evaluation takes at once, which a core's cache holds.
+PACK, TAKEN = 16, 1 << 16
+PACKED = "names array<string>, sizes binary, y binary, w binary, offset binary, number binary, code binary, value binary"
+#: The code of a value that isn't a whole number of a byte, and stands by itself.
+OTHER = -128
+
+
+def _binary(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The values' bytes, cut at these places."""
+    at = (cuts * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _values(column: pa.Array, kind) -> np.ndarray:
+    """The numbers of a column of their bytes, of all its rows."""
+    _, at, data = column.buffers()
+    at = np.frombuffer(at, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1] if at and len(column) else [0, 0]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(kind) if at[-1] > at[0] else np.zeros(0, kind)
+
+
+def pack(y, w, offset, sizes, number, value, n: int, names: list[str] | None = None) -> pa.RecordBatch:
+    """Rows of a design with numbers below ``n``, PACK of them as one of bytes, so that what isn't Python only copies them; ``names``, if given, stand in the first."""
+    cuts = np.append(np.arange(0, len(sizes), PACK), len(sizes))
+    inner = np.append(0, np.cumsum(sizes))[cuts]
+    value = np.asarray(value, float)
+    whole = (np.abs(value) < -OTHER) & (value == np.rint(value))
+    code = np.where(whole, value, OTHER).astype(np.int8)
+    others = np.append(0, np.cumsum(~whole))[inner]
+    first = pa.array([names, *[None] * (len(cuts) - 2)], pa.list_(pa.string()))
+    own = [_binary(np.asarray(x, kind), cuts) for x, kind in ((sizes, np.int32), (y, float), (w, float), (offset, float))]
+    entries = _binary(np.asarray(number, np.uint16 if n <= 1 << 16 else np.int32), inner), _binary(code, inner), _binary(value[~whole], others)
+    return pa.RecordBatch.from_arrays([first, *own, *entries], names=["names", "sizes", "y", "w", "offset", "number", "code", "value"])
+
+
+def unpack(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """y, weight, offset and number of entries of each row, and number and value of all entries; of packed rows or such with lists."""
+    if "sizes" in batch.schema.names:
+        of = lambda c, kind: _values(batch.column(c), kind)
+        code, number = of("code", np.int8), of("number", np.uint8)
+        value = code.astype(float)
+        value[code == OTHER] = of("value", float)
+        return of("y", float), of("w", float), of("offset", float), of("sizes", np.int32), number.view(np.uint16 if len(number) == 2 * len(code) else np.int32), value
+    number, value = (batch.column(c) for c in ("number", "value"))
+    own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w", "offset"))
+    return *own, np.diff(number.offsets.to_numpy()), number.flatten().to_numpy(zero_copy_only=False), value.flatten().to_numpy(zero_copy_only=False)
+
+
+def _design(batch: pa.RecordBatch, beta: np.ndarray):
+    """Row, number and value of the entries, and each row's score, y and weight, of TAKEN entries or the rows of one at a time."""
+    y, w, offset, sizes, number, value = unpack(batch)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    a, done = 0, 0
+    while a < len(sizes):
+        b = max(int(np.searchsorted(ends, done + TAKEN, side="right")), a + 1)
+        row, k, v = np.repeat(np.arange(b - a), sizes[a:b]), number[done : ends[b - 1]], value[done : ends[b - 1]]
+        yield row, k, v, offset[a:b] + np.bincount(row, v * beta[k], minlength=b - a), y[a:b], w[a:b]
+        a, done = b, int(ends[b - 1])
 
 
 def logistic(rows: DataFrame, size: int) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
-    """The log loss over rows (y, w, offset, number array<int>, value array<double>) and its gradient, as a function of the parameters.
+    """The log loss over rows (y, w, offset, number array<int>, value array<double>), or packed ones, and its gradient, as a function of the parameters.
 
     y may lie between 0 and 1: the mean of the w matches that a row stands for."""
     context, parts = rows.sparkSession.sparkContext, rows.rdd.getNumPartitions()
@@ -195,9 +240,12 @@ def logistic(rows: DataFrame, size: int) -> Callable[[np.ndarray], tuple[float,
         held = context.broadcast(beta)
 
         def of(batch: pa.RecordBatch) -> np.ndarray:
-            row, number, value, z, y, w = _design(batch, held.value)
-            loss, slope = logistic_loss(z, y, w)
-            return np.append(np.bincount(number, slope[row] * value, minlength=size), loss)
+            total = np.zeros(size + 1)
+            for row, number, value, z, y, w in _design(batch, held.value):
+                loss, slope = logistic_loss(z, y, w)
+                total[:-1] += np.bincount(number, slope[row] * value, minlength=size)
+                total[-1] += loss
+            return total
 
         total = sums(rows, size + 1, of, parts)
         held.unpersist()
@@ -211,9 +259,11 @@ def logistic_curvature(rows: DataFrame, beta: np.ndarray) -> np.ndarray:
     held = rows.sparkSession.sparkContext.broadcast(beta)
 
     def of(batch: pa.RecordBatch) -> np.ndarray:
-        row, number, value, z, _, w = _design(batch, held.value)
-        p = np.exp(-np.logaddexp(0, -z))
-        return np.bincount(number, (w * p * (1 - p))[row] * value * value, minlength=len(held.value))
+        total = np.zeros(len(held.value))
+        for row, number, value, z, _, w in _design(batch, held.value):
+            p = np.exp(-np.logaddexp(0, -z))
+            total += np.bincount(number, (w * p * (1 - p))[row] * value * value, minlength=len(total))
+        return total
 
     total = sums(rows, len(beta), of)
     held.unpersist()
@@ -233,18 +283,19 @@ def logistic_block(rows: DataFrame, beta: np.ndarray, chosen: np.ndarray) -> np.
 
     def of(batch: pa.RecordBatch) -> np.ndarray:
         beta, place = held.value
-        row, number, value, z, _, w = _design(batch, beta)
-        p = np.exp(-np.logaddexp(0, -z))
-        known = place[number] >= 0
-        row, at, value = row[known], place[number[known]], value[known]
-        weighted = value * (w * p * (1 - p))[row]
-        first = np.searchsorted(row, np.arange(batch.num_rows + 1))
-        many, total = np.diff(first)[row], np.zeros(m * m)
-        for a in range(0, len(row), PAIRED):
-            n = many[a : a + PAIRED]
-            one = np.repeat(np.arange(a, a + len(n)), n)
-            other = first[row[one]] + np.arange(len(one)) - np.repeat(np.cumsum(n) - n, n)
-            total += np.bincount(at[one] * m + at[other], weighted[one] * value[other], minlength=m * m)
+        total = np.zeros(m * m)
+        for row, number, value, z, _, w in _design(batch, beta):
+            p = np.exp(-np.logaddexp(0, -z))
+            known = place[number] >= 0
+            row, at, value = row[known], place[number[known]], value[known]
+            weighted = value * (w * p * (1 - p))[row]
+            first = np.searchsorted(row, np.arange(len(z) + 1))
+            many = np.diff(first)[row]
+            for a in range(0, len(row), PAIRED):
+                n = many[a : a + PAIRED]
+                one = np.repeat(np.arange(a, a + len(n)), n)
+                other = first[row[one]] + np.arange(len(one)) - np.repeat(np.cumsum(n) - n, n)
+                total += np.bincount(at[one] * m + at[other], weighted[one] * value[other], minlength=m * m)
         return total.reshape(m, m)[np.triu_indices(m)]
 
     out = np.zeros((m, m))

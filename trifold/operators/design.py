@@ -37,18 +37,26 @@ def counter() -> Entry:
     return F.transform(cross_team("a", "b"), lambda p: _entry(name(p), p["sign"]))
 
 
+def _once(value: Column, of) -> Column:
+    """``of(value)``, for which the value is made once however often it is named."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def theory() -> Entry:
     """Differences of class counts, coverage, redundancy, and artillery and assassin asymmetries."""
-    classes = lambda t: F.transform(t, class_of)
-    n = lambda t, *cs: F.size(F.filter(classes(t), lambda x: x.isin(list(cs))))
-    diff = lambda f: f(F.col("a")) - f(F.col("b"))
-    coverage = lambda t: F.size(F.array_distinct(classes(t)))
-    redundancy = lambda t: F.array_max(F.transform(F.array(*map(F.lit, CLASSES)), lambda c: F.size(F.filter(classes(t), lambda x: x == c))))
+    return _once(F.struct(*[F.transform(t, class_of).alias(t) for t in ("a", "b")]), _theory)
+
+
+def _theory(classes: Column) -> Entry:
+    n = lambda t, *cs: F.size(F.filter(classes[t], lambda x: x.isin(list(cs))))
+    diff = lambda f: f("a") - f("b")
+    coverage = lambda t: F.size(F.array_distinct(classes[t]))
+    redundancy = lambda t: F.coalesce(F.array_max(F.transform(classes[t], lambda x: F.size(F.filter(classes[t], lambda other: other == x)))), F.lit(0))
     rows = [_entry(F.lit(f"theory:{c}"), diff(lambda t, c=c: n(t, c))) for c in CLASSES]
     rows += [_entry(F.lit("theory:coverage"), diff(coverage)), _entry(F.lit("theory:redundancy"), diff(redundancy))]
-    only = lambda own, other: ((n(F.col(own), "artillery") > 0) & (n(F.col(other), "artillery") == 0)).cast("int")
+    only = lambda own, other: ((n(own, "artillery") > 0) & (n(other, "artillery") == 0)).cast("int")
     rows.append(_entry(F.lit("theory:artillery_only"), only("a", "b") - only("b", "a")))
-    hunt = lambda own, other: n(F.col(own), "assassin") * n(F.col(other), "artillery", "marksman")
+    hunt = lambda own, other: n(own, "assassin") * n(other, "artillery", "marksman")
     rows.append(_entry(F.lit("theory:hunt"), hunt("a", "b") - hunt("b", "a")))
     return F.array(*rows)
 
@@ -65,8 +73,8 @@ def roles() -> Entry:
 
 def structure(traits: list[str] = TRAITS) -> Entry:
     """Differences of class counts times what the map is like: a column of the drafts for each trait, null counting as 0."""
-    each = lambda t: F.transform(roles(), lambda e: _entry(F.concat(F.lit(f"structure:{t}:"), F.substring_index(e["feature"], ":", -1)), e["value"] * F.coalesce(F.col(t), F.lit(0.0))))
-    return reduce(lambda x, y: F.concat(x, y), [each(t) for t in traits])
+    each = lambda t, of: F.transform(of, lambda e: _entry(F.concat(F.lit(f"structure:{t}:"), F.substring_index(e["feature"], ":", -1)), e["value"] * F.coalesce(F.col(t), F.lit(0.0))))
+    return _once(roles(), lambda of: reduce(lambda x, y: F.concat(x, y), [each(t, of) for t in traits]))
 
 
 def renamed(entries: Entry, block: str) -> Entry:

@@ -29,6 +29,8 @@ PENALTY = {
     "solo": 5.0, "solo_mode": 15.0, "solo_map": 40.0, "solo_patch": 30.0, "solo_tier": 40.0, "solo_hour": 40.0, "syn": 60.0, "ctr": 60.0, "ctr_mode": 120.0,
     "theory": 5.0, "role": 5.0, "matchup": 5.0, "matchup_mode": 15.0, "stack": 2.0, "structure": 5.0, "popularity": 1.0, "power": 1.0, "mastery": 1.0,
 }
+#: The first part of a family's features' names, where it isn't the family's name.
+BLOCKS = {"synergy": "syn", "counter": "ctr", "counter_mode": "ctr_mode", "roles": "role"}
 #: The one feature that is the same for all matches: it is an intercept, without a penalty.
 SIDE = "side:"
 #: Largest entry of the mean objective's gradient, by beta * sqrt(penalty), that a fit may stop at.  That objective curves by 1 / total
@@ -81,24 +83,59 @@ def _scores(held):
     return run
 
 
-def _sparse(held):
+def _coded(batches):
+    """Packed rows of y, w, offset and entries e: a batch's features are numbered in the order of the names in its first packed row."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        flat = batch.column("e").flatten()
+        features = pc.dictionary_encode(flat.field("feature").cast(pa.string()))
+        number = pc.fill_null(features.indices, -1).to_numpy().astype(np.int64)
+        value = flat.field("value").to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(batch.column("e")), 0).to_numpy())
+        known = (number >= 0) & (value != 0)
+        row, number, value = row[known], number[known], value[known]
+        seen = np.unique(number)
+        number = np.searchsorted(seen, number)
+        order = np.argsort(row * max(len(seen), 1) + number, kind="stable")
+        row, number, value = row[order], number[order], value[order]
+        new = np.append(True, (row[1:] != row[:-1]) | (number[1:] != number[:-1])) if len(row) else np.zeros(0, bool)
+        value = np.add.reduceat(value, np.flatnonzero(new)) if len(row) else value
+        sizes = np.bincount(row[new], minlength=batch.num_rows)
+        own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w", "offset"))
+        yield convex.pack(*own, sizes, number[new], value, len(seen), features.dictionary.take(pa.array(seen)).to_pylist())
+
+
+def _numbered(held):
+    """Packed rows with the numbers of the held names in place of a batch's own; entries of other features are left out."""
+
     def run(batches):
-        names = held.value
+        names, places = held.value, np.zeros(0, np.int64)
         for batch in batches:
-            n = batch.num_rows
-            row, number, value = _entries(batch.column("e"), names)
-            order = np.lexsort((number, row))
-            row, number, value = row[order], number[order], value[order]
-            new = np.append(True, (row[1:] != row[:-1]) | (number[1:] != number[:-1])) if len(row) else np.zeros(0, bool)
-            value = np.add.reduceat(value, np.flatnonzero(new)) if len(row) else value
-            row, number = row[new], number[new]
-            at = pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32))
-            lists = pa.ListArray.from_arrays(at, pa.array(number.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(value))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("y", "w", "offset")], *lists], names=["y", "w", "offset", "number", "value"])
+            given = batch.column("names")
+            cuts = [*np.flatnonzero(given.is_valid().to_numpy(zero_copy_only=False)).tolist(), batch.num_rows]
+            for a, b in zip([0, *cuts], cuts, strict=False):
+                if a == b:
+                    continue
+                if given[a].is_valid:
+                    places = pc.fill_null(pc.index_in(pa.array(given[a].as_py(), pa.string()), value_set=names), -1).to_numpy().astype(np.int64)
+                y, w, offset, sizes, number, value = convex.unpack(batch.slice(a, b - a))
+                number = places[number]
+                known = number >= 0
+                row = np.repeat(np.arange(len(sizes)), sizes)[known]
+                yield convex.pack(y, w, offset, np.bincount(row, minlength=len(sizes)), number[known], value[known], len(names))
 
     return run
 
 
+def _listed(batches):
+    for batch in batches:
+        y, w, offset, sizes, number, value = convex.unpack(batch)
+        at = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+        lists = pa.ListArray.from_arrays(at, pa.array(number.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(value))
+        yield pa.RecordBatch.from_arrays([*map(pa.array, (y, w, offset)), *lists], names=["y", "w", "offset", "number", "value"])
+
+
 def pair_places(names: list[str], block: str) -> list[tuple[int, int, int]]:
     """Place, lower and higher character of each pair feature of a block."""
     start = [i * (2 * N - i - 1) // 2 for i in range(N)]
@@ -136,21 +173,36 @@ def alike(drafts: DataFrame, families: list[str], weight: str | None = None, off
 
 class Prepared:
     """The rows of a fit, made once for any penalties and starts: ``cells`` as by ``alike``, the ``names`` of the features that
-    they have, ``data`` with each row's feature numbers and values, and the ``total`` weight."""
+    they have, ``packed`` with each row's feature numbers and values, and the ``total`` weight.
+
+    Entries are made once for all families and numbered; ``within`` has the rows of some of the families."""
 
-    def __init__(self, cells: DataFrame, families: list[str]):
-        spark = cells.sparkSession
+    def __init__(self, cells: DataFrame, families: list[str], whole: Prepared | None = None):
         self.cells, self.families = cells, families
-        rows = cells.select("y", "w", "offset", design.entries(families).alias("e"))
-        seen = rows.select(F.explode("e").alias("e")).where("e.value <> 0").select("e.feature").distinct()
-        names = sorted(r["feature"] for r in seen.collect())  # the parameters, not the rows
+        if whole is None:
+            rows = convex.spread(cells, cells.count(), ROWS_A_PART).select("y", "w", "offset", design.entries(families).alias("e"))
+            self.coded = durable(rows.mapInArrow(_coded, convex.PACKED))
+            self.seen = sorted(r[0] for r in self.coded.select(F.explode("names")).distinct().collect())  # the parameters, not the rows
+            weight = convex.total_weight(cells)
+        else:
+            self.coded, self.seen, weight = whole.coded, whole.seen, whole.weight
+        blocks, self.weight = {BLOCKS.get(f, f) for f in families}, weight
+        names = [f for f in self.seen if f.split(":", 1)[0] in blocks]
         self.names = [f for f in names if f != SIDE] + [f for f in names if f == SIDE]
-        self.data, self.total = None, 0.0
+        self.packed, self.total = None, 0.0
         if names:
-            held = spark.sparkContext.broadcast(pa.array(self.names, pa.string()))
-            parted = convex.spread(cells, cells.count(), ROWS_A_PART).select("y", "w", "offset", design.entries(families).alias("e"))
-            self.data = durable(parted.mapInArrow(_sparse(held), "y double, w double, offset double, number array<int>, value array<double>"))
-            self.total = convex.total_weight(self.data)
+            held = cells.sparkSession.sparkContext.broadcast(pa.array(self.names, pa.string()))
+            self.packed, self.total = durable(self.coded.mapInArrow(_numbered(held), convex.PACKED)), weight
+
+    def within(self, families: list[str]) -> Prepared:
+        """What a fit on these families takes, which are some of those that the rows were made for."""
+        return Prepared(self.cells, families, self)
+
+    @property
+    def data(self) -> DataFrame | None:
+        """``packed`` with a row for each of the cells, and lists."""
+        lists = "y double, w double, offset double, number array<int>, value array<double>"
+        return self.packed.mapInArrow(_listed, lists) if self.packed is not None else None
 
 
 def prepare(drafts: DataFrame, families: list[str], weight: str | None = None, offset: str | None = None) -> Prepared:
@@ -166,7 +218,7 @@ def fit(
     ``constrained`` holds the row sums of pair blocks at 0; ``start`` is a model whose coefficients the fit begins with."""
     penalty = PENALTY | (penalty or {})
     made = drafts if isinstance(drafts, Prepared) else prepare(drafts, families, weight, offset)
-    spark, names, data, total = made.cells.sparkSession, made.names, made.data, made.total
+    spark, names, data, total = made.cells.sparkSession, made.names, made.packed, made.total
     if not total:
         return Model(spark, names, np.zeros(len(names)), families)
     own = np.array([f != SIDE for f in names], float)
@@ -206,7 +258,7 @@ def _inverse(matrix: np.ndarray) -> np.ndarray:
 def _curvature(made: Prepared, beta: np.ndarray, scales: np.ndarray, own: np.ndarray):
     """What ``convex.minimise`` scales steps by: the diagonal of the second derivatives, and between the blocks of fewest features all of
     them, since classes, characters and characters by mode are met together and a diagonal alone takes many steps to part them."""
-    diagonal = (convex.logistic_curvature(made.data, beta) * scales * scales + own) / made.total
+    diagonal = (convex.logistic_curvature(made.packed, beta) * scales * scales + own) / made.total
     diagonal = np.maximum(diagonal, 1e-9 * diagonal.max())
     of = [f.split(":", 1)[0] for f in made.names]
     sizes, chosen = Counter(of), set()
@@ -216,7 +268,7 @@ def _curvature(made: Prepared, beta: np.ndarray, scales: np.ndarray, own: np.nda
     at = np.array([k for k, b in enumerate(of) if b in chosen], int)
     if len(at) < 2:
         return diagonal
-    matrix = convex.logistic_block(made.data, beta, at) * np.outer(scales[at], scales[at]) / made.total
+    matrix = convex.logistic_block(made.packed, beta, at) * np.outer(scales[at], scales[at]) / made.total
     matrix[np.diag_indices(len(at))] = diagonal[at]
     inverse = _inverse(matrix)
 

@@ -94,18 +94,35 @@ LADDER = [
 def ablation_ladder(spark, sf):
     """Each rung's quality on the later matches, how many parameters it has and how many steps its fit took.
 
-    A fit begins with the largest rung before it that its families hold."""
-    train, test = _context(spark, sf)
-    out, done = [], {}
-    for name, families in LADDER:
+    A fit begins with the largest rung before it that its families hold.  Rungs that read no more than teams, mode and
+    map share the rows of their fits; the later matches are scored by all rungs at once."""
+    train, test = _context(spark, sf, list(dict.fromkeys(f for _, families in LADDER for f in families)))
+    done, rows = {}, _rungs(train, [families for _, families in LADDER])
+    for _, families in LADDER:
         key = tuple(families)
         if key not in done:
             within = [k for k in done if set(k) <= set(key)]
-            m = fit.fit(train, families, start=done[max(within, key=len)][0] if within else None)
-            done[key] = m, durable(m.predict(test))
-        m, scored = done[key]
-        out.append(_quality(scored, rung=name, families="+".join(families), params=len(m.names), steps=m.iterations))
-    return _union(out)
+            done[key] = fit.fit(rows(families), families, start=done[max(within, key=len)] if within else None)
+    scored = durable(fit.predict_all(list(done.values()), test).select("y", *[sigmoid(f"z{k}").alias(f"p{k}") for k in range(len(done))]))  # read by each rung
+    out = {key: _quality(scored.select("y", F.col(f"p{k}").alias("p"))) for k, key in enumerate(done)}
+    first = lambda name, families: {"rung": name, "families": "+".join(families), "params": len(done[tuple(families)].names), "steps": done[tuple(families)].iterations}
+    return _union([out[tuple(families)].select(*[F.lit(v).alias(k) for k, v in first(name, families).items()], "*") for name, families in LADDER])
+
+
+def _rungs(train, rungs):
+    """What each rung's fit takes, as a function of its families: rows by teams, mode and map are made once for all that read
+    no more, and those by less are made of them."""
+    known = {"a", "b", "mode", "map_id", *bind.TRAITS}  # traits follow from the map
+    wide = list(dict.fromkeys(f for families in rungs if set(design.reads(families)) <= known for f in families))
+    asked = set(design.reads(wide)) - set(bind.TRAITS)
+    made = fit.prepare(train, wide)
+
+    def rows(families):
+        if not set(families) <= set(wide):
+            return fit.prepare(train, families)
+        return made.within(families) if asked <= set(design.reads(families)) else fit.prepare(made.cells, families, "w")
+
+    return rows
 
 
 @query()
