@@ -4,10 +4,10 @@ S is symmetric and C antisymmetric by construction: S is the symmetric part of a
 free matrix, C the antisymmetric part of another, so exchanging the teams changes
 every sign.  Scores need the two tables U S U' and U C U' only, and the loss depends
 on them through sums over pairs, so a pass over the drafts adds up, for each
-ordered pair, the loss's derivative by its table entry; gradients of U, S and C
-follow from these sums in the driver.  Steps alternate: with U held, the fit of
-strengths, S and C is convex; then U moves with these held.  All are full steps of
-``convex.minimise`` over partition sums, none is scaled by hand.
+ordered pair, the loss's derivative by its table entry; gradients of strengths, U, S
+and C follow from these sums in the driver.  ``convex.minimise`` moves all of them
+together and a fit ends by the gradient's norm, not by a number of steps: steps that
+held U and the rest in turn had not settled after a thousand passes.
 
 Limits: the tables have n_ids^2 entries, of which every task holds a copy, and up to
 MOST characters are taken.  The whole problem isn't convex, so what is found is a
@@ -23,15 +23,16 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from trifold.functions.expr import sigmoid
 from trifold.operators import convex
-from trifold.operators.fit import alike
+from trifold.operators.fit import ROWS_A_PART, alike
 from trifold.session import durable
 from trifold.sources.bind import N
 
 MOST = 1000
 #: Penalties of a strength, of a factor's entry and of a form's entry; the size of first factors.
 SOLO, FACTOR, FORM, FIRST = 5.0, 1.0, 1.0, 0.3
-#: Rounds of the two steps, L-BFGS steps in each, and when they end: entries of the mean objective's gradient.
-ROUNDS, STEPS, TOLERANCE = 8, 12, 1e-6
+#: L-BFGS steps of a round; steps that are an error if a fit hasn't ended by then; when it ends: entries of the mean objective's gradient.
+#: Many matches with weak effects have gradients of 1e-6 at the saddle without any pair effects, too.
+STEPS, GUARD, TOLERANCE = 12, 20_000, 1e-7
 
 
 def symmetric(m: np.ndarray) -> np.ndarray:
@@ -112,13 +113,15 @@ def _losses(rows: DataFrame, n: int):
     return losses
 
 
-def fit(drafts: DataFrame, k: int, n_ids: int = N, seed: int = 7, rounds: int = ROUNDS, weight: str | None = None) -> Factors:
-    """Factors of rank ``k`` from y, a and b of decided drafts, whose picks are numbers below ``n_ids``; ``weight`` names a column of case weights."""
+def fit(drafts: DataFrame, k: int, n_ids: int = N, seed: int = 7, rounds: int | None = None, weight: str | None = None) -> Factors:
+    """Factors of rank ``k`` from y, a and b of decided drafts, whose picks are numbers below ``n_ids``; ``weight`` names a column of case weights.
+
+    ``rounds``, if given, ends it after so many rounds of STEPS steps, settled or not."""
     if n_ids > MOST:
         raise ValueError(f"{n_ids} characters; at most {MOST} have tables")
     # Matches of the same teams are one row.
     cells = durable(alike(drafts.withColumns({c: F.col(c).cast("array<int>") for c in ("a", "b")}), [], weight).select("y", "w", "a", "b"))
-    rows = durable(convex.spread(cells, cells.count(), 5_000))
+    rows = durable(convex.spread(cells, cells.count(), ROWS_A_PART))
     losses, n, passes = _losses(rows, n_ids), max(convex.total_weight(rows), 1), 0
     rng = np.random.default_rng(seed)
     solo, u, s, c = np.zeros(n_ids), rng.normal(0, FIRST, (n_ids, k)), symmetric(rng.normal(0, 0.1, (k, k))), antisymmetric(rng.normal(0, 0.1, (k, k)))
@@ -132,26 +135,17 @@ def fit(drafts: DataFrame, k: int, n_ids: int = N, seed: int = 7, rounds: int =
         by_u = pair @ u @ s.T + pair.T @ u @ s + versus @ u @ c.T + versus.T @ u @ c + FACTOR * u
         return value / n, (own + SOLO * solo) / n, by_u / n, (symmetric(u.T @ pair @ u) + FORM * s) / n, (antisymmetric(u.T @ versus @ u) + FORM * c) / n
 
-    def forms(x):
-        free_s, free_c = x[n_ids : n_ids + k * k].reshape(k, k), x[n_ids + k * k :].reshape(k, k)
-        return x[:n_ids], symmetric(free_s), antisymmetric(free_c)
-
-    def linear(x):
-        solo, s, c = forms(x)
-        value, by_solo, _, by_s, by_c = whole(solo, u, s, c)
-        return value, np.concatenate([by_solo, by_s.ravel(), by_c.ravel()])
-
-    def factors(x):
-        value, _, by_u, _, _ = whole(solo, x.reshape(n_ids, k), s, c)
-        return value, by_u.ravel()
-
-    before = np.inf
-    for _ in range(rounds):
-        found = convex.minimise(linear, np.concatenate([solo, s.ravel(), c.ravel()]), TOLERANCE, most=STEPS)
-        solo, s, c = forms(found.x)
-        found = convex.minimise(factors, u.ravel(), TOLERANCE, most=STEPS)
-        u = found.x.reshape(n_ids, k)
-        if before - found.value < 1e-6:
-            break
-        before = found.value
-    return Factors(solo, u, s, c, found.value, passes)
+    cuts = np.cumsum([n_ids, n_ids * k, k * k])
+
+    def parts(x):
+        solo, u, s, c = np.split(x, cuts)
+        return solo, u.reshape(n_ids, k), symmetric(s.reshape(k, k)), antisymmetric(c.reshape(k, k))
+
+    def objective(x):
+        value, *by = whole(*parts(x))
+        return value, np.concatenate([g.ravel() for g in by])
+
+    found = convex.minimise(objective, np.concatenate([x.ravel() for x in (solo, u, s, c)]), TOLERANCE, most=GUARD if rounds is None else rounds * STEPS)
+    if rounds is None and not found.converged:
+        raise RuntimeError(f"the fit of rank {k} stopped after {found.steps} steps with a gradient of {found.gradient:.2g}")
+    return Factors(*parts(found.x), found.value, passes)

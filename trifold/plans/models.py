@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
 
 from trifold.functions.expr import decay, p_of_interval, sigmoid
@@ -153,13 +155,16 @@ def counter_row_sums(spark, sf):
 
 @query()
 def factor_ladder(spark, sf):
-    """Rungs of pair effects of rank 4, 8 and 16 beside full strengths: quality, and the gain in log loss over strengths alone with its interval."""
+    """Rungs of pair effects of rank 4, 8 and 16 beside full strengths: quality, and the gain in log loss over strengths alone with its interval.
+
+    The fits run side by side, since a step of one is a short job; each goes on until its gradient is below the tolerance."""
     train, test = _split(spark, sf)
     cells = durable(fit.alike(train, []))
     scored = fit.fit(cells, ["solo"], weight="w").predict(test).select("match_id", "a", "b", "y", metrics.log_loss("p", "y").alias("base"))
     ranks, passes = (4, 8, 16), []
-    for k in ranks:
-        m = factors.fit(cells, k, rounds=3, weight="w")
+    with ThreadPoolExecutor(len(ranks)) as pool:
+        fitted = list(pool.map(inheritable_thread_target(spark)(lambda k: factors.fit(cells, k, weight="w")), ranks))
+    for k, m in zip(ranks, fitted, strict=True):
         scored = m.predict(scored).drop("z").withColumnRenamed("p", f"p{k}")
         passes.append(m.passes)
     scored = durable(scored.withColumns({f"loss{k}": metrics.log_loss(f"p{k}", "y") for k in ranks}))
@@ -207,7 +212,7 @@ def empirical_bayes(spark, sf):
 def ban_counterfactual(spark, sf):
     """What a ban changes for the team that picks first, each draft completed from its first two picks by popularity on its map."""
     d = bind.decided(spark, sf).select("match_id", "map_id", "a", "b", "y", "mode")
-    m = factors.fit(d, 4, rounds=2)
+    m = factors.fit(d, 4)
     picks = d.select("map_id", F.explode(F.concat("a", "b")).alias("k")).groupBy("map_id", "k").agg(F.count(F.lit(1)).alias("n"))
     popularity = {}
     for r in picks.collect():  # maps times characters
