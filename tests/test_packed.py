@@ -88,6 +88,21 @@ def test_class_features_by_hand(spark):
         assert got[r["match_id"]] == pytest.approx(want)
 
 
+def test_a_rung_begins_with_what_is_known(spark):
+    """M4 begins with M2, and its counters with M3's: that is nearer to where it ends, which is the same place."""
+    d, families = _drafts(spark), ["solo", "synergy", "counter"]
+    made = fit.prepare(d, families)
+    two = [fit.fit(made.within(["solo", f]), ["solo", f]) for f in families[1:]]
+    begun = models._begun(two)
+    assert begun.families == two[0].families and set(begun.names) == set(made.names) and models._begun([]) is None
+    known = dict(zip(begun.names, begun.beta, strict=True))
+    assert all(known[f] == x for f, x in zip(two[0].names, two[0].beta, strict=True))
+    assert all(known[f] == x for f, x in zip(two[1].names, two[1].beta, strict=True) if f.startswith("ctr:"))
+    m, plain = fit.fit(made, families, start=begun), fit.fit(made, families, start=two[0])
+    far = lambda x: np.linalg.norm([dict(zip(x.names, x.beta, strict=True)).get(f, 0.0) - beta for f, beta in zip(m.names, m.beta, strict=True)])
+    assert far(begun) < far(two[0]) / 2 and m.iterations <= plain.iterations and m.beta == pytest.approx(plain.beta, abs=1e-3)
+
+
 def test_a_ladder_makes_its_rows_once(spark, sf, monkeypatch):
     """Matches are grouped once for all rungs that read teams, mode and map, again only from those rows or for what more a rung reads;
     entries are made as often, and the later matches scored once; rows are those of each rung by itself."""

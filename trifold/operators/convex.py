@@ -205,27 +205,43 @@ def pack(y, w, offset, sizes, number, value, n: int, names: list[str] | None = N
     return pa.RecordBatch.from_arrays([first, *own, *entries], names=["names", "sizes", "y", "w", "offset", "number", "code", "value"])
 
 
+def _packed(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    of = lambda c, kind: _values(batch.column(c), kind)
+    code, number = of("code", np.int8), of("number", np.uint8)
+    return of("y", float), of("w", float), of("offset", float), of("sizes", np.int32), number.view(np.uint16 if len(number) == 2 * len(code) else np.int32), code, of("value", float)
+
+
+def _decoded(code: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the codes, and what is left of those that stand by themselves."""
+    value = code.astype(float)
+    if not len(others):
+        return value, others
+    at = np.flatnonzero(code == OTHER)
+    value[at] = others[: len(at)]
+    return value, others[len(at) :]
+
+
 def unpack(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """y, weight, offset and number of entries of each row, and number and value of all entries; of packed rows or such with lists."""
-    if "sizes" in batch.schema.names:
-        of = lambda c, kind: _values(batch.column(c), kind)
-        code, number = of("code", np.int8), of("number", np.uint8)
-        value = code.astype(float)
-        value[code == OTHER] = of("value", float)
-        return of("y", float), of("w", float), of("offset", float), of("sizes", np.int32), number.view(np.uint16 if len(number) == 2 * len(code) else np.int32), value
-    number, value = (batch.column(c) for c in ("number", "value"))
-    own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w", "offset"))
-    return *own, np.diff(number.offsets.to_numpy()), number.flatten().to_numpy(zero_copy_only=False), value.flatten().to_numpy(zero_copy_only=False)
+    """y, weight, offset and number of entries of each packed row, and number and value of all entries."""
+    *own, number, code, others = _packed(batch)
+    return *own, number, _decoded(code, others)[0]
 
 
 def _design(batch: pa.RecordBatch, beta: np.ndarray):
-    """Row, number and value of the entries, and each row's score, y and weight, of TAKEN entries or the rows of one at a time."""
-    y, w, offset, sizes, number, value = unpack(batch)
+    """Row, number and value of the entries, and each row's score, y and weight, of TAKEN entries or the rows of one at a time; rows are packed or have lists."""
+    if packed := "sizes" in batch.schema.names:
+        y, w, offset, sizes, number, value, others = _packed(batch)
+    else:
+        y, w, offset = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w", "offset"))
+        number, value = (batch.column(c) for c in ("number", "value"))
+        sizes, number, value = np.diff(number.offsets.to_numpy()), number.flatten().to_numpy(zero_copy_only=False), value.flatten().to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes, dtype=np.int64)
     a, done = 0, 0
     while a < len(sizes):
         b = max(int(np.searchsorted(ends, done + TAKEN, side="right")), a + 1)
         row, k, v = np.repeat(np.arange(b - a), sizes[a:b]), number[done : ends[b - 1]], value[done : ends[b - 1]]
+        if packed:
+            v, others = _decoded(v, others)
         yield row, k, v, offset[a:b] + np.bincount(row, v * beta[k], minlength=b - a), y[a:b], w[a:b]
         a, done = b, int(ends[b - 1])
 

@@ -96,21 +96,29 @@ LADDER = [
 def ablation_ladder(spark, sf):
     """Each rung's quality on the later matches, how many parameters it has and how many steps its fit took.
 
-    A fit begins with the largest rung before it that its families hold.  Rungs that read no more than teams, mode and
+    A fit begins with the largest rung before it that its families hold, and for families that one lacks with the next largest.  Rungs that read no more than teams, mode and
     map share the rows of their fits; the later matches are scored by all rungs at once."""
     train, test = _context(spark, sf, list(dict.fromkeys(f for _, families in LADDER for f in families)))
     done, rows = {}, _rungs(train, [families for _, families in LADDER])
     for _, families in LADDER:
         key = tuple(families)
         if key not in done:
-            within = [k for k in done if set(k) <= set(key)]
-            done[key] = fit.fit(rows(families), families, start=done[max(within, key=len)] if within else None)
+            within = sorted((k for k in done if set(k) <= set(key)), key=len, reverse=True)
+            done[key] = fit.fit(rows(families), families, start=_begun([done[k] for k in within]))
     scored = durable(fit.predict_all(list(done.values()), test).select("y", *[sigmoid(f"z{k}").alias(f"p{k}") for k in range(len(done))]))  # read by each rung
     out = {key: _quality(scored.select("y", F.col(f"p{k}").alias("p"))) for k, key in enumerate(done)}
     first = lambda name, families: {"rung": name, "families": "+".join(families), "params": len(done[tuple(families)].names), "steps": done[tuple(families)].iterations}
     return _union([out[tuple(families)].select(*[F.lit(v).alias(k) for k, v in first(name, families).items()], "*") for name, families in LADDER])
 
 
+def _begun(models):
+    """The first of the models with the coefficients that it lacks from the ones after it."""
+    if not models:
+        return None
+    found = {name: beta for m in reversed(models) for name, beta in zip(m.names, m.beta.tolist(), strict=True)}
+    return fit.Model(models[0].spark, list(found), list(found.values()), models[0].families)
+
+
 def _rungs(train, rungs):
     """What each rung's fit takes, as a function of its families: rows by teams, mode and map are made once for all that read
     no more, and those by less are made of them."""
